@@ -4,6 +4,7 @@ from tidemark.plans import (  # noqa: F401
     q_bars,
     q_windows,
     q_recursive,
+    q_screen,
 )
 from tidemark.plans.registry import COVERS, QUERIES, oracle_texts
 

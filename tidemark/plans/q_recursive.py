@@ -34,13 +34,13 @@ view("seed_fold", """SELECT symbol, i, NULL::DOUBLE AS e20, NULL::DOUBLE AS r14,
 
 
 @query("ema_and_rma", "2.6.1 2.6.3", """
-SELECT symbol, @D(date) AS date, @R(e9) AS ema9, @R(e21) AS ema21, @R(rma) AS rma14 FROM fold""")
+SELECT symbol, @D(date) AS date, @R(e9) AS ema9, @R(e21) AS ema21, @R(rma) AS rma14 FROM fold""", digits=4)
 def _(m):
     return R.with_indicators(m.daily(), ["ema9", "ema21", "rma14"]).select("symbol", "date", "ema9", "ema21", "rma14")
 
 
 @query("seeded_averages", "2.6.2 2.6.3", """
-SELECT symbol, @I(i) AS i, @R(e20) AS ema20_seeded, @R(r14) AS rma14_seeded, @R(t14) AS atr14_seeded FROM seed_fold""")
+SELECT symbol, @I(i) AS i, @R(e20) AS ema20_seeded, @R(r14) AS rma14_seeded, @R(t14) AS atr14_seeded FROM seed_fold""", digits=4)
 def _(m):
     df = R.with_indicators(m.daily(), ["ema20_seeded", "rma14_seeded", "atr14_seeded"])
     i = F.row_number().over(W.Window.partitionBy("symbol").orderBy("date"))
@@ -66,9 +66,9 @@ def _(m):
 
 @query("macd_crosses", "2.6.8", f"""
 WITH x AS (SELECT *, lag(round(macd, 9)) OVER ({D}) AS m1, lag(round(sig, 9)) OVER ({D}) AS s1 FROM fold),
-c AS (SELECT *, coalesce(m1 <= s1 AND round(macd, 9) > round(sig, 9), false) AS up, coalesce(m1 >= s1 AND round(macd, 9) < round(sig, 9), false) AS down,
+c AS (SELECT *, coalesce(m1 <= s1 AND round(macd, 9) > round(sig, 9), false) AS cu, coalesce(m1 >= s1 AND round(macd, 9) < round(sig, 9), false) AS cd,
   coalesce(round(e9, 9) > round(e21, 9), false) AS conf FROM x)
-SELECT symbol, @D(date) AS date, @I(up) AS crossed_up, @I(down) AS crossed_down,
+SELECT symbol, @D(date) AS date, @I(cu) AS crossed_up, @I(cd) AS crossed_down,
  strftime(min(CASE WHEN conf THEN date END) OVER ({D} ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING), '%Y-%m-%d') AS confirmed_at FROM c""")
 def _(m):
     df = R.with_indicators(m.daily(), ["macd", "macd_signal", "ema9", "ema21"])
@@ -104,6 +104,6 @@ s AS (SELECT symbol, date, k, list_sum(list_transform(h, lambda x: pow(60/61.0::
   list_sum(list_transform(h, lambda x: pow(60/61.0::DOUBLE, k - x.k) * x.r)) AS wr,
   list_sum(list_transform(h, lambda x: pow(60/61.0::DOUBLE, k - x.k) * x.r * x.r)) AS wrr FROM v),
 f AS (SELECT n.symbol, n.date, CASE WHEN s.k >= 61 THEN (wrr / w - (wr / w) * (wr / w)) * 261 END AS var FROM n LEFT JOIN s USING (symbol, date))
-SELECT symbol, @D(date) AS date, @R(lag(var) OVER ({D})) AS ew_var, @R(sqrt(lag(var) OVER ({D}))) AS ex_ante_vol FROM f""")
+SELECT symbol, @D(date) AS date, @R(lag(var) OVER ({D})) AS ew_var, @R(sqrt(lag(var) OVER ({D}))) AS ex_ante_vol FROM f""", digits=2)
 def _(m):
     return R.ew_variance(m.daily(), need=61).select("symbol", "date", "ew_var", "ex_ante_vol")

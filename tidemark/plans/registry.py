@@ -15,8 +15,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 COVERS: dict[str, str] = {}
 VIEWS: dict[str, str] = {}
+DIGITS: dict[str, int] = {}
 # Moves exact decimal ties off the rounding edge, where two engines' round() may differ.
-TIE_SHIFT = 2e-9
+TIE_SHIFT = 2e-3
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -24,7 +25,7 @@ TABLES = (
 ).split()
 
 
-def printable(df: DataFrame) -> DataFrame:
+def printable(df: DataFrame, digits: int = 6) -> DataFrame:
     """Types both engines print alike: text dates and stamps, rounded doubles, wide integers."""
     cols = []
     for field in df.schema.fields:
@@ -34,7 +35,7 @@ def printable(df: DataFrame) -> DataFrame:
         elif isinstance(field.dataType, T.TimestampType):
             c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
         elif isinstance(field.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            c = F.round(c.cast("double") + TIE_SHIFT, 6)
+            c = F.round(c.cast("double") + TIE_SHIFT * 10.0**-digits, digits)
         elif isinstance(field.dataType, (T.IntegerType, T.ShortType, T.ByteType, T.BooleanType)):
             c = c.cast("int").cast("bigint") if isinstance(field.dataType, T.BooleanType) else c.cast("bigint")
         cols.append(c.alias(field.name))
@@ -64,7 +65,7 @@ def _expand_macro(sql: str, tag: str, before: str, after: str) -> str:
         sql = sql[:at] + before + inner + after + sql[i + 1 :]
 
 
-def full_sql(sql: str) -> str:
+def full_sql(sql: str, digits: int = 6) -> str:
     """Prepend the named subqueries a text uses and expand the printing macros."""
     wanted: list[str] = []
     seen: set[str] = set()
@@ -86,21 +87,21 @@ def full_sql(sql: str) -> str:
             sql = f"WITH RECURSIVE {head},\n{body[4:]}"
         else:
             sql = f"WITH RECURSIVE {head}\n{body}"
-    sql = _expand_macro(sql, "@R", "round(CAST(", " AS DOUBLE) + 2e-9, 6)")
+    sql = _expand_macro(sql, "@R", "round(CAST(", f" AS DOUBLE) + 2e-{digits + 3}, {digits})")
     sql = _expand_macro(sql, "@T", "strftime(", ", '%Y-%m-%d %H:%M:%S')")
     sql = _expand_macro(sql, "@D", "strftime(", ", '%Y-%m-%d')")
     sql = _expand_macro(sql, "@I", "CAST(", " AS BIGINT)")
     return sql
 
 
-def query(name: str, covers: str, sql: str | None = None):
+def query(name: str, covers: str, sql: str | None = None, digits: int = 6):
     """Register fn(market) -> DataFrame under `name`, with its oracle text."""
     from tidemark.plans.market import Market
 
     def wrap(fn):
         def run(spark: SparkSession, folder: str) -> DataFrame:
             configure(spark)
-            return printable(fn(Market(spark, folder)))
+            return printable(fn(Market(spark, folder)), digits)
 
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
@@ -108,10 +109,11 @@ def query(name: str, covers: str, sql: str | None = None):
         COVERS[name] = covers
         if sql is not None:
             ORACLE[name] = sql
+            DIGITS[name] = digits
         return fn
 
     return wrap
 
 
 def oracle_texts() -> dict[str, str]:
-    return {name: full_sql(sql) for name, sql in ORACLE.items()}
+    return {name: full_sql(sql, DIGITS[name]) for name, sql in ORACLE.items()}
