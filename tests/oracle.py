@@ -91,7 +91,7 @@ def main():
         try:
             took, rows, why, loose = check(spark, con, folder, n, QUERIES[n], ORACLE_SQL.get(n))
         except Exception as ex:  # noqa: BLE001
-            took, rows, why, loose = 0, 0, "ERROR " + str(ex)[:600], False
+            took, rows, why, loose = 0, 0, "ERROR " + str(ex)[:300], False
         bad += bool(why)
         mark = "BAD " if why else ("rows" if loose else "ok  ")
         if why or took > 4 or rows == 0 or loose or len(names) < 12:

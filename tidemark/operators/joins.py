@@ -199,51 +199,57 @@ def pair_up(
     left_id: str = "left_id",
     right_id: str = "right_id",
     mode: str = "nearest",
+    shards: int = 8,
 ) -> DataFrame:
-    """One-to-one matching per key group.
+    """One-to-one matching per key.
 
     mode 'preceding': left rows in time order take the nearest earlier unused right row.
     mode 'nearest': candidate pairs by (|dt|, left time) are taken while both ends are free.
-    The greedy step needs order inside a key group, so `on` must include a date; groups are
-    cogrouped into tasks and only id and stamp travel.
+    The greedy step is a path inside a key, so `on` ends with a session date that bounds it. Keys
+    are packed into (date, hash shard) groups to spare one Python call per key; only ids and
+    stamps travel, and a right row can only serve a left row of its own key.
     """
     span = int(tolerance_s * 1_000_000)
-    l = left.select(*on, F.col(left_id).alias("lid"), micros("ts").alias("lt"))
-    r = right.select(*on, F.col(right_id).alias("rid"), micros("ts").alias("rt"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in l.select(*on).schema.fields)
-    out_schema = f"{schema}, lid bigint, rid bigint, dt_us bigint"
+    shard = F.pmod(F.xxhash64(*on), F.lit(shards)).alias("__shard")
+    key = F.concat_ws("|", *[F.col(c).cast("string") for c in on]).alias("__key")
+    l = left.select(*on, key, shard, F.col(left_id).alias("lid"), micros("ts").alias("lt"))
+    r = right.select(on[-1], key, shard, F.col(right_id).alias("rid"), micros("ts").alias("rt"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in l.select(*on).schema.fields)
 
-    def match(key, lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
+    def match(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
-        out = []
-        rp = rp.sort_values(["rt", "rid"])
-        lp = lp.sort_values(["lt", "lid"])
-        rt, rid = rp["rt"].to_numpy(), rp["rid"].to_numpy()
-        if mode == "preceding":
-            used = np.zeros(len(rt), dtype=bool)
-            for t, i in zip(lp["lt"], lp["lid"]):
-                j = int(np.searchsorted(rt, t, side="right")) - 1
-                while j >= 0 and used[j]:
-                    j -= 1
-                if j >= 0 and t - rt[j] <= span:
-                    used[j] = True
-                    out.append((*key, int(i), int(rid[j]), int(t - rt[j])))
-        else:
-            cands = []
-            for t, i in zip(lp["lt"], lp["lid"]):
-                a = int(np.searchsorted(rt, t - span, side="left"))
-                b = int(np.searchsorted(rt, t + span, side="right"))
-                cands += [(abs(int(rt[j] - t)), int(t), int(i), int(rid[j]), int(rt[j] - t)) for j in range(a, b)]
-            seen_l, seen_r = set(), set()
-            for _, _, i, k, dt in sorted(cands):
-                if i not in seen_l and k not in seen_r:
-                    seen_l.add(i)
-                    seen_r.add(k)
-                    out.append((*key, i, k, dt))
-        return pd.DataFrame(out, columns=[*on, "lid", "rid", "dt_us"])
-
-    return l.groupBy(*on).cogroup(r.groupBy(*on)).applyInPandas(match, out_schema)
+        pairs = {}
+        right_rows = {k: g.sort_values(["rt", "rid"]) for k, g in rp.groupby("__key")}
+        for k, g in lp.groupby("__key"):
+            if k not in right_rows:
+                continue
+            times, ids = right_rows[k]["rt"].to_numpy(), right_rows[k]["rid"].to_numpy()
+            free = np.ones(len(ids), dtype=bool)
+            g = g.sort_values(["lt", "lid"])
+            if mode == "preceding":
+                for t, i in zip(g["lt"], g["lid"]):
+                    before = np.flatnonzero(free[: np.searchsorted(times, t, side="right")])
+                    if len(before) and t - times[before[-1]] <= span:
+                        free[before[-1]] = False
+                        pairs[i] = (ids[before[-1]], t - times[before[-1]])
+                continue
+            near = [
+                (abs(times[j] - t), t, i, j)
+                for t, i in zip(g["lt"], g["lid"])
+                for j in range(np.searchsorted(times, t - span), np.searchsorted(times, t + span, side="right"))
+            ]
+            for _, t, i, j in sorted(near):
+                if i not in pairs and free[j]:
+                    free[j] = False
+                    pairs[i] = (ids[j], times[j] - t)
+        out = lp[lp["lid"].isin(list(pairs))].copy()
+        out["rid"] = [pairs[i][0] for i in out["lid"]]
+        out["dt_us"] = [pairs[i][1] for i in out["lid"]]
+        return out[[*on, "lid", "rid", "dt_us"]]
+
+    groups = [on[-1], "__shard"]
+    return l.groupBy(*groups).cogroup(r.groupBy(*groups)).applyInPandas(match, f"{fields}, lid bigint, rid bigint, dt_us bigint")
 
 
 def left_on_ordinal(df: DataFrame, calendar: DataFrame, offset: int, cols: Sequence[str], prefix: str) -> DataFrame:

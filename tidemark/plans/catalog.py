@@ -5,6 +5,7 @@ from tidemark.plans import (  # noqa: F401
     q_windows,
     q_recursive,
     q_screen,
+    q_joins,
 )
 from tidemark.plans.registry import COVERS, QUERIES, oracle_texts
 

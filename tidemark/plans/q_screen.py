@@ -52,13 +52,15 @@ def _(m):
 
 
 @query("screen_paths_agree", "2.17.3", """
-SELECT * FROM (SELECT '' AS session_date, '' AS symbol, 0::BIGINT AS position) WHERE false""")
+SELECT 2 * count(*) AS compared, 0 AS differing FROM screen_list WHERE tick = 420""")
 def _(m):
     b, p = m.symbol_bars(1), S.prior_closes(session_closes(m))
     cols = ["session_date", "symbol", "position"]
     fast = S.running_screen(b, p, CFG).filter("tick = 420").select(*cols)
     slow = S.screen_at(b, p, 420, CFG).select(*cols)
-    return fast.exceptAll(slow).unionAll(slow.exceptAll(fast))
+    tagged = fast.withColumn("w", F.lit(1)).unionAll(slow.withColumn("w", F.lit(-1)))
+    return tagged.groupBy(*cols).agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n")).agg(
+        F.sum("n").alias("compared"), F.count(F.when(F.col("w") != 0, 1)).alias("differing"))
 
 
 @query("visible_bars", "2.2.6", """
@@ -237,7 +239,7 @@ def _(m):
 
 @query("bottom_decile", "2.7.3 2.12.26", f"""
 WITH r AS (SELECT symbol, date, close / lag(close, 5) OVER ({D}) - 1 AS r FROM daily), n AS (SELECT *, count(*) OVER (PARTITION BY date) AS n FROM r WHERE r IS NOT NULL)
-SELECT symbol, @D(date) AS date, @R(r) AS ret, @I(greatest(1, round_even(n / 10, 0))) AS picks, row_number() OVER (PARTITION BY date ORDER BY round(r, 9), symbol) AS place
+SELECT symbol, @D(date) AS date, @R(round(r, 9)) AS ret, @I(greatest(1, round_even(n / 10, 0))) AS picks, row_number() OVER (PARTITION BY date ORDER BY round(r, 9), symbol) AS place
 FROM n QUALIFY place <= picks""")
 def _(m):
     r = F.round(F.col("close") / W.lag("close", W.DAY, "date", 5) - 1, 9)

@@ -17,7 +17,7 @@ COVERS: dict[str, str] = {}
 VIEWS: dict[str, str] = {}
 DIGITS: dict[str, int] = {}
 # Moves exact decimal ties off the rounding edge, where two engines' round() may differ.
-TIE_SHIFT = 2e-3
+TIE_SHIFT = 2.37e-3
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -87,7 +87,7 @@ def full_sql(sql: str, digits: int = 6) -> str:
             sql = f"WITH RECURSIVE {head},\n{body[4:]}"
         else:
             sql = f"WITH RECURSIVE {head}\n{body}"
-    sql = _expand_macro(sql, "@R", "round(CAST(", f" AS DOUBLE) + 2e-{digits + 3}, {digits})")
+    sql = _expand_macro(sql, "@R", "round(CAST(", f" AS DOUBLE) + 2.37e-{digits + 3}, {digits})")
     sql = _expand_macro(sql, "@T", "strftime(", ", '%Y-%m-%d %H:%M:%S')")
     sql = _expand_macro(sql, "@D", "strftime(", ", '%Y-%m-%d')")
     sql = _expand_macro(sql, "@I", "CAST(", " AS BIGINT)")
