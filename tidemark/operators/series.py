@@ -92,3 +92,10 @@ def cover_check(scope: DataFrame, verdicts: DataFrame, key: str) -> DataFrame:
     return scope.join(v, key, "left").agg(
         F.count(F.when(n == 0, 1)).alias("missing"), F.count(F.when(n > 1, 1)).alias("duplicated"),
         F.count(F.when(n == 1, 1)).alias("matched")).withColumn("refused", (F.col("missing") > 0) | (F.col("duplicated") > 0))
+
+
+def momentum_sessions(clock_prices: DataFrame, first: str = "p600", late: str = "p930", last: str = "p960", date: str = "session_date") -> DataFrame:
+    """Prior session's close, the first half-hour's return against it and the last one's."""
+    prior = F.lag(last).over(Window.partitionBy("symbol").orderBy(date))
+    return clock_prices.withColumn("prior_close", prior).withColumn("r1", F.col(first) / F.col("prior_close") - 1).withColumn(
+        "r13", F.col(last) / F.col(late) - 1)

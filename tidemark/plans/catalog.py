@@ -6,6 +6,7 @@ from tidemark.plans import (  # noqa: F401
     q_recursive,
     q_screen,
     q_joins,
+    q_signals,
 )
 from tidemark.plans.registry import COVERS, QUERIES, oracle_texts
 
