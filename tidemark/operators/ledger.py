@@ -27,3 +27,206 @@ def global_position(rows: DataFrame, order: Sequence[str], out: str = "position"
         .withColumn(out, F.row_number().over(inner) + F.col("__p"))
         .drop("__p")
     )
+
+
+def two_level_extreme(rows: DataFrame, by: Sequence[str], order: Sequence[str], col: str, bucket: Column, out: str) -> DataFrame:
+    """Running maximum per key in order, the key split by an order-preserving bucket."""
+    r = rows.withColumn("__b", bucket)
+    tops = r.groupBy(*by, "__b").agg(F.max(col).alias("__m"))
+    before = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select(*by, "__b", F.max("__m").over(before).alias("__p"))
+    inner = Window.partitionBy(*by, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    j = r.join(tops, [*by, "__b"])
+    return j.withColumn(out, F.greatest(F.max(col).over(inner), F.coalesce("__p", col))).drop("__b", "__p")
+
+
+def equity_curve(trades: DataFrame, by: Sequence[str] = ("book",), net: str = "net") -> DataFrame:
+    """Running total and its drawdown in exit order, split by exit day."""
+    from tidemark.operators.scale import running_sums, time_bucket
+
+    day = time_bucket("exit_ts", 86400)
+    order = ["exit_ts", "trade_id"]
+    df = running_sums(trades, by, order, {"equity": net}, day)
+    df = two_level_extreme(df, by, order, "equity", day, "peak")
+    df = df.withColumn("peak", F.greatest("peak", F.lit(0.0)))
+    return df.withColumn("drawdown", F.col("peak") - F.col("equity"))
+
+
+def drawdown_summary(curve: DataFrame, ruin: float, by: Sequence[str] = ("book",)) -> DataFrame:
+    return curve.groupBy(*by).agg(
+        F.max("drawdown").alias("max_drawdown"), F.max_by("equity", F.struct("exit_ts", "trade_id")).alias("final"),
+        F.min(F.when(F.col("equity") <= ruin, F.col("exit_ts"))).alias("ruined_at"))
+
+
+def concurrency(trades: DataFrame, by: Sequence[str] = ("book",)) -> DataFrame:
+    """Open positions and capital after each entry or exit; exits come first at a tie."""
+    from tidemark.operators.scale import running_sums, time_bucket
+
+    cost = F.col("entry_px") * F.col("qty")
+    ev = F.array(
+        F.struct(F.col("entry_ts").alias("at"), F.lit(1).alias("step"), cost.alias("capital"), F.lit(1).alias("o")),
+        F.struct(F.col("exit_ts").alias("at"), F.lit(-1).alias("step"), (-cost).alias("capital"), F.lit(0).alias("o")))
+    rows = trades.select(*by, "trade_id", F.explode(ev).alias("e")).select(*by, "trade_id", "e.*")
+    df = running_sums(rows, by, ["at", "o", "trade_id"], {"open_now": "step", "capital_now": "capital"}, time_bucket("at", 86400))
+    return df.groupBy(*by).agg(F.max("open_now").alias("max_open"), F.max("capital_now").alias("peak_capital"),
+                               F.avg(F.when(F.col("step") == 1, (F.col("open_now") > 1).cast("int"))).alias("overlap_share"))
+
+
+def replay_cap(trades: DataFrame, cap: int, by: Sequence[str] = ("session_date",), tie: Sequence[str] = ("symbol", "trade_id")) -> DataFrame:
+    """Trades an account with `cap` slots would have taken. Exits free a slot before entries of the
+    same minute.
+
+    At most `cap` entries of one minute can be taken whatever is open, so later ones in the written
+    tie order are refused before the replay; what reaches a task is then bounded by minutes x cap.
+    Needs entry_minute and exit_minute; an exit in the entry's own minute frees its slot the next.
+    """
+    w = Window.partitionBy(*by, "entry_minute").orderBy(*tie)
+    ranked = trades.withColumn("__k", F.row_number().over(w))
+    able = ranked.filter(F.col("__k") <= cap).select(*by, "trade_id", "entry_minute", "exit_minute", "__k")
+    keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in able.select(*by).schema.fields)
+
+    def replay(key, g: pd.DataFrame) -> pd.DataFrame:
+        import heapq
+
+        open_until: list[int] = []
+        kept = []
+        for m, x, t in sorted(zip(g["entry_minute"], g["exit_minute"], zip(g["__k"], g["trade_id"])), key=lambda r: (r[0], r[2])):
+            while open_until and open_until[0] <= m:
+                heapq.heappop(open_until)
+            if len(open_until) < cap:
+                heapq.heappush(open_until, max(x, m + 1))
+                kept.append((*key, t[1]))
+        return pd.DataFrame(kept, columns=[*by, "trade_id"])
+
+    return able.groupBy(*by).applyInPandas(replay, f"{keys}, trade_id bigint")
+
+
+def _landed(trades: DataFrame, scope: Sequence[str], friction: float) -> DataFrame:
+    """Realised total and its peak after each exit, per scope, in exit order."""
+    from tidemark.operators.scale import running_sums, time_bucket
+
+    hour = time_bucket("exit_ts", 3600)
+    order = ["exit_ts", "entry_ts", "trade_id"]
+    t = trades.withColumn("__n", F.col("net") - friction)
+    t = running_sums(t, scope, order, {"realised": "__n"}, hour)
+    t = two_level_extreme(t, scope, order, "realised", hour, "peak")
+    return t.withColumn("peak", F.greatest("peak", F.lit(0.0))).drop("__n")
+
+
+def session_stop(trades: DataFrame, scope: Sequence[str], rule: Column, friction: float = 0.0) -> DataFrame:
+    """Marks the trades a session rule removes: once `rule` (over realised and peak) holds after an
+    exit, entries at or after that exit are removed; open trades ride on."""
+    trip = _landed(trades, scope, friction).groupBy(*scope).agg(F.min(F.when(rule, F.col("exit_ts"))).alias("tripped_at"))
+    j = trades.join(trip, list(scope))
+    return j.withColumn("removed", F.coalesce(F.col("entry_ts") >= F.col("tripped_at"), F.lit(False)))
+
+
+def give_back(fraction: float, arm: float) -> Column:
+    return (F.col("peak") >= arm) & (F.col("realised") <= fraction * F.col("peak"))
+
+
+def flat_loss(limit: float) -> Column:
+    return F.col("peak") - F.col("realised") >= limit
+
+
+def solve_flat_stop(trades: DataFrame, scope: Sequence[str], target: int, levels: Sequence[float], friction: float = 0.0) -> DataFrame:
+    """Largest flat stop whose removal count reaches `target`; every level is read from one landing
+    pass through conditional minima."""
+    landed = _landed(trades, scope, friction)
+    trips = landed.groupBy(*scope).agg(*[F.min(F.when(flat_loss(s), F.col("exit_ts"))).alias(f"t{k}") for k, s in enumerate(levels)])
+    j = trades.join(trips, list(scope))
+    counts = j.agg(*[F.count(F.when(F.col("entry_ts") >= F.col(f"t{k}"), 1)).alias(f"n{k}") for k in range(len(levels))])
+    rows = F.array(*[F.struct(F.lit(float(s)).alias("level"), F.col(f"n{k}").alias("removed")) for k, s in enumerate(levels)])
+    out = counts.select(F.explode(rows).alias("r")).select("r.*")
+    best = Window.partitionBy()
+    return out.withColumn("chosen", F.col("level") == F.max(F.when(F.col("removed") >= target, F.col("level"))).over(best))
+
+
+def entry_cap(numbered: DataFrame, k: int) -> DataFrame:
+    return numbered.filter(F.col("ordinal") <= k)
+
+
+def skip_first(numbered: DataFrame) -> DataFrame:
+    return numbered.filter(F.col("ordinal") > 1)
+
+
+def nights_held(trades: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Session transitions across each hold, by ordinals of the entry and exit dates."""
+    s = sessions.select("date", "ordinal")
+    a = trades.join(F.broadcast(s.withColumnRenamed("ordinal", "__a")), F.col("session_date") == F.col("date")).drop("date")
+    b = a.join(F.broadcast(s.withColumnRenamed("ordinal", "__b")), F.col("exit_date") == F.col("date")).drop("date")
+    return b.withColumn("nights", F.col("__b") - F.col("__a")).drop("__a", "__b")
+
+
+def margin_breaches(trades: DataFrame, curve: DataFrame, margin: float, start: float) -> DataFrame:
+    """Held nights whose margin exceeded the equity realised by the trade's entry."""
+    from tidemark.operators.joins import asof_join
+
+    c = curve.select("book", F.col("exit_ts").alias("ts"), F.col("trade_id").alias("seq"), "equity")
+    t = trades.withColumn("ts", F.col("entry_ts")).withColumn("seq", F.col("trade_id"))
+    j = asof_join(t, c, ["book"], ["equity"], bucket_s=86400)
+    return j.withColumn("breach", (F.col("nights") > 0) & (margin * F.col("qty") > start + F.coalesce("equity", F.lit(0.0))))
+
+
+def largest_size(curve: DataFrame, limit: float, cap: int) -> DataFrame:
+    """Largest n <= cap whose n-fold drawdown stays under the limit, 0 if none."""
+    dd = curve.agg(F.max("drawdown").alias("max_drawdown"))
+    n = F.when(F.col("max_drawdown") <= 0, F.lit(cap)).otherwise(F.least(F.lit(cap), F.ceil(F.lit(limit) / F.col("max_drawdown")) - 1))
+    return dd.withColumn("size", F.greatest(F.lit(0), n).cast("bigint"))
+
+
+def compound_by_day(trades: DataFrame, cells: Sequence[tuple[float, float]], capital: float) -> DataFrame:
+    """Equity of an account that spends a share of its start-of-day equity per trade, up to a total
+    share at once, in each (per-trade, total) cell.
+
+    With fractional shares every amount in a day is a multiple of the day's opening equity, so each
+    (cell, day) is replayed on its own as a return and days are chained by a running product; no
+    task sees more than a day. Minutes pre-cut as in `replay_cap`: at most total/per entries of a
+    minute can be funded.
+    """
+    grid = F.array(*[F.struct(F.lit(float(a)).alias("per"), F.lit(float(b)).alias("total")) for a, b in cells])
+    t = trades.filter(F.col("exit_date") == F.col("session_date")).withColumn("__c", F.explode(grid)).select(
+        "session_date", "trade_id", "symbol", "entry_minute", "exit_minute", "__c.per", "__c.total", ((F.col("net") / F.col("qty")) / F.col("entry_px")).alias("ret"))
+    w = Window.partitionBy("per", "total", "session_date", "entry_minute").orderBy("symbol", "trade_id")
+    t = t.withColumn("__k", F.row_number().over(w)).filter(F.col("__k") <= F.ceil(F.col("total") / F.col("per") + 1e-9) + 1)
+
+    def day(key, g: pd.DataFrame) -> pd.DataFrame:
+        import heapq
+
+        per, total, date = key
+        held: list[tuple[int, int, float]] = []
+        used = gain = 0.0
+        taken = 0
+        for m, _, x, r in sorted(zip(g["entry_minute"], g["__k"], g["exit_minute"], g["ret"])):
+            while held and held[0][0] <= m:
+                used -= heapq.heappop(held)[2]
+            share = min(per, total - used)
+            if share > 1e-12:
+                heapq.heappush(held, (max(x, m + 1), taken, share))
+                used, gain, taken = used + share, gain + share * r, taken + 1
+        return pd.DataFrame([(per, total, date, max(gain, -1.0), taken)], columns=["per", "total", "session_date", "day_return", "taken"])
+
+    days = t.groupBy("per", "total", "session_date").applyInPandas(day, "per double, total double, session_date date, day_return double, taken bigint")
+    w2 = Window.partitionBy("per", "total").orderBy("session_date").rowsBetween(Window.unboundedPreceding, 0)
+    growth = F.exp(F.sum(F.log(F.greatest(1 + F.col("day_return"), F.lit(1e-12)))).over(w2))
+    return days.withColumn("equity", capital * growth)
+
+
+def void_spans(trades: DataFrame, days: DataFrame) -> DataFrame:
+    """Trades whose hold covers none of the listed (symbol, day) rows."""
+    d = days.select(F.col("symbol").alias("__s"), F.col("date").alias("__d"))
+    return trades.join(d, (F.col("symbol") == F.col("__s")) & (F.col("__d") > F.col("session_date")) & (F.col("__d") <= F.col("exit_date")), "left_anti")
+
+
+def daily_marks(trades: DataFrame, sessions: DataFrame, costs: Sequence[float] = (0.0, 1.0, 2.0)) -> DataFrame:
+    """Trade result spread evenly over its sessions, cumulated at several cost levels per day."""
+    s = sessions.select("date", "ordinal")
+    a = trades.join(F.broadcast(s.select(F.col("date").alias("session_date"), F.col("ordinal").alias("__a"))), "session_date")
+    b = a.join(F.broadcast(s.select(F.col("date").alias("exit_date"), F.col("ordinal").alias("__b"))), "exit_date")
+    n = F.col("__b") - F.col("__a") + 1
+    rows = b.withColumn("ordinal", F.explode(F.sequence("__a", "__b"))).join(F.broadcast(s), "ordinal")
+    day = rows.groupBy("date").agg(F.sum(F.col("gross") / n).alias("gross"), F.sum(1 / n).alias("trades"))
+    w = Window.partitionBy().orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    for k, c in enumerate(costs):
+        day = day.withColumn(f"cum_{k}", F.sum(F.col("gross") - c * F.col("trades")).over(w))
+    return day

@@ -7,6 +7,7 @@ from tidemark.plans import (  # noqa: F401
     q_screen,
     q_joins,
     q_signals,
+    q_ledger,
 )
 from tidemark.plans.registry import COVERS, QUERIES, oracle_texts
 
