@@ -8,6 +8,7 @@ from tidemark.plans import (  # noqa: F401
     q_joins,
     q_signals,
     q_ledger,
+    q_stats,
 )
 from tidemark.plans.registry import COVERS, QUERIES, oracle_texts
 
