@@ -99,3 +99,179 @@ def momentum_sessions(clock_prices: DataFrame, first: str = "p600", late: str =
     prior = F.lag(last).over(Window.partitionBy("symbol").orderBy(date))
     return clock_prices.withColumn("prior_close", prior).withColumn("r1", F.col(first) / F.col("prior_close") - 1).withColumn(
         "r13", F.col(last) / F.col(late) - 1)
+
+
+# ---- session validity and regular closes
+
+def session_validity(bars: DataFrame, first_minute: int = 570, window_end: int = 630, max_gap: int = 5) -> DataFrame:
+    """Valid when the first bar is present and no gap in the check window exceeds `max_gap` minutes."""
+    rth = bars.filter((F.col("minute") >= first_minute) & (F.col("minute") < 960))
+    gap = F.col("minute") - W.lag("minute", W.SESSION, "ts")
+    rows = rth.withColumn("__g", F.when(F.col("minute") <= window_end, gap))
+    return rows.groupBy(*W.SESSION).agg(F.min("minute").alias("first_minute"), F.coalesce(F.max("__g"), F.lit(0)).alias("widest_gap")).withColumn(
+        "valid", (F.col("first_minute") == first_minute) & (F.col("widest_gap") <= max_gap))
+
+
+def session_window(bars: DataFrame, calendar: DataFrame, pad: int = 0) -> DataFrame:
+    """Bars of the regular session, 13:00 on early closes, widened by `pad` minutes each side."""
+    c = calendar.select(F.col("date").alias("session_date"), F.when(F.col("early_close"), 780).otherwise(960).alias("__close"))
+    j = bars.join(F.broadcast(c), "session_date")
+    return j.filter((F.col("minute") >= 570 - pad) & (F.col("minute") < F.col("__close") + pad)).drop("__close")
+
+
+def regular_close_readings(ticks: DataFrame, close_minute: int = 960) -> DataFrame:
+    """Readings of the session close: last print before the close, first at or after it, largest
+    print of the closing minutes, last of the day and the mean of the last half hour."""
+    m, order = F.col("minute"), F.struct("ts", "seq")
+    return ticks.groupBy("symbol", "session_date").agg(
+        F.max_by(F.when(m < close_minute, F.col("px")), F.when(m < close_minute, order)).alias("last_before"),
+        F.min_by(F.when(m >= close_minute, F.col("px")), F.when(m >= close_minute, order)).alias("first_after"),
+        F.max_by(F.when(m.between(close_minute - 30, close_minute + 30), F.col("px")),
+                 F.when(m.between(close_minute - 30, close_minute + 30), F.struct("size", "ts", "seq"))).alias("largest_near"),
+        F.max_by("px", order).alias("last_of_day"),
+        F.avg(F.when(m.between(close_minute - 30, close_minute - 1), F.col("px"))).alias("mean_half_hour"),
+    )
+
+
+def score_readings(readings: DataFrame, truth: DataFrame, names: Sequence[str], tolerance: float = 0.005) -> DataFrame:
+    """Hit rate of each reading against a known close, over rows where the readings differ."""
+    j = readings.join(truth, ["symbol", "session_date"])
+    differ = F.greatest(*[F.col(n) for n in names]) - F.least(*[F.col(n) for n in names]) > tolerance
+    rows = F.array(*[F.struct(F.lit(n).alias("reading"), F.count(F.when(F.col(n).isNotNull(), 1)).alias("n"),
+                              F.avg((F.abs(F.col(n) - F.col("truth")) <= tolerance).cast("int")).alias("hit_rate")) for n in names])
+    return j.filter(differ).agg(rows.alias("r")).select(F.explode("r").alias("r")).select("r.*")
+
+
+# ---- splits
+
+SPLIT_FACTORS = (1 / 50, 1 / 25, 1 / 20, 1 / 15, 1 / 10, 1 / 8, 1 / 5, 1 / 4, 1 / 3, 1 / 2, 2.0, 3.0, 4.0, 5.0, 10.0)
+
+
+def detect_splits(daily: DataFrame, factors: Sequence[float] = SPLIT_FACTORS, price_tol: float = 3.0, volume_tol: float = 25.0) -> DataFrame:
+    """Split factor per row when both the price and the volume ratio fit; nearest factor wins."""
+    pr = W.lag("close", W.DAY, "date") / F.col("close")
+    vr = F.col("volume") / F.nullif(W.lag("volume", W.DAY, "date"), F.lit(0))
+    d = daily.withColumn("__p", pr).withColumn("__v", vr)
+    fits = F.array(*[F.when((F.abs(F.col("__p") / f - 1) * 100 <= price_tol) & (F.abs(F.col("__v") / f - 1) * 100 <= volume_tol),
+                            F.struct(F.abs(F.col("__p") / f - 1).alias("d"), F.lit(float(f)).alias("f"))) for f in factors])
+    return d.withColumn("factor", F.array_min(F.array_compact(fits))["f"]).drop("__p", "__v")
+
+
+def adjust_splits(marked: DataFrame) -> DataFrame:
+    """Earlier bars divided by the product of the later factors."""
+    later = W.frame(W.DAY, "date", 1, Window.unboundedFollowing)
+    scale = F.exp(F.coalesce(F.sum(F.log("factor")).over(later), F.lit(0.0)))
+    return marked.withColumn("scale", scale).withColumn("adj_close", F.col("close") / scale).withColumn("adj_volume", F.col("volume") * scale)
+
+
+def ratio_steps(a: DataFrame, b: DataFrame, step: float = 0.2, reverse_within: int = 5, bad: float = 0.05) -> DataFrame:
+    """Steps in the ratio of two close series: one that reverses soon marks bad sessions, any other
+    a split; sessions off their segment's median are bad."""
+    r = a.select("symbol", "date", F.col("close").alias("ca")).join(b.select("symbol", "date", F.col("close").alias("cb")), ["symbol", "date"])
+    r = r.withColumn("ratio", F.round(F.col("ca") / F.col("cb"), 9))
+    move = F.round(F.col("ratio") / W.lag("ratio", W.DAY, "date"), 9)
+    r = r.withColumn("__m", move).withColumn("step", F.coalesce(F.abs(F.log("__m")) > step, F.lit(False)))
+    ahead = W.frame(W.DAY, "date", 1, reverse_within)
+    back = W.frame(W.DAY, "date", -reverse_within, -1)
+    signed = F.when(F.col("step"), F.signum(F.log("__m")))
+    r = r.withColumn("__s", signed)
+    undone = (F.col("__s") * F.coalesce(F.min(F.col("__s")).over(ahead), F.col("__s")) < 0) | (F.col("__s") * F.coalesce(F.max(F.col("__s")).over(ahead), F.col("__s")) < 0)
+    undoes = (F.col("__s") * F.coalesce(F.min(F.col("__s")).over(back), F.col("__s")) < 0) | (F.col("__s") * F.coalesce(F.max(F.col("__s")).over(back), F.col("__s")) < 0)
+    r = r.withColumn("kind", F.when(~F.col("step"), "none").when(undone | undoes, "reversed").otherwise("split"))
+    r = r.withColumn("segment", F.sum((F.col("kind") == "split").cast("int")).over(W.frame(W.DAY, "date", Window.unboundedPreceding, 0)))
+    med = F.percentile("ratio", F.lit(0.5)).over(Window.partitionBy("symbol", "segment"))
+    return r.withColumn("bad_session", F.abs(F.col("ratio") / med - 1) > bad).drop("__m", "__s")
+
+
+# ---- futures
+
+def roll_schedule(contracts: DataFrame, sessions: DataFrame, offset: int = 5) -> DataFrame:
+    """Roll session per contract: `offset` sessions before the first session at or after expiry.
+
+    contracts: root, contract, expiry. sessions: date, ordinal.
+    """
+    s = F.broadcast(sessions.select("date", "ordinal"))
+    at = contracts.join(s, F.col("date") >= F.col("expiry")).groupBy("root", "contract", "expiry").agg(F.min("ordinal").alias("k"))
+    r = F.broadcast(sessions.select(F.col("date").alias("roll"), (F.col("ordinal") + offset).alias("k")))
+    return at.join(r, "k").select("root", "contract", "expiry", "roll")
+
+
+def held_contract(schedule: DataFrame, days: DataFrame) -> DataFrame:
+    """First contract whose roll is strictly after each (root, date)."""
+    from tidemark.operators.joins import asof_join
+
+    w = Window.partitionBy("root").orderBy("roll")
+    spells = schedule.withColumn("start", F.lag("roll").over(w))
+    r = spells.select("root", "contract", "roll", F.col("roll").alias("until"))
+    l = days.withColumn("__one", F.lit(1))
+    out = asof_join(l, r.withColumn("__one", F.lit(1)), ["root"], ["contract", "until"], left_ts="date", right_ts="roll", left_seq="__one", right_seq="__one",
+                    direction="forward", strict=True, bucket_s=None)
+    return out.drop("__one")
+
+
+def held_series(held: DataFrame, prices: DataFrame) -> DataFrame:
+    """Raw, change, base, return, roll gap, back-adjusted level and staleness per (root, date).
+
+    held: root, date, contract. prices: root, contract, date, close. A missing price carries the
+    contract's last one and is counted stale. diff(cont) equals the change earned.
+    """
+    p = prices.select("root", "contract", "date", F.col("close").alias("px"))
+    h = held.join(p, ["root", "contract", "date"], "left")
+    w = Window.partitionBy("root", "contract").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    h = h.withColumn("raw", F.last("px", ignorenulls=True).over(w)).withColumn("stale", F.col("px").isNull())
+    root = Window.partitionBy("root").orderBy("date")
+    prev = h.withColumn("prev_contract", F.lag("contract").over(root)).withColumn("prev_raw", F.lag("raw").over(root)).withColumn("prev_date", F.lag("date").over(root))
+    # The new contract's price on the roll's eve gives both the base of the change and the gap.
+    eve = p.select("root", "contract", F.col("date").alias("prev_date"), F.col("px").alias("eve_px"))
+    j = prev.join(eve, ["root", "contract", "prev_date"], "left")
+    rolled = F.coalesce(F.col("contract") != F.col("prev_contract"), F.lit(False))
+    base = F.when(rolled, F.coalesce("eve_px", "raw")).otherwise(F.col("prev_raw"))
+    j = j.withColumn("rolled", rolled).withColumn("base", base).withColumn("change", F.coalesce(F.col("raw") - F.col("base"), F.lit(0.0)))
+    j = j.withColumn("gap", F.when(rolled, F.coalesce(F.col("base") - F.col("prev_raw"), F.lit(0.0))).otherwise(0.0))
+    later = Window.partitionBy("root").orderBy("date").rowsBetween(1, Window.unboundedFollowing)
+    j = j.withColumn("cont", F.col("raw") + F.coalesce(F.sum("gap").over(later), F.lit(0.0)))
+    return j.withColumn("ret", F.try_divide("change", F.nullif(F.col("base"), F.lit(0.0)))).drop("px", "prev_contract", "prev_raw", "prev_date", "eve_px")
+
+
+def roll_check(a: DataFrame, b: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Two readings of the roll calendar: rolls that disagree by more than one session."""
+    s = F.broadcast(sessions.select("date", "ordinal"))
+    l = a.join(s, F.col("roll") == F.col("date")).select("root", "contract", F.col("ordinal").alias("ka"))
+    r = b.join(s, F.col("roll") == F.col("date")).select("root", "contract", F.col("ordinal").alias("kb"))
+    return l.join(r, ["root", "contract"]).groupBy("root").agg(F.count(F.lit(1)).alias("rolls"), F.count(F.when(F.abs(F.col("ka") - F.col("kb")) > 1, 1)).alias("off"),
+                                                              F.avg((F.abs(F.col("ka") - F.col("kb")) > 1).cast("int")).alias("share_off"))
+
+
+def roll_volume_share(series: DataFrame, volumes: DataFrame) -> DataFrame:
+    """Held contract's share of its root's volume on roll sessions."""
+    v = volumes.groupBy("root", "date").agg(F.sum("volume").alias("root_volume"))
+    own = series.filter("rolled").join(volumes, ["root", "contract", "date"], "left")
+    return own.join(v, ["root", "date"]).select("root", "date", "contract", F.try_divide(F.coalesce("volume", F.lit(0)), F.col("root_volume")).alias("share"))
+
+
+def roll_legs(trades: DataFrame, series: DataFrame) -> DataFrame:
+    """Contract changes in (entry, exit] as a difference of running roll counts."""
+    w = Window.partitionBy("root").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    c = series.select("root", "date", F.sum(F.col("rolled").cast("int")).over(w).alias("rolls"))
+    a = trades.join(c.select("root", F.col("date").alias("entry_date"), F.col("rolls").alias("__a")), ["root", "entry_date"])
+    b = a.join(c.select("root", F.col("date").alias("exit_date"), F.col("rolls").alias("__b")), ["root", "exit_date"])
+    return b.withColumn("roll_legs", F.col("__b") - F.col("__a")).drop("__a", "__b")
+
+
+def tranche_book(series: DataFrame, signal: str, vol: str, equity: float, target: float = 0.1, tranches: int = 5, point_value: float = 1.0, sessions: DataFrame | None = None) -> DataFrame:
+    """Volatility-scaled positions in tranches that rebalance on different sessions of the month.
+
+    Each tranche resets on its own session ordinal modulo `tranches`; sizes are rounded half away
+    from zero and carried between resets; the book is the mean of the tranches.
+    """
+    roots = series.groupBy("date").agg(F.count(F.when(F.col(signal).isNotNull() & F.col(vol).isNotNull(), 1)).alias("live"))
+    s = series.join(F.broadcast(roots), "date").join(F.broadcast(sessions.select("date", "ordinal")), "date")
+    dollars = F.col("live") * F.col("raw") * F.col(vol) * point_value
+    raw = F.when(F.col(vol) > 0, F.try_divide(F.lit(equity * target) * F.col(signal), F.nullif(dollars, F.lit(0.0))))
+    size = F.signum(raw) * F.floor(F.abs(raw) + 0.5)
+    t = s.withColumn("tranche", F.explode(F.sequence(F.lit(0), F.lit(tranches - 1))))
+    t = t.withColumn("__set", F.when(F.col("ordinal") % tranches == F.col("tranche"), F.coalesce(size, F.lit(0.0))))
+    w = Window.partitionBy("root", "tranche").orderBy("date")
+    t = t.withColumn("size", F.coalesce(F.last("__set", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)))
+    t = t.withColumn("held_size", F.coalesce(F.lag("size").over(w), F.lit(0.0))).withColumn("sides", F.abs(F.col("size") - F.col("held_size")) + F.when(F.col("rolled"), 2 * F.abs("held_size")).otherwise(0.0))
+    return t.groupBy("root", "date").agg((F.sum(F.col("held_size") * F.col("change")) * point_value / tranches).alias("pnl"), (F.sum("sides") / tranches).alias("sides"), (F.sum("size") / tranches).alias("size"))

@@ -9,6 +9,7 @@ from tidemark.plans import (  # noqa: F401
     q_signals,
     q_ledger,
     q_stats,
+    q_series,
 )
 from tidemark.plans.registry import COVERS, QUERIES, oracle_texts
 
