@@ -144,7 +144,8 @@ def score_readings(readings: DataFrame, truth: DataFrame, names: Sequence[str],
 
 # ---- splits
 
-SPLIT_FACTORS = (1 / 50, 1 / 25, 1 / 20, 1 / 15, 1 / 10, 1 / 8, 1 / 5, 1 / 4, 1 / 3, 1 / 2, 2.0, 3.0, 4.0, 5.0, 10.0)
+# The split ratios looked for, each way.
+SPLIT_FACTORS = (2.0, 3.0, 4.0, 5.0, 6.0, 8.0, 10.0, 1 / 2, 1 / 3, 1 / 4, 1 / 5, 1 / 6, 1 / 8, 1 / 10)
 
 
 def detect_splits(daily: DataFrame, factors: Sequence[float] = SPLIT_FACTORS, price_tol: float = 3.0, volume_tol: float = 25.0) -> DataFrame:

@@ -10,6 +10,7 @@ from tidemark.plans import (  # noqa: F401
     q_ledger,
     q_stats,
     q_series,
+    q_streams,
 )
 from tidemark.plans.registry import COVERS, QUERIES, oracle_texts
 

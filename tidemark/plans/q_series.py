@@ -60,7 +60,7 @@ def planted(m):
 
 
 @query("split_back_adjustment", "2.10.5", f"""
-WITH r AS (SELECT *, lag(close) OVER ({D}) / close AS p, volume / lag(volume) OVER ({D}) AS v FROM planted), f AS (SELECT unnest([0.02, 0.04, 0.05, 1/15.0, 0.1, 0.125, 0.2, 0.25, 1/3.0, 0.5, 2, 3, 4, 5, 10]::DOUBLE[]) AS f),
+WITH r AS (SELECT *, lag(close) OVER ({D}) / close AS p, volume / lag(volume) OVER ({D}) AS v FROM planted), f AS (SELECT unnest([0.1, 0.125, 1/6.0, 0.2, 0.25, 1/3.0, 0.5, 2, 3, 4, 5, 6, 8, 10]::DOUBLE[]) AS f),
 h AS (SELECT symbol, date, arg_min(f, abs(p / f - 1)) AS factor FROM r, f WHERE abs(p / f - 1) * 100 <= 3 AND abs(v / f - 1) * 100 <= 25 GROUP BY 1, 2),
 s AS (SELECT r.*, factor, exp(coalesce(sum(ln(factor)) OVER ({D} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0)) AS scale FROM r LEFT JOIN h USING (symbol, date))
 SELECT symbol, @D(date) AS date, @R(factor) AS factor, @R(close / scale) AS adj_close, @R(volume * scale) AS adj_volume FROM s""")
