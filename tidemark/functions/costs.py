@@ -103,9 +103,9 @@ def bps_friction(entry_notional: Column, exit_notional: Column, entry_bps: Colum
 
 
 def size_for(price: Column, equity: Column, max_shares: int = 1000, pct: float = 0.25) -> Column:
-    return F.floor(F.least(F.lit(float(max_shares)), equity * pct / price)).cast("bigint")
+    return F.floor(F.least(F.lit(float(max_shares)), F.try_divide(equity * pct, price))).cast("bigint")
 
 
 def equal_risk_size(entry: Column, stop: Column, risk: float = 100.0, lo: int = 1, hi: int = 1000) -> Column:
     distance = F.abs(entry - stop)
-    return F.greatest(F.lit(lo), F.least(F.lit(hi), F.floor(F.lit(risk) / F.nullif(distance, F.lit(0.0))))).cast("bigint")
+    return F.greatest(F.lit(lo), F.least(F.lit(hi), F.floor(F.try_divide(F.lit(risk), distance)))).cast("bigint")

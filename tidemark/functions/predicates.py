@@ -31,7 +31,7 @@ def usable_quote(bid: Column, ask: Column, locked_ok: bool = True) -> Column:
 def usable_reference(ref: Column, bid: Column, ask: Column, max_away: float = 0.05) -> Column:
     """A slippage reference is believed when it is positive and near a two-sided mid."""
     mid = (bid + ask) / 2
-    return F.coalesce((ref > 0) & usable_quote(bid, ask) & (F.abs(ref / mid - 1) <= max_away), F.lit(False))
+    return F.coalesce((ref > 0) & usable_quote(bid, ask) & (F.abs(F.try_divide(ref, mid) - 1) <= max_away), F.lit(False))
 
 
 def spread_pct(bid: Column, ask: Column) -> Column:
@@ -44,7 +44,7 @@ def spread_guard_ok(bid: Column, ask: Column, limit_pct: float) -> Column:
 
 
 def drift_guard_ok(ask: Column, ref: Column, limit: float) -> Column:
-    return F.coalesce(F.abs(ask / F.nullif(ref, F.lit(0.0)) - 1) <= limit, F.lit(True))
+    return F.coalesce(F.abs(F.try_divide(ask, ref) - 1) <= limit, F.lit(True))
 
 
 def finite(x: Column) -> Column:

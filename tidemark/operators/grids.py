@@ -37,7 +37,7 @@ def exit_grid(entries: DataFrame, bars: DataFrame, grid: Sequence[dict], by: Seq
         aggs.append(F.min(F.when(px.isNotNull(), F.struct(F.col("j").alias("j"), px.alias("px")))).alias(f"__x{k}"))
     g = pairs.groupBy(*by, "entry_id").agg(F.max("entry_px").alias("entry_px"), F.max_by("b_close", "j").alias("__end"), *aggs)
     rows = F.array(*[F.struct(F.lit(float(cell["stop"])).alias("stop"), F.lit(float(cell["target"])).alias("target"),
-                              (F.coalesce(F.col(f"__x{k}.px"), F.col("__end")) / F.col("entry_px") - 1).alias("ret")) for k, cell in enumerate(grid)])
+                              (F.try_divide(F.coalesce(F.col(f"__x{k}.px"), F.col("__end")), F.col("entry_px")) - 1).alias("ret")) for k, cell in enumerate(grid)])
     return g.select(*by, "entry_id", F.explode(rows).alias("r")).select(*by, "entry_id", "r.*")
 
 

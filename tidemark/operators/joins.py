@@ -220,15 +220,18 @@ def pair_up(
         import numpy as np
 
         pairs = {}
-        right_rows = {k: g.sort_values(["rt", "rid"]) for k, g in rp.groupby("__key")}
-        for k, g in lp.groupby("__key"):
-            if k not in right_rows:
+        lp, rp = lp.sort_values(["__key", "lt", "lid"]), rp.sort_values(["__key", "rt", "rid"])
+        rkeys, lkeys = rp["__key"].to_numpy(), lp["__key"].to_numpy()
+        rtimes, rids = rp["rt"].to_numpy(), rp["rid"].to_numpy()
+        names, begin = np.unique(lkeys, return_index=True)
+        for k, at, to in zip(names, begin, [*begin[1:], len(lkeys)]):
+            a, b = np.searchsorted(rkeys, k), np.searchsorted(rkeys, k, side="right")
+            if a == b:
                 continue
-            times, ids = right_rows[k]["rt"].to_numpy(), right_rows[k]["rid"].to_numpy()
-            free = np.ones(len(ids), dtype=bool)
-            g = g.sort_values(["lt", "lid"])
+            times, ids, free = rtimes[a:b], rids[a:b], np.ones(b - a, dtype=bool)
+            left_rows = list(zip(lp["lt"].to_numpy()[at:to], lp["lid"].to_numpy()[at:to]))
             if mode == "preceding":
-                for t, i in zip(g["lt"], g["lid"]):
+                for t, i in left_rows:
                     before = np.flatnonzero(free[: np.searchsorted(times, t, side="right")])
                     if len(before) and t - times[before[-1]] <= span:
                         free[before[-1]] = False
@@ -236,7 +239,7 @@ def pair_up(
                 continue
             near = [
                 (abs(times[j] - t), t, i, j)
-                for t, i in zip(g["lt"], g["lid"])
+                for t, i in left_rows
                 for j in range(np.searchsorted(times, t - span), np.searchsorted(times, t + span, side="right"))
             ]
             for _, t, i, j in sorted(near):

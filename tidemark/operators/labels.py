@@ -105,7 +105,7 @@ def excursions(bars: DataFrame, by=W.SESSION, order="ts", horizon: int | None =
     low = F.min(F.struct(F.col("low").alias("p"), F.col("i").alias("at"))).over(w)
     df = df.withColumn("__t", top).withColumn("__l", low)
     return (
-        df.withColumn("mfe", F.coalesce((F.col("__t.p") - c) / c, F.lit(0.0))).withColumn("mae", F.coalesce((c - F.col("__l.p")) / c, F.lit(0.0)))
+        df.withColumn("mfe", F.coalesce(F.try_divide(F.col("__t.p") - c, c), F.lit(0.0))).withColumn("mae", F.coalesce(F.try_divide(c - F.col("__l.p"), c), F.lit(0.0)))
         .withColumn("high_first", F.when(F.col("__t").isNotNull(), -F.col("__t.at") < F.col("__l.at"))).drop("__t", "__l")
     )
 
@@ -129,7 +129,7 @@ def rebounds(pairs: DataFrame, by=W.SESSION, worse: float = 0.05) -> DataFrame:
 
 def rung_survival(outcomes: DataFrame, bands: Sequence[float] = (0.9, 0.95, 1.0, 1.05, 1.1, 1.21)) -> DataFrame:
     """Share of trades whose exit/entry lies in each band and whose best moment reached each rung."""
-    ratio = F.col("exit_px") / F.col("entry_px")
+    ratio = F.try_divide(F.col("exit_px"), F.col("entry_px"))
     rows = []
     for a, b in zip((0.0, *bands), (*bands, None)):
         inside = (ratio >= a) & (ratio < b) if b is not None else ratio >= a
@@ -145,7 +145,7 @@ def perfect_exit(outcomes: DataFrame, friction: float) -> DataFrame:
 
 def stop_scan(outcomes: DataFrame, levels: Sequence[float]) -> DataFrame:
     """Book result had a stop at each level been in force, from MAE alone; one pass for all levels."""
-    ret = F.col("exit_px") / F.col("entry_px") - 1
+    ret = F.try_divide(F.col("exit_px"), F.col("entry_px")) - 1
     rows = [F.struct(F.lit(float(s)).alias("stop_level"), F.sum(F.when(F.col("mae") >= s, -s).otherwise(ret)).alias("total"),
                      F.avg((F.col("mae") >= s).cast("int")).alias("stopped")) for s in levels]
     return outcomes.agg(F.array(*rows).alias("r")).select(F.explode("r").alias("r")).select("r.*")
@@ -166,7 +166,7 @@ def n_day_exit(picks: DataFrame, calendar: DataFrame, prices: DataFrame, n: int)
     out = out.join(F.broadcast(last), how="cross")
     status = F.when(F.col("k") + 1 + n > F.col("__max"), "past_end").when(F.col("entry_px").isNull(), "no_entry").when(
         F.col("exit_px").isNull(), "no_exit").otherwise("filled")
-    return out.withColumn("status", status).withColumn("ret", F.when(status == "filled", F.col("exit_px") / F.col("entry_px") - 1)).drop("k", "__max")
+    return out.withColumn("status", status).withColumn("ret", F.when(status == "filled", F.try_divide(F.col("exit_px"), F.col("entry_px")) - 1)).drop("k", "__max")
 
 
 def entry_minute_order(entries: DataFrame, ticks: DataFrame, by: Sequence[str] = ("symbol", "session_date", "minute")) -> DataFrame:
@@ -187,4 +187,4 @@ def post_stop_rally(outcomes: DataFrame, bars: DataFrame, horizon: int, by=W.SES
     b = bars.select(*by, F.col("i").alias("j"), "high")
     at = F.col("i0") + F.col("bars_held")
     return s.join(b, list(by)).filter((F.col("j") > at) & (F.col("j") <= at + horizon)).groupBy("entry_id").agg(
-        (F.max("high") / F.max("exit_px") - 1).alias("rally"))
+        (F.try_divide(F.max("high"), F.max("exit_px")) - 1).alias("rally"))

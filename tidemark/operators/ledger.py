@@ -186,7 +186,7 @@ def compound_by_day(trades: DataFrame, cells: Sequence[tuple[float, float]], cap
     """
     grid = F.array(*[F.struct(F.lit(float(a)).alias("per"), F.lit(float(b)).alias("total")) for a, b in cells])
     t = trades.filter(F.col("exit_date") == F.col("session_date")).withColumn("__c", F.explode(grid)).select(
-        "session_date", "trade_id", "symbol", "entry_minute", "exit_minute", "__c.per", "__c.total", ((F.col("net") / F.col("qty")) / F.col("entry_px")).alias("ret"))
+        "session_date", "trade_id", "symbol", "entry_minute", "exit_minute", "__c.per", "__c.total", F.try_divide(F.col("net"), F.col("qty") * F.col("entry_px")).alias("ret"))
     w = Window.partitionBy("per", "total", "session_date", "entry_minute").orderBy("symbol", "trade_id")
     t = t.withColumn("__k", F.row_number().over(w)).filter(F.col("__k") <= F.ceil(F.col("total") / F.col("per") + 1e-9) + 1)
 

@@ -260,7 +260,7 @@ def fill_in_bar(fills: DataFrame, bars: DataFrame) -> DataFrame:
     b = bars.select("symbol", F.col("ts").alias("bar_ts"), "high", "low", "volume")
     return f.join(b, ["symbol", "bar_ts"]).withColumn(
         "place", F.try_divide(F.col("price") - F.col("low"), F.nullif(F.col("high") - F.col("low"), F.lit(0.0)))
-    ).withColumn("participation", F.col("qty") / F.col("volume"))
+    ).withColumn("participation", F.try_divide(F.col("qty"), F.col("volume")))
 
 
 def capture_ratio(own: DataFrame, whole: DataFrame, cutoffs: Sequence[int]) -> DataFrame:
@@ -286,7 +286,7 @@ def isolated_ticks(ticks: DataFrame, by=("symbol", "session_date"), away: float
     p0, p1 = F.lag("px").over(w), F.lead("px").over(w)
     near = F.avg("size").over(w.rowsBetween(-2, 2))
     quick = (micros(F.lead("ts").over(w)) - micros("ts")) / 1e6 <= within_s
-    bad = (F.abs(F.col("px") / p0 - 1) > away) & (F.abs(F.col("px") / p1 - 1) > away) & quick & (F.col("size") < near * (1 + max_share))
+    bad = (F.abs(F.try_divide(F.col("px"), p0) - 1) > away) & (F.abs(F.try_divide(F.col("px"), p1) - 1) > away) & quick & (F.col("size") < near * (1 + max_share))
     return ticks.withColumn("bad_tick", F.coalesce(bad, F.lit(False)))
 
 

@@ -111,7 +111,7 @@ def running_screen(bars: DataFrame, prior: DataFrame, cfg: Screen = Screen()) ->
     )
     key = Window.partitionBy("session_date", "symbol")
     ordered = key.orderBy("tick")
-    change = (F.col("close") / F.col("prior_close") - 1) * 100
+    change = (F.try_divide("close", "prior_close") - 1) * 100
     runs = (
         per_tick.withColumn("__best", F.max((F.col("__top") / F.col("prior_close") - 1) * 100).over(key))
         .withColumn("cum_volume", F.sum("vol").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))

@@ -71,7 +71,7 @@ def bar_diff(a: DataFrame, b: DataFrame) -> DataFrame:
         F.count(F.when(F.col("cb").isNull(), 1)).alias("only_a"),
         F.count(F.when(F.col("ca").isNull(), 1)).alias("only_b"),
         F.avg(F.abs(F.col("ca") - F.col("cb"))).alias("mean_abs"),
-        (F.sum("va") / F.sum("vb")).alias("volume_ratio"),
+        F.try_divide(F.sum("va"), F.sum("vb")).alias("volume_ratio"),
     )
 
 
@@ -97,8 +97,8 @@ def cover_check(scope: DataFrame, verdicts: DataFrame, key: str) -> DataFrame:
 def momentum_sessions(clock_prices: DataFrame, first: str = "p600", late: str = "p930", last: str = "p960", date: str = "session_date") -> DataFrame:
     """Prior session's close, the first half-hour's return against it and the last one's."""
     prior = F.lag(last).over(Window.partitionBy("symbol").orderBy(date))
-    return clock_prices.withColumn("prior_close", prior).withColumn("r1", F.col(first) / F.col("prior_close") - 1).withColumn(
-        "r13", F.col(last) / F.col(late) - 1)
+    return clock_prices.withColumn("prior_close", prior).withColumn("r1", F.try_divide(F.col(first), F.col("prior_close")) - 1).withColumn(
+        "r13", F.try_divide(F.col(last), F.col(late)) - 1)
 
 
 # ---- session validity and regular closes
@@ -150,8 +150,8 @@ SPLIT_FACTORS = (2.0, 3.0, 4.0, 5.0, 6.0, 8.0, 10.0, 1 / 2, 1 / 3, 1 / 4, 1 / 5,
 
 def detect_splits(daily: DataFrame, factors: Sequence[float] = SPLIT_FACTORS, price_tol: float = 3.0, volume_tol: float = 25.0) -> DataFrame:
     """Split factor per row when both the price and the volume ratio fit; nearest factor wins."""
-    pr = W.lag("close", W.DAY, "date") / F.col("close")
-    vr = F.col("volume") / F.nullif(W.lag("volume", W.DAY, "date"), F.lit(0))
+    pr = F.try_divide(W.lag("close", W.DAY, "date"), F.col("close"))
+    vr = F.try_divide(F.col("volume"), W.lag("volume", W.DAY, "date"))
     d = daily.withColumn("__p", pr).withColumn("__v", vr)
     fits = F.array(*[F.when((F.abs(F.col("__p") / f - 1) * 100 <= price_tol) & (F.abs(F.col("__v") / f - 1) * 100 <= volume_tol),
                             F.struct(F.abs(F.col("__p") / f - 1).alias("d"), F.lit(float(f)).alias("f"))) for f in factors])
@@ -169,8 +169,8 @@ def ratio_steps(a: DataFrame, b: DataFrame, step: float = 0.2, reverse_within: i
     """Steps in the ratio of two close series: one that reverses soon marks bad sessions, any other
     a split; sessions off their segment's median are bad."""
     r = a.select("symbol", "date", F.col("close").alias("ca")).join(b.select("symbol", "date", F.col("close").alias("cb")), ["symbol", "date"])
-    r = r.withColumn("ratio", F.round(F.col("ca") / F.col("cb"), 9))
-    move = F.round(F.col("ratio") / W.lag("ratio", W.DAY, "date"), 9)
+    r = r.withColumn("ratio", F.round(F.try_divide("ca", "cb"), 9))
+    move = F.round(F.try_divide(F.col("ratio"), W.lag("ratio", W.DAY, "date")), 9)
     r = r.withColumn("__m", move).withColumn("step", F.coalesce(F.abs(F.log("__m")) > step, F.lit(False)))
     ahead = W.frame(W.DAY, "date", 1, reverse_within)
     back = W.frame(W.DAY, "date", -reverse_within, -1)
@@ -181,7 +181,7 @@ def ratio_steps(a: DataFrame, b: DataFrame, step: float = 0.2, reverse_within: i
     r = r.withColumn("kind", F.when(~F.col("step"), "none").when(undone | undoes, "reversed").otherwise("split"))
     r = r.withColumn("segment", F.sum((F.col("kind") == "split").cast("int")).over(W.frame(W.DAY, "date", Window.unboundedPreceding, 0)))
     med = F.percentile("ratio", F.lit(0.5)).over(Window.partitionBy("symbol", "segment"))
-    return r.withColumn("bad_session", F.abs(F.col("ratio") / med - 1) > bad).drop("__m", "__s")
+    return r.withColumn("bad_session", F.coalesce(F.abs(F.try_divide(F.col("ratio"), med) - 1) > bad, F.lit(False))).drop("__m", "__s")
 
 
 # ---- futures

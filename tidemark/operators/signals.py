@@ -106,7 +106,7 @@ def overnight_pairs(sessions: DataFrame, date: str = "session_date", held: str |
     """Last close to the next session's first open; void when the contract changes."""
     w = Window.partitionBy("symbol").orderBy(date)
     out = sessions.withColumn("next_open", F.lead("open").over(w)).withColumn("next_date", F.lead(date).over(w))
-    move = F.col("next_open") / F.col("close") - 1
+    move = F.try_divide(F.col("next_open"), F.col("close")) - 1
     if held is not None:
         move = F.when(F.col(held) == F.lead(held).over(w), move)
     return out.withColumn("overnight", move)
@@ -136,7 +136,7 @@ def drift_states(bars: DataFrame, change: float = 0.02, hour_bars: int = 4) -> D
     """Side of VWAP, VWAP slope and the hour's change, agreeing or not."""
     df = W.session_vwap(bars)
     slope = F.col("vwap") - W.lag("vwap", W.SESSION, "ts")
-    move = F.col("close") / W.lag("close", W.SESSION, "ts", hour_bars) - 1
+    move = F.try_divide(F.col("close"), W.lag("close", W.SESSION, "ts", hour_bars)) - 1
     state = F.when((F.col("close") > F.col("vwap")) & (slope > 0) & (move >= change), 1).when(
         (F.col("close") < F.col("vwap")) & (slope < 0) & (move <= -change), -1).otherwise(0)
     return df.withColumn("drift", state)
@@ -178,9 +178,9 @@ def impulse_dips(df: DataFrame, lookback: int = 20, impulse: float = 0.10, dip:
     c = F.col("close")
     ok = (
         (F.col("base") > 0) & (F.col("peak") > F.col("base"))
-        & ((F.col("peak") - F.col("base")) / F.col("base") >= impulse)
-        & ((F.col("peak") - c) / F.col("peak") >= dip)
-        & ((c - F.col("base")) / (F.col("peak") - F.col("base")) >= hold)
+        & (F.try_divide(F.col("peak") - F.col("base"), F.col("base")) >= impulse)
+        & (F.try_divide(F.col("peak") - c, F.col("peak")) >= dip)
+        & (F.try_divide(c - F.col("base"), F.col("peak") - F.col("base")) >= hold)
     )
     hits = df.drop("__f").filter(ok)
     prev = F.lag("peak_i").over(Window.partitionBy(*by).orderBy(order))
@@ -469,7 +469,7 @@ def prior_spikes(df: DataFrame, lookback: int = 60, quiet: int = 5, spike: float
     start = F.struct(F.element_at("__h", 1).alias("lo"), F.lit(0.0).alias("gain"), F.lit(0.0).alias("peak"), F.lit(0.0).alias("base"))
 
     def step(acc, x):
-        gain = (x - acc["lo"]) / acc["lo"]
+        gain = F.coalesce(F.try_divide(x - acc["lo"], acc["lo"]), F.lit(0.0))
         better = gain > acc["gain"]
         return F.struct(F.least(acc["lo"], x).alias("lo"), F.when(better, gain).otherwise(acc["gain"]).alias("gain"),
                         F.when(better, x).otherwise(acc["peak"]).alias("peak"), F.when(better, acc["lo"]).otherwise(acc["base"]).alias("base"))
@@ -493,11 +493,11 @@ def veto_tags(daily: DataFrame, gap: float = 30.0, volume: float = 60, block: fl
     by, order = W.DAY, "date"
     lag = lambda c, n=1: W.lag(c, by, order, n)
     df = daily.withColumn("dollars", F.col("close") * F.col("volume")).withColumn("pc", lag("close")).withColumn("pd", lag("dollars"))
-    df = df.withColumn("gap_pct", (F.col("high") / F.col("pc") - 1) * 100)
+    df = df.withColumn("gap_pct", (F.try_divide(F.col("high"), F.col("pc")) - 1) * 100)
     crowded = F.coalesce((F.col("gap_pct") >= gap) & (F.col("volume") > volume), F.lit(False))
     w = W.frame(by, order, -lookback, -1)
     top = F.max(F.struct("dollars", "close")).over(w)
-    blocked = F.coalesce((top["dollars"] >= block) & (F.abs(F.col("high") / top["close"] - 1) <= band), F.lit(False))
+    blocked = F.coalesce((top["dollars"] >= block) & (F.abs(F.try_divide(F.col("high"), top["close"]) - 1) <= band), F.lit(False))
     green = F.coalesce((F.col("close") > F.col("pc")) & (F.col("dollars") > F.col("pd")), F.lit(False))
     df = df.withColumn("green", green)
     upto = W.frame(by, order, Window.unboundedPreceding, 0)
@@ -507,7 +507,7 @@ def veto_tags(daily: DataFrame, gap: float = 30.0, volume: float = 60, block: fl
         "__base", F.last(F.when(~F.col("green"), F.col("close")), ignorenulls=True).over(upto))
     red = lag("close") < lag("close", 2)
     run, base, peak = lag("run_len", 2), lag("__base", 2), lag("close", 2)
-    rise = (peak / base - 1) * 100
+    rise = (F.try_divide(peak, base) - 1) * 100
     back = F.try_divide(peak - lag("low"), F.nullif(peak - base, F.lit(0.0))) * 100
     first_red = F.coalesce(red & (run >= min_run) & (rise >= run_range) & (back <= giveback_skip), F.lit(False))
     return df.withColumn("crowded_gap", crowded).withColumn("dollar_block", blocked).withColumn("first_red", first_red).drop("__brk", "__base", "i", "green", "pd")
@@ -587,7 +587,7 @@ def held_runs(df: DataFrame, min_bars: int = 3, by=W.DAY, order="date") -> DataF
     df = df.withColumn("__vr", F.try_divide("volume", W.prior(F.avg, "volume", by, order, 10, 3)))
     g = df.groupBy(*by, "__run").agg(
         F.min(order).alias("start"), F.max(order).alias("end"), F.count(F.lit(1)).alias("bars"),
-        (F.max_by("close", order) / F.min_by("close", order) - 1).alias("move"), F.max("__vr").alias("volume_spike"))
+        (F.try_divide(F.max_by("close", order), F.min_by("close", order)) - 1).alias("move"), F.max("__vr").alias("volume_spike"))
     score = (F.col("bars") >= min_bars + 1).cast("int") + (F.col("move") / F.col("bars") >= 0.05).cast("int") + (F.coalesce(F.col("volume_spike"), F.lit(0.0)) >= 2).cast("int")
     grade = F.when(score == 3, "A").when(score == 2, "B").when(score == 1, "C").otherwise("D")
     return g.filter(F.col("bars") >= min_bars).withColumn("grade", grade).drop("__run")

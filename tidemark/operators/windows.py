@@ -110,7 +110,7 @@ def run_up_features(df: DataFrame, by=SESSION, order="ts", seed: str = "7") -> D
     high, low = F.max("high").over(so_far), F.min("low").over(so_far)
     draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "symbol", F.unix_seconds(order))), 1, 8), 16, 10)
     return (
-        df.withColumn("rvol_1", F.when(med > 0, F.col("volume") / med))
+        df.withColumn("rvol_1", F.when(med > 0, F.try_divide(F.col("volume").cast("double"), med)))
         .withColumn("rvol_5", F.when((med > 0) & (n >= 5), F.sum("volume").over(last5) / (5 * med)))
         .withColumn("ret_1", ret(1))
         .withColumn("ret_3", ret(3))
@@ -201,7 +201,7 @@ def with_efficiency(df: DataFrame, n: int = 10, by=DAY, order="date") -> DataFra
 
 def log_returns(by=DAY, order="date", held: str | None = None) -> Column:
     """ln(close/previous close); NULL where the held contract changed."""
-    r = F.log(F.col("close") / lag("close", by, order))
+    r = F.log(F.try_divide(F.col("close"), lag("close", by, order)))
     return r if held is None else F.when(F.col(held) == lag(held, by, order), r)
 
 
@@ -292,7 +292,7 @@ def trailing_percentile_gate(df: DataFrame, col: str, n: int, q: float, by=DAY,
 def window_volatility(bars: DataFrame, start: int = 570, end: int = 600) -> DataFrame:
     """Deviation of bar returns inside a clock window, per session."""
     inside = bars.filter((F.col("minute") >= start) & (F.col("minute") < end))
-    r = inside.withColumn("__r", F.col("close") / lag("close", SESSION, "ts") - 1)
+    r = inside.withColumn("__r", F.try_divide(F.col("close"), lag("close", SESSION, "ts")) - 1)
     return r.groupBy(*SESSION).agg(F.stddev_samp("__r").alias("sigma"), F.count("__r").alias("returns"))
 
 
@@ -322,7 +322,7 @@ def range_on_minute_grid(bars: DataFrame, start: int, end: int, step: int = 5) -
 def centred_outliers(df: DataFrame, k: int = 5, ratio: float = 0.2, col: str = "close", by=DAY, order="date") -> DataFrame:
     """Prints further than `ratio` from the centred median."""
     med = F.percentile(col, F.lit(0.5)).over(frame(by, order, -k, k))
-    return df.withColumn("centred_median", med).withColumn("wild", F.abs(F.col(col) / med - 1) > ratio)
+    return df.withColumn("centred_median", med).withColumn("wild", F.coalesce(F.abs(F.try_divide(F.col(col), med) - 1) > ratio, F.lit(False)))
 
 
 def loss_streaks(df: DataFrame, by: Sequence[str], order: Sequence[str], net: str = "net") -> DataFrame:

@@ -235,7 +235,7 @@ SELECT @I(trade_id) AS trade_id, @R(entry_px * qty * half_bps / 1e4) AS entry_co
 def _(m):
     slot = F.floor(F.col("entry_minute") / 30).alias("slot")
     q = m.quotes().withColumn("entry_minute", clock.minute_of_day("ts"))
-    c = q.groupBy(slot).agg((F.avg((F.col("ask") - F.col("bid")) / F.col("bid")) * 1e4 / 2).alias("half_bps"))
+    c = q.groupBy(slot).agg((F.avg(F.try_divide(F.col("ask") - F.col("bid"), F.col("bid"))) * 1e4 / 2).alias("half_bps"))
     led = m.ledger().withColumn("slot", F.floor(F.col("entry_minute") / 30))
     return led.join(F.broadcast(c), "slot").select("trade_id", (F.col("entry_px") * F.col("qty") * F.col("half_bps") / 1e4).alias("entry_cost"))
 

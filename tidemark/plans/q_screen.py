@@ -197,7 +197,7 @@ def _(m):
 WITH f AS (SELECT symbol, session_date, max(high) / min(low) - 1 AS peak FROM sbars1 GROUP BY 1, 2)
 SELECT @I(trade_id) AS trade_id, symbol, @I(peak >= 1.0) AS kept FROM ledger JOIN f USING (symbol, session_date)""")
 def _(m):
-    peak = m.ticks().groupBy("symbol", "session_date").agg((F.max("px") / F.min("px") - 1).alias("peak"))
+    peak = m.ticks().groupBy("symbol", "session_date").agg((F.try_divide(F.max("px"), F.min("px")) - 1).alias("peak"))
     keep = peak.filter("peak >= 1.0")
     led = m.ledger()
     on = ["symbol", "session_date"]
@@ -250,7 +250,7 @@ def _(m):
 SELECT @I(trade_id) AS trade_id, @D(session_date) AS session_date, row_number() OVER w AS place, CASE WHEN row_number() OVER w <= 3 THEN 'TAKE' ELSE 'PASS' END AS call
 FROM ledger WINDOW w AS (PARTITION BY session_date ORDER BY qty DESC, round(exit_px / entry_px, 9) DESC, symbol, trade_id)""")
 def _(m):
-    w = Window.partitionBy("session_date").orderBy(F.desc("qty"), F.desc(F.round(F.col("exit_px") / F.col("entry_px"), 9)), "symbol", "trade_id")
+    w = Window.partitionBy("session_date").orderBy(F.desc("qty"), F.desc(F.round(F.try_divide("exit_px", "entry_px"), 9)), "symbol", "trade_id")
     k = F.row_number().over(w)
     return m.ledger().select("trade_id", "session_date", k.alias("place"), F.when(k <= 3, "TAKE").otherwise("PASS").alias("call"))
 

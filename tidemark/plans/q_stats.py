@@ -100,7 +100,7 @@ WITH e AS (SELECT session_date, entry_id, exit_px / entry_px - 1 AS ret, i % 16
 r AS (SELECT draw, session_date, ret, k, row_number() OVER (PARTITION BY draw, session_date ORDER BY md5('1|' || CAST(draw AS VARCHAR) || '|' || entry_id)) AS o FROM e JOIN k USING (session_date), draws), d AS (SELECT draw, avg(ret) AS mean FROM r WHERE o <= k GROUP BY 1), ob AS (SELECT avg(ret) AS observed FROM e WHERE took)
 SELECT @R(max(observed)) AS observed, @R(avg(mean)) AS control_mean, @R((count(*) FILTER (mean >= observed) + 1) / (count(*) + 1)) AS p_value FROM d, ob""")
 def _(m):
-    e = scored(m).withColumn("ret", F.col("exit_px") / F.col("entry_px") - 1)
+    e = scored(m).withColumn("ret", F.try_divide("exit_px", "entry_px") - 1)
     e = e.join(entries(m).select("entry_id", "i"), "entry_id")
     took = e.filter("i % 16 = 1")
     k = took.groupBy("session_date").agg(F.count(F.lit(1)).alias("k"))

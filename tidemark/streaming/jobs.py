@@ -8,6 +8,7 @@ Trigger.AvailableNow and then equals its batch form.
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -98,25 +99,30 @@ def delayed_floor(df: DataFrame, minutes: int, column: str = "first_seen") -> Da
     return df.withColumn(column, F.col(column) + minutes)
 
 
-def fresh_rows(stream: DataFrame) -> DataFrame:
+def fresh_rows(stream: DataFrame, shards: int = 8) -> DataFrame:
     """Rows of a symbol from the moment its volume was seen to change in this session. Admission is
-    permanent for the session and state ends with the key."""
+    permanent for the session.
+
+    Symbols of a session are packed into hash shards, so one Python call serves many symbols; a
+    shard's state is each symbol's first volume and whether it was admitted.
+    """
 
     def admit(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first, open_ = state.get if state.exists else (None, False)
+        known = json.loads(state.get[0]) if state.exists else {}
         rows = pd.concat(list(frames)).sort_values(["ts", "seq"])
-        keep = []
-        for size in rows["size"]:
-            if first is None:
-                first = int(size)
-            open_ = open_ or int(size) != first
-            keep.append(open_)
-        state.update((first, open_))
-        yield rows[keep][["symbol", "session_date", "seq", "ts", "size"]]
+        first = rows.groupby("symbol")["size"].transform("first")
+        first = rows["symbol"].map({s: v[0] for s, v in known.items()}).fillna(first)
+        open_ = rows["symbol"].map({s: v[1] for s, v in known.items()}).eq(True) | (rows["size"] != first)
+        rows = rows.assign(first=first, ok=open_.groupby(rows["symbol"]).cummax())
+        last = rows.groupby("symbol").agg(first=("first", "first"), ok=("ok", "last"))
+        known.update({s: [int(f), bool(o)] for s, f, o in last.itertuples()})
+        state.update((json.dumps(known),))
+        yield rows.loc[rows["ok"], ["symbol", "session_date", "seq", "ts", "size"]]
 
     out = T.StructType.fromDDL("symbol string, session_date date, seq bigint, ts timestamp, size bigint")
-    mem = T.StructType.fromDDL("first bigint, admitted boolean")
-    return stream.groupBy("symbol", "session_date").applyInPandasWithState(admit, out, mem, "append", GroupStateTimeout.NoTimeout)
+    mem = T.StructType.fromDDL("known string")
+    sharded = stream.withColumn("shard", F.pmod(F.xxhash64("symbol"), F.lit(shards)))
+    return sharded.groupBy("session_date", "shard").applyInPandasWithState(admit, out, mem, "append", GroupStateTimeout.NoTimeout)
 
 
 def sell_round_trips(fills: DataFrame) -> DataFrame:
