@@ -11,6 +11,7 @@ from tidemark.plans import (  # noqa: F401
     q_stats,
     q_series,
     q_streams,
+    q_studies,
 )
 from tidemark.plans.registry import COVERS, QUERIES, oracle_texts
 
