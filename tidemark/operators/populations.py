@@ -152,9 +152,9 @@ def crc_subset(rows: DataFrame, key: Column, n: int) -> DataFrame:
 
 def presentation_order(rows: DataFrame, strata: Sequence[str], key: Column) -> DataFrame:
     """Stratified order in which every prefix is close to proportional."""
-    size = Window.partitionBy(*strata)
+    size = rows.groupBy(*strata).agg(F.count(F.lit(1)).alias("stratum_size"))
     return (
         hash_ordinal(rows, list(strata), key, "in_stratum")
-        .withColumn("stratum_size", F.count(F.lit(1)).over(size))
+        .join(size, list(strata))
         .withColumn("place", (F.col("in_stratum") - 0.5) / F.col("stratum_size"))
     )

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.scale import running_sums, time_bucket
+
 DAY = ("symbol",)
 SESSION = ("symbol", "session_date")
 
@@ -187,11 +189,6 @@ def money_flow(df: DataFrame, n: int = 14, by=DAY, order="date") -> DataFrame:
     return df.withColumn("mfi", F.coalesce(100 - 100 / (1 + ratio), F.lit(50.0))).drop("__tp", "__d")
 
 
-def efficiency_ratio(n: int, by=DAY, order="date") -> Column:
-    step = F.abs(F.col("close") - lag("close", by, order))
-    return step
-
-
 def with_efficiency(df: DataFrame, n: int = 10, by=DAY, order="date") -> DataFrame:
     df = df.withColumn("__step", F.abs(F.col("close") - lag("close", by, order)))
     path = trailing(F.sum, "__step", by, order, n)
@@ -326,10 +323,14 @@ def centred_outliers(df: DataFrame, k: int = 5, ratio: float = 0.2, col: str = "
 
 
 def loss_streaks(df: DataFrame, by: Sequence[str], order: Sequence[str], net: str = "net") -> DataFrame:
-    """Per key the longest losing run and the worst sum over one."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    won = F.sum(F.when(F.col(net) >= 0, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    runs = df.withColumn("__run", won).filter(F.col(net) < 0).groupBy(*by, "__run").agg(
+    """Per key the longest losing run and the worst sum over one.
+
+    Runs are numbered by a running count of winners, split by exit day, so a key with many trades is
+    spread; a run is a group, folded before it is shuffled.
+    """
+    won = df.withColumn("__won", F.when(F.col(net) >= 0, 1).otherwise(0))
+    numbered = running_sums(won, by, order, {"__run": "__won"}, time_bucket(order[0], 86400))
+    runs = numbered.filter(F.col(net) < 0).groupBy(*by, "__run").agg(
         F.count(F.lit(1)).alias("length"), F.sum(net).alias("total")
     )
     return runs.groupBy(*by).agg(

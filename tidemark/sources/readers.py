@@ -106,13 +106,14 @@ def filings(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("symbol", "form", "items", X.edgar_stamp(F.col("accepted")).alias("accepted"), X.filing_labels(F.col("form"), F.col("items")).alias("labels"))
 
 
-def inventory(spark: SparkSession, root: str) -> DataFrame:
-    """File counts, sizes and date coverage per dataset folder, from file metadata only."""
+def inventory(spark: SparkSession, root: str, partial_below: int = 1024) -> DataFrame:
+    """File counts, sizes, suspiciously small files and date coverage per dataset folder, from file
+    metadata only. The file source skips files of no bytes, so an empty day shows as missing."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
     day = F.nullif(F.regexp_extract("path", r"(\d{4}-\d{2}-\d{2})", 1), F.lit(""))
     folder = F.element_at(F.split("path", "/"), -2)
     return f.groupBy(folder.alias("folder")).agg(
-        F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"), F.count(F.when(F.col("length") == 0, 1)).alias("empty"), F.min(day).alias("first_day"), F.max(day).alias("last_day"))
+        F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"), F.count(F.when(F.col("length") < partial_below, 1)).alias("partial"), F.min(day).alias("first_day"), F.max(day).alias("last_day"))
 
 
 def warmup_windows(bars: DataFrame, wanted: DataFrame, sessions: DataFrame, back: int = 2) -> DataFrame:
