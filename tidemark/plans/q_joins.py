@@ -425,3 +425,13 @@ WITH j AS (SELECT f.side, CASE WHEN side = 'BUY' THEN price - (bid + ask) / 2 EL
 SELECT side, count(*) AS n, @R(quantile_cont(slip, 0.25)) AS p25, @R(quantile_cont(slip, 0.5)) AS p50, @R(quantile_cont(slip, 0.75)) AS p75 FROM j GROUP BY 1""")
 def _(m):
     return M.cost_quantiles(M.slippage(M.fill_quotes(m.fills(), m.quotes(), TOL)), ["side"], "slip_mid")
+
+
+@query("quoted_spread_gate", "2.2.19 2.20.22", """
+WITH b AS (SELECT symbol, ts, 0 AS seq FROM sbars1), j AS (SELECT b.symbol, b.ts, q.bid, q.ask, q.ts AS qt FROM b ASOF LEFT JOIN quotes q ON b.symbol = q.symbol AND b.ts >= q.ts), g AS (SELECT *, CASE WHEN qt >= ts - INTERVAL 1 HOUR THEN (ask - bid) / ((ask + bid) / 2) * 100 END AS sp FROM j)
+SELECT symbol, @T(ts) AS ts, @R(sp) AS spread_pct, @I(coalesce(sp < 2.5, false)) AS allowed FROM g""")
+def _(m):
+    b = m.symbol_bars(1).select("symbol", "ts", F.lit(0).alias("seq"))
+    q = J.asof_join(b, m.quotes(), ["symbol"], ["bid", "ask"], tolerance_s=3600)
+    spread = F.try_divide(F.col("ask") - F.col("bid"), (F.col("ask") + F.col("bid")) / 2) * 100
+    return q.select("symbol", "ts", spread.alias("spread_pct"), F.coalesce(spread < 2.5, F.lit(False)).alias("allowed"))
