@@ -7,6 +7,7 @@ import sys
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,16 @@ def arrow_rows(spark: SparkSession, rows: int = 1024) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+KINDS = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}
+
+
+def record(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    """Rows as an Arrow batch of a schema of plain columns."""
+    fields = [f.split() for f in schema.split(", ")]
+    cols = list(zip(*rows)) or [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, KINDS[kind]) for c, (_, kind) in zip(cols, fields)], [name for name, _ in fields])
+
+
 def scratch(spark: SparkSession) -> str:
     """The folder executors and driver share; only a session that names none gets a local one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -45,19 +56,27 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def row_ids(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(rid, id, text): rid is the id where ids are present and unique; otherwise rows get ids of their own.
+def with_rid(docs: DataFrame, id_col: str) -> DataFrame:
+    """docs with a column `rid`: the id where ids are present and unique, otherwise a number in the order of the ids, nulls first.
 
     The test reads the id column alone. Only a table with null or repeated ids is written again.
     """
-    base = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    repeats = base.groupBy("id").count().where("count > 1 OR id IS NULL").select("id").limit(1).count()
+    repeats = docs.groupBy(id_col).count().where((F.col("count") > 1) | F.col(id_col).isNull()).limit(1).count()
     if not repeats:
-        return base.select(F.col("id").alias("rid"), "id", "text")
-    return written(base.select(F.monotonically_increasing_id().alias("rid"), "id", "text"), "rows")
+        return docs.withColumn("rid", F.col(id_col).cast("bigint"))
+    return written(docs.orderBy(id_col).withColumn("rid", F.monotonically_increasing_id()), "rows")
+
+
+def row_ids(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(rid, id, text) of docs, a null text as the empty one."""
+    base = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return with_rid(base, "id").select("rid", "id", "text")
 
 
 def lower_az(text: Column) -> Column:
     """A-Z lowered and no other letter. lower() does just that for ASCII texts, and fast."""
     upper = string.ascii_uppercase
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
+
+
+ships(__name__)

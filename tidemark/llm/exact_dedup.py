@@ -46,10 +46,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = row_ids(docs, id_col, text_col)
     norm = lower_az(F.col("text"))
     digests = written(rows.select("rid", "id", F.xxhash64(norm).alias("key"), F.sha2(norm, 256).alias("sha")), "digests")
-    keys = digests.groupBy("key").agg(F.count("*").alias("n"))
+    # Written, so that the join below meets plain tables and a hot key's rows can be split.
+    keys = written(digests.groupBy("key").agg(F.count("*").alias("n")), "keys")
     book, depth = directory(keys, capacity)
-    cell = F.shiftrightunsigned("key", 64 - depth) if depth else F.lit(0).cast("bigint")
-    shared = digests.join(keys.where("n > 1"), "key").select("rid", "key", cell.alias("cell")).join(book, "cell").select("rid", "key", "bucket")
+    shared = digests.join(keys.where("n > 1").select("key"), "key").select("rid", "key")
+    if depth:
+        shared = shared.withColumn("cell", F.shiftrightunsigned("key", 64 - depth)).join(book, "cell").drop("cell", "depth")
+    else:
+        shared = shared.withColumn("bucket", F.lit("0:0"))
     texts = rows.select("rid", "id", "text").join(shared, "rid").select("bucket", "key", "id", norm.alias("norm"))
     chains = texts.groupBy("bucket", "key", "norm").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
     entries = chains.select("bucket", "key", F.sha2("norm", 256).alias("sha"), "keep_id", "group_size")

@@ -192,7 +192,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = written(fingerprints(docs, id_col, text_col), "prints")
     prints = written(rows.groupBy("fp").agg(F.min("id").alias("low")), "distinct")
     roots = components(near_links(prints))
-    classes = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lows = classes.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = classes.join(lows, "root").select("fp", "component_id")
+    # Written, so that the joins meet plain tables and the rows of a hot class can be split.
+    classes = written(prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "classes")
+    lows = written(classes.groupBy("root").agg(F.min("low").alias("component_id")), "lows")
+    classes = written(classes.join(lows, "root").select("fp", "component_id"), "members")
     return rows.join(classes, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -1 +1,268 @@
-"""Suffix-array removal of repeated passages."""
+"""Removal of repeated passages by suffix arrays built with a difference cover.
+
+A byte goes when a string of LENGTH bytes that covers it also starts somewhere else. Every such string
+is named by its anchor: of the GRAM-byte grams inside, the one whose hash is least (of equals the last).
+Equal strings have equal anchors, so they are brought together by the anchor's hash and nothing else
+has to meet. A segment is a run of string starts that share an anchor, with the bytes they cover.
+
+1. Each document is cut into segments; one row a document keeps its digest and its anchors. Copies of
+   a text are settled by the digest, and one of them stands for all in what follows.
+2. Anchors met once cannot belong to a repeat. The documents with others are fetched once.
+3. Segments equal as a whole settle all their starts. The other segments of an anchor go, one row for
+   each distinct content, to the shard of that anchor.
+4. A shard sorts all suffixes of its segments: it sorts the triples at positions 1 and 2 modulo 3,
+   recurses on their names until they differ (or reach past any segment), merges the suffixes at
+   positions 0 modulo 3, and compares the prefixes of neighbours, byte by byte.
+5. An anchor with more distinct segments than CLASS_ROWS is not sorted in one shard; its strings are
+   counted by digest in an ordinary aggregate instead.
+
+A segment reaches no further than twice LENGTH, so shards are bounded by CLASS_ROWS of them.
+
+Defined results: null and empty texts have no bytes and lose none. Repeated rows are copies. Texts
+shorter than LENGTH lose nothing. Ids may be null or repeated; rows are then told apart by position.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import struct
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.llm.anchors import list_column, packed_cuts, segments, unpacked
+from tidemark.llm.common import arrow_rows, record, row_ids, ships, with_rid, written
+
+ships(__name__)
+
+LENGTH, GRAM = 400, 128
+SHARD_BYTES = 400_000
+CLASS_ROWS = 1024
+
+
+def byte_values() -> np.ndarray:
+    """A 64-bit value for each byte."""
+    return np.random.default_rng(11).integers(1, 1 << 63, 256, np.uint64)
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column(2).to_pylist()
+        table = byte_values()
+        found = segments((table[np.frombuffer(t, np.uint8)] for t in texts), LENGTH, GRAM)
+        yield pa.RecordBatch.from_arrays([
+            batch.column(0), batch.column(1), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()),
+            list_column([packed_cuts(f) for f in found], pa.int64()), list_column([f[3].view(np.int64) for f in found], pa.int64()),
+        ], ["rid", "id", "n_bytes", "sha", "cuts", "keys"])
+
+
+OCCURRENCES = "rid bigint, cut bigint, key bigint, seg binary"
+CONTENTS = "key bigint, seg binary, met bigint, cut bigint, content binary"
+RUNS = "key bigint, seg binary, low bigint, high bigint"
+STRINGS = "key bigint, seg binary, met bigint, low bigint, string binary"
+CUT = "rid bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
+PARSED = "rid bigint, id bigint, n_bytes bigint, sha string, cuts array<bigint>, keys array<bigint>"
+
+
+def _flat(batch: pa.RecordBatch) -> Iterator[tuple[int, dict, bytes]]:
+    """Row id, segment and content of each row's list of segments."""
+    for rid, text, cuts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+        for c in cuts:
+            start, count, _ = unpacked(c["cut"])
+            yield rid, c, text[start : start + count + LENGTH - 1]
+
+
+def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(rid, c["cut"], c["key"], xxhash.xxh3_128_digest(struct.pack("<qi", c["key"], c["cut"] & 0xFFFFF) + content)) for rid, c, content in _flat(batch)]
+        yield record(rows, OCCURRENCES)
+
+
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield record([(c["key"], c["seg"], c["met"], c["cut"], content) for _, c, content in _flat(batch)], CONTENTS)
+
+
+def suffix_order(t: np.ndarray, depth: int) -> np.ndarray:
+    """Positions of t in the order of their suffixes; values are at least 1. Suffixes alike over 3**depth values may stand in any order."""
+    n = len(t)
+    if n < 4:
+        return np.array(sorted(range(n), key=lambda k: t[k:].tolist()), np.int64)
+    s = np.concatenate((t, np.zeros(3, np.int64)))
+    top = int(s.max()) + 1
+    sample = np.concatenate((np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)))
+    triples = (s[sample] * top + s[sample + 1]) * top + s[np.minimum(sample + 2, n + 2)]
+    order = np.argsort(triples, kind="stable")
+    ranked = triples[order]
+    names = np.empty(len(sample), np.int64)
+    names[order] = np.concatenate(([1], 1 + np.cumsum(ranked[1:] != ranked[:-1])))
+    if depth > 1 and names.max() < len(sample):
+        order = suffix_order(names, depth - 1)
+    sampled = sample[order]
+    sampled = sampled[sampled < n]
+    rank = np.zeros(n + 3, np.int64)
+    rank[sampled] = np.arange(1, len(sampled) + 1)
+    size = len(sampled) + 2
+    rest = np.arange(0, n, 3)
+    rest = rest[np.argsort(s[rest] * size + rank[rest + 1], kind="stable")]
+    one, two = sampled[sampled % 3 == 1], sampled[sampled % 3 == 2]
+    below = np.searchsorted(s[one] * size + rank[one + 1], s[rest] * size + rank[rest + 1])
+    below += np.searchsorted((s[two] * top + s[two + 1]) * size + rank[two + 2], (s[rest] * top + s[rest + 1]) * size + rank[rest + 2])
+    merged = np.empty(n, np.int64)
+    taken = np.zeros(n, bool)
+    slots = below + np.arange(len(rest))
+    taken[slots] = True
+    merged[slots] = rest
+    merged[~taken] = sampled
+    return merged
+
+
+def repeated_starts(contents: list[bytes], counts: list[int], offs: list[int], keys: list[int], length: int) -> list[np.ndarray]:
+    """For each segment whether each of its starts begins a string that another start of the shard begins too."""
+    blob = np.frombuffer(b"\0".join(contents), np.uint8)
+    sizes = np.array([len(c) for c in contents]) + 1
+    firsts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    values = blob.astype(np.int64) + 2
+    values[(firsts + sizes - 1)[:-1]] = 1
+    owner = np.full(len(values), -1)
+    starts = np.concatenate([np.arange(f, f + c) for f, c in zip(firsts, counts)])
+    owner[starts] = np.repeat(np.arange(len(contents)), counts)
+    depth = 1
+    while 3**depth < sizes.max():
+        depth += 1
+    order = suffix_order(values, depth)
+    order = order[owner[order] >= 0]
+    who = owner[order]
+    inside = order - firsts[who] - np.array(offs)[who]
+    same = np.array(keys)[who]
+    near = np.flatnonzero((inside[1:] == inside[:-1]) & (same[1:] == same[:-1]))
+    strings = np.lib.stride_tricks.sliding_window_view(blob, length)
+    mark = np.zeros(len(values), bool)
+    for k in range(0, len(near), 2048):
+        a, b = order[near[k : k + 2048]], order[near[k : k + 2048] + 1]
+        equal = (strings[a] == strings[b]).all(axis=1)
+        mark[a[equal]] = mark[b[equal]] = True
+    return [mark[f : f + c] for f, c in zip(firsts, counts)]
+
+
+def runs_of(flags: np.ndarray) -> list[tuple[int, int]]:
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], flags.view(np.int8), [0]))))
+    return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
+
+
+def _shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by key; whole keys are gathered up to SHARD_BYTES."""
+    held: list[tuple] = []
+    size = 0
+
+    def run() -> pa.RecordBatch:
+        counts, offs = [unpacked(r[3])[1] for r in held], [unpacked(r[3])[2] for r in held]
+        marks = repeated_starts([r[4] for r in held], counts, offs, [r[0] for r in held], LENGTH)
+        return record([(r[0], r[1], a, b) for r, m in zip(held, marks) if r[2] == 1 for a, b in runs_of(m)], RUNS)
+
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if size >= SHARD_BYTES and row[0] != held[-1][0]:
+                yield run()
+                held, size = [], 0
+            held.append(row)
+            size += len(row[4])
+    if held:
+        yield run()
+
+
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for key, seg, met, cut, content in zip(*(c.to_pylist() for c in batch.columns)):
+            yield record([(key, seg, met, k, xxhash.xxh3_128_digest(content[k : k + LENGTH])) for k in range(unpacked(cut)[1])], STRINGS)
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for rid, text, spans in zip(*(c.to_pylist() for c in batch.columns)):
+            at, kept, removed, n = 0, [], 0, 0
+            for low, high in sorted((s["low"], s["high"]) for s in spans):
+                if low > at or not n:
+                    kept.append(text[at:low])
+                    n += 1
+                    removed += high - low
+                    at = high
+                elif high > at:
+                    removed += high - at
+                    at = high
+            kept.append(text[at:])
+            left = b"".join(kept)
+            rows.append((rid, removed, n, hashlib.sha256(left).hexdigest(), left))
+        yield record(rows, CUT)
+
+
+def _repeats(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """parsed: a row per row; flags: (rid, copied); cuts: (rid, n_removed, n_spans, kept_sha256, kept) of documents cut in part."""
+    arrow_rows(rows.sparkSession, 256)
+    parsed = written(rows.select("rid", "id", F.col("text").cast("binary")).mapInArrow(_parse, PARSED), "parsed")
+    texts = parsed.groupBy("sha", "n_bytes").agg(F.min("rid").alias("lead"), F.count("*").alias("copies")).where("copies > 1")
+    # Hot values are joined as written tables, whose rows adaptive execution can split.
+    texts = written(texts, "texts")
+    flags = written(parsed.select("rid", "sha", "n_bytes").join(texts, ["sha", "n_bytes"]).select("rid", (F.col("rid") == F.col("lead")).alias("leads")), "copies")
+    every = parsed.select("rid", "sha", F.explode(F.arrays_zip("cuts", "keys")).alias("a")).select("rid", "sha", F.col("a.cuts").alias("cut"), F.col("a.keys").alias("key"))
+    # An anchor that stands in one text only, at one place, is no repeat, however many copies the text has.
+    place = F.xxhash64("sha", "cut")
+    keys = written(every.groupBy("key").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("key"), "keys")
+    suspects = every.drop("sha").join(keys, "key").join(flags.where("NOT leads").select("rid"), "rid", "left_anti")
+    listed = suspects.groupBy("rid").agg(F.collect_list(F.struct("cut", "key")).alias("cuts"))
+    fetched = written(rows.select("rid", F.col("text").cast("binary").alias("text")).join(listed, "rid"), "suspects")
+    places = written(fetched.mapInArrow(_occurrences, OCCURRENCES), "places")
+    kinds = written(places.groupBy("key", "seg").agg(F.count("*").alias("met"), F.min(F.struct("rid", "cut")).alias("at")), "segments")
+    whole = kinds.where("met > 1").select("key", "seg", F.lit(0).cast("bigint").alias("low"), F.expr("shiftright(at.cut, 10) & 1023").alias("high"))
+    mixed = kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.min("met").alias("least")).where("kinds > 1 AND least = 1").select("key", "kinds")
+    wanted = kinds.join(written(mixed, "mixed"), "key").groupBy(F.col("at.rid").alias("rid"), (F.col("kinds") > CLASS_ROWS).alias("crowded")).agg(F.collect_list(F.struct("at.cut", "key", "seg", "met")).alias("cuts"))
+    wanted = written(wanted, "wanted")
+
+    def contents(crowded: bool) -> DataFrame:
+        some = wanted.where(F.col("crowded") == crowded).select("rid", "cuts")
+        return fetched.select("rid", "text").join(some, "rid").mapInArrow(_contents, CONTENTS)
+
+    runs = contents(False).repartition("key").sortWithinPartitions("key").mapInArrow(_shard, RUNS)
+    if wanted.where("crowded").limit(1).count():
+        strings = contents(True).repartition("key", "seg").mapInArrow(_strings, STRINGS)
+        again = strings.groupBy("key", "string").agg(F.count("*").alias("n")).where("n > 1").select("key", "string")
+        runs = runs.union(strings.where("met = 1").join(again, ["key", "string"]).select("key", "seg", "low", F.expr("low + 1").alias("high")))
+    runs = written(whole.union(runs), "runs")
+    start = F.shiftright("cut", 20)
+    spans = places.join(runs, ["key", "seg"]).select("rid", (start + F.col("low")).alias("low"), (start + F.col("high") + LENGTH - 1).alias("high"))
+    marked = spans.groupBy("rid").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    cuts = fetched.select("rid", "text").join(marked, "rid").mapInArrow(_cut, CUT)
+    return parsed.select("rid", "id", "n_bytes", "sha"), flags.select("rid", F.lit(True).alias("copied")), cuts
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, n_bytes, n_removed, n_spans, kept_sha256: one row per row of docs."""
+    parsed, flags, cuts = _repeats(row_ids(docs, id_col, text_col))
+    gone = F.coalesce(F.col("copied") & (F.col("n_bytes") >= LENGTH), F.lit(False))
+    both = parsed.join(flags, "rid", "left").join(cuts.drop("kept"), "rid", "left")
+    return both.select(
+        F.col("id").alias(id_col), "n_bytes", F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("bigint").alias("n_removed"),
+        F.when(gone, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("bigint").alias("n_spans"),
+        F.when(gone, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
+    )
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with the repeated bytes taken out of its texts; of a character cut apart nothing stays."""
+    rows = with_rid(docs, id_col)
+    parsed, flags, cuts = _repeats(rows.select("rid", F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
+    copied = flags.join(parsed.where(F.col("n_bytes") >= LENGTH).select("rid"), "rid").select("rid", F.lit("").alias("kept"))
+    part = cuts.join(copied.select("rid"), "rid", "left_anti").select("rid", "kept").mapInArrow(_readable, "rid bigint, kept string")
+    changed = copied.union(part)
+    found = rows.join(changed, "rid", "left").withColumn(text_col, F.coalesce("kept", text_col))
+    return found.select(docs.columns)
+
+
+def _readable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t.decode("utf-8", "ignore") for t in batch.column(1).to_pylist()], pa.string())], ["rid", "kept"])
