@@ -206,7 +206,7 @@ def test_without_repeats(docs, rows):
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 3), max_size=60))
 def test_suffix_order(values):
-    got = suffix.suffix_order(np.array(values, np.int64), 9)
+    got = suffix.suffix_order(np.array(values, np.int64))
     assert got.tolist() == sorted(range(len(values)), key=lambda k: values[k:])
 
 
@@ -262,7 +262,7 @@ def test_crowded_window_anchor(docs, rows, monkeypatch):
 def test_backward_search_counts():
     rng = np.random.default_rng(4)
     text = np.concatenate([rng.integers(1, 4, 300), rng.integers(1, 90, 200)])
-    index = fm_index.FMIndex(text, 9)
+    index = fm_index.FMIndex(text)
     starts = np.arange(len(text) - 4)
     met = Counter(tuple(text[k : k + 5]) for k in starts)
     got, low = index.intervals(text, starts, 5)

@@ -104,9 +104,9 @@ class WaveletMatrix:
 class FMIndex:
     """Backward search over a text of symbols from 1 up; symbol 0 ends it."""
 
-    def __init__(self, text: np.ndarray, depth: int):
+    def __init__(self, text: np.ndarray):
         n, top = len(text), int(text.max()) + 1
-        order = np.concatenate(([n], suffix_order(text, depth)))
+        order = np.concatenate(([n], suffix_order(text)))
         self.matrix = WaveletMatrix(np.where(order > 0, text[order - 1], 0), top.bit_length())
         self.first = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=top))[:-1])) + 1
         self.first[0] = 0
@@ -132,19 +132,17 @@ class FMIndex:
 def later_windows(contents: list[bytes], counts: list[int], places: list[tuple[int, int]], window: int) -> list[np.ndarray]:
     """For each segment (first word at (row, word)) whether each of its windows also starts earlier in the shard."""
     numbers: dict[bytes, int] = {}
-    words = [[numbers.setdefault(w, len(numbers) + 2) for w in c.split()] for c in contents]
+    words = [[numbers.setdefault(w, len(numbers) + len(contents) + 1) for w in c.split()] for c in contents]
     sizes = np.array([len(w) + 1 for w in words])
     firsts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    text = np.concatenate([np.array([*w, 1], np.int64) for w in words])
+    # Each segment ends with a symbol of its own, so no two suffixes are alike beyond it.
+    text = np.concatenate([np.array([*w, k + 1], np.int64) for k, w in enumerate(words)])
     starts = np.concatenate([np.arange(f, f + c) for f, c in zip(firsts, counts)])
     rows = np.repeat([p[0] for p in places], counts)
     at = np.concatenate([np.arange(p[1], p[1] + c) for p, c in zip(places, counts)])
     turn = np.zeros(len(text), np.int64)
     turn[starts[np.lexsort((at, rows))]] = np.arange(len(starts))
-    depth = 1
-    while 3**depth < sizes.max():
-        depth += 1
-    met, low = FMIndex(text, depth).intervals(text, starts, window)
+    met, low = FMIndex(text).intervals(text, starts, window)
     later = np.zeros(len(text), bool)
     if len(met):
         order = np.lexsort((turn[met], low))

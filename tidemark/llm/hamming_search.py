@@ -32,9 +32,9 @@ QUERY_STEP = 20
 
 
 def code_of(vector: Column) -> Column:
-    bit = F.transform(vector, lambda x, k: F.when(x > 0, F.expr("1L").bitwiseOR(F.lit(0).cast("bigint"))).otherwise(F.lit(0).cast("bigint")))
-    placed = F.zip_with(bit, F.transform(vector, lambda x, k: (k % BITS).cast("int")), lambda b, k: F.call_function("shiftleft", b, k))
-    return F.coalesce(F.aggregate(placed, F.lit(0).cast("bigint"), lambda a, b: a.bitwiseXOR(b)), F.lit(0).cast("bigint"))
+    zero = F.lit(0).cast("bigint")
+    bits = F.transform(vector, lambda x, k: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), k % BITS)).otherwise(zero))
+    return F.coalesce(F.aggregate(bits, zero, lambda a, b: a.bitwiseXOR(b)), zero)
 
 
 def segment_bounds(codes: int, bits: int = BITS) -> list[tuple[int, int]]:
@@ -45,13 +45,18 @@ def segment_bounds(codes: int, bits: int = BITS) -> list[tuple[int, int]]:
 
 
 def segment(code: Column, first: int, width: int) -> Column:
-    return F.shiftrightunsigned(code, first).bitwiseAND(F.lit((1 << width) - 1))
+    return F.shiftrightunsigned(code, first).bitwiseAND(F.lit((1 << width) - 1).cast("bigint"))
 
 
 def flips(width: int, radius: int) -> list[int]:
     return [sum(1 << b for b in c) for c in combinations(range(width), radius)]
 
 
+def changed(value: Column, masks: list[int]) -> Column:
+    """The value with each mask's bits changed."""
+    return F.transform(F.array(*[F.lit(m).cast("bigint") for m in masks]), lambda mask: value.bitwiseXOR(mask))
+
+
 def best(found: DataFrame, k: int) -> DataFrame:
     """The k best codes of each query code by distance, then by smallest id: enough for the k best rows."""
     order = Window.partitionBy("q").orderBy("d", "low")
@@ -74,7 +79,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "v
     held = None
     done = []
     for radius in range(max(w for _, w in bounds) + 1):
-        probes = F.array(*[F.struct(F.lit(s).alias("s"), F.transform(F.array(*[F.lit(f).cast("bigint") for f in flips(w, radius)]), lambda x, a=a, w=w: segment(F.col("q"), a, w).bitwiseXOR(x)).alias("keys")) for s, (a, w) in enumerate(bounds) if radius <= w])
+        probes = F.array(*[F.struct(F.lit(s).alias("s"), changed(segment(F.col("q"), a, w), flips(w, radius)).alias("keys")) for s, (a, w) in enumerate(bounds) if radius <= w])
         asking = active.select("q", F.explode(probes).alias("p")).select("q", "p.s", F.explode("p.keys").alias("key"))
         met = asking.join(index, ["s", "key"])
         apart = F.col("q").bitwiseXOR(F.col("code"))

@@ -94,7 +94,7 @@ def scan(docs: DataFrame, templates: list[Template] = TEMPLATES, share: float =
     tried = index
     for k, rare in enumerate(rarest(index, templates)):
         tried = tried.withColumn(f"p{k}", places(templates[k], rare))
-    found = {k: F.filter(f"p{k}", lambda c, k=k: c["keyed"] & (c["share"] >= share)) for k in range(len(templates))}
+    found = {k: F.filter(f"p{k}", lambda c: c["keyed"] & (c["share"] >= share)) for k in range(len(templates))}
     base = [k for k, t in enumerate(templates) if t.base]
     starts = F.transform(F.concat(*[found[k] for k in base]), lambda c: c["start"])
     best = F.array_max(F.transform(F.concat(*[F.col(f"p{k}") for k in range(len(templates))]), lambda c: c["share"]))

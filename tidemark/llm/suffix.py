@@ -11,7 +11,7 @@ has to meet. A segment is a run of string starts that share an anchor, with the
 3. Segments equal as a whole settle all their starts. The other segments of an anchor go, one row for
    each distinct content, to the shard of that anchor.
 4. A shard sorts all suffixes of its segments: it sorts the triples at positions 1 and 2 modulo 3,
-   recurses on their names until they differ (or reach past any segment), merges the suffixes at
+   recurses on their names until they differ, merges the suffixes at
    positions 0 modulo 3, and compares the prefixes of neighbours, byte by byte.
 5. An anchor with more distinct segments than CLASS_ROWS is not sorted in one shard; its strings are
    counted by digest in an ordinary aggregate instead.
@@ -87,8 +87,8 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield record([(c["key"], c["seg"], c["met"], c["cut"], content) for _, c, content in _flat(batch)], CONTENTS)
 
 
-def suffix_order(t: np.ndarray, depth: int) -> np.ndarray:
-    """Positions of t in the order of their suffixes; values are at least 1. Suffixes alike over 3**depth values may stand in any order."""
+def suffix_order(t: np.ndarray) -> np.ndarray:
+    """Positions of t in the order of their suffixes; values are at least 1."""
     n = len(t)
     if n < 4:
         return np.array(sorted(range(n), key=lambda k: t[k:].tolist()), np.int64)
@@ -100,8 +100,8 @@ def suffix_order(t: np.ndarray, depth: int) -> np.ndarray:
     ranked = triples[order]
     names = np.empty(len(sample), np.int64)
     names[order] = np.concatenate(([1], 1 + np.cumsum(ranked[1:] != ranked[:-1])))
-    if depth > 1 and names.max() < len(sample):
-        order = suffix_order(names, depth - 1)
+    if names.max() < len(sample):
+        order = suffix_order(names)
     sampled = sample[order]
     sampled = sampled[sampled < n]
     rank = np.zeros(n + 3, np.int64)
@@ -126,15 +126,13 @@ def repeated_starts(contents: list[bytes], counts: list[int], offs: list[int], k
     blob = np.frombuffer(b"\0".join(contents), np.uint8)
     sizes = np.array([len(c) for c in contents]) + 1
     firsts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    values = blob.astype(np.int64) + 2
-    values[(firsts + sizes - 1)[:-1]] = 1
+    # Each segment but the last ends with a value of its own, so no two suffixes are alike beyond it.
+    values = blob.astype(np.int64) + len(contents) + 1
+    values[(firsts + sizes - 1)[:-1]] = np.arange(1, len(contents))
     owner = np.full(len(values), -1)
     starts = np.concatenate([np.arange(f, f + c) for f, c in zip(firsts, counts)])
     owner[starts] = np.repeat(np.arange(len(contents)), counts)
-    depth = 1
-    while 3**depth < sizes.max():
-        depth += 1
-    order = suffix_order(values, depth)
+    order = suffix_order(values)
     order = order[owner[order] >= 0]
     who = owner[order]
     inside = order - firsts[who] - np.array(offs)[who]

@@ -57,11 +57,12 @@ def rule_of(host: Column, path: Column, rules: tuple) -> tuple[Column, Column]:
 def grams(text: Column, mark: str) -> Column:
     """Character n-grams of the text between two marks; none of an empty text."""
     whole = F.concat(F.lit("<"), text, F.lit(">"))
-    lists = [
-        F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(whole) - n + 1, F.lit(1))), lambda k, n=n: F.concat(F.lit(mark), F.substr(whole, k, F.lit(n))))
-        for n in GRAMS
-    ]
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.concat(*lists))
+
+    def of_size(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.char_length(whole) - n + 1, F.lit(1)))
+        return F.transform(starts, lambda k: F.concat(F.lit(mark), F.substr(whole, k, F.lit(n))))
+
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.concat(*map(of_size, GRAMS)))
 
 
 def with_grams(pages: DataFrame, url_col: str) -> DataFrame:
