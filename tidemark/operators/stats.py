@@ -78,13 +78,17 @@ def removal_draws(trades: DataFrame, counts: DataFrame, by: Sequence[str], draws
     return hit.filter(F.col("__o") <= F.col("k")).groupBy("draw").agg(F.sum(net).alias("removed"), F.count(F.lit(1)).alias("removed_n"))
 
 
-def abstention(trades: DataFrame, k: int, symbol_days: int, draws: int = 100, seed: str = "1", friction: float = 0.0) -> DataFrame:
-    """Quantiles of the per-trade and per-symbol-day change when k random trades are left out."""
+def abstention(trades: DataFrame, k: int | DataFrame, symbol_days: int, draws: int = 100, seed: str = "1", friction: float = 0.0) -> DataFrame:
+    """Quantiles of the per-trade and per-symbol-day change when k random trades are left out.
+
+    k may be a frame of one row and column `k`. Nothing or everything left out gives NULLs.
+    """
     t = trades.withColumn("__n", F.col("net") - friction)
     base = t.agg(F.sum("__n").alias("total"), F.count(F.lit(1)).alias("n"))
-    counts = trades.sparkSession.range(1).select(F.lit(k).cast("bigint").alias("k"))
+    counts = trades.sparkSession.range(1).select(F.lit(k).cast("bigint").alias("k")) if isinstance(k, int) else k
     d = removal_draws(t, counts, [], draws, seed, net="__n").join(F.broadcast(base), how="cross")
-    d = d.select(((F.col("total") - F.col("removed")) / (F.col("n") - k) - F.col("total") / F.col("n")).alias("per_trade"), (-F.col("removed") / symbol_days).alias("per_day"))
+    d = d.filter(F.col("removed_n") < F.col("n"))
+    d = d.select(((F.col("total") - F.col("removed")) / (F.col("n") - F.col("removed_n")) - F.col("total") / F.col("n")).alias("per_trade"), (-F.col("removed") / symbol_days).alias("per_day"))
     p = lambda c, q: F.percentile(c, F.lit(q))
     return d.agg(p("per_trade", 0.05).alias("pt05"), p("per_trade", 0.5).alias("pt50"), p("per_trade", 0.95).alias("pt95"),
                  p("per_day", 0.05).alias("pd05"), p("per_day", 0.5).alias("pd50"), p("per_day", 0.95).alias("pd95"))
@@ -262,7 +266,9 @@ def drop_top(df: DataFrame, value: str, n: int, tie: Sequence[str]) -> DataFrame
 def verdict(base: DataFrame, gated: DataFrame, symbol_days: int, friction: float, margin: float = 1.0, draws: int = 100, min_p: float = 0.9, drop: int = 5) -> DataFrame:
     """PASSES / NOTHING / REFUSED with the failing criteria, as one row.
 
-    Both books carry `half`. REFUSED when the two denominators disagree in sign.
+    Both books carry `half`. REFUSED when the two denominators disagree in sign. The fifth criterion
+    is to beat the 95th percentile of leaving out as many trades at random; it fails when the gate
+    leaves out nothing or everything.
     """
     def sums(df, tag):
         e, l = F.col("half") == "early", F.col("half") == "late"
@@ -276,8 +282,11 @@ def verdict(base: DataFrame, gated: DataFrame, symbol_days: int, friction: float
     dd = drop_top(delta, "delta", drop, ["symbol", "session_date"]).withColumnRenamed("without", "drop_delta")
     db = drop_top(base.withColumn("v", F.col("net") - friction), "v", drop, ["trade_id"]).withColumnRenamed("without", "drop_base")
     dg = drop_top(gated.withColumn("v", F.col("net") - friction), "v", drop, ["trade_id"]).withColumnRenamed("without", "drop_gated")
-    one = sums(base, "b")
-    for part in (sums(gated, "g"), boot, dd, db, dg):
+    sums_b, sums_g = sums(base, "b"), sums(gated, "g")
+    left_out = sums_b.join(F.broadcast(sums_g), how="cross").select(F.greatest(F.col("b_n") - F.col("g_n"), F.lit(0)).alias("k"))
+    chance = abstention(base, left_out, symbol_days, draws, friction=friction).select(F.col("pt95").alias("random_p95"))
+    one = sums_b
+    for part in (sums_g, boot, dd, db, dg, chance):
         one = one.join(F.broadcast(part), how="cross")
     ratio = lambda t, n: F.try_divide(F.col(t), F.col(n))
     one = (
@@ -291,10 +300,11 @@ def verdict(base: DataFrame, gated: DataFrame, symbol_days: int, friction: float
         ("halves", (F.col("early_trade") > 0) & (F.col("late_trade") > 0) & (F.col("early_day") > 0) & (F.col("late_day") > 0)),
         ("drop_top", (F.col("drop_gated") > F.col("drop_base")) & (F.col("drop_delta") > 0)),
         ("bootstrap", F.col("share_positive") >= min_p),
+        ("abstention", F.col("d_per_trade") > F.col("random_p95")),
     ]
     failed = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(n)) for n, ok in checks]))
     word = F.when(empty, "NOTHING").when((F.col("d_per_trade") > 0) != (F.col("d_per_day") > 0), "REFUSED").when(F.size(failed) > 0, "NOTHING").otherwise("PASSES")
-    return one.select("d_per_trade", "d_per_day", "early_trade", "late_trade", "drop_delta", "share_positive", word.alias("verdict"), F.array_join(failed, ",").alias("failed"))
+    return one.select("d_per_trade", "d_per_day", "early_trade", "late_trade", "drop_delta", "share_positive", "random_p95", word.alias("verdict"), F.array_join(failed, ",").alias("failed"))
 
 
 def drawdown_paths(trades: DataFrame, draws: int, seed: str = "1") -> DataFrame:

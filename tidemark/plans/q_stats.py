@@ -241,12 +241,13 @@ view("vnum", """WITH b AS (SELECT count(*) AS n, sum(net - 1) AS t, sum(net - 1)
  g AS (SELECT count(*) AS n, sum(net - 1) AS t, sum(net - 1) FILTER (half = 'early') AS te, sum(net - 1) FILTER (half = 'late') AS tl, count(*) FILTER (half = 'early') AS ne, count(*) FILTER (half = 'late') AS nl FROM gated)
  SELECT g.t / g.n - b.t / b.n AS pt, (g.t - b.t) / 500 AS pd, g.te / g.ne - b.te / b.ne AS et, g.tl / g.nl - b.tl / b.nl AS lt, (g.te - b.te) / 500 AS ed, (g.tl - b.tl) / 500 AS ld,
   (SELECT sum(delta) FROM vdelta) - (SELECT sum(delta) FROM (SELECT delta FROM vdelta ORDER BY delta DESC, symbol, session_date LIMIT 5)) AS dd, b.t - (SELECT sum(v) FROM (SELECT net - 1 AS v FROM halved ORDER BY 1 DESC, trade_id LIMIT 5)) AS db,
-  g.t - (SELECT sum(v) FROM (SELECT net - 1 AS v FROM gated ORDER BY 1 DESC, trade_id LIMIT 5)) AS dg, (SELECT avg(CAST(total > 0 AS INT)) FROM boot_v_d) AS sp FROM b, g""")
+  g.t - (SELECT sum(v) FROM (SELECT net - 1 AS v FROM gated ORDER BY 1 DESC, trade_id LIMIT 5)) AS dg, (SELECT avg(CAST(total > 0 AS INT)) FROM boot_v_d) AS sp,
+  (SELECT quantile_cont((b.t - removed) / (b.n - removed_n) - b.t / b.n, 0.95) FROM (SELECT draw, sum(net - 1) AS removed, count(*) AS removed_n FROM removal_rank, b, g WHERE o <= b.n - g.n GROUP BY draw), b WHERE removed_n < b.n) AS rp FROM b, g""")
 
 
 @query("gate_verdict", "2.15.23 2.20.59 2.20.71", """
-WITH f AS (SELECT *, list_filter([CASE WHEN pt >= 1 AND pd > 0 THEN NULL ELSE 'margin' END, CASE WHEN et > 0 AND lt > 0 AND ed > 0 AND ld > 0 THEN NULL ELSE 'halves' END, CASE WHEN dg > db AND dd > 0 THEN NULL ELSE 'drop_top' END, CASE WHEN sp >= 0.9 THEN NULL ELSE 'bootstrap' END], lambda x: x IS NOT NULL) AS f FROM vnum)
-SELECT @R(pt) AS d_per_trade, @R(pd) AS d_per_day, @R(et) AS early_trade, @R(lt) AS late_trade, @R(dd) AS drop_delta, @R(sp) AS share_positive, CASE WHEN (pt > 0) <> (pd > 0) THEN 'REFUSED' WHEN len(f) > 0 THEN 'NOTHING' ELSE 'PASSES' END AS verdict, array_to_string(f, ',') AS failed FROM f""")
+WITH f AS (SELECT *, list_filter([CASE WHEN pt >= 1 AND pd > 0 THEN NULL ELSE 'margin' END, CASE WHEN et > 0 AND lt > 0 AND ed > 0 AND ld > 0 THEN NULL ELSE 'halves' END, CASE WHEN dg > db AND dd > 0 THEN NULL ELSE 'drop_top' END, CASE WHEN sp >= 0.9 THEN NULL ELSE 'bootstrap' END, CASE WHEN pt > rp THEN NULL ELSE 'abstention' END], lambda x: x IS NOT NULL) AS f FROM vnum)
+SELECT @R(pt) AS d_per_trade, @R(pd) AS d_per_day, @R(et) AS early_trade, @R(lt) AS late_trade, @R(dd) AS drop_delta, @R(sp) AS share_positive, @R(rp) AS random_p95, CASE WHEN (pt > 0) <> (pd > 0) THEN 'REFUSED' WHEN len(f) > 0 THEN 'NOTHING' ELSE 'PASSES' END AS verdict, array_to_string(f, ',') AS failed FROM f""")
 def _(m):
     h = halved(m)
     return T.verdict(h, h.filter("entry_px <= 60"), 500, F0, draws=N)

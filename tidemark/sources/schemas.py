@@ -16,6 +16,11 @@ class Table:
     key: tuple[str, ...]
     partition: str | None = None
 
+    @property
+    def replaces(self) -> tuple[str, ...]:
+        """What one load replaces: its run where rows belong to runs, otherwise the rows of its keys."""
+        return ("run_id",) if "run_id" in self.key else self.key
+
     @property
     def schema(self) -> T.StructType:
         return T.StructType.fromDDL(self.columns)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
@@ -27,10 +28,32 @@ class Store:
             raise ValueError(f"{name}: unknown columns {sorted(extra)}")
         return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
 
+    def held(self, name: str) -> DataFrame | None:
+        """The stored rows, or None before the first load."""
+        try:
+            rows = self.read(name)
+            rows.limit(0).count()
+        except Exception as e:  # noqa: BLE001 - only a missing path means an empty table
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return None
+        return rows
+
     def replace(self, name: str, df: DataFrame) -> None:
-        """Write rows, replacing only the partitions they touch; loading twice changes nothing."""
+        """Write rows in place of those stored for the same run or keys; loading twice changes nothing.
+
+        A partition is rewritten as a whole, so the rows of other keys in the touched partitions are
+        carried over, through a staged copy.
+        """
         t = TABLES[name]
         rows = self.conform(name, df)
+        held = None if t.replaces == (t.partition,) else self.held(name)
+        if held is not None:
+            kept = held.join(rows.select(t.partition).distinct(), t.partition, "left_semi") if t.partition else held
+            kept = kept.join(rows.select(*t.replaces).distinct(), list(t.replaces), "left_anti")
+            staged = f"{self.root}/_staging/{name}-{uuid.uuid4().hex}"
+            kept.select(*rows.columns).unionByName(rows).write.parquet(staged)
+            rows = self.spark.read.schema(t.schema).parquet(staged)
         if t.partition:
             rows = rows.repartition(t.partition, *[k for k in t.key if k != t.partition][:1])
         w = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
@@ -39,12 +62,9 @@ class Store:
     def append(self, name: str, df: DataFrame) -> None:
         """Rows whose key is not stored yet."""
         rows = self.conform(name, df)
-        try:
-            held = self.read(name).select(*TABLES[name].key)
-            rows = rows.join(held, list(TABLES[name].key), "left_anti")
-        except Exception as e:  # noqa: BLE001 - only a missing path means an empty table
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+        held = self.held(name)
+        if held is not None:
+            rows = rows.join(held.select(*TABLES[name].key), list(TABLES[name].key), "left_anti")
         rows.write.mode("append").parquet(self.path(name))
 
     def read(self, name: str) -> DataFrame:
