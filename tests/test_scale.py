@@ -93,7 +93,10 @@ def test_preceding_match_consumes_each_alert_once(spark):
     day = T0.date()
     l = spark.createDataFrame([(k, day, t, i) for k, t, i, _ in left], "k string, d date, ts timestamp, left_id bigint")
     r = spark.createDataFrame([(k, day, t, i) for k, t, i, _ in right], "k string, d date, ts timestamp, right_id bigint")
-    got = {x["lid"]: x["rid"] for x in J.pair_up(l, r, ["k", "d"], 600, mode="preceding").collect()}
+    rows = J.pair_up(l, r, ["k", "d"], 600, mode="preceding").collect()
+    got = {x["lid"]: x["rid"] for x in rows if x["lid"] is not None and x["rid"] is not None}
+    assert sorted(x["lid"] for x in rows if x["lid"] is not None) == sorted(i for _, _, i, _ in left)
+    assert sorted(x["rid"] for x in rows if x["rid"] is not None) == sorted(j for _, _, j, _ in right)
     used, want = set(), {}
     for k, t, i, _ in sorted(left, key=lambda x: (x[1], x[2])):
         c = [(rt, j) for kk, rt, j, _ in right if kk == k and rt <= t and (kk, j) not in used]
@@ -106,14 +109,14 @@ def test_preceding_match_consumes_each_alert_once(spark):
 def test_cap_replay_against_a_plain_replay(spark):
     r = random.Random(2)
     day = T0.date()
-    trades = [(day, f"s{r.randrange(9)}", i, m := r.randrange(0, 60), m + r.randrange(1, 30)) for i in range(200)]
+    trades = [(day, f"s{r.randrange(9)}", i, m := r.randrange(0, 60), m + r.randrange(0, 30)) for i in range(200)]
     df = spark.createDataFrame(trades, "session_date date, symbol string, trade_id bigint, entry_minute int, exit_minute int")
     got = {x["trade_id"] for x in B.replay_cap(df, 3).collect()}
     open_, want = [], set()
     for _, s, i, m, x in sorted(trades, key=lambda t: (t[3], t[1], t[2])):
         open_ = [e for e in open_ if e > m]
         if len(open_) < 3:
-            open_.append(max(x, m + 1))
+            open_.append(x)
             want.add(i)
     assert got == want
 

@@ -201,7 +201,7 @@ def pair_up(
     mode: str = "nearest",
     shards: int = 8,
 ) -> DataFrame:
-    """One-to-one matching per key.
+    """One-to-one matching per key; rows of either side without a partner come with NULLs.
 
     mode 'preceding': left rows in time order take the nearest earlier unused right row.
     mode 'nearest': candidate pairs by (|dt|, left time) are taken while both ends are free.
@@ -213,7 +213,7 @@ def pair_up(
     shard = F.pmod(F.xxhash64(*on), F.lit(shards)).alias("__shard")
     key = F.concat_ws("|", *[F.col(c).cast("string") for c in on]).alias("__key")
     l = left.select(*on, key, shard, F.col(left_id).alias("lid"), micros("ts").alias("lt"))
-    r = right.select(on[-1], key, shard, F.col(right_id).alias("rid"), micros("ts").alias("rt"))
+    r = right.select(*on, key, shard, F.col(right_id).alias("rid"), micros("ts").alias("rt"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in l.select(*on).schema.fields)
 
     def match(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
@@ -231,11 +231,14 @@ def pair_up(
             times, ids, free = rtimes[a:b], rids[a:b], np.ones(b - a, dtype=bool)
             left_rows = list(zip(lp["lt"].to_numpy()[at:to], lp["lid"].to_numpy()[at:to]))
             if mode == "preceding":
+                waiting, seen = [], 0  # the nearest earlier right row is always the last one waiting
                 for t, i in left_rows:
-                    before = np.flatnonzero(free[: np.searchsorted(times, t, side="right")])
-                    if len(before) and t - times[before[-1]] <= span:
-                        free[before[-1]] = False
-                        pairs[i] = (ids[before[-1]], t - times[before[-1]])
+                    while seen < len(times) and times[seen] <= t:
+                        waiting.append(seen)
+                        seen += 1
+                    if waiting and t - times[waiting[-1]] <= span:
+                        j = waiting.pop()
+                        pairs[i] = (ids[j], t - times[j])
                 continue
             near = [
                 (abs(times[j] - t), t, i, j)
@@ -252,7 +255,10 @@ def pair_up(
         return out[[*on, "lid", "rid", "dt_us"]]
 
     groups = [on[-1], "__shard"]
-    return l.groupBy(*groups).cogroup(r.groupBy(*groups)).applyInPandas(match, f"{fields}, lid bigint, rid bigint, dt_us bigint")
+    pairs = l.groupBy(*groups).cogroup(r.groupBy(*groups)).applyInPandas(match, f"{fields}, lid bigint, rid bigint, dt_us bigint")
+    both = pairs.join(l.select(*on, "lid"), [*on, "lid"], "right").select(*pairs.columns)
+    alone = r.join(pairs.select("rid"), "rid", "left_anti").select(*on, F.lit(None).cast("bigint").alias("lid"), "rid", F.lit(None).cast("bigint").alias("dt_us"))
+    return both.unionByName(alone)
 
 
 def left_on_ordinal(df: DataFrame, calendar: DataFrame, offset: int, cols: Sequence[str], prefix: str) -> DataFrame:

@@ -73,32 +73,39 @@ def concurrency(trades: DataFrame, by: Sequence[str] = ("book",)) -> DataFrame:
 
 
 def replay_cap(trades: DataFrame, cap: int, by: Sequence[str] = ("session_date",), tie: Sequence[str] = ("symbol", "trade_id")) -> DataFrame:
-    """Trades an account with `cap` slots would have taken. Exits free a slot before entries of the
-    same minute.
-
-    At most `cap` entries of one minute can be taken whatever is open, so later ones in the written
-    tie order are refused before the replay; what reaches a task is then bounded by minutes x cap.
-    Needs entry_minute and exit_minute; an exit in the entry's own minute frees its slot the next.
+    """Trades an account with `cap` slots would have taken. A slot is held from the entry minute up to
+    the exit minute, so exits free it before entries of the same minute and a trade that ends in its
+    entry minute holds none.
+
+    `by` is the scope of the slots (the session, or session and strategy); `tie` orders the entries of
+    a minute (a strategy's rank first, if it has one). Only how many slots are held when a minute
+    begins has to be replayed, and at most `cap` entries of a minute can change that, so what reaches
+    a task is bounded by minutes x (cap + 1). Needs entry_minute and exit_minute.
     """
     w = Window.partitionBy(*by, "entry_minute").orderBy(*tie)
-    ranked = trades.withColumn("__k", F.row_number().over(w))
-    able = ranked.filter(F.col("__k") <= cap).select(*by, "trade_id", "entry_minute", "exit_minute", "__k")
+    ranked = trades.withColumn("__held", (F.col("exit_minute") > F.col("entry_minute")).cast("int"))
+    ranked = ranked.withColumn("__before", F.coalesce(F.sum("__held").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    able = ranked.filter((F.col("__held") == 1) & (F.col("__before") < cap)).select(*by, F.col("entry_minute").alias("__in"), F.col("exit_minute").alias("__out"), F.col("__before").alias("__turn"))
+    clock = ranked.select(*by, F.col("entry_minute").alias("__in"), F.col("entry_minute").alias("__out"), F.lit(-1).cast("bigint").alias("__turn")).distinct()
     keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in able.select(*by).schema.fields)
 
     def replay(key, g: pd.DataFrame) -> pd.DataFrame:
         import heapq
 
-        open_until: list[int] = []
-        kept = []
-        for m, x, t in sorted(zip(g["entry_minute"], g["exit_minute"], zip(g["__k"], g["trade_id"])), key=lambda r: (r[0], r[2])):
-            while open_until and open_until[0] <= m:
-                heapq.heappop(open_until)
-            if len(open_until) < cap:
-                heapq.heappush(open_until, max(x, m + 1))
-                kept.append((*key, t[1]))
-        return pd.DataFrame(kept, columns=[*by, "trade_id"])
+        held: list[int] = []
+        rows = []
+        for m, ends in g.sort_values(["__in", "__turn"]).groupby("__in")["__out"]:
+            while held and held[0] <= m:
+                heapq.heappop(held)
+            rows.append((*key, m, len(held)))
+            for end in [e for e in ends if e > m][: cap - len(held)]:
+                heapq.heappush(held, end)
+        return pd.DataFrame(rows, columns=[*by, "entry_minute", "__open"])
 
-    return able.groupBy(*by).applyInPandas(replay, f"{keys}, trade_id bigint")
+    kind = dict(trades.dtypes)["entry_minute"]
+    state = able.unionByName(clock).groupBy(*by).applyInPandas(replay, f"{keys}, entry_minute {kind}, __open bigint")
+    taken = ranked.join(state, [*by, "entry_minute"]).filter(F.col("__open") + F.col("__before") < cap)
+    return taken.select(*by, "trade_id")
 
 
 def _landed(trades: DataFrame, scope: Sequence[str], friction: float) -> DataFrame:
@@ -168,9 +175,9 @@ def margin_breaches(trades: DataFrame, curve: DataFrame, margin: float, start: f
     return j.withColumn("breach", (F.col("nights") > 0) & (margin * F.col("qty") > start + F.coalesce("equity", F.lit(0.0))))
 
 
-def largest_size(curve: DataFrame, limit: float, cap: int) -> DataFrame:
+def largest_size(curve: DataFrame, limit: float, cap: int, by: Sequence[str] = ()) -> DataFrame:
     """Largest n <= cap whose n-fold drawdown stays under the limit, 0 if none."""
-    dd = curve.agg(F.max("drawdown").alias("max_drawdown"))
+    dd = curve.groupBy(*by).agg(F.max("drawdown").alias("max_drawdown"))
     n = F.when(F.col("max_drawdown") <= 0, F.lit(cap)).otherwise(F.least(F.lit(cap), F.ceil(F.lit(limit) / F.col("max_drawdown")) - 1))
     return dd.withColumn("size", F.greatest(F.lit(0), n).cast("bigint"))
 

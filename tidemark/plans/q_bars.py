@@ -137,9 +137,9 @@ def _(m):
 
 
 @query("year_table", "2.4.10", """
-SELECT @I(y) AS year, count(date) AS trades, @R(coalesce(sum(close - open), 0)) AS net FROM (SELECT unnest(range(1990, 2005)) AS y) LEFT JOIN daily ON year(date) = y GROUP BY y""")
+SELECT @I(y) AS year, count(date) AS trades, @R(coalesce(sum(close - open), 0)) AS net FROM (SELECT unnest(range(a, b + 1)) AS y FROM (SELECT min(year(date)) AS a, max(year(date)) AS b FROM daily)) LEFT JOIN daily ON year(date) = y GROUP BY y""")
 def _(m):
-    return G.year_table(m.daily().withColumn("net", F.col("close") - F.col("open")), "date", "net", 1990, 2004)
+    return G.year_table(m.daily().withColumn("net", F.col("close") - F.col("open")), "date", "net")
 
 
 @query("cross_tab", "2.4.11", """
@@ -412,18 +412,18 @@ def _(m):
 
 
 @query("plan_crossover", "2.9.7", """
-WITH p AS (SELECT DISTINCT CAST(floor(price) AS DOUBLE) AS price FROM fills WHERE price >= 2), g AS (SELECT price, unnest(range(1, 2001)) AS qty FROM p),
+WITH p AS (SELECT DISTINCT CAST(floor(price) AS DOUBLE) AS price FROM fills), g AS (SELECT price, unnest(range(1, 2001)) AS qty FROM p),
 c AS (SELECT *, least(greatest(0.005::DOUBLE * qty, 1.0), 0.01 * qty * price) AS f, least(greatest(0.0035::DOUBLE * qty, 0.35), 0.01 * qty * price) * (1 + 0.000175::DOUBLE + 0.000563) + 0.003 * qty + 0.0002 * qty AS t FROM g),
 s AS (SELECT *, f <= t AS cheaper, lag(f <= t) OVER (PARTITION BY price ORDER BY qty) AS prev FROM c)
-SELECT @R(price) AS price, @I(min(qty)) AS crossover FROM s WHERE cheaper AND NOT prev GROUP BY price""")
+SELECT @R(price) AS price, @I(min(qty) FILTER (cheaper AND NOT prev)) AS crossover FROM s GROUP BY price""")
 def _(m):
-    prices = m.fills().filter("price >= 2").select(F.floor("price").cast("double").alias("price")).distinct()
+    prices = m.fills().select(F.floor("price").cast("double").alias("price")).distinct()
     grid = prices.withColumn("qty", F.explode(F.sequence(F.lit(1), F.lit(2000))))
     q, p = F.col("qty"), F.col("price")
     cheaper = C.round_trip_cost(q, p, "fixed") <= C.round_trip_cost(q, p, "tiered")
     w = Window.partitionBy("price").orderBy("qty")
     g = grid.withColumn("cheaper", cheaper).withColumn("prev", F.lag("cheaper").over(w))
-    return g.filter("cheaper and not prev").groupBy("price").agg(F.min("qty").alias("crossover"))
+    return g.groupBy("price").agg(F.min(F.when(F.expr("cheaper and not prev"), F.col("qty"))).alias("crossover"))  # NULL: none within 2,000 shares
 
 
 @query("futures_costs", "2.9.8 2.20.152", """
@@ -503,12 +503,11 @@ def _(m):
 @query("report_zone_resolution", "2.9.14", """
 WITH z AS (SELECT unnest(['America/New_York', 'America/Chicago', 'Australia/Sydney', 'UTC']) AS zone), s AS (
  SELECT zone, count(*) AS n, count(*) FILTER (hour((wall AT TIME ZONE zone) AT TIME ZONE 'America/New_York') BETWEEN 4 AND 19 AND CAST((wall AT TIME ZONE zone) AT TIME ZONE 'America/New_York' AS DATE) = session_date) AS fits
- FROM (SELECT session_date, (ts AT TIME ZONE 'UTC') AT TIME ZONE 'Australia/Sydney' AS wall FROM ticks WHERE minute BETWEEN 240 AND 1199), z GROUP BY 1)
+ FROM (SELECT session_date, (ts AT TIME ZONE 'UTC') AT TIME ZONE 'Australia/Sydney' AS wall FROM ticks), z GROUP BY 1)
 SELECT zone, n, fits, CAST(row_number() OVER (ORDER BY fits DESC, zone) = 1 AS BIGINT) AS chosen FROM s""")
 def _(m):
     from tidemark.operators.quality import zone_scores
-    t = m.ticks().filter("minute between 240 and 1199")
-    execs = t.select("session_date", F.from_utc_timestamp("ts", "Australia/Sydney").alias("wall"))
+    execs = m.ticks().select("session_date", F.from_utc_timestamp("ts", "Australia/Sydney").alias("wall"))
     return zone_scores(execs, ["America/New_York", "America/Chicago", "Australia/Sydney", "UTC"])
 
 

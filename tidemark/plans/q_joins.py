@@ -148,14 +148,38 @@ def _(m):
     return M.trades_in_halts(m.ledger(), M.halts(m.status()))
 
 
-@query("match_preceding_alert", "2.3.13")
-def _(m):
-    f = m.fills().withColumn("left_id", F.col("seq"))
-    a = m.quotes().withColumn("right_id", F.col("seq"))
-    return J.pair_up(f, a, ["symbol", "session_date"], TOL, mode="preceding").select("symbol", "lid", "rid", "dt_us")
-
-
-@query("match_nearest_pairs", "2.3.14")
+@query("match_preceding_alert", "2.3.13", """
+WITH RECURSIVE e AS (SELECT symbol, side AS action, session_date, ts, 1 AS o, seq FROM fills UNION ALL SELECT symbol, CASE WHEN seq % 2 = 0 THEN 'BUY' ELSE 'SELL' END, session_date, ts, 0, seq FROM quotes),
+k AS (SELECT *, epoch_us(ts) AS us, row_number() OVER (PARTITION BY symbol, action, session_date ORDER BY ts, o, seq) AS k FROM e),
+r AS (
+ SELECT symbol, action, session_date, k, o, seq, CASE WHEN o = 0 THEN [{'s': seq, 't': us}] ELSE [] END AS waiting, CAST(NULL AS BIGINT) AS rid, CAST(NULL AS BIGINT) AS dt_us FROM k WHERE k = 1
+ UNION ALL
+ SELECT k.symbol, k.action, k.session_date, k.k, k.o, k.seq,
+  CASE WHEN k.o = 0 THEN list_append(r.waiting, {'s': k.seq, 't': k.us}) WHEN len(r.waiting) > 0 AND k.us - r.waiting[-1].t <= 21600000000 THEN r.waiting[1:len(r.waiting) - 1] ELSE r.waiting END,
+  CASE WHEN k.o = 1 AND len(r.waiting) > 0 AND k.us - r.waiting[-1].t <= 21600000000 THEN r.waiting[-1].s END, CASE WHEN k.o = 1 AND len(r.waiting) > 0 AND k.us - r.waiting[-1].t <= 21600000000 THEN k.us - r.waiting[-1].t END
+ FROM r JOIN k ON k.symbol = r.symbol AND k.action = r.action AND k.session_date = r.session_date AND k.k = r.k + 1)
+SELECT symbol, action, @I(seq) AS lid, @I(rid) AS rid, dt_us FROM r WHERE o = 1
+UNION ALL SELECT symbol, action, NULL, @I(seq), NULL FROM k WHERE o = 0 AND seq NOT IN (SELECT rid FROM r WHERE rid IS NOT NULL)""")
+def _(m):
+    f = m.fills().withColumn("left_id", F.col("seq")).withColumn("action", F.col("side"))
+    a = m.quotes().withColumn("right_id", F.col("seq")).withColumn("action", F.when(F.col("seq") % 2 == 0, "BUY").otherwise("SELL"))
+    return J.pair_up(f, a, ["symbol", "action", "session_date"], TOL, mode="preceding").select("symbol", "action", "lid", "rid", "dt_us")
+
+
+@query("match_nearest_pairs", "2.3.14", """
+WITH RECURSIVE c AS (
+ SELECT l.symbol, l.session_date, l.seq AS lid, s.seq AS rid, epoch_us(s.ts) - epoch_us(l.ts) AS dt, row_number() OVER (PARTITION BY l.symbol, l.session_date ORDER BY abs(epoch_us(s.ts) - epoch_us(l.ts)), l.ts, l.seq, s.ts, s.seq) AS k
+ FROM fills l JOIN fills s ON l.symbol = s.symbol AND l.session_date = s.session_date AND l.side = 'BUY' AND s.side = 'SELL' AND abs(epoch_us(s.ts) - epoch_us(l.ts)) <= 21600000000),
+r AS (
+ SELECT symbol, session_date, k, lid, rid, dt, TRUE AS took, [lid] AS ls, [rid] AS rs FROM c WHERE k = 1
+ UNION ALL
+ SELECT c.symbol, c.session_date, c.k, c.lid, c.rid, c.dt, NOT list_contains(r.ls, c.lid) AND NOT list_contains(r.rs, c.rid),
+  CASE WHEN NOT list_contains(r.ls, c.lid) AND NOT list_contains(r.rs, c.rid) THEN list_append(r.ls, c.lid) ELSE r.ls END, CASE WHEN NOT list_contains(r.ls, c.lid) AND NOT list_contains(r.rs, c.rid) THEN list_append(r.rs, c.rid) ELSE r.rs END
+ FROM r JOIN c ON c.symbol = r.symbol AND c.session_date = r.session_date AND c.k = r.k + 1),
+p AS (SELECT * FROM r WHERE took)
+SELECT symbol, @I(lid) AS lid, @I(rid) AS rid, @I(dt) AS dt_us FROM p
+UNION ALL SELECT symbol, @I(seq), NULL, NULL FROM fills WHERE side = 'BUY' AND seq NOT IN (SELECT lid FROM p)
+UNION ALL SELECT symbol, NULL, @I(seq), NULL FROM fills WHERE side = 'SELL' AND seq NOT IN (SELECT rid FROM p)""")
 def _(m):
     f = m.fills()
     live = f.filter("side = 'BUY'").withColumn("left_id", F.col("seq"))

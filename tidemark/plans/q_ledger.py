@@ -183,10 +183,17 @@ def _(m):
     return non_overlapping(t, "a", "b", ["symbol"]).select("trade_id")
 
 
-@query("concurrency_cap_replay", "2.14.2 2.20.54")
+@query("concurrency_cap_replay", "2.14.2 2.20.54", """
+WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY session_date ORDER BY m, symbol, trade_id) AS k FROM (SELECT session_date, symbol, trade_id, CAST(floor(epoch(entry_ts) / 60) AS BIGINT) AS m, CAST(floor(epoch(exit_ts) / 60) AS BIGINT) AS x FROM ledger)),
+r AS (
+ SELECT session_date, k, trade_id, TRUE AS took, [x] AS held FROM o WHERE k = 1
+ UNION ALL
+ SELECT o.session_date, o.k, o.trade_id, len(list_filter(r.held, lambda e: e > o.m)) < 2, CASE WHEN len(list_filter(r.held, lambda e: e > o.m)) < 2 THEN list_append(list_filter(r.held, lambda e: e > o.m), o.x) ELSE list_filter(r.held, lambda e: e > o.m) END
+ FROM r JOIN o ON o.session_date = r.session_date AND o.k = r.k + 1)
+SELECT @D(session_date) AS session_date, @I(trade_id) AS trade_id FROM r WHERE took""")
 def _(m):
-    day = m.ledger().filter("exit_date = session_date")
-    return B.replay_cap(day, 2)
+    minute = lambda c: F.floor(F.unix_micros(c) / 60_000_000).cast("bigint")
+    return B.replay_cap(m.ledger().withColumn("entry_minute", minute("entry_ts")).withColumn("exit_minute", minute("exit_ts")), 2)
 
 
 view("landed", """SELECT *, greatest(0, max(realised) OVER (PARTITION BY session_date ORDER BY exit_ts, entry_ts, trade_id ROWS UNBOUNDED PRECEDING)) AS peak FROM (SELECT *, sum(net - 1) OVER (PARTITION BY session_date ORDER BY exit_ts, entry_ts, trade_id ROWS UNBOUNDED PRECEDING) AS realised FROM ledger)""")
@@ -235,9 +242,9 @@ def _(m):
 
 
 @query("largest_position", "2.14.7", """
-WITH d AS (SELECT max(peak - equity) AS dd FROM equity WHERE book = 'even') SELECT @R(dd) AS max_drawdown, @I(greatest(0, least(10, ceil(40000 / dd) - 1))) AS size FROM d""")
+WITH d AS (SELECT book, max(peak - equity) AS dd FROM equity GROUP BY 1) SELECT book, @R(dd) AS max_drawdown, @I(CASE WHEN dd <= 0 THEN 10 ELSE greatest(0, least(10, ceil(40000 / dd) - 1)) END) AS size FROM d""")
 def _(m):
-    return B.largest_size(B.equity_curve(book(m).filter("book = 'even'")), 40000.0, 10)
+    return B.largest_size(B.equity_curve(book(m)), 40000.0, 10, ["book"])
 
 
 @query("void_split_spans", "2.14.9", """

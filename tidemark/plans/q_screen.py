@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import clock, predicates as P
-from tidemark.operators import bars, populations as O, recursive as R, screen as S, windows as W
+from tidemark.operators import bars, populations as O, recursive as R, rollups, screen as S, windows as W
 from tidemark.plans.registry import query, view
 
 D = "PARTITION BY symbol ORDER BY date"
@@ -183,12 +183,12 @@ def _(m):
 
 
 @query("cold_session_gate", "2.2.18", """
-WITH d AS (SELECT session_date, count(*) AS n, count(*) < avg(count(*)) OVER () AS cold FROM bars5 GROUP BY 1)
+WITH n AS (SELECT session_date, count(*) AS n FROM bars5 GROUP BY 1), d AS (SELECT session_date, coalesce(lag(n) OVER (ORDER BY session_date) < avg(n) OVER (ORDER BY session_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS cold FROM n)
 SELECT b.symbol, @I(minute < 420 OR NOT cold) AS gate, count(*) AS n FROM bars5 b JOIN d USING (session_date) GROUP BY 1, 2""")
 def _(m):
     b = m.bars()
     days = b.groupBy("session_date").agg(F.count(F.lit(1)).alias("n"))
-    cold = days.select("session_date", (F.col("n") < F.avg("n").over(Window.partitionBy())).alias("cold"))
+    cold = days.select("session_date", rollups.below_earlier_mean("n", "session_date").alias("cold"))
     gated = b.join(F.broadcast(cold), "session_date").withColumn("gate", P.cold_gate(F.col("minute"), F.col("cold")))
     return gated.groupBy("symbol", "gate").agg(F.count(F.lit(1)).alias("n"))
 

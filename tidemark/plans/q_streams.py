@@ -1,12 +1,14 @@
 """Streaming jobs drained over the events table (2.18), the scan rows (2.1) and the rule surface (2.19)."""
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import clock
 from tidemark.operators import rules
 from tidemark.plans.q_screen import screen_list
-from tidemark.plans.registry import query, view
+from tidemark.plans.registry import TABLES, query, view
 from tidemark.sources import readers
 from tidemark.streaming import jobs as J
 
@@ -200,10 +202,10 @@ def _(m):
     return m.table("events").select(F.col("event_id").alias("seq"), j["k"].alias("k"))
 
 
-@query("table_counts", "2.1.22", "SELECT 'orders' AS \"table\", count(*) AS n FROM orders UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'lineitem', count(*) FROM lineitem")
+@query("table_counts", "2.1.22", " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS n FROM {t}" for t in TABLES))
 def _(m):
-    parts = [m.table(t).agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("table"), "n") for t in ("orders", "events", "lineitem")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    parts = [m.table(t).agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("table"), "n") for t in TABLES]
+    return reduce(DataFrame.unionByName, parts)
 
 
 # ---- rule surface (2.19)
@@ -235,10 +237,10 @@ def _(m):
     return rules.map_sessions(m.bars(), day, "symbol string, session_date date, bars bigint, day_return double")
 
 
-@query("store_as_views", "2.19.5", "SELECT symbol, count(*) AS n FROM daily GROUP BY 1 ORDER BY n DESC, symbol LIMIT 20")
+@query("store_as_views", "2.19.5", "SELECT symbol, count(*) AS n FROM daily GROUP BY 1")
 def _(m):
     m.daily().createOrReplaceTempView("bars_daily")
-    return m.spark.sql("SELECT symbol, count(*) AS n FROM bars_daily GROUP BY symbol ORDER BY n DESC, symbol LIMIT 20")
+    return m.spark.sql("SELECT symbol, count(*) AS n FROM bars_daily GROUP BY symbol")
 
 
 @query("row_generators", "2.19.7", """

@@ -31,12 +31,12 @@ def _(m):
 
 
 @query("study_regime", "2.20.44 2.20.64 2.20.11", f"""
-WITH d AS (SELECT session_date, count(*) AS n FROM bars5 GROUP BY 1), q AS (SELECT *, lag(n) OVER (ORDER BY session_date) AS y, avg(n) OVER () AS a FROM d)
+WITH d AS (SELECT session_date, count(*) AS n FROM bars5 GROUP BY 1), q AS (SELECT *, lag(n) OVER (ORDER BY session_date) AS y, avg(n) OVER (ORDER BY session_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a FROM d)
 SELECT CASE WHEN y IS NULL THEN 'unrated' WHEN y > a THEN 'hot' ELSE 'cold' END AS regime, {CELL} FROM ledger JOIN q USING (session_date) GROUP BY 1""")
 def _(m):
     d = m.bars().groupBy("session_date").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy()
-    d = d.withColumn("y", F.lag("n").over(w.orderBy("session_date"))).withColumn("a", F.avg("n").over(w))
+    w = Window.partitionBy().orderBy("session_date")
+    d = d.withColumn("y", F.lag("n").over(w)).withColumn("a", F.avg("n").over(w.rowsBetween(Window.unboundedPreceding, -1)))
     label = F.when(F.col("y").isNull(), "unrated").when(F.col("y") > F.col("a"), "hot").otherwise("cold")
     return S.book_table(m.ledger().join(F.broadcast(d.select("session_date", label.alias("regime"))), "session_date"), ["regime"], F0)
 
