@@ -98,13 +98,23 @@ def segments(df: DataFrame, by=("symbol",), order: str = "ordinal", code: str |
 
 def missing_sessions(calendar: DataFrame, rows: DataFrame, by: Sequence[str] = ("symbol",), date: str = "date") -> DataFrame:
     """Sessions inside each key's own span that have no row, with the share missing per year."""
-    span = rows.groupBy(*by).agg(F.min(date).alias("lo"), F.max(date).alias("hi"))
     days = calendar.select(date).distinct()
-    want = span.join(days, (days[date] >= F.col("lo")) & (days[date] <= F.col("hi"))).select(*by, date)
-    have = rows.select(*by, date).distinct().withColumn("__has", F.lit(1))
-    return want.join(have, [*by, date], "left").groupBy(*by, F.year(date).alias("year")).agg(
-        F.count(F.lit(1)).alias("sessions"), F.count(F.when(F.col("__has").isNull(), 1)).alias("missing")
-    ).withColumn("missing_share", F.col("missing") / F.col("sessions"))
+    ends = days.agg(F.min(date).alias("from"), F.max(date).alias("to")).filter("`from` is not null")
+    # Sessions up to each day of the calendar: the sessions of a span are a difference of two of them.
+    w = Window.partitionBy().orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    upto = ends.select(F.explode(F.sequence(F.date_sub("from", 1), "to")).alias("day")).join(days.select(F.col(date).alias("day"), F.lit(1).alias("one")), "day", "left")
+    upto = upto.select("day", F.coalesce(F.sum("one").over(w), F.lit(0)).alias("upto"))
+    span = rows.groupBy(*by).agg(F.min(date).alias("lo"), F.max(date).alias("hi")).join(F.broadcast(ends), how="cross")
+    years = span.withColumn("year", F.explode(F.sequence(F.year("lo"), F.year("hi"))))
+    inside = lambda d: F.greatest(F.least(d, F.col("to")), F.date_sub("from", 1))
+    first = inside(F.date_sub(F.greatest(F.col("lo"), F.make_date("year", F.lit(1), F.lit(1))), 1))
+    last = inside(F.least(F.col("hi"), F.make_date("year", F.lit(12), F.lit(31))))
+    years = years.select(*by, "year", first.alias("first"), last.alias("last"))
+    years = years.join(upto.select(F.col("day").alias("first"), F.col("upto").alias("__a")), "first").join(upto.select(F.col("day").alias("last"), F.col("upto").alias("__b")), "last")
+    have = rows.select(*by, date).distinct().join(days, date).groupBy(*by, F.year(date).alias("year")).agg(F.count(F.lit(1)).alias("__n"))
+    out = years.join(have, [*by, "year"], "left").withColumn("sessions", F.col("__b") - F.col("__a")).filter("sessions > 0")
+    out = out.withColumn("missing", F.col("sessions") - F.coalesce("__n", F.lit(0)))
+    return out.select(*by, "year", "sessions", "missing", (F.col("missing") / F.col("sessions")).alias("missing_share"))
 
 
 def reject_sample(rejects: DataFrame, selected: DataFrame, n: int, date: str = "date", seed: str = "0") -> DataFrame:

@@ -169,10 +169,19 @@ def rebuilt_minutes(minutes: DataFrame, folded: DataFrame) -> DataFrame:
         "state", F.when(F.col("a").isNull(), "missing").when(F.col("b").isNull(), "extra").when((F.col("a") != F.col("b")) | (F.col("va") != F.col("vb")), "differs").otherwise("same"))
 
 
-def content_hash(df: DataFrame) -> DataFrame:
-    """Order-independent identity of a table: row count and the sum of row digests."""
-    h = F.xxhash64(*[F.col(c) for c in sorted(df.columns)]).cast("decimal(38,0)")
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(h).cast("string").alias("digest"))
+def content_hash(df: DataFrame, scale: int = 10_000) -> DataFrame:
+    """Order-independent identity of a table: row count and the sum of the rows' md5 digests.
+
+    Columns go in by name; fractions as whole multiples of 1/scale, so that every engine prints them
+    alike, and NULL as an empty text.
+    """
+    def text(name: str, kind: str) -> Column:
+        value = F.col(name)
+        return F.coalesce((F.round(value * scale).cast("bigint") if kind in ("double", "float") else value).cast("string"), F.lit(""))
+
+    kinds = dict(df.dtypes)
+    digest = F.conv(F.substring(F.md5(F.concat_ws("|", *[text(c, kinds[c]) for c in sorted(df.columns)])), 1, 12), 16, 10)
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(digest.cast("decimal(20,0)")).cast("decimal(38,0)").cast("string").alias("digest"))
 
 
 def statuses(fills: DataFrame, by: Sequence[str]) -> DataFrame:

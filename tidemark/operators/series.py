@@ -191,9 +191,15 @@ def roll_schedule(contracts: DataFrame, sessions: DataFrame, offset: int = 5) ->
 
     contracts: root, contract, expiry. sessions: date, ordinal.
     """
-    s = F.broadcast(sessions.select("date", "ordinal"))
-    at = contracts.join(s, F.col("date") >= F.col("expiry")).groupBy("root", "contract", "expiry").agg(F.min("ordinal").alias("k"))
-    r = F.broadcast(sessions.select(F.col("date").alias("roll"), (F.col("ordinal") + offset).alias("k")))
+    s = sessions.select("date", "ordinal")
+    ends = s.agg(F.min("date").alias("lo"), F.max("date").alias("hi")).filter("lo is not null")
+    # Every day of the calendar with the session at or after it, so that an expiry is an equal key.
+    days = ends.select(F.explode(F.sequence("lo", "hi")).alias("date")).join(s, "date", "left")
+    ahead = Window.partitionBy().orderBy("date").rowsBetween(0, Window.unboundedFollowing)
+    days = days.select(F.col("date").alias("day"), F.first("ordinal", ignorenulls=True).over(ahead).alias("k"))
+    at = contracts.join(F.broadcast(ends.select("lo")), how="cross").withColumn("day", F.greatest("expiry", "lo"))
+    at = at.join(days, "day").select("root", "contract", "expiry", "k").distinct()
+    r = s.select(F.col("date").alias("roll"), (F.col("ordinal") + offset).alias("k"))
     return at.join(r, "k").select("root", "contract", "expiry", "roll")
 
 
@@ -250,13 +256,14 @@ def roll_volume_share(series: DataFrame, volumes: DataFrame) -> DataFrame:
     return own.join(v, ["root", "date"]).select("root", "date", "contract", F.try_divide(F.coalesce("volume", F.lit(0)), F.col("root_volume")).alias("share"))
 
 
-def roll_legs(trades: DataFrame, series: DataFrame) -> DataFrame:
-    """Contract changes in (entry, exit] as a difference of running roll counts."""
-    w = Window.partitionBy("root").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    c = series.select("root", "date", F.sum(F.col("rolled").cast("int")).over(w).alias("rolls"))
-    a = trades.join(c.select("root", F.col("date").alias("entry_date"), F.col("rolls").alias("__a")), ["root", "entry_date"])
-    b = a.join(c.select("root", F.col("date").alias("exit_date"), F.col("rolls").alias("__b")), ["root", "exit_date"])
-    return b.withColumn("roll_legs", F.col("__b") - F.col("__a")).drop("__a", "__b")
+def roll_legs(series: DataFrame, ahead: int) -> DataFrame:
+    """Contract changes in (entry, exit] for an exit `ahead` rows after each entry: a difference of
+    running roll counts, both read in one pass."""
+    w = Window.partitionBy("root").orderBy("date")
+    n = series.select("root", "date", F.sum(F.col("rolled").cast("int")).over(w).alias("n"))
+    legs = n.select("root", F.col("date").alias("entry_date"), F.lead("date", ahead).over(w).alias("exit_date"), (F.lead("n", ahead).over(w) - F.col("n")).alias("roll_legs"))
+    return legs.filter("exit_date is not null")
+
 
 
 def tranche_book(series: DataFrame, signal: str, vol: str, equity: float, target: float = 0.1, tranches: int = 5, point_value: float = 1.0, sessions: DataFrame | None = None) -> DataFrame:

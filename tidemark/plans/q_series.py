@@ -114,8 +114,10 @@ view("contract_px", """SELECT d.symbol AS root, c.contract, d.date, d.close * (1
 
 def contract_px(m):
     d = m.daily().filter("volume % 17 <> 0").withColumnRenamed("symbol", "root")
-    ahead = F.year("expiry") * 4 + F.quarter("expiry") - F.year("date") * 4 - F.quarter("date")
-    j = d.join(contracts(m), "root").withColumn("ahead", ahead).filter((F.col("date") < F.col("expiry")) & (F.col("ahead") <= 2))
+    quarter = lambda d: F.year(d) * 4 + F.quarter(d)
+    # A day has prices of the contracts that expire in its quarter and the next two.
+    d = d.withColumn("ahead", F.explode(F.array(*map(F.lit, range(3))))).withColumn("expires", quarter("date") + F.col("ahead"))
+    j = d.join(contracts(m).withColumn("expires", quarter("expiry")), ["root", "expires"]).filter(F.col("date") < F.col("expiry"))
     return j.select("root", "contract", "date", (F.col("close") * (1 + 0.01 * F.col("ahead"))).alias("close"), F.floor(F.col("volume") / (1 + F.col("ahead"))).alias("volume"))
 
 
@@ -153,13 +155,10 @@ def _(m):
 
 
 @query("roll_legs", "2.10.12", """
-WITH c AS (SELECT root, date, sum(CAST(rolled AS INT)) OVER (PARTITION BY root ORDER BY date) AS n, lead(date, 40) OVER (PARTITION BY root ORDER BY date) AS x FROM held_series)
-SELECT a.root, @D(a.date) AS entry_date, @D(b.date) AS exit_date, @I(b.n - a.n) AS roll_legs FROM c a JOIN c b ON b.root = a.root AND b.date = a.x""")
+WITH c AS (SELECT root, date, sum(CAST(rolled AS INT)) OVER (PARTITION BY root ORDER BY date) AS n FROM held_series), x AS (SELECT root, date, lead(date, 40) OVER w AS exit_date, lead(n, 40) OVER w - n AS legs FROM c WINDOW w AS (PARTITION BY root ORDER BY date))
+SELECT root, @D(date) AS entry_date, @D(exit_date) AS exit_date, @I(legs) AS roll_legs FROM x WHERE exit_date IS NOT NULL""")
 def _(m):
-    s = held_rows(m)
-    x = F.lead("date", 40).over(Window.partitionBy("root").orderBy("date"))
-    t = s.select("root", F.col("date").alias("entry_date"), x.alias("exit_date")).filter("exit_date is not null")
-    return Y.roll_legs(t, s).select("root", "entry_date", "exit_date", "roll_legs")
+    return Y.roll_legs(held_rows(m), 40)
 
 
 view("trend_inputs", """WITH s AS (SELECT *, sign(cont - lag(cont, 60) OVER (PARTITION BY root ORDER BY date)) AS sg, CASE WHEN count(ret) OVER w = 30 THEN stddev_pop(ret) OVER w * sqrt(252) END AS vol FROM held_series WINDOW w AS (PARTITION BY root ORDER BY date ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)) SELECT * FROM s""")
@@ -303,9 +302,11 @@ def _(m):
     return m.fills().select("symbol", F.to_date(et).alias("session_date")).distinct()
 
 
-@query("content_hash", "2.17.15")
+@query("content_hash", "2.17.15", """
+WITH d AS (SELECT CAST('0x' || substr(md5(concat_ws('|', CAST(CAST(round(close * 10000) AS BIGINT) AS VARCHAR), CAST(date AS VARCHAR), CAST(CAST(round(high * 10000) AS BIGINT) AS VARCHAR), CAST(CAST(round(low * 10000) AS BIGINT) AS VARCHAR), CAST(CAST(round(open * 10000) AS BIGINT) AS VARCHAR), symbol, CAST(volume AS VARCHAR))), 1, 12) AS BIGINT) AS h FROM daily)
+SELECT count(*) AS n_rows, CAST(sum(CAST(h AS HUGEINT)) AS VARCHAR) AS digest FROM d""")
 def _(m):
-    return Q.content_hash(m.daily())
+    return Q.content_hash(m.daily().select("close", "date", "high", "low", "open", "symbol", "volume"))
 
 
 @query("fill_statuses", "2.17.16", """

@@ -190,7 +190,12 @@ def _(m):
     return X.framing_gate(st).select("symbol", "date", "keep", "reason")
 
 
-@query("squeeze_states", "2.12.18 2.20.136")
+@query("squeeze_states", "2.12.18 2.20.136", f"""
+WITH b AS (SELECT *, CASE WHEN count(*) OVER w = 20 THEN avg(close) OVER w END AS mid, CASE WHEN count(*) OVER w = 20 THEN stddev_pop(close) OVER w END AS sd FROM daily WINDOW w AS ({D} ROWS 19 PRECEDING)),
+c AS (SELECT *, round(4 * sd / mid, 9) AS rw FROM b), d AS (SELECT *, list_filter(list(rw) OVER ({D} ROWS 49 PRECEDING), lambda x: x IS NOT NULL) AS ws FROM c),
+q AS (SELECT *, coalesce(CASE WHEN rw IS NOT NULL AND len(ws) = 50 THEN len(list_filter(ws, lambda x: x <= rw)) / len(ws) END <= 0.2, false) AS sq, row_number() OVER ({D}) AS k FROM d),
+e AS (SELECT *, sum(CAST(fresh AS INT)) OVER ({D}) AS episode, max(k) FILTER (sq) OVER ({D}) AS seen FROM (SELECT *, sq AND NOT coalesce(lag(sq) OVER ({D}), false) AS fresh FROM q))
+SELECT symbol, @D(date) AS date, @I(episode) AS episode, CASE WHEN sq THEN 'squeeze' WHEN k - seen <= 10 AND close > mid + 2 * sd THEN 'trend_up' WHEN k - seen <= 10 AND close < mid - 2 * sd THEN 'trend_down' WHEN k - seen <= 10 THEN 'armed' ELSE 'mean_revert' END AS state FROM e""")
 def _(m):
     return X.squeeze_states(W.bollinger(m.daily())).select("symbol", "date", "episode", "state")
 
