@@ -3,7 +3,7 @@
 import bisect
 import hashlib
 import random
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 import numpy as np
 import pytest
@@ -121,30 +121,47 @@ def test_cap_replay_against_a_plain_replay(spark):
     assert got == want
 
 
-def test_compounding_days_chain_as_a_plain_account(spark):
+def test_compounding_against_a_plain_account(spark):
     r = random.Random(4)
-    rows, i = [], 0
-    for d in range(5):
-        day = (T0 + timedelta(days=d)).date()
-        for _ in range(12):
-            m = r.randrange(0, 30)
-            rows.append((day, day, f"s{r.randrange(5)}", i, m, m + r.randrange(1, 20), r.uniform(-20, 20), 10, 20.0))
-            i += 1
-    df = spark.createDataFrame(rows, "session_date date, exit_date date, symbol string, trade_id bigint, entry_minute int, exit_minute int, net double, qty bigint, entry_px double")
-    got = {x["session_date"]: x["equity"] for x in B.compound_by_day(df, [(0.25, 0.5)], 1000.0).collect()}
-    equity = 1000.0
-    for d in sorted({x[0] for x in rows}):
-        start, held, used, gain = equity, [], 0.0, 0.0
-        for x in sorted((x for x in rows if x[0] == d), key=lambda x: (x[4], x[2], x[3])):
-            used -= sum(a for e, a in held if e <= x[4])
-            held = [(e, a) for e, a in held if e > x[4]]
-            budget = min(0.25 * start, 0.5 * start - used)
-            if budget > 1e-9:
-                held.append((max(x[5], x[4] + 1), budget))
-                used += budget
-                gain += budget * x[6] / (x[7] * x[8])
-        equity = start + gain
-        assert got[d] == pytest.approx(equity)
+    rows = []
+    for i in range(160):
+        start = T0 + timedelta(minutes=r.randrange(0, 6000))
+        rows.append(("ab"[i % 2], f"s{r.randrange(5)}", i, start, start + timedelta(minutes=r.choice((0, 5, 40, 3000))), r.uniform(5, 400), 10, r.uniform(-900, 800), r.choice((None, 300.0, 4000.0, 1e6))))
+    df = spark.createDataFrame(rows, "book string, symbol string, trade_id bigint, entry_ts timestamp, exit_ts timestamp, entry_px double, qty bigint, net double, dollar_volume double")
+    cells = [(0.6, 1.0), (0.1, 0.3), (0.02, 1.0)]
+    got = {(x["book"], x["per"], x["total"]): x for x in B.compounding(df, cells, 1000.0, volume_share=0.5).collect()}
+    seen = set()
+    for name in "ab":
+        for per, total in cells:
+            cash, open_, count, peak, worst = 1000.0, [], dict.fromkeys(("taken", "concurrency", "ruined", "too_small", "capped"), 0), 1000.0, 0.0
+            mine = sorted((x for x in rows if x[0] == name), key=lambda x: (x[3], x[1], x[4], x[2]))
+            for x in [*mine, None]:
+                for p in sorted((p for p in open_ if x is None or p[0] <= x[3]), key=lambda p: p[0]):
+                    open_.remove(p)
+                    cash += p[2]
+                    peak = max(peak, cash)
+                    worst = max(worst, (peak - cash) / peak)
+                if x is None:
+                    break
+                used = sum(p[1] for p in open_)
+                room = min(per * cash, total * cash - used, cash - used)
+                want = int(room // x[5]) if room > 0 else 0
+                limit = int(0.5 * x[8] // x[5]) if x[8] else want
+                if cash <= 0:
+                    count["ruined"] += 1
+                elif room <= 0 or (want < 1 and limit >= want and used > 0):
+                    count["concurrency"] += 1
+                elif min(want, limit) < 1:
+                    count["too_small"] += 1
+                else:
+                    count["taken"] += 1
+                    count["capped"] += limit < want
+                    open_.append((x[4], min(want, limit) * x[5], min(want, limit) * x[7] / x[6]))
+            row = got[name, per, total]
+            assert {c: row[c] for c in count} == count
+            assert row["final"] == pytest.approx(cash) and row["max_drawdown"] == pytest.approx(worst)
+            seen |= {c for c in count if count[c]}
+    assert {"taken", "concurrency", "too_small", "capped"} <= seen
 
 
 def test_auc_equals_pair_counting(spark):
@@ -161,3 +178,15 @@ def test_buckets_refuse_an_edge_inside_equal_values(spark):
     assert T.quantile_buckets(df, "v", 4, "net").count() == 0
     ok = spark.createDataFrame([(float(i), float(i % 2)) for i in range(40)], "v double, net double")
     assert [r["n"] for r in T.quantile_buckets(ok, "v", 4, "net").orderBy("bucket").collect()] == [10, 10, 10, 10]
+
+
+def test_verdict_needs_to_beat_random_removal(spark):
+    """Half of the symbols lose and the gate leaves out one trade at random: four readings can pass, the fifth cannot."""
+    rows = [(i, f"s{i % 20}", date(2024, 1, 1) + timedelta(days=i // 20), "early" if i < 100 else "late", 50.0 if i % 2 else -50.0) for i in range(200)]
+    base = spark.createDataFrame(rows, "trade_id bigint, symbol string, session_date date, half string, net double")
+    few = T.verdict(base, base.filter("trade_id not in (0, 2, 100, 102)"), 200, 0.0, margin=0.0, draws=20, min_p=0.0, drop=0).first()
+    assert few["failed"] == "abstention" or few["d_per_trade"] > few["random_p95"]
+    all_losers = T.verdict(base, base.filter("net > 0"), 200, 0.0, draws=20).first()
+    assert all_losers["d_per_trade"] > all_losers["random_p95"] and all_losers["verdict"] == "PASSES"
+    same = T.verdict(base, base, 200, 0.0, draws=20).first()
+    assert same["random_p95"] is None and "abstention" in same["failed"]

@@ -182,41 +182,81 @@ def largest_size(curve: DataFrame, limit: float, cap: int, by: Sequence[str] = (
     return dd.withColumn("size", F.greatest(F.lit(0), n).cast("bigint"))
 
 
-def compound_by_day(trades: DataFrame, cells: Sequence[tuple[float, float]], capital: float) -> DataFrame:
-    """Equity of an account that spends a share of its start-of-day equity per trade, up to a total
-    share at once, in each (per-trade, total) cell.
-
-    With fractional shares every amount in a day is a multiple of the day's opening equity, so each
-    (cell, day) is replayed on its own as a return and days are chained by a running product; no
-    task sees more than a day. Minutes pre-cut as in `replay_cap`: at most total/per entries of a
-    minute can be funded.
+def compounding(trades: DataFrame, cells: Sequence[tuple[float, float]], capital: float, by: Sequence[str] = ("book",), volume_share: float = 1.0) -> DataFrame:
+    """One account per (by, cell) that compounds: what it took, what it skipped and why, final equity,
+    worst drawdown as a share of the peak.
+
+    A cell is (most of equity one position may take, most that may be deployed at once), as shares of
+    the equity at the entry. Positions are whole shares held to their exits, over sessions too; exits
+    at or before an entry land first. Skips: `concurrency` (no budget left, or too small while others
+    are open), `ruined` (no equity), `too_small`. With a column `dollar_volume`, a position takes at most
+    `volume_share` of it; `capped` counts those taken so.
+
+    An account is one sequence: each share count depends on all before it. Its rows are sorted into
+    one partition and folded as they stream, so a task holds the open positions and a batch of rows.
+    Needs entry_ts, exit_ts, symbol, trade_id, entry_px, qty, net.
     """
     grid = F.array(*[F.struct(F.lit(float(a)).alias("per"), F.lit(float(b)).alias("total")) for a, b in cells])
-    t = trades.filter(F.col("exit_date") == F.col("session_date")).withColumn("__c", F.explode(grid)).select(
-        "session_date", "trade_id", "symbol", "entry_minute", "exit_minute", "__c.per", "__c.total", F.try_divide(F.col("net"), F.col("qty") * F.col("entry_px")).alias("ret"))
-    w = Window.partitionBy("per", "total", "session_date", "entry_minute").orderBy("symbol", "trade_id")
-    t = t.withColumn("__k", F.row_number().over(w)).filter(F.col("__k") <= F.ceil(F.col("total") / F.col("per") + 1e-9) + 1)
-
-    def day(key, g: pd.DataFrame) -> pd.DataFrame:
+    cap = F.when(F.col("dollar_volume") > 0, F.floor(F.col("dollar_volume") * volume_share / F.col("entry_px"))) if "dollar_volume" in trades.columns else F.lit(None)
+    legs = trades.withColumn("__c", F.explode(grid)).select(
+        *by, "__c.per", "__c.total", "entry_ts", "symbol", "exit_ts", "trade_id", F.col("entry_px").cast("double").alias("px"), (F.col("net") / F.col("qty")).alias("gain"), cap.cast("double").alias("cap"))
+    keys = [*by, "per", "total"]
+    legs = legs.repartition(*keys).sortWithinPartitions(*keys, "entry_ts", "symbol", "exit_ts", "trade_id")
+    counts = ["taken", "concurrency", "ruined", "too_small", "capped"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in legs.select(*keys).schema.fields) + ", " + ", ".join(f"{c} bigint" for c in counts) + ", final double, max_drawdown double"
+
+    def fold(frames):
         import heapq
 
-        per, total, date = key
-        held: list[tuple[int, int, float]] = []
-        used = gain = 0.0
-        taken = 0
-        for m, _, x, r in sorted(zip(g["entry_minute"], g["__k"], g["exit_minute"], g["ret"])):
-            while held and held[0][0] <= m:
-                used -= heapq.heappop(held)[2]
-            share = min(per, total - used)
-            if share > 1e-12:
-                heapq.heappush(held, (max(x, m + 1), taken, share))
-                used, gain, taken = used + share, gain + share * r, taken + 1
-        return pd.DataFrame([(per, total, date, max(gain, -1.0), taken)], columns=["per", "total", "session_date", "day_return", "taken"])
-
-    days = t.groupBy("per", "total", "session_date").applyInPandas(day, "per double, total double, session_date date, day_return double, taken bigint")
-    w2 = Window.partitionBy("per", "total").orderBy("session_date").rowsBetween(Window.unboundedPreceding, 0)
-    growth = F.exp(F.sum(F.log(F.greatest(1 + F.col("day_return"), F.lit(1e-12)))).over(w2))
-    return days.withColumn("equity", capital * growth)
+        now, done = None, []
+
+        def land(upto):
+            while held and (upto is None or held[0][0] <= upto):
+                _, _, basis, net = heapq.heappop(held)
+                book["used"] -= basis
+                book["equity"] += net
+                book["peak"] = max(book["peak"], book["equity"])
+                if book["peak"] > 0:
+                    book["worst"] = max(book["worst"], (book["peak"] - book["equity"]) / book["peak"])
+
+        def close():
+            land(None)
+            done.append((*now, *[n[c] for c in counts], book["equity"], book["worst"]))
+
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                key = tuple(row[: len(keys)])
+                if key != now:
+                    if now is not None:
+                        close()
+                    now, held, n = key, [], dict.fromkeys(counts, 0)
+                    book = {"equity": float(capital), "used": 0.0, "peak": float(capital), "worst": 0.0}
+                land(row.entry_ts)
+                if book["equity"] <= 0:
+                    n["ruined"] += 1
+                    continue
+                budget = min(row.per * book["equity"], row.total * book["equity"] - book["used"], book["equity"] - book["used"])
+                if budget <= 0:
+                    n["concurrency"] += 1
+                    continue
+                shares = budget // row.px
+                limited = row.cap == row.cap and row.cap is not None and row.cap < shares
+                shares = row.cap if limited else shares
+                if shares < 1:
+                    n["concurrency" if book["used"] > 0 and not limited else "too_small"] += 1
+                    continue
+                n["taken"] += 1
+                n["capped"] += limited
+                heapq.heappush(held, (row.exit_ts, n["taken"], shares * row.px, shares * row.gain))
+                book["used"] += shares * row.px
+            if done:
+                yield pd.DataFrame(done, columns=[*keys, *counts, "final", "max_drawdown"])
+                done.clear()
+        if now is not None:
+            close()
+            yield pd.DataFrame(done, columns=[*keys, *counts, "final", "max_drawdown"])
+
+    return legs.mapInPandas(fold, schema)
 
 
 def void_spans(trades: DataFrame, days: DataFrame) -> DataFrame:

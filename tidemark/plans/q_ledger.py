@@ -222,7 +222,8 @@ def _(m):
 
 @query("compounding_account", "2.14.6")
 def _(m):
-    return B.compound_by_day(m.ledger(), [(0.05, 0.2), (0.1, 0.5), (0.25, 1.0)], 25000.0)
+    day = m.ticks().groupBy("symbol", "session_date").agg(F.sum(F.col("px") * F.col("size")).alias("dollar_volume"))
+    return B.compounding(book(m).join(day, ["symbol", "session_date"], "left"), [(0.05, 0.2), (0.1, 0.5), (0.6, 1.0)], 25000.0, volume_share=0.5)
 
 
 view("tick_days", "SELECT session_date AS date, row_number() OVER (ORDER BY session_date) AS ordinal FROM (SELECT DISTINCT session_date FROM ticks)")

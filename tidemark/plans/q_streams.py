@@ -13,6 +13,11 @@ from tidemark.sources import readers
 from tidemark.streaming import jobs as J
 
 
+SKEW, LATE = "2 seconds", "10 minutes"
+# What the last watermark of a drained stream has passed.
+PASSED = "(SELECT date_trunc('milliseconds', max(ts)) FROM ticks) - INTERVAL 10 MINUTE"
+
+
 def stream_ticks(m):
     return J.ticks(J.read_events(m.spark, m.folder))
 
@@ -21,18 +26,18 @@ def stream_ticks(m):
 SELECT symbol, @T(ts) AS ts, @R(open) AS open, @R(high) AS high, @R(low) AS low, @R(close) AS close, @I(volume) AS volume FROM bars5 WHERE ts + INTERVAL 5 MINUTE <= (SELECT max(ts) FROM ticks) - INTERVAL 2 SECOND""")
 def _(m):
     t = stream_ticks(m).drop("symbol").withColumnRenamed("market", "symbol")
-    return J.drain(J.closed_bars(t))
+    return J.drain(J.closed_bars(t, SKEW))
 
 
-@query("stream_arrivals", "2.18.6", "SELECT symbol, @D(session_date) AS session_date, count(DISTINCT 1) AS arrivals FROM ticks GROUP BY 1, session_date")
+@query("stream_arrivals", "2.18.6", f"SELECT symbol, @D(session_date) AS session_date, @I(first(seq ORDER BY ts, seq)) AS seq FROM ticks GROUP BY 1, session_date HAVING min(ts) <= {PASSED}")
 def _(m):
-    return J.drain(J.arrivals(stream_ticks(m))).groupBy("symbol", "session_date").agg(F.count(F.lit(1)).alias("arrivals"))
+    return J.drain(J.arrivals(stream_ticks(m), LATE)).select("symbol", "session_date", "seq")
 
 
-@query("stream_one_signal_per_bar", "2.18.8", "SELECT symbol, @T(time_bucket(INTERVAL 1 HOUR, ts)) AS bar_ts, count(DISTINCT 1) AS signals FROM ticks WHERE market = 'purchase' GROUP BY symbol, time_bucket(INTERVAL 1 HOUR, ts)")
+@query("stream_one_signal_per_bar", "2.18.8", f"SELECT symbol, @T(time_bucket(INTERVAL 1 HOUR, ts)) AS bar_ts, @I(first(seq ORDER BY ts, seq)) AS seq FROM ticks WHERE market = 'purchase' GROUP BY symbol, time_bucket(INTERVAL 1 HOUR, ts) HAVING min(ts) <= (SELECT date_trunc('milliseconds', max(ts)) FROM ticks WHERE market = 'purchase') - INTERVAL 10 MINUTE")
 def _(m):
     s = stream_ticks(m).filter("market = 'purchase'").withColumn("strategy", F.lit("s")).withColumn("bar_ts", clock.floor_to("ts", 3600))
-    return J.drain(J.one_signal_per_bar(s)).groupBy("symbol", "bar_ts").agg(F.count(F.lit(1)).alias("signals"))
+    return J.drain(J.one_signal_per_bar(s, LATE)).select("symbol", "bar_ts", "seq")
 
 
 @query("stream_feed_delay", "2.18.7", """
@@ -64,9 +69,9 @@ def _(m):
 view("fresh", """WITH a AS (SELECT *, first(size) OVER w <> size AS moved FROM ticks WINDOW w AS (PARTITION BY symbol, session_date ORDER BY ts, seq)) SELECT * FROM (SELECT *, bool_or(moved) OVER (PARTITION BY symbol, session_date ORDER BY ts, seq) AS ok FROM a) WHERE ok""")
 
 
-@query("stream_freshness_gate", "2.18.4", "SELECT symbol, @D(session_date) AS session_date, @I(seq) AS seq FROM fresh")
+@query("stream_freshness_gate", "2.18.4", f"SELECT symbol, @D(session_date) AS session_date, @I(seq) AS seq FROM fresh WHERE ts <= {PASSED}")
 def _(m):
-    return J.drain(J.fresh_rows(stream_ticks(m))).select("symbol", "session_date", "seq")
+    return J.drain(J.fresh_rows(stream_ticks(m), LATE)).select("symbol", "session_date", "seq")
 
 
 @query("freshness_gate", "2.18.4", "SELECT symbol, @D(session_date) AS session_date, @I(seq) AS seq FROM fresh")
@@ -77,11 +82,11 @@ def _(m):
     return t.withColumn("ok", F.max("moved").over(w)).filter("ok = 1").select("symbol", "session_date", "seq")
 
 
-@query("stream_round_trips", "2.18.9", "SELECT @I(s.seq) AS seq, @R((s.price - b.price) * b.qty) AS pnl FROM (SELECT * FROM fills WHERE side = 'SELL') s ASOF JOIN (SELECT * FROM fills WHERE side = 'BUY') b ON s.symbol = b.symbol AND s.ts > b.ts")
+@query("stream_round_trips", "2.18.9", "SELECT @I(s.seq) AS seq, @R((s.price - b.price) * b.qty) AS pnl FROM (SELECT * FROM fills WHERE side = 'SELL') s ASOF JOIN (SELECT * FROM fills WHERE side = 'BUY') b ON s.symbol = b.symbol AND s.ts > b.ts WHERE s.ts <= (SELECT date_trunc('milliseconds', max(ts)) FROM fills) - INTERVAL 10 MINUTE")
 def _(m):
     t = stream_ticks(m).filter("market in ('purchase', 'signup')").select(
         "symbol", "ts", "seq", F.when(F.col("market") == "purchase", "BUY").otherwise("SELL").alias("side"), F.col("px").alias("price"), F.col("size").alias("qty"))
-    return J.drain(J.sell_round_trips(t)).select("seq", "pnl")
+    return J.drain(J.sell_round_trips(t, LATE)).select("seq", "pnl")
 
 
 @query("session_summary", "2.18.9", """

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -31,17 +30,3 @@ def local_session(cores: str = "8", app: str = "tidemark") -> SparkSession:
     )
     spark.sparkContext.setLogLevel("ERROR")
     return configure(spark)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage on reliable storage.
-
-    The folder is the one the cluster names in spark.checkpoint.dir; only a session that
-    names none (a test on one machine) gets a temporary folder.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint()

@@ -1,9 +1,9 @@
 """Live operators as Structured Streaming jobs.
 
-Windowed aggregates and de-duplication run inside the engine under an event-time watermark; rules
-that remember rows use `applyInPandasWithState` keyed by symbol and session, so state is small,
-spread over the keys and dropped when a session ends. Every job can be drained with
-Trigger.AvailableNow and then equals its batch form.
+Windowed aggregates run inside the engine under an event-time watermark; rules that remember rows
+fold each key's rows in event order once the watermark has passed them, so their results do not depend
+on how rows are dealt to batches. Lateness is an argument of every job. Drained with
+Trigger.AvailableNow, a job equals its batch form over the rows the last watermark has passed.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -21,14 +21,14 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.functions import clock
 
-BAR_SKEW = "2 seconds"
-
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder on the cluster's checkpoint storage, or on /tmp when the session names none."""
+    """A new folder on the storage the cluster names in spark.checkpoint.dir; one machine may do without."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
-        return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
 
 
@@ -64,7 +64,7 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(out).drop("__epoch")
 
 
-def closed_bars(stream: DataFrame, minutes: int = 5, late: str = BAR_SKEW) -> DataFrame:
+def closed_bars(stream: DataFrame, late: str, minutes: int = 5) -> DataFrame:
     """Bars leave only when the watermark has passed their end; a forming bar never does."""
     return (
         stream.withWatermark("ts", late)
@@ -74,13 +74,70 @@ def closed_bars(stream: DataFrame, minutes: int = 5, late: str = BAR_SKEW) -> Da
     )
 
 
-def arrivals(stream: DataFrame, late: str = "26 hours") -> DataFrame:
+def in_event_order(stream: DataFrame, by: Sequence[str], late: str, columns: str, fold: Callable, out: str) -> DataFrame:
+    """Fold each key's rows in event order, however they are dealt to batches.
+
+    Rows wait in the state until the watermark has passed them, so a batch boundary changes nothing;
+    a row later than `late` is dropped by the engine (which counts such rows for windowed aggregates, in
+    numRowsDroppedByWatermark, but not for grouped state: size `late` by closed_bars' count). `columns`
+    are the columns a fold reads, ts and seq among them; fold(memory, rows) takes what it remembers (a
+    JSON value, None at first) and dicts in order of (ts, seq), with ts in microseconds, and returns
+    both what it remembers (None to forget the key) and rows of `out` without the key.
+    """
+    names = [c.split()[0] for c in columns.split(", ")]
+    keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.select(*by).schema.fields)
+    fields = [*by, *[c.split()[0] for c in out.split(", ")]]
+    stamps = {c.split()[0] for c in out.split(", ") if c.split()[1] == "timestamp"}
+
+    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        waiting, memory = map(json.loads, state.get) if state.exists else ([], None)
+        mark = state.getCurrentWatermarkMs()
+        if not state.hasTimedOut:
+            for frame in frames:
+                plain = frame[names].assign(ts=frame["ts"].astype("datetime64[us]").astype("int64"))
+                waiting += json.loads(plain.to_json(orient="records"))
+        waiting.sort(key=lambda r: (r["ts"], r["seq"]))
+        ready = [r for r in waiting if r["ts"] <= mark * 1000]
+        waiting = waiting[len(ready) :]
+        memory, rows = fold(memory, ready) if ready else (memory, [])
+        if waiting:
+            state.update((json.dumps(waiting), json.dumps(memory)))
+            state.setTimeoutTimestamp(max(waiting[0]["ts"] // 1000, mark + 1))
+        elif memory is None:
+            state.remove()
+        else:
+            state.update((json.dumps(waiting), json.dumps(memory)))
+        made = pd.DataFrame([(*key, *r) for r in rows], columns=fields)
+        yield made.assign(**{c: pd.to_datetime(made[c], unit="us") for c in stamps})
+
+    mem = T.StructType.fromDDL("waiting string, memory string")
+    dealt = stream.withWatermark("ts", late).select(*dict.fromkeys([*by, *names]))
+    return dealt.groupBy(*by).applyInPandasWithState(step, T.StructType.fromDDL(f"{keys}, {out}"), mem, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def arrivals(stream: DataFrame, late: str) -> DataFrame:
     """First row of each symbol in each session."""
-    return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(["session_date", "symbol"])
 
+    def first(memory, rows):
+        return True, [] if memory else [(rows[0]["seq"], rows[0]["ts"])]
+
+    return in_event_order(stream, ["session_date", "symbol"], late, "ts timestamp, seq bigint", first, "seq bigint, ts timestamp")
 
-def one_signal_per_bar(signals: DataFrame, late: str = "1 hour") -> DataFrame:
-    return signals.withWatermark("ts", late).dropDuplicatesWithinWatermark(["strategy", "symbol", "bar_ts"])
+
+def one_signal_per_bar(signals: DataFrame, late: str) -> DataFrame:
+    """First signal of each bar per strategy and symbol; bars come in event order, so the last one is
+    all that has to be remembered."""
+
+    def first(memory, rows):
+        out = []
+        for r in rows:
+            if r["bar"] != memory:
+                memory = r["bar"]
+                out.append((r["bar"], r["seq"]))
+        return memory, out
+
+    marked = signals.withColumn("bar", F.unix_micros("bar_ts"))
+    return in_event_order(marked, ["strategy", "symbol"], late, "ts timestamp, seq bigint, bar bigint", first, "bar_ts timestamp, seq bigint")
 
 
 def feed_delay(stream: DataFrame, minutes: int = 60, late: str = "10 minutes") -> DataFrame:
@@ -99,50 +156,40 @@ def delayed_floor(df: DataFrame, minutes: int, column: str = "first_seen") -> Da
     return df.withColumn(column, F.col(column) + minutes)
 
 
-def fresh_rows(stream: DataFrame, shards: int = 8) -> DataFrame:
+def fresh_rows(stream: DataFrame, late: str) -> DataFrame:
     """Rows of a symbol from the moment its volume was seen to change in this session. Admission is
-    permanent for the session.
+    permanent for the session; a key remembers its first volume and whether it was admitted."""
 
-    Symbols of a session are packed into hash shards, so one Python call serves many symbols; a
-    shard's state is each symbol's first volume and whether it was admitted.
-    """
+    def admit(memory, rows):
+        first, open_ = memory or (rows[0]["size"], False)
+        out = []
+        for r in rows:
+            open_ = open_ or r["size"] != first
+            if open_:
+                out.append((r["seq"], r["ts"], r["size"]))
+        return [first, open_], out
+
+    return in_event_order(stream, ["symbol", "session_date"], late, "ts timestamp, seq bigint, size bigint", admit, "seq bigint, ts timestamp, size bigint")
+
+
+def sell_round_trips(fills: DataFrame, late: str) -> DataFrame:
+    """One round trip per sell, against the last buy at an earlier time, per symbol."""
 
-    def admit(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        known = json.loads(state.get[0]) if state.exists else {}
-        rows = pd.concat(list(frames)).sort_values(["ts", "seq"])
-        first = rows.groupby("symbol")["size"].transform("first")
-        first = rows["symbol"].map({s: v[0] for s, v in known.items()}).fillna(first)
-        open_ = rows["symbol"].map({s: v[1] for s, v in known.items()}).eq(True) | (rows["size"] != first)
-        rows = rows.assign(first=first, ok=open_.groupby(rows["symbol"]).cummax())
-        last = rows.groupby("symbol").agg(first=("first", "first"), ok=("ok", "last"))
-        known.update({s: [int(f), bool(o)] for s, f, o in last.itertuples()})
-        state.update((json.dumps(known),))
-        yield rows.loc[rows["ok"], ["symbol", "session_date", "seq", "ts", "size"]]
-
-    out = T.StructType.fromDDL("symbol string, session_date date, seq bigint, ts timestamp, size bigint")
-    mem = T.StructType.fromDDL("known string")
-    sharded = stream.withColumn("shard", F.pmod(F.xxhash64("symbol"), F.lit(shards)))
-    return sharded.groupBy("session_date", "shard").applyInPandasWithState(admit, out, mem, "append", GroupStateTimeout.NoTimeout)
-
-
-def sell_round_trips(fills: DataFrame) -> DataFrame:
-    """One round trip per sell, against the last buy before it, per symbol."""
-
-    def pair(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        px, qty = state.get if state.exists else (None, None)
-        rows = pd.concat(list(frames)).sort_values(["ts", "seq"])
+    def pair(memory, rows):
+        now, before = memory or (None, None)  # the last buy and the last one of an earlier time
         out = []
-        for r in rows.itertuples():
-            if r.side == "BUY":
-                px, qty = float(r.price), int(r.qty)
-            elif px is not None:
-                out.append((key[0], int(r.seq), (float(r.price) - px) * qty))
-        if px is not None:
-            state.update((px, qty))
-        yield pd.DataFrame(out, columns=["symbol", "seq", "pnl"])
-
-    mem = T.StructType.fromDDL("px double, qty bigint")
-    return fills.groupBy("symbol").applyInPandasWithState(pair, T.StructType.fromDDL("symbol string, seq bigint, pnl double"), mem, "append", GroupStateTimeout.NoTimeout)
+        for r in rows:
+            if r["side"] == "BUY":
+                if now is not None and now[0] < r["ts"]:
+                    before = now
+                now = [r["ts"], r["price"], r["qty"]]
+                continue
+            buy = now if now is not None and now[0] < r["ts"] else before
+            if buy is not None:
+                out.append((r["seq"], (r["price"] - buy[1]) * buy[2]))
+        return [now, before], out
+
+    return in_event_order(fills, ["symbol"], late, "ts timestamp, seq bigint, side string, price double, qty bigint", pair, "seq bigint, pnl double")
 
 
 def watchlist_events(lists: DataFrame, cadence: int) -> DataFrame:
