@@ -6,7 +6,7 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import recursive as R, screen as S, signals as X, windows as W
+from tidemark.operators import entry as E, recursive as R, rollups as G, screen as S, signals as X, windows as W
 
 
 @pytest.fixture(scope="module")
@@ -30,6 +30,9 @@ RULES = {
     "anchors": lambda d: X.anchor_lines(R.with_indicators(d, ["atr14"]), window=60).select("symbol", "date", "line", "touches"),
     "framing": lambda d: X.framing_states(d).select("symbol", "date", "state"),
     "dips": lambda d: X.impulse_dips(d, by=W.DAY, order="date").select("symbol", "date", "peak", "base"),
+    "entry": lambda d: E.momentum_features(d, W.DAY, "date"),
+    "tape": lambda d: E.tape_features(d.withColumn("minute", F.lit(600)).withColumn("ts", F.col("date").cast("timestamp")).withColumn("session_date", F.col("date")), by=W.DAY).drop("session_date").withColumn("date", F.col("ts").cast("date")).drop("ts"),
+    "regime": lambda d: d.groupBy("date").agg(F.sum("volume").alias("n")).select("date", G.below_earlier_mean("n", "date").alias("cold")),
     "spikes": lambda d: X.prior_spikes(d).select("symbol", "date", "history", "retained"),
 }
 

@@ -153,7 +153,7 @@ def binomial_tail(cases: DataFrame) -> DataFrame:
     w = Window.partitionBy().orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     logs = nums.select("v", F.sum(F.when(F.col("v") > 0, F.log("v")).otherwise(0.0)).over(w).alias("lf"))
     x = cases.withColumn("x", F.explode(F.sequence(F.col("k").cast("int"), F.col("n").cast("int"))))
-    lf = lambda name: F.broadcast(logs.select(F.col("v").alias(f"v_{name}"), F.col("lf").alias(f"lf_{name}")))
+    lf = lambda name: logs.select(F.col("v").alias(f"v_{name}"), F.col("lf").alias(f"lf_{name}"))
     j = x.join(lf("n"), F.col("n") == F.col("v_n")).join(lf("x"), F.col("x") == F.col("v_x")).join(lf("r"), F.col("n") - F.col("x") == F.col("v_r"))
     term = F.exp(F.col("lf_n") - F.col("lf_x") - F.col("lf_r") - F.col("n") * F.log(F.lit(2.0)))
     return j.groupBy("case", "k", "n").agg(F.least(F.sum(term), F.lit(1.0)).alias("tail"))

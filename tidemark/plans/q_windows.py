@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import clock
-from tidemark.operators import windows as W
+from tidemark.operators import entry as E, windows as W
 from tidemark.plans.registry import query, view
 
 D = "PARTITION BY symbol ORDER BY date"
@@ -237,3 +237,22 @@ SELECT symbol, @D(date) AS date, @R(CASE WHEN count(*) OVER w = 20 THEN sum(clos
  @R(CASE WHEN count(*) OVER w = 20 THEN avg(close) OVER w END) AS sma FROM daily WINDOW w AS ({D} ROWS 19 PRECEDING)""")
 def _(m):
     return m.daily().select("symbol", "date", W.volume_weighted_mean(20).alias("vwma"), W.simple_mean(20).alias("sma"))
+
+
+@query("entry_tape_features", "2.5.21", """
+WITH a AS (SELECT *, lag(volume) OVER r AS pv, CASE WHEN count(volume) OVER p = 60 THEN avg(volume) OVER p END AS ta, CASE WHEN count(*) OVER w = 20 THEN avg(close) OVER w END AS ma, CASE WHEN count(*) OVER w = 20 THEN stddev_pop(close) OVER w END AS sd,
+  CASE WHEN count(*) OVER w = 20 THEN avg(volume) OVER w END AS mv, sum(volume) OVER d AS held, sum((high + low + close) / 3 * volume) OVER d AS paid, count(*) FILTER (volume > 0) OVER d AS seen, first(close) OVER d AS fc, first(ts) OVER d AS ft,
+  avg(high - low) OVER f AS span, avg((high - low) / nullif(close, 0)) OVER f AS rel
+ FROM bars5 WINDOW r AS (PARTITION BY symbol ORDER BY ts), p AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING), w AS (PARTITION BY symbol ORDER BY ts ROWS 19 PRECEDING), f AS (PARTITION BY symbol ORDER BY ts ROWS 13 PRECEDING),
+  d AS (PARTITION BY symbol, session_date ORDER BY ts ROWS UNBOUNDED PRECEDING))
+SELECT symbol, @T(ts) AS ts, @D(session_date) AS session_date, @R(volume / nullif(ta, 0)) AS vol_over_trail, @R(volume / nullif(pv, 0)) AS vol_multiple, @R(pv / nullif(ta, 0)) AS floor_margin, @I(minute - 240) AS mins_since_open, @R(close) AS price,
+ @R((close / nullif(fc, 0) - 1) * 100) AS extension, @R(rel * 100) AS range_pct, @R(close * held) AS dollar_vol_session, @R(close * volume) AS dollar_vol_bar, @R(seen / ((epoch_us(ts) - epoch_us(ft)) / 60000000 + 1) * 100) AS tape_density, @R(0.05 * close / nullif(span, 0)) AS trail_over_range,
+ @R(CASE WHEN high > low THEN (close - low) / (high - low) END) AS close_in_bar, @R(CASE WHEN high > low THEN abs(close - open) / (high - low) END) AS body_ratio, @R((close / nullif(paid / nullif(held, 0), 0) - 1) * 100) AS vwap_dist, @R((close / nullif(ma, 0) - 1) * 100) AS ma20_dist,
+ @R((ma / nullif(lag(ma, 3) OVER (PARTITION BY symbol ORDER BY ts), 0) - 1) * 100) AS ma20_slope, @R(CASE WHEN sd > 1e-9 THEN (close - ma + 2 * sd) / (4 * sd) END) AS bb_pos, @R(4 * sd / nullif(ma, 0) * 100) AS bb_width, @R(volume / nullif(mv, 0)) AS vol_over_ma20 FROM a""", digits=5)
+def _(m):
+    return E.tape_features(m.bars())
+
+
+@query("entry_momentum_features", "2.5.21")
+def _(m):
+    return E.momentum_features(m.bars())
