@@ -23,12 +23,18 @@ def numbered(bars: DataFrame, by: Sequence[str] = W.SESSION, order: str = "ts")
 
 def later_bars(entries: DataFrame, bars: DataFrame, by: Sequence[str] = W.SESSION, horizon: int | None = None, cols: Sequence[str] = ("open", "high", "low", "close"),
                include_entry: bool = False) -> DataFrame:
-    """(entry, bar) rows for bars after the entry's own. `entries` carries entry_id, i and `by`."""
+    """(entry, bar) rows for bars after the entry's own. `entries` carries entry_id, i and `by`.
+
+    With a horizon, bars and entries meet in bins of its length, so an entry meets at most two bins.
+    """
     b = bars.select(*by, F.col("i").alias("j"), *[F.col(c).alias(f"b_{c}") for c in cols])
-    e = entries.join(b, list(by))
     first = F.col("j") >= F.col("i") if include_entry else F.col("j") > F.col("i")
-    out = e.filter(first)
-    return out if horizon is None else out.filter(F.col("j") <= F.col("i") + horizon)
+    if horizon is None:
+        return entries.join(b, list(by)).filter(first)
+    bin_of = lambda c: F.floor(c / max(1, horizon)).cast("bigint")
+    e = entries.withColumn("__bin", F.explode(F.sequence(bin_of(F.col("i")), bin_of(F.col("i") + horizon))))
+    out = e.join(b.withColumn("__bin", bin_of(F.col("j"))), [*by, "__bin"]).drop("__bin")
+    return out.filter(first & (F.col("j") <= F.col("i") + horizon))
 
 
 def first_touch(pairs: DataFrame, by: Sequence[str] = W.SESSION, max_bars: int | None = None, through: float = 0.0, signal: str | None = None) -> DataFrame:

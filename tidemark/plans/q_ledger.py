@@ -29,7 +29,7 @@ def entries(m):
 
 
 def outcomes(m):
-    return L.first_touch(L.later_bars(entries(m), nbars(m)), max_bars=30)
+    return L.first_touch(L.later_bars(entries(m), nbars(m), horizon=30), max_bars=30)
 
 
 @query("first_touch_exit", "2.13.1 2.20.3 2.20.37", "SELECT entry_id, @R(exit_px) AS exit_px, reason, @I(bars_held) AS bars_held FROM outcomes")

@@ -10,6 +10,7 @@ from tidemark.operators import rules
 from tidemark.plans.q_screen import screen_list
 from tidemark.plans.registry import TABLES, query, view
 from tidemark.sources import readers
+from tidemark.sources.schemas import EXECUTION_REPORT
 from tidemark.streaming import jobs as J
 
 
@@ -167,9 +168,12 @@ def _(m):
     return readers.complete_dates(t, "k", "w", 3).select("k.symbol", "k.session_date", "windows")
 
 
-@query("pair_union", "2.1.7", "SELECT DISTINCT symbol, @D(session_date) AS session_date FROM fills UNION SELECT symbol, @D(session_date) FROM quotes")
+@query("pair_union", "2.1.7", """
+SELECT DISTINCT translate(symbol, '0123456789', 'ABCDEFGHIJ') AS symbol, @D(session_date) AS session_date FROM (SELECT symbol, session_date FROM fills UNION ALL SELECT symbol, session_date FROM quotes)""")
 def _(m):
-    return m.fills().select("symbol", "session_date").unionByName(m.quotes().select("symbol", "session_date")).distinct()
+    both = m.fills().select("symbol", "session_date").unionByName(m.quotes().select("symbol", "session_date"))
+    lines = both.select(F.to_json(F.struct(F.translate("symbol", "0123456789", "ABCDEFGHIJ").alias("symbol"), F.col("session_date").cast("string").alias("date"))).alias("line"))
+    return readers.pair_rows(lines.select(F.from_json("line", readers.PAIR_JSON).alias("r")).select("r.*"))
 
 
 @query("warmup_windows", "2.1.8", """
@@ -182,29 +186,55 @@ def _(m):
     return out.groupBy("symbol", "target_date").agg(F.count(F.lit(1)).alias("bars"), F.count_distinct("session_date").alias("sessions"))
 
 
-@query("single_source_check", "2.1.9", "SELECT l_returnflag AS basis, count(DISTINCT l_linestatus) AS sources FROM lineitem GROUP BY 1")
+@query("single_source_check", "2.1.9", "SELECT l_returnflag, count(DISTINCT l_linestatus) AS sources, @I(count(DISTINCT l_linestatus) <= 1) AS accepted FROM lineitem GROUP BY 1")
 def _(m):
-    return m.table("lineitem").groupBy(F.col("l_returnflag").alias("basis")).agg(F.count_distinct("l_linestatus").alias("sources"))
+    return readers.one_source(m.table("lineitem"), ["l_returnflag"], "l_linestatus")
 
 
-@query("executions_by_id", "2.1.10 2.1.11", "SELECT count(*) AS executions, @R(sum(price)) AS total FROM fills")
-def _(m):
+def report_lines(m):
+    """Fills as the lines of two overlapping broker reports, with order lines among them."""
     f = m.fills()
-    overlap = f.filter("seq % 2 = 0").unionByName(f)
-    return overlap.dropDuplicates(["seq"]).agg(F.count(F.lit(1)).alias("executions"), F.sum("price").alias("total"))
+    qty = F.when(F.col("side") == "SELL", -F.col("qty")).otherwise(F.col("qty"))
+    line = lambda level: F.concat_ws(",", F.col("seq").cast("string"), F.translate("symbol", "0123456789", "ABCDEFGHIJ"), F.date_format("session_date", "yyyyMMdd"), F.date_format("ts", "yyyyMMdd;HHmmss"),
+                                     qty.cast("string"), F.col("price").cast("string"), F.lit("-1"), F.lit("0"), F.col("side"), F.lit(level), F.lit("STK"))
+    parts = [f.select(line("EXECUTION").alias("line")), f.filter("seq % 2 = 0").select(line("EXECUTION").alias("line")), f.filter("seq % 3 = 0").select(line("ORDER").alias("line"))]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("executions_by_id", "2.1.10 2.1.11", """
+SELECT CAST(seq AS VARCHAR) AS trade_id, translate(symbol, '0123456789', 'ABCDEFGHIJ') AS symbol, @D(session_date) AS trade_date, @R(qty) AS qty, @R(price) AS price, @R(-1) AS commission, side, 1 AS time_known FROM fills""")
+def _(m):
+    raw = report_lines(m).select(F.from_csv("line", EXECUTION_REPORT).alias("r")).select("r.*")
+    return readers.execution_rows(raw).select("trade_id", "symbol", "trade_date", "qty", "price", "commission", "side", "time_known")
 
 
-@query("fill_log_generations", "2.1.12", "SELECT count(*) AS n, count(*) FILTER (seq % 2 = 0) AS with_size, @R(sum(price)) AS total FROM fills")
+@query("fill_log_generations", "2.1.12", """
+SELECT @I(seq) AS seq, @R(price) AS price, @I(CASE WHEN seq % 2 = 0 THEN qty END) AS qty, @D(session_date) AS session_date FROM fills""")
 def _(m):
     f = m.fills()
-    old, new = f.filter("seq % 2 = 1").select("seq", "price"), f.filter("seq % 2 = 0").select("seq", "price", "qty")
-    return old.unionByName(new, allowMissingColumns=True).agg(F.count(F.lit(1)).alias("n"), F.count("qty").alias("with_size"), F.sum("price").alias("total"))
+    name = F.concat(F.lit("/logs/fills_"), F.col("session_date").cast("string"), F.lit(".csv"))
+    old = f.filter("seq % 2 = 1").select(F.concat_ws(",", F.col("seq").cast("string"), F.col("price").cast("string")).alias("line"), name.alias("source_file"))
+    new = f.filter("seq % 2 = 0").select(F.concat_ws(",", F.col("seq").cast("string"), F.col("price").cast("string"), F.col("qty").cast("string")).alias("line"), name.alias("source_file"))
+    read = lambda d, header: d.select(F.from_csv("line", header).alias("r"), "source_file").select("r.*", "source_file")
+    return readers.log_rows([read(old, "seq bigint, price double"), read(new, "seq bigint, price double, qty bigint")]).select("seq", "price", "qty", "session_date")
+
+
+@query("json_facts", "2.1.13", """
+SELECT @I(o_custkey) AS cik, 'T' || o_orderpriority[1:1] AS tag, 'USD' AS unit, @D(CAST(o_orderdate AS DATE) - 45) AS "end", @D(CAST(o_orderdate AS DATE)) AS filed, o_orderstatus AS form, @R(o_totalprice) AS val FROM orders""")
+def _(m):
+    day = F.to_date("o_orderdate")
+    row = F.struct(F.date_sub(day, 135).cast("string").alias("start"), F.date_sub(day, 45).cast("string").alias("end"), day.cast("string").alias("filed"), F.col("o_orderstatus").alias("form"), F.col("o_totalprice").cast("double").alias("val"))
+    body = F.to_json(F.struct(F.lit("gaap").alias("taxonomy"), F.concat(F.lit("T"), F.substring("o_orderpriority", 1, 1)).alias("tag"), F.col("o_custkey").alias("cik"), F.create_map(F.lit("USD"), F.array(row)).alias("units")))
+    return readers.concept_facts(m.table("orders").select(body.alias("body"))).select("cik", "tag", "unit", "end", "filed", "form", "val")
 
 
-@query("json_facts", "2.1.13 2.1.14", "SELECT @I(seq) AS seq, @I(size - 1) AS k FROM ticks")
+@query("json_members", "2.1.14", """
+SELECT 'ix' AS index, 'S' || CAST(s_suppkey AS VARCHAR) AS code, @D(DATE '2000-01-01' + CAST(s_suppkey AS INT)) AS start, @D(CASE WHEN s_suppkey % 3 = 0 THEN DATE '2010-01-01' + CAST(s_suppkey AS INT) END) AS "end", @I(s_suppkey % 3 <> 0) AS active FROM supplier""")
 def _(m):
-    j = F.from_json("props", "k bigint")
-    return m.table("events").select(F.col("event_id").alias("seq"), j["k"].alias("k"))
+    k = F.col("s_suppkey").cast("int")
+    spell = F.struct(F.concat(F.lit("S"), k.cast("string")).alias("Code"), F.date_add(F.lit("2000-01-01").cast("date"), k).cast("string").alias("StartDate"),
+                     F.when(k % 3 == 0, F.date_add(F.lit("2010-01-01").cast("date"), k).cast("string")).alias("EndDate"))
+    return readers.constituents(m.table("supplier").select(F.to_json(F.create_map(k.cast("string"), spell)).alias("body")), "ix")
 
 
 @query("table_counts", "2.1.22", " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS n FROM {t}" for t in TABLES))

@@ -76,9 +76,9 @@ WITH a AS (SELECT entry_id, any_value(symbol) AS symbol, arg_max(bc, j) / any_va
 c AS (SELECT symbol AS k, sum(d) AS total, row_number() OVER (ORDER BY md5(symbol)) AS slot, count(*) OVER () AS kk FROM d GROUP BY 1), p AS (SELECT draw, CAST('0x' || substr(md5('1|' || CAST(draw AS VARCHAR) || '|' || CAST(slot AS VARCHAR)), 1, 8) AS BIGINT) % kk + 1 AS slot FROM c, draws),
 b AS (SELECT draw, sum(total) AS t FROM p JOIN c USING (slot) GROUP BY 1) SELECT count(*) AS pairs, @R(sum(d)) AS delta, @R(avg(CAST(d > 0 AS INT))) AS better, @R((SELECT avg(CAST(t > 0 AS INT)) FROM b)) AS share_positive FROM d""")
 def _(m):
-    pairs = L.later_bars(entries(m), nbars(m))
-    hold = pairs.groupBy(*W.SESSION, "entry_id").agg((F.try_divide(F.max_by("b_close", "j"), F.max("entry_px")) - 1).alias("ret"))
-    rule = L.first_touch(pairs, max_bars=30).withColumn("ret", F.try_divide("exit_px", "entry_px") - 1)
+    last = nbars(m).groupBy(*W.SESSION).agg(F.max("i").alias("__end"), F.max_by("close", "i").alias("__close"))
+    hold = entries(m).join(last, list(W.SESSION)).filter("__end > i").select(*W.SESSION, "entry_id", (F.try_divide("__close", "entry_px") - 1).alias("ret"))
+    rule = L.first_touch(L.later_bars(entries(m), nbars(m), horizon=30), max_bars=30).withColumn("ret", F.try_divide("exit_px", "entry_px") - 1)
     return S.paired_report(hold, rule, "entry_id", 40)
 
 

@@ -12,6 +12,9 @@ from tidemark.functions import text as X
 from tidemark.sources.schemas import EXECUTION_REPORT
 
 
+PAIR_JSON = "symbol string, date string"
+
+
 def bars(spark: SparkSession, paths: Sequence[str] | str, symbol: str = "symbol") -> DataFrame:
     """Bar files of one schema as one table. A file in which no symbol resolved is refused; the
     check is part of the scan, so it costs no second pass and fails the job that reads it."""
@@ -44,7 +47,10 @@ def complete_dates(slices: DataFrame, date: str, window: str, need: int) -> Data
 
 def pairs(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """(symbol, date) lists from JSON files, de-duplicated, US equities only."""
-    raw = spark.read.schema("symbol string, date string").option("multiLine", True).json(list(paths))
+    return pair_rows(spark.read.schema(PAIR_JSON).option("multiLine", True).json(list(paths)))
+
+
+def pair_rows(raw: DataFrame) -> DataFrame:
     s = X.vendor_symbol(F.col("symbol"))
     return raw.select(s.alias("symbol"), F.to_date("date").alias("session_date")).filter(
         F.col("symbol").rlike(r"^[A-Z]{1,5}(\.[A-Z])?$") & F.col("session_date").isNotNull()).distinct()
@@ -56,7 +62,10 @@ def executions(spark: SparkSession, paths: Sequence[str], stocks_only: bool = Tr
     De-duplication is on the id alone, since two child fills may be equal in every value; a missing
     id fails the read.
     """
-    raw = spark.read.schema(EXECUTION_REPORT).option("header", True).csv(list(paths))
+    return execution_rows(spark.read.schema(EXECUTION_REPORT).option("header", True).csv(list(paths)), stocks_only)
+
+
+def execution_rows(raw: DataFrame, stocks_only: bool = True) -> DataFrame:
     rows = raw.filter(F.col("LevelOfDetail") == "EXECUTION")
     if stocks_only:
         rows = rows.filter(F.col("AssetClass") == "STK")
@@ -70,7 +79,11 @@ def executions(spark: SparkSession, paths: Sequence[str], stocks_only: bool = Tr
 
 def fill_logs(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Live fill logs of several column generations; each file is read by its own header."""
-    parts = [spark.read.option("header", True).csv(p).withColumn("source_file", F.input_file_name()) for p in paths]
+    return log_rows([spark.read.option("header", True).csv(p).withColumn("source_file", F.input_file_name()) for p in paths])
+
+
+def log_rows(parts: Sequence[DataFrame]) -> DataFrame:
+    """Generations as one table; a column an older one lacks is NULL, the date is in the file's name."""
     u = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     day = F.regexp_extract("source_file", r"(\d{4}-\d{2}-\d{2})", 1)
     return u.withColumn("session_date", F.to_date(F.nullif(day, F.lit(""))))
@@ -125,9 +138,9 @@ def warmup_windows(bars: DataFrame, wanted: DataFrame, sessions: DataFrame, back
     return days.join(bars, ["symbol", "session_date"])
 
 
-def one_source(df: DataFrame, column: str = "dataset") -> DataFrame:
-    """Number of price sources in a table; more than one is refused by the writer."""
-    return df.agg(F.count_distinct(column).alias("sources"))
+def one_source(df: DataFrame, by: Sequence[str], column: str = "dataset") -> DataFrame:
+    """Number of price sources per basis and whether they may be mixed: only one source is accepted."""
+    return df.groupBy(*by).agg(F.count_distinct(column).alias("sources")).withColumn("accepted", F.col("sources") <= 1)
 
 
 def last_generation(rows: DataFrame, key: Sequence[str], order: str) -> DataFrame:
