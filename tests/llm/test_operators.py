@@ -198,6 +198,7 @@ def test_without_repeats(docs, rows):
     got = suffix.without_repeats(docs)
     assert got.columns == docs.columns
     want = {r[0]: r[4] for r in passages_brute(rows)}
+    assert collected(got.drop("text")) == sorted(((r[0], *r[2:]) for r in rows), key=repr)
     for r in got.collect():
         if r.text is not None and r.text.isascii():
             assert hashlib.sha256(r.text.encode()).hexdigest() == want[r.doc_id]

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import arrow_rows, ships
 
@@ -135,8 +136,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit([np.frombuffer(r.found, np.uint16).astype(np.int64) for r in found], np.array([r.label for r in found], np.int64))
 
 
-def scored(docs: DataFrame, model: Model, text_col: str = "text", only: float | None = None) -> DataFrame:
-    """docs with a column `score`; with `only`, just the rows that score at least so much."""
+def scored(docs: DataFrame, model: Model, text_col: str = "text", only: float | None = None, score_col: str = "score") -> DataFrame:
+    """docs with a column `score_col`; with `only`, just the rows that score at least so much."""
     arrow_rows(docs.sparkSession)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((model.weights, model.bias, model.slope, model.shift))
@@ -148,10 +149,10 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", only: float |
         m, seen = Model(*shared.value), np.zeros(FEATURES, bool)
         for batch in batches:
             score = np.fromiter((m.score(indicators(x.as_py() or b"", seen)) for x in batch.column(at)), np.float64, batch.num_rows)
-            out = pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(score)], [*names, "score"])
+            out = pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(score)], [*names, score_col])
             yield out if only is None else out.filter(pa.array(score >= only))
 
-    schema = docs.schema.add("score", "double")
+    schema = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())])
     return docs.withColumn(slot, F.col(text_col).cast("binary")).mapInArrow(run, schema)
 
 

@@ -252,13 +252,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the repeated bytes taken out of its texts; of a character cut apart nothing stays."""
-    rows = with_rid(docs, id_col)
-    parsed, flags, cuts = _repeats(rows.select("rid", F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
+    rows = with_rid(docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct("*").alias("doc")), "id")
+    parsed, flags, cuts = _repeats(rows.select("rid", "id", "text"))
     copied = flags.join(parsed.where(F.col("n_bytes") >= LENGTH).select("rid"), "rid").select("rid", F.lit("").alias("kept"))
     part = cuts.join(copied.select("rid"), "rid", "left_anti").select("rid", "kept").mapInArrow(_readable, "rid bigint, kept string")
-    changed = copied.union(part)
-    found = rows.join(changed, "rid", "left").withColumn(text_col, F.coalesce("kept", text_col))
-    return found.select(docs.columns)
+    found = rows.select("rid", "doc").join(copied.union(part), "rid", "left")
+    cut = F.coalesce(F.col("kept"), F.col("doc").getField(text_col))
+    return found.select(F.col("doc").withField(text_col, cut).alias("doc")).select("doc.*")
 
 
 def _readable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
