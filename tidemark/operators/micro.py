@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import predicates as P
 from tidemark.functions.clock import micros
 from tidemark.operators import joins
-from tidemark.operators.scale import exact_quantiles, running_sums, time_bucket
+from tidemark.operators.scale import exact_quantiles, running_sums, time_bucket, with_edges
 
 DAY_S = 86400
 
@@ -180,7 +180,8 @@ def flow_events(quotes: DataFrame, by: Sequence[str] = ("symbol", "session_date"
     """Order-flow event between consecutive valid quotes of a key: size added at or above the old
     bid less size lost, mirrored on the ask."""
     q = quotes.filter(P.usable_quote(F.col("bid"), F.col("ask"), False))
-    w = Window.partitionBy(*by).orderBy("ts", "seq")
+    q = with_edges(q, by, ["ts", "seq"], time_bucket("ts", joins.HOUR))
+    w = Window.partitionBy(*by, "__b").orderBy("ts", "seq")
     pb, pa, pbs, pas = (F.lag(c).over(w) for c in ("bid", "ask", "bid_sz", "ask_sz"))
     b, a = F.col("bid"), F.col("ask")
     zero = F.lit(0)
@@ -188,7 +189,7 @@ def flow_events(quotes: DataFrame, by: Sequence[str] = ("symbol", "session_date"
         F.when(b >= pb, F.col("bid_sz")).otherwise(zero) - F.when(b <= pb, pbs).otherwise(zero)
         - F.when(a <= pa, F.col("ask_sz")).otherwise(zero) + F.when(a >= pa, pas).otherwise(zero)
     )
-    return q.withColumn("flow", F.when(pb.isNotNull(), e).otherwise(0))
+    return q.withColumn("flow", F.when(pb.isNotNull(), e).otherwise(0)).filter("NOT __seed").drop("__b", "__seed")
 
 
 def quote_rule(trades: DataFrame, quotes: DataFrame, on=("symbol",), bucket_s: int = joins.HOUR) -> DataFrame:
@@ -217,9 +218,12 @@ def depth_change(points: DataFrame, books: DataFrame, window_s: int = 60, on=("s
 def halts(status: DataFrame, by: Sequence[str] = ("symbol", "session_date")) -> DataFrame:
     """Halt intervals per key and day: opens at the first halt record, closes at the next trading
     record; one still open ends at 20:00."""
-    w = Window.partitionBy(*by).orderBy("ts", "seq")
+    hour = time_bucket("ts", joins.HOUR)
+    status = with_edges(status, by, ["ts", "seq"], hour)
+    w = Window.partitionBy(*by, "__b").orderBy("ts", "seq")
     turn = F.col("halted") & ~F.coalesce(F.lag("halted").over(w), F.lit(False))
-    rows = status.withColumn("__run", F.sum(turn.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = status.withColumn("__turn", turn.cast("int")).filter("NOT __seed").drop("__b", "__seed")
+    rows = running_sums(rows, by, ["ts", "seq"], {"__run": "__turn"}, hour)
     return rows.filter("__run > 0").groupBy(*by, "__run").agg(
         F.min(F.when(F.col("halted"), F.col("minute"))).alias("start_minute"),
         F.coalesce(F.min(F.when(~F.col("halted"), F.col("minute"))), F.lit(1200)).alias("end_minute"),
@@ -282,12 +286,13 @@ def spike_bars() -> Column:
 
 def isolated_ticks(ticks: DataFrame, by=("symbol", "session_date"), away: float = 0.5, within_s: float = 3600, max_share: float = 0.2) -> DataFrame:
     """A print far from both neighbours that agree, reverting soon on little volume."""
-    w = Window.partitionBy(*by).orderBy("ts", "seq")
+    ticks = with_edges(ticks, by, ["ts", "seq"], time_bucket("ts", joins.HOUR), 2, 2)
+    w = Window.partitionBy(*by, "__b").orderBy("ts", "seq")
     p0, p1 = F.lag("px").over(w), F.lead("px").over(w)
     near = F.avg("size").over(w.rowsBetween(-2, 2))
     quick = (micros(F.lead("ts").over(w)) - micros("ts")) / 1e6 <= within_s
     bad = (F.abs(F.try_divide(F.col("px"), p0) - 1) > away) & (F.abs(F.try_divide(F.col("px"), p1) - 1) > away) & quick & (F.col("size") < near * (1 + max_share))
-    return ticks.withColumn("bad_tick", F.coalesce(bad, F.lit(False)))
+    return ticks.withColumn("bad_tick", F.coalesce(bad, F.lit(False))).filter("NOT __seed").drop("__b", "__seed")
 
 
 def cost_quantiles(priced: DataFrame, by: Sequence[str], col: str) -> DataFrame:

@@ -30,6 +30,27 @@ def time_bucket(ts: str, seconds: int) -> Column:
     return F.floor(micros(ts) / F.lit(seconds * 1_000_000)).cast("bigint")
 
 
+def with_edges(df: DataFrame, by: Sequence[str], order: Sequence[str], bucket: Column, back: int = 1, ahead: int = 0) -> DataFrame:
+    """Rows with their bucket `__b`, and with the rows just outside each bucket as seeds (`__seed`).
+
+    A window over (by, __b) then sees up to `back` rows before and `ahead` rows after each row as one
+    over the whole key would; the caller drops the seeds. The last `back` rows of a bucket go to the
+    next `back` buckets that hold rows, so short buckets lose nothing.
+    """
+    rows = df.withColumn("__b", bucket)
+    keys = [*by, "__b"]
+    line = Window.partitionBy(*by).orderBy("__b")
+    held = rows.select(*keys).distinct()
+    parts = [rows.withColumn("__seed", F.lit(False))]
+    for n, move, turn in ((back, F.lead, F.desc), (ahead, F.lag, F.asc)):
+        if n:
+            to = held.withColumn("__to", F.array_compact(F.array(*[move("__b", k).over(line) for k in range(1, n + 1)])))
+            rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*[turn(c) for c in order]))
+            edge = rows.withColumn("__r", rank).filter(F.col("__r") <= n).drop("__r").join(to, keys)
+            parts.append(edge.withColumn("__b", F.explode("__to")).drop("__to").withColumn("__seed", F.lit(True)))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def running_sums(
     df: DataFrame,
     by: Sequence[str],

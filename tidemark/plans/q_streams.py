@@ -77,10 +77,11 @@ def _(m):
 
 @query("freshness_gate", "2.18.4", "SELECT symbol, @D(session_date) AS session_date, @I(seq) AS seq FROM fresh")
 def _(m):
-    w = Window.partitionBy("symbol", "session_date").orderBy("ts", "seq")
-    moved = F.first("size").over(w) != F.col("size")
-    t = m.ticks().withColumn("moved", moved.cast("int"))
-    return t.withColumn("ok", F.max("moved").over(w)).filter("ok = 1").select("symbol", "session_date", "seq")
+    on, at = ["symbol", "session_date"], F.struct("ts", "seq")
+    t = m.ticks()
+    first = t.groupBy(*on).agg(F.min_by("size", at).alias("__first"))
+    opened = t.join(first, on).filter("size <> __first").groupBy(*on).agg(F.min(at).alias("__from"))
+    return t.join(opened, on).filter(at >= F.col("__from")).select("symbol", "session_date", "seq")
 
 
 @query("stream_round_trips", "2.18.9", "SELECT @I(s.seq) AS seq, @R((s.price - b.price) * b.qty) AS pnl FROM (SELECT * FROM fills WHERE side = 'SELL') s ASOF JOIN (SELECT * FROM fills WHERE side = 'BUY') b ON s.symbol = b.symbol AND s.ts > b.ts WHERE s.ts <= (SELECT date_trunc('milliseconds', max(ts)) FROM fills) - INTERVAL 10 MINUTE")
