@@ -11,6 +11,7 @@ from tidemark.plans.q_screen import screen_list
 from tidemark.plans.registry import TABLES, query, view
 from tidemark.sources import readers
 from tidemark.sources.schemas import EXECUTION_REPORT
+from tidemark.sources.store import Store, report_refusals, write_report
 from tidemark.streaming import jobs as J
 
 
@@ -285,3 +286,32 @@ def _(m):
     from tidemark.operators import screen as S
     from tidemark.plans.q_screen import CFG
     return S.tick_grid(m.bars(), CFG).groupBy("session_date").agg(F.count(F.lit(1)).alias("ticks"), F.min("tick").alias("first_tick"), F.max("tick").alias("last_tick"))
+
+
+# ---- the store (2.1)
+
+@query("store_load", "2.1.17 2.1.18", """
+SELECT 'A' AS dataset, count(*) AS n, count(DISTINCT date) AS days, @R(sum(CASE WHEN volume % 2 = 0 THEN close + 1 ELSE close END)) AS closes FROM daily
+UNION ALL SELECT 'B', count(*), count(DISTINCT date), @R(sum(close)) FROM daily WHERE volume % 3 = 0""", digits=3)
+def _(m):
+    store = Store(m.spark, J.shared_folder(m.spark))
+    d = m.daily().select("symbol", F.col("date").alias("session_date"), "open", "high", "low", "close", "volume")
+    store.load("bar_daily", d.withColumn("dataset", F.lit("A")), "bars", "/x/a.csv", "2024-01-02 00:00:00")
+    store.load("bar_daily", d.filter("volume % 3 = 0").withColumn("dataset", F.lit("B")), "bars", "/x/b.csv", "2024-01-02 00:00:00")
+    # A second load of half the keys replaces those rows and leaves the others and the other dataset.
+    store.load("bar_daily", d.filter("volume % 2 = 0").withColumn("dataset", F.lit("A")).withColumn("close", F.col("close") + 1), "bars", "/x/a.csv", "2024-01-03 00:00:00")
+    return store.read("bar_daily").groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("session_date").alias("days"), F.sum("close").alias("closes"))
+
+
+@query("report_with_its_run", "2.1.23", "SELECT count(*) AS trades, @R(sum(net)) AS net, 1 AS refusals FROM ledger", digits=3)
+def _(m):
+    path = J.shared_folder(m.spark)
+    write_report(m.ledger().select("trade_id", "symbol", "net"), path, {"friction": "1.0", "days": "all"})
+    refused = report_refusals(m.spark, path, {"friction": "1.0", "days": "ten"}).agg(F.count(F.lit(1)).alias("refusals"))
+    rows = m.spark.read.schema("trade_id bigint, symbol string, net double").option("header", True).csv(f"{path}/rows")
+    return rows.agg(F.count(F.lit(1)).alias("trades"), F.sum("net").alias("net")).join(F.broadcast(refused), how="cross")
+
+
+@query("archive_inventory", "2.1.21")
+def _(m):
+    return readers.inventory(m.spark, m.folder)

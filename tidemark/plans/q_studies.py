@@ -225,3 +225,27 @@ def _(m):
     day = m.ticks().groupBy("symbol", "session_date").agg(F.sum("size").alias("day_volume"))
     t = m.ledger().join(day, ["symbol", "session_date"]).withColumn("v", F.col("day_volume") + F.col("trade_id") * 1e-7)
     return T.quantile_buckets(t, "v", 10, "net").select("bucket", "n", "mean", "win")
+
+
+FILTERS = [("all", "true"), ("cheap", "close < 1200"), ("gap_up", "gap >= 0.02"), ("wide", "width >= 0.2"), ("busy", "volume >= 60")]
+
+
+@query("study_universe_lift", "2.20.85", f"""
+WITH d AS (SELECT *, open / nullif(lag(close) OVER w, 0) - 1 AS gap, high / nullif(low, 0) - 1 AS width, lead(close) OVER w / nullif(close, 0) - 1 AS later FROM daily WINDOW w AS (PARTITION BY symbol ORDER BY date)), k AS (SELECT * FROM d WHERE later IS NOT NULL)
+""" + " UNION ALL ".join(f"SELECT '{n}' AS filter, count(*) FILTER ({c}) AS kept, @R(avg(CAST(later >= 0.05 AS INT)) FILTER ({c})) AS hit_rate, @R((avg(CAST(later >= 0.05 AS INT)) FILTER ({c})) / avg(CAST(later >= 0.05 AS INT))) AS lift FROM k" for n, c in FILTERS))
+def _(m):
+    w = Window.partitionBy("symbol").orderBy("date")
+    d = m.daily().withColumn("gap", F.try_divide("open", F.lag("close").over(w)) - 1).withColumn("width", F.try_divide("high", "low") - 1)
+    d = d.withColumn("later", F.try_divide(F.lead("close").over(w), "close") - 1).filter("later is not null")
+    return S.lift_report(d, [(n, F.expr(c)) for n, c in FILTERS], F.col("later") >= 0.05)
+
+
+@query("study_range_rank", "2.20.61", """
+WITH d AS (SELECT *, lead(close) OVER (PARTITION BY symbol ORDER BY date) / nullif(close, 0) - 1 AS later, row_number() OVER (PARTITION BY date ORDER BY round(high / nullif(low, 0), 9) DESC NULLS LAST, symbol) AS k FROM daily)
+SELECT CAST(CASE WHEN k <= 5 THEN 5 WHEN k <= 10 THEN 10 ELSE 99 END AS BIGINT) AS top, count(later) AS names, @R(avg(later)) AS mean, @R(avg(CAST(later > 0 AS INT))) AS share_up FROM d WHERE later IS NOT NULL GROUP BY 1""")
+def _(m):
+    w = Window.partitionBy("symbol").orderBy("date")
+    d = m.daily().withColumn("later", F.try_divide(F.lead("close").over(w), "close") - 1)
+    k = F.row_number().over(Window.partitionBy("date").orderBy(F.desc_nulls_last(F.round(F.try_divide("high", "low"), 9)), "symbol"))
+    d = d.withColumn("top", F.when(k <= 5, 5).when(k <= 10, 10).otherwise(99)).filter("later is not null")
+    return d.groupBy("top").agg(F.count("later").alias("names"), F.avg("later").alias("mean"), F.avg((F.col("later") > 0).cast("int")).alias("share_up"))

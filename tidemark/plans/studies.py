@@ -28,6 +28,14 @@ def gate_report(trades: DataFrame, gates: Sequence[tuple[str, Column]], friction
     return trades.agg(F.array(*rows).alias("r")).select(F.explode("r").alias("r")).select("r.*")
 
 
+def lift_report(rows: DataFrame, filters: Sequence[tuple[str, Column]], hit: Column) -> DataFrame:
+    """How often each filter's rows hit, and that over how often all rows do, in one pass."""
+    hits = hit.cast("int")
+    every = F.avg(hits)
+    cells = [F.struct(F.lit(n).alias("filter"), F.count(F.when(keep, 1)).alias("kept"), F.avg(F.when(keep, hits)).alias("hit_rate"), F.try_divide(F.avg(F.when(keep, hits)), every).alias("lift")) for n, keep in filters]
+    return rows.agg(F.array(*cells).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+
+
 def halves_report(trades: DataFrame, by: Sequence[str], friction: float, date: str = "session_date") -> DataFrame:
     """A cell's result in both halves and whether they agree in sign."""
     h = book_table(O.with_half(trades, date), [*by, "half"], friction)
