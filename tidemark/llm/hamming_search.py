@@ -1,7 +1,7 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A code of BITS bits is cut into segments of about log2(codes) bits, and the index holds each distinct
-code once under every segment's value. All queries probe the index with their segments changed in 0
+A code of BITS bits is cut into segments of about log2(codes) - FILL bits, so that a probe meets some
+2**FILL codes, and the index holds each distinct code once under every segment's value. All queries probe the index with their segments changed in 0
 bits, then in 1, and so on. After radius r every code within segments * (r + 1) - 1 bits has been met,
 since a code further than r in every segment is further than that in all. A query stops when its k-th
 verified distance is within this bound, which proves its answer; no query stops earlier.
@@ -29,6 +29,7 @@ from tidemark.llm.common import written
 BITS = 64
 K = 10
 QUERY_STEP = 20
+FILL = 3
 
 
 def code_of(vector: Column) -> Column:
@@ -39,7 +40,7 @@ def code_of(vector: Column) -> Column:
 
 def segment_bounds(codes: int, bits: int = BITS) -> list[tuple[int, int]]:
     """(first bit, width) of each segment."""
-    m = max(2, round(bits / max(1.0, math.log2(max(2, codes)))))
+    m = max(2, round(bits / max(1.0, math.log2(max(2, codes)) - FILL)))
     edges = [bits * k // m for k in range(m + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
@@ -54,7 +55,8 @@ def flips(width: int, radius: int) -> list[int]:
 
 def changed(value: Column, masks: list[int]) -> Column:
     """The value with each mask's bits changed."""
-    return F.transform(F.array(*[F.lit(m).cast("bigint") for m in masks]), lambda mask: value.bitwiseXOR(mask))
+    listed = F.split(F.lit(",".join(map(str, masks))), ",").cast("array<bigint>")  # one literal once folded
+    return F.transform(listed, lambda mask: value.bitwiseXOR(mask))
 
 
 def best(found: DataFrame, k: int) -> DataFrame:
@@ -81,7 +83,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "v
     for radius in range(max(w for _, w in bounds) + 1):
         probes = F.array(*[F.struct(F.lit(s).alias("s"), changed(segment(F.col("q"), a, w), flips(w, radius)).alias("keys")) for s, (a, w) in enumerate(bounds) if radius <= w])
         asking = active.select("q", F.explode(probes).alias("p")).select("q", "p.s", F.explode("p.keys").alias("key"))
-        met = asking.join(index, ["s", "key"])
+        # Probes are many more than the query codes whose size the planner sees: never a broadcast.
+        met = asking.hint("merge").join(index, ["s", "key"])
         apart = F.col("q").bitwiseXOR(F.col("code"))
         first = [F.struct(F.bit_count(segment(apart, a, w)).alias("r"), F.lit(s).alias("s")) for s, (a, w) in enumerate(bounds)]
         new = met.where(F.least(*first)["s"] == F.col("s")).select("q", "code", "ids", "low", F.bit_count(apart).alias("d"))
