@@ -104,7 +104,6 @@ def interval_join(
     start: str = "start",
     end: str = "end",
     how: str = "inner",
-    max_broadcast_rows: int | None = None,
 ) -> DataFrame:
     """Points joined to the half-open spells that cover them; a NULL end is open.
 

@@ -370,6 +370,21 @@ def fit_classifier(df: DataFrame, features: Sequence[str], label: str, folds: in
     return cv.fit(df)
 
 
+def classifier_report(rows: DataFrame, features: Sequence[str], label: str, key: str, limit: int = 2000, folds: int = 2) -> DataFrame:
+    """Held-out AUC of the fitted models: fitted on at most `limit` rows, those whose key digests are
+    lowest among the rows not held out, and scored on every held-out row (a third, by digest)."""
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+
+    digest = F.md5(F.col(key).cast("string"))
+    marked = rows.withColumn("__d", digest).withColumn("__out", F.conv(F.substring("__d", 1, 4), 16, 10).cast("int") % 3 == 0)
+    train = marked.filter("NOT __out").orderBy("__d", key).limit(limit).select(*features, label).cache()
+    held = marked.filter("__out").select(*features, label)
+    score = BinaryClassificationEvaluator(labelCol=label)
+    found = [(kind, float(score.evaluate(fit_classifier(train, features, label, folds, kind).transform(held)))) for kind in ("logit", "boosted")]
+    out = held.agg(F.count(F.lit(1)).alias("held_out")).join(F.broadcast(train.agg(F.count(F.lit(1)).alias("fitted"))), how="cross")
+    return out.withColumn("m", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(a).alias("auc")) for k, a in found]))).select("m.kind", "fitted", "held_out", F.round("m.auc", 2).alias("auc"))
+
+
 def cost_state(legs: DataFrame, draws: int = 100, seed: str = "1") -> DataFrame:
     """Current cost per leg with a session-bootstrap interval."""
     s = legs.groupBy("leg", "session_date").agg(F.sum("cost").alias("total"), F.count(F.lit(1)).alias("n"))
