@@ -26,7 +26,7 @@ def shared_folder(spark: SparkSession) -> str:
     """A new folder on the storage the cluster names in spark.checkpoint.dir; one machine may do without."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
