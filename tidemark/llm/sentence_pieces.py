@@ -36,6 +36,7 @@ ships(__name__)
 
 MARK = "▁"
 KEPT_UNITS = 400_000
+KEPT_WEIGHTS = 1_000_000
 DIGESTS = "doc_id bigint, n_ids bigint, ids_crc32 bigint, n_bytes bigint, exact boolean"
 INFINITE = float("inf")
 
@@ -61,11 +62,15 @@ class Transducer:
         self.unknown = library.unk_id()
         self.surface = [bytes((self.byte_of[k],)) if k in self.byte_of else p.replace(MARK, " ").encode() for k, p in enumerate(self.pieces)]
         self.single = [k in self.byte_of for k in range(len(self.pieces))]
-        self.longest = max(map(len, self.arcs))
         crossing = any(MARK in piece.lstrip(MARK) for piece in self.arcs)
         self.unit = re.compile(r"(?s).+" if crossing else rf"{MARK}*[^{MARK}]+|{MARK}+")
-        self.weights: dict[tuple[str, str], float] = {}
+        # What each arc reads: the pieces, and any character of theirs that is no piece itself.
+        self.reads = [*self.arcs, *sorted({c for piece in self.arcs for c in piece} - set(self.arcs))]
+        # Arcs read backwards from a place: the number of an arc, or -1 for the end of one only.
+        self.tails = {text[k:]: -1 for text in self.reads for k in range(len(text))} | {text: k for k, text in enumerate(self.reads)}
+        self.weights: dict[int, float] = {}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def normalise(self, text: str) -> str:
         return (MARK + text).replace(" ", MARK) if text else ""
@@ -84,35 +89,46 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def weight(self, left: str, right: str) -> float:
-        """Of following one piece by another."""
-        found = self.weights.get((left, right))
-        if found is None:
-            if len(self.weights) > KEPT_UNITS:
-                self.weights.clear()
-            found = self.weights[left, right] = 0.0 if self.merged(left + right) == [left, right] else INFINITE
+    def weight(self, left: int, right: int) -> float:
+        """Of following one arc by another; kept by number, since every pair is met again and again."""
+        if len(self.weights) > KEPT_WEIGHTS:
+            self.weights.clear()
+        a, b = self.reads[left], self.reads[right]
+        found = self.weights[left * len(self.reads) + right] = 0.0 if self.merged(a + b) == [a, b] else INFINITE
         return found
 
     def shortest_path(self, unit: str) -> list[str]:
-        """Pieces of the least-weight path through the machine composed with the unit."""
-        n = len(unit)
-        cost: list[float] = [0.0] + [INFINITE] * n
-        last: list[str] = [""] * (n + 1)
-        arcs, weight = self.arcs, self.weight
+        """Pieces of the least-weight path through the machine composed with the unit.
+
+        Weights are 0 or infinite, so a state is either reached at weight 0 or not at all, and the
+        first arc that reaches a place ends the search for it: a place has one canonical last piece.
+        """
+        n, size = len(unit), len(self.reads)
+        last, step = [0] * (n + 1), [0] * (n + 1)
+        tail, weight = self.tails.get, self.weights.get
         for stop in range(1, n + 1):
-            for start in range(max(0, stop - self.longest), stop):
-                piece = unit[start:stop]
-                if (piece in arcs or stop - start == 1) and cost[start] < INFINITE:
-                    total = cost[start] + (weight(last[start], piece) if start else 0.0)
-                    if total < cost[stop]:
-                        cost[stop], last[stop] = total, piece
-                        break
-        if cost[n] == INFINITE:  # no canonical neighbours, which a model's own merge order excludes
-            return self.merged(unit)
+            for start in range(stop - 1, -1, -1):
+                arc = tail(unit[start:stop])
+                if arc is None:  # no arc ends like this; a character no piece holds merges with nothing
+                    if start + 1 == stop:
+                        last[stop], step[stop] = -1, 1
+                    break
+                if arc < 0:
+                    continue
+                if start and last[start] >= 0:
+                    found = weight(last[start] * size + arc)
+                    if found is None:
+                        found = self.weight(last[start], arc)
+                    if found:
+                        continue
+                last[stop], step[stop] = arc, stop - start
+                break
+            if not step[stop]:  # no canonical neighbours, which a model's own merge order excludes
+                return self.merged(unit)
         path, at = [], n
         while at:
-            path.append(last[at])
-            at -= len(last[at])
+            path.append(unit[at - step[at] : at])
+            at -= step[at]
         return path[::-1]
 
     def unit_ids(self, unit: str) -> bytes:
@@ -127,18 +143,22 @@ class Transducer:
                 ids.append(self.unknown)
         return ids.tobytes()
 
+    def looked_up(self, unit: str) -> bytes:
+        """Ids of a unit outside the younger table; units of the older one that are met again move over."""
+        ids = self.older.get(unit)
+        if ids is None:
+            ids = self.unit_ids(unit)
+        if len(unit) <= 64:
+            if len(self.known) >= KEPT_UNITS:
+                self.older, self.known = self.known, {}
+            self.known[unit] = ids
+        return ids
+
     def encode(self, text: str) -> array:
-        known = self.known
-        parts = []
-        for unit in self.unit.findall(self.normalise(text)):
-            ids = known.get(unit)
-            if ids is None:
-                ids = self.unit_ids(unit)
-                if len(unit) <= 64:
-                    if len(known) >= KEPT_UNITS:
-                        known.clear()
-                    known[unit] = ids
-            parts.append(ids)
+        units = self.unit.findall(self.normalise(text))
+        parts = list(map(self.known.get, units))
+        if None in parts:
+            parts = [self.looked_up(u) if p is None else p for u, p in zip(units, parts)]
         out = array("I")
         out.frombytes(b"".join(parts))
         return out
