@@ -96,3 +96,15 @@ def test_no_labels_keep_all(spark, corpus):
     docs = spark.read.parquet(f"{corpus[0]}/documents.parquet")
     model = quality.train(docs, spark.createDataFrame([], "doc_id bigint, quality int"))
     assert quality.scored(docs, model, only=0.5).count() == docs.count()
+
+
+def test_repeated_rows_and_ids_leave_one_of_each_text(spark, corpus):
+    """Repeated rows, null ids and one id with two texts: each text stays once through all the deduplication."""
+    rng = random.Random(29)
+    a, b, c, d, e, f = (words(rng, 120, 10**6) for _ in range(6))
+    rows = [(1, a), (1, a), (2, b), (None, b), (None, c), (None, c), (5, d), (5, e), (6, d), (7, f), (None, f"{f} x")]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], COLUMNS).repartition(3)
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        docs = stage(spark, docs, corpus[0])
+    got = sorted(((r.doc_id, r.text) for r in docs.collect()), key=repr)
+    assert got == sorted([(1, a), (2, b), (None, c), (6, d), (5, e), (7, f)], key=repr)

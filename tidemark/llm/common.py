@@ -73,6 +73,11 @@ def row_ids(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return with_rid(base, "id").select("rid", "id", "text")
 
 
+def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(rid, id, text, doc) of docs, doc being the whole row."""
+    return with_rid(docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct("*").alias("doc")), "id")
+
+
 def lower_az(text: Column) -> Column:
     """A-Z lowered and no other letter. lower() does just that for ASCII texts, and fast."""
     upper = string.ascii_uppercase

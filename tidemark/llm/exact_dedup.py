@@ -43,7 +43,15 @@ def directory(keys: DataFrame, capacity: int = BUCKET_KEYS) -> tuple[DataFrame,
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = BUCKET_KEYS) -> DataFrame:
     """id_col, keep_id, group_size, kept, text_sha256, bucket: one row per row of docs."""
-    rows = row_ids(docs, id_col, text_col)
+    return numbered_groups(row_ids(docs, id_col, text_col), capacity).drop("rid").withColumnRenamed("id", id_col)
+
+
+def one_each(rows: DataFrame) -> DataFrame:
+    """rid of one row of each group of equal texts in rows (rid, id, text): the largest id, of equals the first row."""
+    return numbered_groups(rows).where("kept").groupBy("text_sha256").agg(F.min("rid").alias("rid")).select("rid")
+
+
+def numbered_groups(rows: DataFrame, capacity: int = BUCKET_KEYS) -> DataFrame:
     norm = lower_az(F.col("text"))
     digests = written(rows.select("rid", "id", F.xxhash64(norm).alias("key"), F.sha2(norm, 256).alias("sha")), "digests")
     # Written, so that the join below meets plain tables and a hot key's rows can be split.
@@ -62,7 +70,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     alone = F.col("group_size").isNull()
     keep = F.when(alone, F.col("id")).otherwise(F.col("keep_id"))
     return found.select(
-        F.col("id").alias(id_col), keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("bigint").alias("group_size"),
+        "rid", "id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("bigint").alias("group_size"),
         keep.eqNullSafe(F.col("id")).alias("kept"), F.col("sha").alias("text_sha256"), "bucket",
     )
 
