@@ -108,3 +108,47 @@ def test_repeated_rows_and_ids_leave_one_of_each_text(spark, corpus):
         docs = stage(spark, docs, corpus[0])
     got = sorted(((r.doc_id, r.text) for r in docs.collect()), key=repr)
     assert got == sorted([(1, a), (2, b), (None, c), (6, d), (5, e), (7, f)], key=repr)
+
+
+def near_brute(texts, least=0.8):
+    """The least key of each text's component, by the resemblance of all pairs."""
+    sets = {}
+    for k, t in texts.items():
+        w = (t or "").encode().lower().split()
+        sets[k] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    root = {k: k for k in sets}
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    keys = sorted(sets)
+    for i, a in enumerate(keys):
+        for b in keys[i + 1 :]:
+            if min(len(sets[a]), len(sets[b])) >= least * max(len(sets[a]), len(sets[b])):
+                both = len(sets[a] & sets[b])
+                if both >= least * (len(sets[a]) + len(sets[b]) - both):
+                    x, y = top(a), top(b)
+                    root[max(x, y)] = min(x, y)
+    return {k: top(k) for k in keys}
+
+
+def test_near_stage_finds_near_copies_of_any_bit_distance(spark):
+    """Words replaced, chains of edits and a crowd of near copies, beside texts that share less than 0.8."""
+    rng = random.Random(17)
+    texts = []
+    for _ in range(12):
+        now = words(rng, rng.randrange(50, 150)).split()
+        for _ in range(rng.randrange(2, 9)):
+            texts.append(" ".join(now))
+            for _ in range(rng.randrange(1, 4)):
+                now[rng.randrange(len(now))] = words(rng, 1)
+    crowd = words(rng, 100).split()
+    texts += [" ".join(words(rng, 1) if k == j % 100 else w for k, w in enumerate(crowd)) for j in range(90)]
+    texts += [f"{words(rng, 30)} {' '.join(crowd[:60])}" for _ in range(5)] + ["", " \n", "two words", "Two  words", "two wards"]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], COLUMNS).repartition(3)
+    got = {r.doc_id for r in corpus_pipeline.simhash_near_dedup(spark, docs, "").collect()}
+    want = near_brute(dict(enumerate(texts)))
+    assert got == {k for k, low in want.items() if k == low}
+    assert len(got) < len(texts) - 100

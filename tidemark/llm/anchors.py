@@ -116,3 +116,26 @@ def packed_cuts(found: tuple[np.ndarray, ...]) -> np.ndarray:
 
 def unpacked(cut: int) -> tuple[int, int, int]:
     return cut >> 20, cut >> 10 & 1023, cut & 1023
+
+
+SPACE = np.zeros(256, bool)
+SPACE[list(b" \t\n\r\x0b\x0c")] = True
+
+
+def word_values(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and 64-bit value of each word between ASCII whitespace."""
+    data = np.frombuffer(text, np.uint8)
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], SPACE[data], [True])).view(np.int8)))
+    starts, ends = edge[::2], edge[1::2]
+    if not len(starts):
+        return starts, ends, np.zeros(0, np.uint64)
+    table = np.random.default_rng(11).integers(1, 1 << 63, 256, np.uint64)
+    table[SPACE] = 0
+    powers = np.full(len(data), BASE, np.uint64)
+    powers[0] = 1
+    powers = np.cumprod(powers)
+    back = np.full(len(data), pow(BASE, -1, 1 << 64), np.uint64)
+    back[0] = 1
+    values = np.add.reduceat(table[data] * powers, starts) * np.cumprod(back)[starts]
+    values ^= values >> np.uint64(32)
+    return starts, ends, values * np.uint64(0xD6E8FEB86659FD93)
