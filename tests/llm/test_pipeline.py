@@ -7,7 +7,7 @@ import pytest
 from test_operators import check_pieces, exact_brute, passages_brute, simhash_brute, words
 
 import corpus_pipeline
-from tidemark.llm import quality
+from tidemark.llm import quality, suffix
 
 COLUMNS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -152,3 +152,26 @@ def test_near_stage_finds_near_copies_of_any_bit_distance(spark):
     want = near_brute(dict(enumerate(texts)))
     assert got == {k for k, low in want.items() if k == low}
     assert len(got) < len(texts) - 100
+
+
+@pytest.mark.parametrize("crowded", [False, True])
+def test_suffix_stage_cuts_passages_of_over_50_words(spark, monkeypatch, crowded):
+    """Passages of 51 to 65 short words go wherever they stand; one of 50 words stays."""
+    if crowded:
+        monkeypatch.setattr(suffix, "CLASS_ROWS", 2)
+    rng = random.Random(31)
+    short = lambda n: " ".join(rng.choice("abcdefghij") + str(rng.randrange(100)) for _ in range(n))
+    passages = {n: short(n) for n in range(50, 66)}
+    rows, want = [], {}
+    for n, passage in passages.items():
+        assert len(passage) < 400
+        for copy in range(3):
+            head, tail = f"{words(rng, 30)} h{n}-{copy}", f"t{n}-{copy} {words(rng, 30)}"
+            glue = "\n" if copy == 2 else " "
+            rows.append((len(rows), f"{head} {passage.replace(' ', glue)} {tail}"))
+            want[rows[-1][0]] = f"{head}  {tail}" if n > 50 else rows[-1][1]
+    rows += [(1000, passages[51]), (1001, passages[51]), (1002, passages[50]), (1003, "é " + passages[60] + " ü")]
+    want |= {1000: "", 1001: "", 1002: passages[50], 1003: "é  ü"}
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], COLUMNS).repartition(3)
+    got = {r.doc_id: r.text for r in corpus_pipeline.suffix_array_dedup(spark, docs, "").collect()}
+    assert got == want

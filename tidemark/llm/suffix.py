@@ -16,6 +16,9 @@ has to meet. A segment is a run of string starts that share an anchor, with the
 5. An anchor with more distinct segments than CLASS_ROWS is not sorted in one shard; its strings are
    counted by digest in an ordinary aggregate instead.
 
+The elements of a text are its bytes, or its words (Reading): then LENGTH and all positions count words, and
+contents are words joined by blanks, numbered within a shard before it is sorted.
+
 A segment reaches no further than twice LENGTH, so shards are bounded by CLASS_ROWS of them.
 
 Defined results: null and empty texts have no bytes and lose none. Repeated rows are copies. Texts
@@ -26,7 +29,8 @@ from __future__ import annotations
 
 import hashlib
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +38,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.anchors import list_column, packed_cuts, segments, unpacked
-from tidemark.llm.common import arrow_rows, record, row_ids, ships, with_rid, written
+from tidemark.llm.anchors import list_column, packed_cuts, segments, unpacked, word_values
+from tidemark.llm.common import arrow_rows, numbered, record, row_ids, ships, written
 
 ships(__name__)
 
@@ -49,15 +53,39 @@ def byte_values() -> np.ndarray:
     return np.random.default_rng(11).integers(1, 1 << 63, 256, np.uint64)
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column(2).to_pylist()
-        table = byte_values()
-        found = segments((table[np.frombuffer(t, np.uint8)] for t in texts), LENGTH, GRAM)
-        yield pa.RecordBatch.from_arrays([
-            batch.column(0), batch.column(1), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()),
-            list_column([packed_cuts(f) for f in found], pa.int64()), list_column([f[3].view(np.int64) for f in found], pa.int64()),
-        ], ["rid", "id", "n_bytes", "sha", "cuts", "keys"])
+class Reading(NamedTuple):
+    """What the elements of a text are, how many make a repeat, and how many make a gram."""
+
+    length: int
+    gram: int
+    words: bool = False
+
+    def values(self, text: bytes) -> np.ndarray:
+        return word_values(text)[2] if self.words else byte_values()[np.frombuffer(text, np.uint8)]
+
+    def elements(self, text: bytes) -> bytes | list[bytes]:
+        return text.split() if self.words else text
+
+    def content(self, some: bytes | list[bytes]) -> bytes:
+        return b" ".join(some) if self.words else some
+
+
+BYTES, WORDS = Reading(LENGTH, GRAM), Reading(51, 16, True)
+
+
+def _parse(reading: Reading) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            values = [reading.values(t) for t in texts]
+            found = segments(values, reading.length, reading.gram)
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), batch.column(1), pa.array([len(t) for t in texts], pa.int64()), pa.array([len(v) for v in values], pa.int64()),
+                pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()),
+                list_column([packed_cuts(f) for f in found], pa.int64()), list_column([f[3].view(np.int64) for f in found], pa.int64()),
+            ], ["rid", "id", "n_bytes", "n", "sha", "cuts", "keys"])
+
+    return run
 
 
 OCCURRENCES = "rid bigint, cut bigint, key bigint, seg binary"
@@ -65,26 +93,42 @@ CONTENTS = "key bigint, seg binary, met bigint, cut bigint, content binary"
 RUNS = "key bigint, seg binary, low bigint, high bigint"
 STRINGS = "key bigint, seg binary, met bigint, low bigint, string binary"
 CUT = "rid bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
-PARSED = "rid bigint, id bigint, n_bytes bigint, sha string, cuts array<bigint>, keys array<bigint>"
+PARSED = "rid bigint, id bigint, n_bytes bigint, n bigint, sha string, cuts array<bigint>, keys array<bigint>"
 
 
-def _flat(batch: pa.RecordBatch) -> Iterator[tuple[int, dict, bytes]]:
+def _flat(batch: pa.RecordBatch, reading: Reading) -> Iterator[tuple[int, dict, bytes]]:
     """Row id, segment and content of each row's list of segments."""
     for rid, text, cuts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+        elements = reading.elements(text)
         for c in cuts:
             start, count, _ = unpacked(c["cut"])
-            yield rid, c, text[start : start + count + LENGTH - 1]
+            yield rid, c, reading.content(elements[start : start + count + reading.length - 1])
 
 
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [(rid, c["cut"], c["key"], xxhash.xxh3_128_digest(struct.pack("<qi", c["key"], c["cut"] & 0xFFFFF) + content)) for rid, c, content in _flat(batch)]
-        yield record(rows, OCCURRENCES)
+def _occurrences(reading: Reading) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(rid, c["cut"], c["key"], xxhash.xxh3_128_digest(struct.pack("<qi", c["key"], c["cut"] & 0xFFFFF) + content)) for rid, c, content in _flat(batch, reading)]
+            yield record(rows, OCCURRENCES)
 
+    return run
 
-def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield record([(c["key"], c["seg"], c["met"], c["cut"], content) for _, c, content in _flat(batch)], CONTENTS)
+
+def _contents(reading: Reading) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield record([(c["key"], c["seg"], c["met"], c["cut"], content) for _, c, content in _flat(batch, reading)], CONTENTS)
+
+    return run
+
+
+def laid_out(contents: list[bytes], reading: Reading) -> tuple[np.ndarray, np.ndarray]:
+    """The contents' elements as numbers, a zero between contents, and how many each has with that zero."""
+    if not reading.words:
+        return np.frombuffer(b"\0".join(contents), np.uint8), np.array([len(c) for c in contents]) + 1
+    names: dict[bytes, int] = {}
+    parts = [[names.setdefault(w, len(names) + 1) for w in c.split()] + [0] for c in contents]
+    return np.array([x for p in parts for x in p][:-1], np.int64), np.array([len(p) for p in parts])
 
 
 def suffix_order(t: np.ndarray) -> np.ndarray:
@@ -121,10 +165,9 @@ def suffix_order(t: np.ndarray) -> np.ndarray:
     return merged
 
 
-def repeated_starts(contents: list[bytes], counts: list[int], offs: list[int], keys: list[int], length: int) -> list[np.ndarray]:
+def repeated_starts(contents: list[bytes], counts: list[int], offs: list[int], keys: list[int], reading: Reading) -> list[np.ndarray]:
     """For each segment whether each of its starts begins a string that another start of the shard begins too."""
-    blob = np.frombuffer(b"\0".join(contents), np.uint8)
-    sizes = np.array([len(c) for c in contents]) + 1
+    blob, sizes = laid_out(contents, reading)
     firsts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     # Each segment but the last ends with a value of its own, so no two suffixes are alike beyond it.
     values = blob.astype(np.int64) + len(contents) + 1
@@ -138,7 +181,7 @@ def repeated_starts(contents: list[bytes], counts: list[int], offs: list[int], k
     inside = order - firsts[who] - np.array(offs)[who]
     same = np.array(keys)[who]
     near = np.flatnonzero((inside[1:] == inside[:-1]) & (same[1:] == same[:-1]))
-    strings = np.lib.stride_tricks.sliding_window_view(blob, length)
+    strings = np.lib.stride_tricks.sliding_window_view(blob, reading.length)
     mark = np.zeros(len(values), bool)
     for k in range(0, len(near), 2048):
         a, b = order[near[k : k + 2048]], order[near[k : k + 2048] + 1]
@@ -152,31 +195,50 @@ def runs_of(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
 
 
-def _shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shard(reading: Reading) -> Callable:
     """Rows come sorted by key; whole keys are gathered up to SHARD_BYTES."""
-    held: list[tuple] = []
-    size = 0
 
-    def run() -> pa.RecordBatch:
-        counts, offs = [unpacked(r[3])[1] for r in held], [unpacked(r[3])[2] for r in held]
-        marks = repeated_starts([r[4] for r in held], counts, offs, [r[0] for r in held], LENGTH)
-        return record([(r[0], r[1], a, b) for r, m in zip(held, marks) if r[2] == 1 for a, b in runs_of(m)], RUNS)
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+
+        def run() -> pa.RecordBatch:
+            counts, offs = [unpacked(r[3])[1] for r in held], [unpacked(r[3])[2] for r in held]
+            marks = repeated_starts([r[4] for r in held], counts, offs, [r[0] for r in held], reading)
+            return record([(r[0], r[1], a, b) for r, m in zip(held, marks) if r[2] == 1 for a, b in runs_of(m)], RUNS)
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if size >= SHARD_BYTES and row[0] != held[-1][0]:
+                    yield run()
+                    held, size = [], 0
+                held.append(row)
+                size += len(row[4])
+        if held:
+            yield run()
+
+    return shards
 
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if size >= SHARD_BYTES and row[0] != held[-1][0]:
-                yield run()
-                held, size = [], 0
-            held.append(row)
-            size += len(row[4])
-    if held:
-        yield run()
 
+def _strings(reading: Reading) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, seg, met, cut, content in zip(*(c.to_pylist() for c in batch.columns)):
+                elements = reading.elements(content)
+                starts = range(unpacked(cut)[1])
+                yield record([(key, seg, met, k, xxhash.xxh3_128_digest(reading.content(elements[k : k + reading.length]))) for k in starts], STRINGS)
 
-def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return run
+
+
+def _in_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (rid, text, spans in words): the spans in bytes, from the first word's start to the last word's end."""
     for batch in batches:
-        for key, seg, met, cut, content in zip(*(c.to_pylist() for c in batch.columns)):
-            yield record([(key, seg, met, k, xxhash.xxh3_128_digest(content[k : k + LENGTH])) for k in range(unpacked(cut)[1])], STRINGS)
+        rows = []
+        for rid, text, spans in zip(*(c.to_pylist() for c in batch.columns)):
+            starts, ends, _ = word_values(text)
+            rows += [(rid, int(starts[s["low"]]), int(ends[s["high"] - 1])) for s in spans]
+        yield record(rows, "rid bigint, low bigint, high bigint")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,10 +261,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield record(rows, CUT)
 
 
-def _repeats(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """parsed: a row per row; flags: (rid, copied); cuts: (rid, n_removed, n_spans, kept_sha256, kept) of documents cut in part."""
+def _repeats(rows: DataFrame, reading: Reading) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """parsed: a row per row; flags: (rid, copied); fetched: (rid, text, ...) of the suspects; spans: (rid, low, high) of repeats, in elements."""
     arrow_rows(rows.sparkSession, 256)
-    parsed = written(rows.select("rid", "id", F.col("text").cast("binary")).mapInArrow(_parse, PARSED), "parsed")
+    parsed = written(rows.select("rid", "id", F.col("text").cast("binary")).mapInArrow(_parse(reading), PARSED), "parsed")
     texts = parsed.groupBy("sha", "n_bytes").agg(F.min("rid").alias("lead"), F.count("*").alias("copies")).where("copies > 1")
     # Hot values are joined as written tables, whose rows adaptive execution can split.
     texts = written(texts, "texts")
@@ -214,7 +276,7 @@ def _repeats(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     suspects = every.drop("sha").join(keys, "key").join(flags.where("NOT leads").select("rid"), "rid", "left_anti")
     listed = suspects.groupBy("rid").agg(F.collect_list(F.struct("cut", "key")).alias("cuts"))
     fetched = written(rows.select("rid", F.col("text").cast("binary").alias("text")).join(listed, "rid"), "suspects")
-    places = written(fetched.mapInArrow(_occurrences, OCCURRENCES), "places")
+    places = written(fetched.mapInArrow(_occurrences(reading), OCCURRENCES), "places")
     kinds = written(places.groupBy("key", "seg").agg(F.count("*").alias("met"), F.min(F.struct("rid", "cut")).alias("at")), "segments")
     whole = kinds.where("met > 1").select("key", "seg", F.lit(0).cast("bigint").alias("low"), F.expr("shiftright(at.cut, 10) & 1023").alias("high"))
     mixed = kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.min("met").alias("least")).where("kinds > 1 AND least = 1").select("key", "kinds")
@@ -223,24 +285,27 @@ def _repeats(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     def contents(crowded: bool) -> DataFrame:
         some = wanted.where(F.col("crowded") == crowded).select("rid", "cuts")
-        return fetched.select("rid", "text").join(some, "rid").mapInArrow(_contents, CONTENTS)
+        return fetched.select("rid", "text").join(some, "rid").mapInArrow(_contents(reading), CONTENTS)
 
-    runs = contents(False).repartition("key").sortWithinPartitions("key").mapInArrow(_shard, RUNS)
+    runs = contents(False).repartition("key").sortWithinPartitions("key").mapInArrow(_shard(reading), RUNS)
     if wanted.where("crowded").limit(1).count():
-        strings = contents(True).repartition("key", "seg").mapInArrow(_strings, STRINGS)
+        strings = contents(True).repartition("key", "seg").mapInArrow(_strings(reading), STRINGS)
         again = strings.groupBy("key", "string").agg(F.count("*").alias("n")).where("n > 1").select("key", "string")
         runs = runs.union(strings.where("met = 1").join(again, ["key", "string"]).select("key", "seg", "low", F.expr("low + 1").alias("high")))
     runs = written(whole.union(runs), "runs")
     start = F.shiftright("cut", 20)
-    spans = places.join(runs, ["key", "seg"]).select("rid", (start + F.col("low")).alias("low"), (start + F.col("high") + LENGTH - 1).alias("high"))
-    marked = spans.groupBy("rid").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
-    cuts = fetched.select("rid", "text").join(marked, "rid").mapInArrow(_cut, CUT)
-    return parsed.select("rid", "id", "n_bytes", "sha"), flags.select("rid", F.lit(True).alias("copied")), cuts
+    spans = places.join(runs, ["key", "seg"]).select("rid", (start + F.col("low")).alias("low"), (start + F.col("high") + reading.length - 1).alias("high"))
+    return parsed.select("rid", "id", "n_bytes", "n", "sha"), flags.select("rid", F.lit(True).alias("copied")), fetched.select("rid", "text"), spans
+
+
+def _listed(spans: DataFrame) -> DataFrame:
+    return spans.groupBy("rid").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_bytes, n_removed, n_spans, kept_sha256: one row per row of docs."""
-    parsed, flags, cuts = _repeats(row_ids(docs, id_col, text_col))
+    parsed, flags, fetched, spans = _repeats(row_ids(docs, id_col, text_col), BYTES)
+    cuts = fetched.join(_listed(spans), "rid").mapInArrow(_cut, CUT)
     gone = F.coalesce(F.col("copied") & (F.col("n_bytes") >= LENGTH), F.lit(False))
     both = parsed.join(flags, "rid", "left").join(cuts.drop("kept"), "rid", "left")
     return both.select(
@@ -250,11 +315,21 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     )
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the repeated bytes taken out of its texts; of a character cut apart nothing stays."""
-    rows = with_rid(docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct("*").alias("doc")), "id")
-    parsed, flags, cuts = _repeats(rows.select("rid", "id", "text"))
-    copied = flags.join(parsed.where(F.col("n_bytes") >= LENGTH).select("rid"), "rid").select("rid", F.lit("").alias("kept"))
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", readings: tuple[Reading, ...] = (BYTES,)) -> DataFrame:
+    """docs with what repeats by any of the readings taken out of its texts; of a character cut apart nothing stays."""
+    rows = numbered(docs, id_col, text_col)
+    base = rows.select("rid", "id", "text")
+    copied = spans = None
+    for reading in readings:
+        parsed, flags, fetched, found = _repeats(base, reading)
+        whole = flags.join(parsed.where(F.col("n") >= reading.length).select("rid"), "rid").select("rid")
+        if reading.words:
+            found = fetched.join(_listed(found), "rid").mapInArrow(_in_bytes, "rid bigint, low bigint, high bigint")
+        copied = whole if copied is None else copied.union(whole)
+        spans = found if spans is None else spans.union(found)
+    copied = copied.distinct().select("rid", F.lit("").alias("kept"))
+    texts = fetched if len(readings) == 1 else base.select("rid", F.col("text").cast("binary").alias("text"))
+    cuts = texts.join(_listed(spans), "rid").mapInArrow(_cut, CUT)
     part = cuts.join(copied.select("rid"), "rid", "left_anti").select("rid", "kept").mapInArrow(_readable, "rid bigint, kept string")
     found = rows.select("rid", "doc").join(copied.union(part), "rid", "left")
     cut = F.coalesce(F.col("kept"), F.col("doc").getField(text_col))
