@@ -9,7 +9,7 @@ import uuid
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -59,12 +59,29 @@ def written(df: DataFrame, what: str) -> DataFrame:
 def with_rid(docs: DataFrame, id_col: str) -> DataFrame:
     """docs with a column `rid`: the id where ids are present and unique, otherwise a number in the order of the ids, nulls first.
 
-    The test reads the id column alone. Only a table with null or repeated ids is written again.
+    The test reads the id column alone. Only a table with null or repeated ids is written again, sorted by
+    id and place, so that the rows of one id, or without any, are dealt to many tasks.
     """
     repeats = docs.groupBy(id_col).count().where((F.col("count") > 1) | F.col(id_col).isNull()).limit(1).count()
     if not repeats:
         return docs.withColumn("rid", F.col(id_col).cast("bigint"))
-    return written(docs.orderBy(id_col).withColumn("rid", F.monotonically_increasing_id()), "rows")
+    order = docs.withColumn("_place", F.monotonically_increasing_id()).orderBy(F.asc_nulls_first(id_col), "_place").drop("_place")
+    return written(order.withColumn("rid", F.monotonically_increasing_id()), "rows")
+
+
+def placed(rows: DataFrame, group: str, order: list[Column]) -> DataFrame:
+    """rows with `pos`, their place from 0 within their group by `order`, and `total`, the rows of the group.
+
+    One sort by range deals even a single group to all tasks; what each task has of a group is counted,
+    and the counts before it (a row a task and group) are added to the row's number in its task.
+    """
+    ranged = rows.withColumn("_place", F.monotonically_increasing_id()).orderBy(group, *order, "_place").drop("_place")
+    seen = written(ranged.withColumn("_at", F.monotonically_increasing_id()), "sorted").withColumn("_task", F.expr("_at >> 33"))
+    spans = seen.groupBy(group, "_task").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    of = Window.partitionBy(group)
+    before = F.coalesce(F.sum("_n").over(of.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = written(spans.select(group, "_task", "_first", before.alias("_before"), F.sum("_n").over(of).alias("total")), "spans")
+    return seen.join(spans, [group, "_task"]).withColumn("pos", F.col("_at") - F.col("_first") + F.col("_before")).drop("_at", "_task", "_first", "_before")
 
 
 def row_ids(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
