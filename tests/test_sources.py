@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.sources import readers as R
 from tidemark.sources.schemas import TABLES
 from tidemark.sources.store import Store, report_refusals, write_report
-from tidemark.streaming import jobs as J
+from tidemark.streaming import forward
 
 
 def test_executions_keep_equal_children_and_drop_repeats(spark, tmp_path):
@@ -77,23 +77,47 @@ def test_inventory_skips_empty_and_marks_partial_files(spark, tmp_path):
     assert (r["folder"], r["files"], r["partial"], r["first_day"], r["last_day"]) == ("XNAS", 2, 1, "2024-01-02", "2024-01-04")
 
 
-def test_forward_scoring_replaces_only_new_sessions(spark, tmp_path):
-    src, out, state = (str(tmp_path / n) for n in ("src", "out", "state"))
-    ddl = "session_date date, net double"
-    score = lambda df: df.groupBy("session_date").agg(F.sum("net").alias("net"))
-    for day, net in (("2024-01-02", 1.0), ("2024-01-03", 2.0)):
-        spark.createDataFrame([(day, net)], "d string, net double").select(F.to_date("d").alias("session_date"), "net").write.mode("append").parquet(src)
-        J.score_new_sessions(spark.readStream.schema(ddl).parquet(src), score, out, state).awaitTermination()
-    assert {str(r["session_date"]): r["net"] for r in spark.read.parquet(out).collect()} == {"2024-01-02": 1.0, "2024-01-03": 2.0}
-    assert J.early_stop(spark.read.parquet(out), 1.0, 2).collect()[0]["stopped"] is False
+def sessions(spark, rows):
+    return spark.createDataFrame(rows, "d string, trade long, net double").select(F.to_date("d").alias("session_date"), "trade", "net")
 
 
-def test_watchlist_stream_equals_list_changes(spark, tmp_path):
-    rows = [("2024-01-02", 255, "A"), ("2024-01-02", 270, "A"), ("2024-01-02", 270, "B"), ("2024-01-02", 285, "B")]
-    spark.createDataFrame(rows, "d string, tick int, symbol string").select(F.to_date("d").alias("session_date"), "tick", "symbol").write.parquet(str(tmp_path / "l"))
-    s = spark.readStream.schema("session_date date, tick int, symbol string").parquet(str(tmp_path / "l"))
-    got = {(r["tick"], r["symbol"], r["change"]) for r in J.drain(J.watchlist_events(s, 15)).collect()}
-    assert got == {(255, "A", "added"), (270, "B", "added"), (285, "A", "removed")}
+def by_session(rows):
+    return rows.groupBy("session_date").agg(F.sum("net").alias("net"))
+
+
+def test_forward_scoring_scores_completed_sessions_once(spark, tmp_path):
+    root = str(tmp_path)
+    rows = [("2024-01-02", 1, 1.0), ("2024-01-02", 2, 0.5), ("2024-01-03", 3, 2.0), ("2024-01-04", 4, 4.0)]
+    read = lambda: {str(r["session_date"]): r["net"] for r in spark.read.parquet(f"{root}/scores").collect()}
+    assert forward.score_new(sessions(spark, rows[:3]), by_session, root) == 1
+    assert read() == {"2024-01-02": 1.5}
+    assert forward.score_new(sessions(spark, rows[::-1]), by_session, root) == 1  # the order of rows is no change
+    assert read() == {"2024-01-02": 1.5, "2024-01-03": 2.0}
+    assert forward.score_new(sessions(spark, rows), by_session, root) == 0
+    assert forward.early_stop(spark.read.parquet(f"{root}/scores"), 1.0, 2).collect()[0]["stopped"] is False
+    assert {(str(r["session_date"]), r["run"]) for r in spark.read.parquet(f"{root}/log").collect()} == {("2024-01-02", 1), ("2024-01-03", 2)}
+
+
+@pytest.mark.parametrize("change", [("2024-01-02", 1, 1.25), None])
+def test_a_changed_history_is_refused(spark, tmp_path, change):
+    """A scored row with another value, or gone; nothing is scored then."""
+    root = str(tmp_path)
+    rows = [("2024-01-02", 1, 1.0), ("2024-01-03", 3, 2.0), ("2024-01-04", 4, 4.0)]
+    forward.score_new(sessions(spark, rows), by_session, root)
+    with pytest.raises(forward.ChangedHistory, match="2024-01-02"):
+        forward.score_new(sessions(spark, [*([change] if change else []), *rows[1:], ("2024-01-05", 5, 1.0)]), by_session, root)
+    assert spark.read.parquet(f"{root}/log").count() == 2
+
+
+def test_a_stream_of_sessions_is_scored_batch_by_batch(spark, tmp_path):
+    src, root = str(tmp_path / "src"), str(tmp_path / "root")
+    for rows in ([("2024-01-02", 1, 1.0), ("2024-01-03", 2, 2.0)], [("2024-01-03", 3, 2.5), ("2024-01-04", 4, 4.0)]):
+        sessions(spark, rows).coalesce(1).write.mode("append").parquet(src)
+        forward.score_stream(spark.readStream.schema("session_date date, trade long, net double").parquet(src), by_session, root).awaitTermination()
+    assert {str(r["session_date"]): r["net"] for r in spark.read.parquet(f"{root}/scores").collect()} == {"2024-01-02": 1.0, "2024-01-03": 4.5}
+    with pytest.raises(Exception, match="2024-01-02"):  # a late row of a scored session
+        sessions(spark, [("2024-01-02", 9, 1.0)]).write.mode("append").parquet(src)
+        forward.score_stream(spark.readStream.schema("session_date date, trade long, net double").parquet(src), by_session, root).awaitTermination()
 
 
 def _filled(spark, name, version, **fixed):

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import clock
 from tidemark.operators import rules
-from tidemark.plans.q_screen import screen_list
+from tidemark.operators import screen as S
+from tidemark.plans.q_screen import CFG, screen_list, session_closes
 from tidemark.plans.registry import TABLES, query, view
 from tidemark.sources import readers
 from tidemark.sources.schemas import EXECUTION_REPORT
 from tidemark.sources.store import Store, report_refusals, write_report
-from tidemark.streaming import jobs as J
+from tidemark.streaming import forward, jobs as J, screens
 
 
 SKEW, LATE = "2 seconds", "10 minutes"
@@ -42,6 +43,16 @@ def _(m):
     return J.drain(J.one_signal_per_bar(s, LATE)).select("symbol", "bar_ts", "seq")
 
 
+@query("stream_signal_after_exit", "2.18.8", """
+WITH e AS (SELECT *, market = 'signup' AS leaves, time_bucket(INTERVAL 4 HOUR, ts) AS bar_ts FROM ticks WHERE market IN ('purchase', 'click', 'signup')),
+x AS (SELECT *, max(CASE WHEN leaves THEN ts END) OVER (PARTITION BY symbol ORDER BY ts, seq) AS left_ts FROM e)
+SELECT symbol, @T(bar_ts) AS bar_ts, @I(first(seq ORDER BY ts, seq)) AS seq FROM x WHERE NOT leaves AND (left_ts IS NULL OR bar_ts >= left_ts) AND ts <= (SELECT date_trunc('milliseconds', max(ts)) FROM e) - INTERVAL 10 MINUTE GROUP BY symbol, bar_ts""")
+def _(m):
+    t = stream_ticks(m).filter("market in ('purchase', 'click', 'signup')").withColumn("strategy", F.lit("s")).withColumn("bar_ts", clock.floor_to("ts", 14400))
+    events = t.withColumn("kind", F.when(F.col("market") == "signup", "exit").otherwise("signal"))
+    return J.drain(J.one_signal_per_bar(events, LATE, keep_s=400 * 86_400)).select("symbol", "bar_ts", "seq")
+
+
 @query("stream_feed_delay", "2.18.7", """
 WITH h AS (SELECT time_bucket(INTERVAL 60 MINUTE, ts) AS hour_ts, count(*) AS n, avg(size % 30) AS mean_delay, max(size % 30) AS worst_delay FROM ticks GROUP BY 1)
 SELECT @T(hour_ts) AS ts, n, @R(mean_delay) AS mean_delay, @I(worst_delay) AS worst_delay FROM h WHERE hour_ts + INTERVAL 60 MINUTE <= (SELECT max(ts) FROM ticks) - INTERVAL 10 MINUTE""")
@@ -101,6 +112,50 @@ def _(m):
     return r.rollup("session_date", "symbol").agg(F.count(F.lit(1)).alias("round_trips"), F.sum("pnl").alias("pnl"))
 
 
+# Ticks of the screen the last watermark of its trades has passed.
+TICK_TS = "((session_date::TIMESTAMP + {} * INTERVAL 1 MINUTE) AT TIME ZONE 'America/New_York') AT TIME ZONE 'UTC' <= (SELECT date_trunc('milliseconds', max(ts)) FROM ticks WHERE minute BETWEEN 240 AND 569) - INTERVAL 10 MINUTE"
+view("stream_list", f"SELECT * FROM screen_list WHERE {TICK_TS.format('tick')}")
+
+
+def stream_lists(m):
+    prior = S.prior_closes(session_closes(m))
+    return screens.tick_lists(screens.states(stream_ticks(m), prior, CFG, LATE), CFG)
+
+
+@query("stream_running_screen", "2.18.2", "SELECT @D(session_date) AS session_date, @I(tick) AS tick, symbol, @R(close) AS close, @I(cum_volume) AS cum_volume, @R(change) AS change, position FROM stream_list")
+def _(m):
+    return J.drain(screens.listed(stream_lists(m)).drop("window"))
+
+
+@query("stream_first_seen", "2.18.3", """
+SELECT @D(session_date) AS session_date, symbol, @I(min(tick)) AS first_seen, arg_min(position, tick) AS first_rank, min(position) AS best_rank, count(*) AS ticks_on FROM screen_list
+WHERE session_date::TIMESTAMP + INTERVAL 1 DAY <= (SELECT date_trunc('milliseconds', max(ts)) FROM ticks WHERE minute BETWEEN 240 AND 569) - INTERVAL 10 MINUTE GROUP BY session_date, symbol""")
+def _(m):
+    return J.drain(screens.first_seen(screens.listed(stream_lists(m))))
+
+
+@query("stream_ranking_memory", "2.18.5", f"""
+WITH t AS (SELECT DISTINCT session_date, tick FROM stream_list UNION SELECT DISTINCT session_date, tick + 15 FROM stream_list WHERE tick + 15 <= 570 AND {TICK_TS.format('(tick + 15)')}),
+s AS (SELECT t.session_date, t.tick, l.symbol, max(l.tick) AS seen, arg_max(l.close, l.tick) AS px, arg_max(l.position, l.tick) AS place FROM t JOIN stream_list l ON l.session_date = t.session_date AND l.tick <= t.tick GROUP BY 1, 2, 3),
+k AS (SELECT *, CASE WHEN seen < tick THEN 2 WHEN px <= 60 THEN 0 ELSE 1 END AS tier FROM s)
+SELECT @D(session_date) AS session_date, @I(tick) AS tick, count(*) FILTER (tier = 0) AS hot, count(*) FILTER (tier = 1) AS warm, count(*) FILTER (tier = 2) AS cold,
+ array_to_string(list(symbol ORDER BY tier, CASE WHEN tier < 2 THEN place END, seen DESC, symbol)[1:10], ',') AS names FROM k GROUP BY session_date, tick""")
+def _(m):
+    return J.drain(screens.ranking(stream_lists(m), CFG, (0.0, 60.0))).select("session_date", "tick", "hot", "warm", "cold", "names")
+
+
+@query("stream_watchlist_changes", "2.18.10", f"""
+WITH gone AS (SELECT session_date, tick + 15 AS tick, symbol FROM stream_list WHERE tick + 15 <= 570 AND {TICK_TS.format('(tick + 15)')} AND (session_date, tick + 15, symbol) NOT IN (SELECT (session_date, tick, symbol) FROM stream_list)),
+need AS (SELECT unnest(range(255, 571, 15)) AS tick, round_even(60 * CASE WHEN unnest(range(255, 571, 15)) >= 480 THEN 0.552::DOUBLE WHEN unnest(range(255, 571, 15)) >= 420 THEN 0.8::DOUBLE ELSE 1.0 END, 0)::BIGINT AS need)
+SELECT @D(session_date) AS session_date, @I(tick) AS tick, symbol, 'added' AS change, NULL::VARCHAR AS reason FROM stream_list WHERE (session_date, tick - 15, symbol) NOT IN (SELECT (session_date, tick, symbol) FROM stream_list)
+UNION ALL
+SELECT @D(g.session_date), @I(g.tick), g.symbol, 'removed', CASE WHEN s.change < 20 - 1e-9 THEN printf('change %.2f < 20.00', s.change) WHEN NOT s.close BETWEEN 2 AND 250 THEN printf('price %.2f outside 2.00-250.00', s.close)
+ WHEN s.cum_volume < need THEN 'volume ' || s.cum_volume::BIGINT || ' < ' || need ELSE 'outranked' END
+FROM gone g JOIN screen_state s USING (session_date, tick, symbol) JOIN need USING (tick)""")
+def _(m):
+    return screens.changes(J.drain(screens.ranking(stream_lists(m), CFG, (0.0, 60.0))))
+
+
 view("list_changes", """WITH a AS (SELECT session_date, symbol, tick, lag(tick) OVER w AS p, lead(tick) OVER w AS n, max(tick) OVER (PARTITION BY session_date) AS last FROM screen_list WINDOW w AS (PARTITION BY session_date, symbol ORDER BY tick))
  SELECT session_date, tick, symbol, 'added' AS change FROM a WHERE p IS NULL OR tick - p > 15 UNION ALL SELECT session_date, tick + 15, symbol, 'removed' FROM a WHERE (n IS NULL OR n - tick > 15) AND tick < last""")
 
@@ -135,11 +190,34 @@ def _(m):
     return m.ledger().join(J.delayed_floor(f, 15), ["symbol", "session_date"]).select("trade_id", (F.col("entry_minute") >= F.col("first_seen")).alias("allowed"))
 
 
+def session_net(rows):
+    return rows.groupBy("session_date").agg(F.count(F.lit(1)).alias("trades"), F.sum("net").alias("net"))
+
+
+def two_runs(m):
+    """The ledger scored twice: first up to the middle of its sessions, then whole."""
+    root, ledger = J.shared_folder(m.spark), m.ledger().select("session_date", "trade_id", "symbol", "net")
+    ledger.write.parquet(f"{root}/ledger")
+    ledger = m.spark.read.parquet(f"{root}/ledger")
+    days = ledger.select("session_date").distinct()
+    half = days.agg(F.expr("date_from_unix_date(int(percentile_disc(0.5) WITHIN GROUP (ORDER BY unix_date(session_date))))").alias("d")).first().d
+    forward.score_new(ledger.filter(F.col("session_date") <= F.lit(half)), session_net, root)
+    forward.score_new(ledger, session_net, root)
+    return m.spark.read.parquet(f"{root}/scores"), m.spark.read.parquet(f"{root}/log")
+
+
 @query("forward_scores", "2.18.11 2.20.143 2.20.144", """
-SELECT count(DISTINCT session_date) AS sessions, @R(sum(net)) AS net, @I(count(DISTINCT session_date) >= 10 AND sum(net) <= -1000) AS stopped FROM ledger WHERE session_date >= DATE '2024-01-15'""")
+SELECT count(DISTINCT session_date) AS sessions, @R(sum(net)) AS net, @I(count(DISTINCT session_date) >= 10 AND sum(net) <= -1000) AS stopped FROM ledger WHERE session_date < (SELECT max(session_date) FROM ledger)""")
+def _(m):
+    return forward.early_stop(two_runs(m)[0], 1000.0, 10)
+
+
+@query("forward_sessions", "2.18.11", """
+WITH d AS (SELECT session_date, count(*) AS trades, sum(net) AS net FROM ledger GROUP BY 1), h AS (SELECT quantile_disc(session_date, 0.5) AS half FROM d)
+SELECT @D(session_date) AS session_date, CASE WHEN session_date < half THEN 1 ELSE 2 END::BIGINT AS run, trades, @R(net) AS net FROM d, h WHERE session_date < (SELECT max(session_date) FROM d)""")
 def _(m):
-    new = m.ledger().filter(F.col("session_date") >= F.lit("2024-01-15").cast("date"))
-    return J.early_stop(new, 1000.0, 10)
+    scores, log = two_runs(m)
+    return scores.join(log, "session_date").select("session_date", "run", "trades", "net")
 
 
 # ---- scans (2.1)

@@ -21,6 +21,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.functions import clock
 
+SHARDS, DAY_S = 64, 86_400
+
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder on the storage the cluster names in spark.checkpoint.dir; one machine may do without."""
@@ -50,8 +52,9 @@ def ticks(raw: DataFrame) -> DataFrame:
 
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over what is available into a parquet table and read it back."""
+    """Run a stream over what is available into a parquet table and read it back. State is kept in RocksDB, not on the heap."""
     spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     root = shared_folder(spark)
     out = f"{root}/out"
 
@@ -74,45 +77,64 @@ def closed_bars(stream: DataFrame, late: str, minutes: int = 5) -> DataFrame:
     )
 
 
-def in_event_order(stream: DataFrame, by: Sequence[str], late: str, columns: str, fold: Callable, out: str) -> DataFrame:
+def in_event_order(stream: DataFrame, by: Sequence[str], late: str, columns: str, fold: Callable, out: str, keep_s: int | None = None, shards: int = SHARDS) -> DataFrame:
     """Fold each key's rows in event order, however they are dealt to batches.
 
     Rows wait in the state until the watermark has passed them, so a batch boundary changes nothing;
     a row later than `late` is dropped by the engine (which counts such rows for windowed aggregates, in
-    numRowsDroppedByWatermark, but not for grouped state: size `late` by closed_bars' count). `columns`
-    are the columns a fold reads, ts and seq among them; fold(memory, rows) takes what it remembers (a
-    JSON value, None at first) and dicts in order of (ts, seq), with ts in microseconds, and returns
-    both what it remembers (None to forget the key) and rows of `out` without the key.
+    numRowsDroppedByWatermark, but not for grouped state: `late_rows` counts them beside the fold).
+    `columns` are the columns a fold reads, ts and seq among them; fold(memory, rows) takes what it
+    remembers of a key (a JSON value, None at first) and dicts in order of (ts, seq), with ts in
+    microseconds, and returns both what it remembers and rows of `out` without the key.
+
+    Keys are dealt to `shards` and a shard is one state, so a batch makes one call and one state row a
+    shard and not a key. What is remembered of a key goes once the watermark is keep_s past its last row.
     """
     names = [c.split()[0] for c in columns.split(", ")]
-    keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.select(*by).schema.fields)
-    fields = [*by, *[c.split()[0] for c in out.split(", ")]]
+    at, seq = names.index("ts"), names.index("seq")
+    fields = ["key", *[c.split()[0] for c in out.split(", ")]]
     stamps = {c.split()[0] for c in out.split(", ") if c.split()[1] == "timestamp"}
+    key = T.StructType(stream.select(*by).schema.fields)
 
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting, memory = map(json.loads, state.get) if state.exists else ([], None)
-        mark = state.getCurrentWatermarkMs()
+    def step(_, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        waiting, memory = map(json.loads, state.get) if state.exists else ([], {})
+        mark = state.getCurrentWatermarkMs() * 1000
         if not state.hasTimedOut:
             for frame in frames:
-                plain = frame[names].assign(ts=frame["ts"].astype("datetime64[us]").astype("int64"))
-                waiting += json.loads(plain.to_json(orient="records"))
-        waiting.sort(key=lambda r: (r["ts"], r["seq"]))
-        ready = [r for r in waiting if r["ts"] <= mark * 1000]
-        waiting = waiting[len(ready) :]
-        memory, rows = fold(memory, ready) if ready else (memory, [])
-        if waiting:
+                plain = frame.assign(ts=frame["ts"].astype("datetime64[us]").astype("int64"))
+                waiting += map(list, zip(plain["key"].tolist(), *(plain[c].astype(object).where(plain[c].notna(), None).tolist() for c in names)))
+        ready: dict[str, list] = {}
+        for r in sorted((r for r in waiting if r[1 + at] <= mark), key=lambda r: (r[1 + at], r[1 + seq])):
+            ready.setdefault(r[0], []).append(dict(zip(names, r[1:])))
+        waiting = [r for r in waiting if r[1 + at] > mark]
+        rows = []
+        for k, mine in ready.items():
+            kept, made = fold(memory.get(k, [None])[0], mine)
+            memory[k] = [kept, mine[-1]["ts"]]
+            rows += [(k, *r) for r in made]
+        if keep_s is not None:
+            memory = {k: m for k, m in memory.items() if m[1] + keep_s * 1_000_000 > mark}
+        due = [min(r[1 + at] for r in waiting)] if waiting else []
+        if keep_s is not None and memory:
+            due.append(min(m[1] for m in memory.values()) + keep_s * 1_000_000)
+        if waiting or memory:
             state.update((json.dumps(waiting), json.dumps(memory)))
-            state.setTimeoutTimestamp(max(waiting[0]["ts"] // 1000, mark + 1))
-        elif memory is None:
-            state.remove()
         else:
-            state.update((json.dumps(waiting), json.dumps(memory)))
-        made = pd.DataFrame([(*key, *r) for r in rows], columns=fields)
+            state.remove()
+        if due:
+            state.setTimeoutTimestamp(max(min(due) // 1000, mark // 1000 + 1))
+        made = pd.DataFrame(rows, columns=fields)
         yield made.assign(**{c: pd.to_datetime(made[c], unit="us") for c in stamps})
 
     mem = T.StructType.fromDDL("waiting string, memory string")
-    dealt = stream.withWatermark("ts", late).select(*dict.fromkeys([*by, *names]))
-    return dealt.groupBy(*by).applyInPandasWithState(step, T.StructType.fromDDL(f"{keys}, {out}"), mem, "append", GroupStateTimeout.EventTimeTimeout)
+    dealt = stream.withWatermark("ts", late).select(F.pmod(F.xxhash64(*by), F.lit(shards)).alias("shard"), F.to_json(F.struct(*by)).alias("key"), *names)
+    folded = dealt.groupBy("shard").applyInPandasWithState(step, T.StructType.fromDDL(f"key string, {out}"), mem, "append", GroupStateTimeout.EventTimeTimeout)
+    return folded.select(F.from_json("key", key).alias("k"), *fields[1:]).select("k.*", *fields[1:])
+
+
+def late_rows(stream: DataFrame, late: str, minutes: int = 60) -> DataFrame:
+    """Rows per window under the same watermark as a fold: the engine counts those it drops, in numRowsDroppedByWatermark."""
+    return stream.withWatermark("ts", late).groupBy(F.window("ts", f"{minutes} minutes")).agg(F.count(F.lit(1)).alias("rows")).select(F.col("window.start").alias("ts"), "rows")
 
 
 def arrivals(stream: DataFrame, late: str) -> DataFrame:
@@ -121,23 +143,31 @@ def arrivals(stream: DataFrame, late: str) -> DataFrame:
     def first(memory, rows):
         return True, [] if memory else [(rows[0]["seq"], rows[0]["ts"])]
 
-    return in_event_order(stream, ["session_date", "symbol"], late, "ts timestamp, seq bigint", first, "seq bigint, ts timestamp")
+    return in_event_order(stream, ["session_date", "symbol"], late, "ts timestamp, seq bigint", first, "seq bigint, ts timestamp", keep_s=DAY_S)
+
 
+def one_signal_per_bar(events: DataFrame, late: str, keep_s: int = DAY_S) -> DataFrame:
+    """First signal of each bar per strategy and symbol, of bars that opened at or after the last exit.
 
-def one_signal_per_bar(signals: DataFrame, late: str) -> DataFrame:
-    """First signal of each bar per strategy and symbol; bars come in event order, so the last one is
-    all that has to be remembered."""
+    events holds signals (with the start of their bar) and, where the column `kind` says so, exits. Both
+    are folded in event order; bars come in that order too, so the last bar and the last exit are all
+    that has to be remembered. keep_s is at least the length of a bar and of the longest wait after an exit.
+    """
 
     def first(memory, rows):
+        last, left = memory or (None, None)
         out = []
         for r in rows:
-            if r["bar"] != memory:
-                memory = r["bar"]
+            if r["kind"] == "exit":
+                left = r["ts"]
+            elif r["bar"] != last and (left is None or r["bar"] >= left):
+                last = r["bar"]
                 out.append((r["bar"], r["seq"]))
-        return memory, out
+        return [last, left], out
 
-    marked = signals.withColumn("bar", F.unix_micros("bar_ts"))
-    return in_event_order(marked, ["strategy", "symbol"], late, "ts timestamp, seq bigint, bar bigint", first, "bar_ts timestamp, seq bigint")
+    kind = F.col("kind") if "kind" in events.columns else F.lit("signal")
+    marked = events.withColumn("kind", kind).withColumn("bar", F.unix_micros("bar_ts"))
+    return in_event_order(marked, ["strategy", "symbol"], late, "ts timestamp, seq bigint, bar bigint, kind string", first, "bar_ts timestamp, seq bigint", keep_s=keep_s)
 
 
 def feed_delay(stream: DataFrame, minutes: int = 60, late: str = "10 minutes") -> DataFrame:
@@ -169,11 +199,11 @@ def fresh_rows(stream: DataFrame, late: str) -> DataFrame:
                 out.append((r["seq"], r["ts"], r["size"]))
         return [first, open_], out
 
-    return in_event_order(stream, ["symbol", "session_date"], late, "ts timestamp, seq bigint, size bigint", admit, "seq bigint, ts timestamp, size bigint")
+    return in_event_order(stream, ["symbol", "session_date"], late, "ts timestamp, seq bigint, size bigint", admit, "seq bigint, ts timestamp, size bigint", keep_s=DAY_S)
 
 
 def sell_round_trips(fills: DataFrame, late: str) -> DataFrame:
-    """One round trip per sell, against the last buy at an earlier time, per symbol."""
+    """One round trip per sell, against the last buy at an earlier time, per symbol. A symbol's last buy is remembered until the next one."""
 
     def pair(memory, rows):
         now, before = memory or (None, None)  # the last buy and the last one of an earlier time
@@ -190,44 +220,3 @@ def sell_round_trips(fills: DataFrame, late: str) -> DataFrame:
         return [now, before], out
 
     return in_event_order(fills, ["symbol"], late, "ts timestamp, seq bigint, side string, price double, qty bigint", pair, "seq bigint, pnl double")
-
-
-def watchlist_events(lists: DataFrame, cadence: int) -> DataFrame:
-    """Added and removed names between consecutive ticks of a session, with tiers remembered.
-
-    Input is the capped list, so a session's state holds at most the cap.
-    """
-
-    def diff(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last_tick, names = state.get if state.exists else (None, "")
-        held = set(names.split(",")) - {""}
-        rows = pd.concat(list(frames))
-        out = []
-        for tick, g in rows.groupby("tick"):
-            now = set(g["symbol"])
-            if last_tick is not None and tick - last_tick > cadence:
-                out += [(key[0], int(last_tick + cadence), s, "removed") for s in sorted(held)]
-                held = set()
-            out += [(key[0], int(tick), s, "removed") for s in sorted(held - now)]
-            out += [(key[0], int(tick), s, "added") for s in sorted(now - held)]
-            held, last_tick = now, int(tick)
-        state.update((last_tick, ",".join(sorted(held))))
-        yield pd.DataFrame(out, columns=["session_date", "tick", "symbol", "change"])
-
-    out_schema = T.StructType.fromDDL("session_date date, tick int, symbol string, change string")
-    return lists.groupBy("session_date").applyInPandasWithState(diff, out_schema, T.StructType.fromDDL("last_tick int, names string"), "append", GroupStateTimeout.NoTimeout)
-
-
-def score_new_sessions(stream: DataFrame, score: Callable[[DataFrame], DataFrame], out: str, state: str, date: str = "session_date"):
-    """Score only what arrived, overwriting the partitions of its sessions."""
-
-    def land(df: DataFrame, epoch: int) -> None:
-        score(df).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(date).parquet(out)
-
-    return stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(land).start()
-
-
-def early_stop(scores: DataFrame, max_loss: float, min_sessions: int) -> DataFrame:
-    """One row: whether the forward run has lost too much to go on."""
-    return scores.agg(F.count_distinct("session_date").alias("sessions"), F.sum("net").alias("net")).withColumn(
-        "stopped", (F.col("sessions") >= min_sessions) & (F.col("net") <= -max_loss))
