@@ -1,8 +1,8 @@
 """Statistics and verdicts on ledgers.
 
 Draws are rows. Every random choice is a digest of (seed, draw, key), so any engine repeats it. A
-ledger is folded to its clusters before it meets the draws, and choosing k of n inside a draw is a
-two-level hash rank, so neither a draw nor a hot cluster is held in one task.
+ledger is folded to its clusters before it meets the draws, and choosing k of n inside a draw adds up
+parts of the digests before it ranks one of them, so neither a draw nor a hot cluster is held in one task.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from tidemark.operators.scale import cumulative_counts, exact_quantiles, hash_or
 
 HEX = 8
 SPAN = float(16**HEX)
+CROWDED = 4096
 
 
 def draw_value(*parts) -> Column:
@@ -66,16 +67,47 @@ def bootstrap_summary(draws: DataFrame) -> DataFrame:
                  at(0.025).alias("low"), at(0.5).alias("mid"), at(0.975).alias("high"), F.avg("per_trade").alias("mean_per_trade"))
 
 
-def removal_draws(trades: DataFrame, counts: DataFrame, by: Sequence[str], draws: int, seed: str = "1", key: str = "trade_id", net: str = "net") -> DataFrame:
-    """(draw, removed total, removed n) when `k` rows per stratum are removed at random.
+def _digest(seed: str, key: Column) -> Column:
+    return F.md5(F.concat_ws("|", F.lit(seed), F.col("draw").cast("string"), key))
+
+
+def lowest_draws(rows: DataFrame, counts: DataFrame, by: Sequence[str], draws: int, seed: str, key: str, value: str, crowded: int = CROWDED) -> DataFrame:
+    """(draw, total, n, known): the k rows of each stratum with the lowest digests of (seed, draw, key), added up.
 
-    `counts` has one row per stratum with k. The k lowest digests per (draw, stratum) are found by
-    two-level rank.
+    counts has one row per stratum with k. Rows are shuffled once, not once a draw. A stratum of at most
+    `crowded` rows is one array and every draw is made on it. Of a larger one, a draw first adds up the
+    256 parts its digests fall into (a row a task, draw and part); parts that k covers are taken whole,
+    and only the part in which k runs out is ranked.
     """
-    rows = with_draws(trades.select(*by, key, net), draws)
-    rows = hash_ordinal(rows, ["draw", *by], F.concat_ws("|", F.lit(seed), F.col("draw").cast("string"), F.col(key).cast("string")), "__o")
-    hit = rows.join(F.broadcast(counts), list(by)) if by else rows.join(F.broadcast(counts), how="cross")
-    return hit.filter(F.col("__o") <= F.col("k")).groupBy("draw").agg(F.sum(net).alias("removed"), F.count(F.lit(1)).alias("removed_n"))
+    base = rows.select(*by, F.col(key).cast("string").alias("key"), F.col(value).cast("double").alias("value"))
+    wanted = counts.select(*by, F.col("k").cast("bigint").alias("k"))
+    sized = base.groupBy(*by).agg(F.count(F.lit(1)).alias("size"))
+    strata = (sized.join(wanted, list(by)) if by else sized.crossJoin(wanted)).filter("k > 0")
+    on = lambda d, frame: d.join(frame, list(by)) if by else d.crossJoin(frame)
+    few = on(base, strata.filter(F.col("size") <= crowded)).groupBy(*by, "k").agg(F.collect_list(F.struct("key", "value")).alias("items"))
+    few = with_draws(few, draws).withColumn("low", F.slice(F.array_sort(F.transform("items", lambda x: F.struct(_digest(seed, x["key"]).alias("h"), x["value"].alias("value")))), F.lit(1), F.col("k").cast("int")))
+    taken = F.filter(F.transform("low", lambda x: x["value"]), lambda v: v.isNotNull())
+    small = few.select("draw", F.aggregate(taken, F.lit(0.0), lambda a, v: a + v).alias("total"), F.size("low").cast("bigint").alias("n"), F.size(taken).cast("bigint").alias("known"))
+
+    many = on(base, strata.filter(F.col("size") > crowded))
+    dealt = with_draws(many, draws).withColumn("part", F.substring(_digest(seed, F.col("key")), 1, 2))
+    parts = dealt.groupBy("draw", *by, "part").agg(F.sum("value").alias("total"), F.count(F.lit(1)).alias("n"), F.count("value").alias("known"), F.max("k").alias("k"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("draw", *by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.withColumn("left", F.col("k") - before)
+    whole = parts.filter("left >= n").select("draw", "total", "n", "known")
+    edge = parts.filter("left > 0 AND left < n").groupBy(*by).agg(F.collect_list(F.struct("draw", "part", "left")).alias("edges"))
+    asked = on(many, edge)
+    mine = F.filter("edges", lambda e: F.substring(F.md5(F.concat_ws("|", F.lit(seed), e["draw"].cast("string"), F.col("key"))), 1, 2) == e["part"])
+    met = asked.select(*by, "key", "value", F.explode(mine).alias("e")).select(*by, "key", "value", "e.draw", "e.left")
+    ranked = hash_ordinal(met, ["draw", *by], F.concat_ws("|", F.lit(seed), F.col("draw").cast("string"), F.col("key")), "__o", digits=4)
+    rest = ranked.filter(F.col("__o") <= F.col("left")).groupBy("draw").agg(F.sum("value").alias("total"), F.count(F.lit(1)).alias("n"), F.count("value").alias("known"))
+    every = small.unionByName(whole).unionByName(rest)
+    return every.groupBy("draw").agg(F.sum("total").alias("total"), F.sum("n").alias("n"), F.sum("known").alias("known"))
+
+
+def removal_draws(trades: DataFrame, counts: DataFrame, by: Sequence[str], draws: int, seed: str = "1", key: str = "trade_id", net: str = "net") -> DataFrame:
+    """(draw, removed total, removed n) when `k` rows per stratum are removed at random; counts has k per stratum."""
+    return lowest_draws(trades, counts, by, draws, seed, key, net).select("draw", F.col("total").alias("removed"), F.col("n").alias("removed_n"))
 
 
 def abstention(trades: DataFrame, k: int | DataFrame, symbol_days: int, draws: int = 100, seed: str = "1", friction: float = 0.0) -> DataFrame:
@@ -103,9 +135,8 @@ def coin_flip(trades: DataFrame, draws: int, seed: str = "1", key: str = "trade_
 
 def random_entries(candidates: DataFrame, wanted: DataFrame, by: Sequence[str], draws: int, seed: str = "1", key: str = "entry_id", value: str = "ret") -> DataFrame:
     """Mean outcome per draw of as many random candidates per stratum as the rule took there."""
-    rows = with_draws(candidates.select(*by, key, value).join(wanted, list(by)), draws)
-    rows = hash_ordinal(rows, ["draw", *by], F.concat_ws("|", F.lit(seed), F.col("draw").cast("string"), F.col(key).cast("string")), "__o")
-    return rows.filter(F.col("__o") <= F.col("k")).groupBy("draw").agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))
+    d = lowest_draws(candidates, wanted, by, draws, seed, key, value)
+    return d.select("draw", F.try_divide("total", "known").alias("mean"), "n")
 
 
 def control_p(observed: DataFrame, draws: DataFrame, value: str = "mean") -> DataFrame:
