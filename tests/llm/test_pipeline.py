@@ -57,29 +57,9 @@ def test_exact_stage_keeps_the_last_of_equal_texts(stages):
     assert sorted(r.doc_id for r in stages[2].collect()) == sorted(r[0] for r in exact_brute(rows) if r[3])
 
 
-def five_word_sets(rows):
-    out = {}
-    for doc, text, *_ in rows:
-        w = (text or "").encode().lower().split()
-        out[doc] = frozenset(b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
-    return out
-
-
-def near_brute(rows):
-    """Smallest id that pairs of resemblance 0.8 or more (five-word shingles) lead to; texts without words are alike."""
-    sets = five_word_sets(rows)
-    root = {k: k for k in sets}
-    for a in sorted(sets):
-        for b in sorted(sets):
-            if a < b and (sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])):
-                x, y = root[a], root[b]
-                root = {k: min(x, y) if r in (x, y) else r for k, r in root.items()}
-    return root
-
-
 def test_near_stage_keeps_the_first_of_near_texts(stages):
     rows = [tuple(r) for r in stages[2].collect()]
-    classes = near_brute(rows)
+    classes = near_brute({r[0]: r[1] or "" for r in rows})
     assert any(k != low for k, low in classes.items())
     assert sorted(r.doc_id for r in stages[3].collect()) == sorted(k for k, low in classes.items() if k == low)
 
