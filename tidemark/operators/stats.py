@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import staged
 from tidemark.operators.scale import cumulative_counts, exact_quantiles, hash_ordinal
 
 HEX = 8
@@ -79,16 +80,19 @@ def lowest_draws(rows: DataFrame, counts: DataFrame, by: Sequence[str], draws: i
     256 parts its digests fall into (a row a task, draw and part); parts that k covers are taken whole,
     and only the part in which k runs out is ranked.
     """
-    base = rows.select(*by, F.col(key).cast("string").alias("key"), F.col(value).cast("double").alias("value"))
+    base = staged(rows.select(*by, F.col(key).cast("string").alias("key"), F.col(value).cast("double").alias("value")))
     wanted = counts.select(*by, F.col("k").cast("bigint").alias("k"))
     sized = base.groupBy(*by).agg(F.count(F.lit(1)).alias("size"))
     strata = (sized.join(wanted, list(by)) if by else sized.crossJoin(wanted)).filter("k > 0")
     on = lambda d, frame: d.join(frame, list(by)) if by else d.crossJoin(frame)
-    few = on(base, strata.filter(F.col("size") <= crowded)).groupBy(*by, "k").agg(F.collect_list(F.struct("key", "value")).alias("items"))
+    biggest = strata.agg(F.max("size")).first()[0] or 0  # most tables have no crowded stratum and are read once more only
+    small_strata = on(base, wanted.filter("k > 0")) if biggest <= crowded else on(base, strata.filter(F.col("size") <= crowded))
+    few = small_strata.groupBy(*by, "k").agg(F.collect_list(F.struct("key", "value")).alias("items"))
     few = with_draws(few, draws).withColumn("low", F.slice(F.array_sort(F.transform("items", lambda x: F.struct(_digest(seed, x["key"]).alias("h"), x["value"].alias("value")))), F.lit(1), F.col("k").cast("int")))
     taken = F.filter(F.transform("low", lambda x: x["value"]), lambda v: v.isNotNull())
     small = few.select("draw", F.aggregate(taken, F.lit(0.0), lambda a, v: a + v).alias("total"), F.size("low").cast("bigint").alias("n"), F.size(taken).cast("bigint").alias("known"))
-
+    if biggest <= crowded:
+        return _added(small)
     many = on(base, strata.filter(F.col("size") > crowded))
     dealt = with_draws(many, draws).withColumn("part", F.substring(_digest(seed, F.col("key")), 1, 2))
     parts = dealt.groupBy("draw", *by, "part").agg(F.sum("value").alias("total"), F.count(F.lit(1)).alias("n"), F.count("value").alias("known"), F.max("k").alias("k"))
@@ -101,8 +105,11 @@ def lowest_draws(rows: DataFrame, counts: DataFrame, by: Sequence[str], draws: i
     met = asked.select(*by, "key", "value", F.explode(mine).alias("e")).select(*by, "key", "value", "e.draw", "e.left")
     ranked = hash_ordinal(met, ["draw", *by], F.concat_ws("|", F.lit(seed), F.col("draw").cast("string"), F.col("key")), "__o", digits=4)
     rest = ranked.filter(F.col("__o") <= F.col("left")).groupBy("draw").agg(F.sum("value").alias("total"), F.count(F.lit(1)).alias("n"), F.count("value").alias("known"))
-    every = small.unionByName(whole).unionByName(rest)
-    return every.groupBy("draw").agg(F.sum("total").alias("total"), F.sum("n").alias("n"), F.sum("known").alias("known"))
+    return _added(small.unionByName(whole).unionByName(rest))
+
+
+def _added(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("draw").agg(F.sum("total").alias("total"), F.sum("n").alias("n"), F.sum("known").alias("known"))
 
 
 def removal_draws(trades: DataFrame, counts: DataFrame, by: Sequence[str], draws: int, seed: str = "1", key: str = "trade_id", net: str = "net") -> DataFrame:

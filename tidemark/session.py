@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -30,3 +32,20 @@ def local_session(cores: str = "8", app: str = "tidemark") -> SparkSession:
     )
     spark.sparkContext.setLogLevel("ERROR")
     return configure(spark)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder on the storage the cluster names in spark.checkpoint.dir; one machine may do without."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
+    return f"{base.rstrip('/')}/tables/{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: computed once, without the lineage before it."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,8 +9,6 @@ Trigger.AvailableNow, a job equals its batch form over the rows the last waterma
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -20,20 +18,11 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.functions import clock
+from tidemark.session import shared_folder
 
 SHARDS, DAY_S = 64, 86_400
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder on the storage the cluster names in spark.checkpoint.dir; one machine may do without."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
-
-
 def read_events(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
     """The events table as a file stream."""
     schema = spark.read.parquet(f"{folder}/events.parquet").schema
