@@ -83,15 +83,14 @@ def lowest_draws(rows: DataFrame, counts: DataFrame, by: Sequence[str], draws: i
     base = staged(rows.select(*by, F.col(key).cast("string").alias("key"), F.col(value).cast("double").alias("value")))
     wanted = counts.select(*by, F.col("k").cast("bigint").alias("k"))
     sized = base.groupBy(*by).agg(F.count(F.lit(1)).alias("size"))
-    strata = (sized.join(wanted, list(by)) if by else sized.crossJoin(wanted)).filter("k > 0")
+    strata = staged((sized.join(wanted, list(by)) if by else sized.crossJoin(wanted)).filter("k > 0"))
     on = lambda d, frame: d.join(frame, list(by)) if by else d.crossJoin(frame)
-    biggest = strata.agg(F.max("size")).first()[0] or 0  # most tables have no crowded stratum and are read once more only
-    small_strata = on(base, wanted.filter("k > 0")) if biggest <= crowded else on(base, strata.filter(F.col("size") <= crowded))
-    few = small_strata.groupBy(*by, "k").agg(F.collect_list(F.struct("key", "value")).alias("items"))
+    least, most = strata.agg(F.min("size"), F.max("size")).first()  # a table without crowded strata, or with them only, goes one way
+    few = on(base, strata.filter(F.col("size") <= crowded)).groupBy(*by, "k").agg(F.collect_list(F.struct("key", "value")).alias("items"))
     few = with_draws(few, draws).withColumn("low", F.slice(F.array_sort(F.transform("items", lambda x: F.struct(_digest(seed, x["key"]).alias("h"), x["value"].alias("value")))), F.lit(1), F.col("k").cast("int")))
     taken = F.filter(F.transform("low", lambda x: x["value"]), lambda v: v.isNotNull())
     small = few.select("draw", F.aggregate(taken, F.lit(0.0), lambda a, v: a + v).alias("total"), F.size("low").cast("bigint").alias("n"), F.size(taken).cast("bigint").alias("known"))
-    if biggest <= crowded:
+    if (most or 0) <= crowded:
         return _added(small)
     many = on(base, strata.filter(F.col("size") > crowded))
     dealt = with_draws(many, draws).withColumn("part", F.substring(_digest(seed, F.col("key")), 1, 2))
@@ -103,9 +102,10 @@ def lowest_draws(rows: DataFrame, counts: DataFrame, by: Sequence[str], draws: i
     asked = on(many, edge)
     mine = F.filter("edges", lambda e: F.substring(F.md5(F.concat_ws("|", F.lit(seed), e["draw"].cast("string"), F.col("key"))), 1, 2) == e["part"])
     met = asked.select(*by, "key", "value", F.explode(mine).alias("e")).select(*by, "key", "value", "e.draw", "e.left")
-    ranked = hash_ordinal(met, ["draw", *by], F.concat_ws("|", F.lit(seed), F.col("draw").cast("string"), F.col("key")), "__o", digits=4)
+    ranked = met.withColumn("__o", F.row_number().over(Window.partitionBy("draw", *by).orderBy(_digest(seed, F.col("key")))))
     rest = ranked.filter(F.col("__o") <= F.col("left")).groupBy("draw").agg(F.sum("value").alias("total"), F.count(F.lit(1)).alias("n"), F.count("value").alias("known"))
-    return _added(small.unionByName(whole).unionByName(rest))
+    large = whole.unionByName(rest)
+    return _added(large if least > crowded else small.unionByName(large))
 
 
 def _added(parts: DataFrame) -> DataFrame:
