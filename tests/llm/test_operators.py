@@ -388,6 +388,20 @@ def test_license_scan(spark, rows):
     assert found[6].labels == "mit" and found[6].base_labels == "" and found[7].labels == ""
 
 
+def test_notices_are_labelled_whatever_other_files_hold(spark):
+    """Usual notice forms, a long template with one word missing (any but the key), alone and beside files that hold every word."""
+    notices = {
+        1: ("This work is licensed under the GNU General Public License, version 3.", "gpl"), 2: ("under the GNU Lesser General Public License", "lgpl"), 3: ("the GNU Affero General Public License v3", "agpl"),
+        4: ("Licensed under the Apache License", "apache"), 5: ("a Creative Commons work", "cc"), 6: ("Mozilla Public License 2.0", "mpl-2"), 7: ("no license", ""),
+        8: ("distribution and use in source and binary forms with or without modification are permitted", "bsd"), 9: ("redistribution and use in source and binary forms with or without changes are permitted", "bsd"),
+    }
+    every = " ".join(license_scan.licence_words(license_scan.TEMPLATES))
+    for more in (0, 40):
+        docs = spark.createDataFrame([(k, t) for k, (t, _) in notices.items()] + [(100 + k, every) for k in range(more)], "doc_id bigint, text string")
+        got = {r.doc_id: r.labels for r in license_scan.scan(docs).collect() if r.doc_id < 100}
+        assert got == {k: label for k, (_, label) in notices.items()}
+
+
 def test_license_scan_of_nothing(spark):
     assert license_scan.scan(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 

@@ -1,18 +1,21 @@
 """License scan by a positional index of rare licence words.
 
 One pass over the texts keeps, for each file, the places of the words that occur in licence templates:
-the postings. Document frequencies of those words give each template its rarest word. A file is looked
-up by the rare words it holds: each place of one, less the word's place in the template, is a relative
-position; the template's other postings are intersected at it, and the template is found where at least
-SHARE of its words stand and its mandatory key phrase stands in full. A rare word's neighbours in the
-postings are at most a template's length away, so the work is linear in the file's postings.
+the postings. Document frequencies of those words give each template the word of its key phrase with the
+highest IDF. A file is looked up by the rare words it holds: each place of one, less the word's place in
+the template, is a relative position; the template's other postings are intersected at it, and the
+template is found where at least SHARE of its words stand and its mandatory key phrase stands in full.
+Since the key phrase must stand in full, every place where a template is found holds its rare word:
+which word is looked up, and so what other files hold, changes the work and no result. A rare word's
+neighbours in the postings are at most a template's length away, so the work is linear in the file's
+postings. Long templates find altered licence texts, short ones the usual notices.
 
 Everything is DataFrame expressions; only word counts (one row a template word) are shuffled, and only
 they, bounded by the templates, reach the driver.
 
-Defined results: null and empty texts have no words. Where nothing is found, labels are empty, the
-score is the best share met (0 without a rare word), and first and last are null. Repeated rows are
-scanned alike. Extra columns are not read.
+Defined results: null and empty texts have no words. The score is the best share of a template that is
+found. Where nothing is found, labels are empty, the score is 0, and first and last are null. Repeated
+rows are scanned alike. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -38,6 +41,15 @@ OTHER = (
     ("isc", "permission to use copy modify and or distribute this software for any purpose", "distribute this software"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
     ("cc-by-sa", "cc by sa", "cc by sa"),
+    ("mit", "the mit license", "the mit license"),
+    ("apache", "apache license", "apache license"),
+    ("bsd", "bsd license", "bsd license"),
+    ("gpl", "gnu general public license", "gnu general public license"),
+    ("lgpl", "gnu lesser general public license", "gnu lesser general public license"),
+    ("agpl", "gnu affero general public license", "gnu affero general public license"),
+    ("mpl-2", "mozilla public license", "mozilla public license"),
+    ("cc", "creative commons", "creative commons"),
+    ("public-domain", "released into the public domain", "into the public domain"),
 )
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -68,10 +80,10 @@ def postings(docs: DataFrame, templates: list[Template], id_col: str, text_col:
 
 
 def rarest(index: DataFrame, templates: list[Template]) -> list[int]:
-    """For each template the place of the word that the fewest files hold; of equals the first."""
+    """For each template the place of the key word that the fewest files hold; of equals the first."""
     held = index.select(F.explode(F.array_distinct(F.transform("hits", lambda x: x["word"]))).alias("word"))
     files = {r["word"]: r["n"] for r in held.groupBy("word").agg(F.count("*").alias("n")).collect()}  # at most one row a template word
-    return [min(range(len(t.words)), key=lambda k: (files.get(t.words[k], 0), k)) for t in templates]
+    return [min(range(t.key_at, t.key_at + len(t.key)), key=lambda k: (files.get(t.words[k], 0), k)) for t in templates]
 
 
 def places(t: Template, rare: int) -> Column:
@@ -97,7 +109,7 @@ def scan(docs: DataFrame, templates: list[Template] = TEMPLATES, share: float =
     found = {k: F.filter(f"p{k}", lambda c: c["keyed"] & (c["share"] >= share)) for k in range(len(templates))}
     base = [k for k, t in enumerate(templates) if t.base]
     starts = F.transform(F.concat(*[found[k] for k in base]), lambda c: c["start"])
-    best = F.array_max(F.transform(F.concat(*[F.col(f"p{k}") for k in range(len(templates))]), lambda c: c["share"]))
+    best = F.array_max(F.transform(F.concat(*found.values()), lambda c: c["share"]))
 
     def labels(which: list[int]) -> Column:
         marks = F.array(*[F.when(F.size(found[k]) > 0, templates[k].label) for k in which])
@@ -117,15 +129,13 @@ WITH tw(t, tp, word) AS (VALUES {rows}),
 kinds(t, label, base, size, key_at, key_size) AS (VALUES {kinds}),
 split AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
 words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS pos FROM split),
-files AS (SELECT word, count(DISTINCT doc_id) AS n FROM words WHERE word IN (SELECT word FROM tw) GROUP BY 1),
-rare AS (SELECT t, tp AS rare FROM (SELECT tw.t, tw.tp, row_number() OVER (PARTITION BY tw.t ORDER BY coalesce(n, 0), tw.tp) AS r FROM tw LEFT JOIN files USING (word)) WHERE r = 1),
 tries AS (
-  SELECT w.doc_id, tw.t, w.pos - tw.tp AS start, count(*) AS aligned, bool_or(tw.tp = rare) AS has_rare, count(*) FILTER (WHERE tw.tp BETWEEN key_at AND key_at + key_size - 1) AS keyed
-  FROM words w JOIN tw USING (word) JOIN rare ON rare.t = tw.t JOIN kinds ON kinds.t = tw.t GROUP BY 1, 2, 3),
-met AS (SELECT doc_id, label, base, start, aligned / size AS share, keyed = key_size AND aligned / size >= {share} AS ok FROM tries JOIN kinds USING (t) WHERE has_rare),
+  SELECT w.doc_id, tw.t, w.pos - tw.tp AS start, count(*) AS aligned, count(*) FILTER (WHERE tw.tp BETWEEN key_at AND key_at + key_size - 1) AS keyed
+  FROM words w JOIN tw USING (word) JOIN kinds ON kinds.t = tw.t GROUP BY 1, 2, 3),
+met AS (SELECT doc_id, label, base, start, aligned / size AS share, keyed = key_size AND aligned / size >= {share} AS ok FROM tries JOIN kinds USING (t)),
 sums AS (
   SELECT doc_id, count(*) FILTER (WHERE ok AND base) AS n_base, min(start) FILTER (WHERE ok AND base) AS first_word, max(start) FILTER (WHERE ok AND base) AS last_word,
-    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE ok AND base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE ok) AS labels, max(share) AS score
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE ok AND base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE ok) AS labels, max(share) FILTER (WHERE ok) AS score
   FROM met GROUP BY 1)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
   coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
