@@ -75,6 +75,22 @@ def test_exact_groups(docs, rows, capacity):
     assert (got.where("bucket IS NOT NULL AND bucket <> '0:0'").count() > 0) == (capacity == 4)
 
 
+def test_the_directory_routes_rows(docs, rows, monkeypatch):
+    """A directory that lacks a cell loses the rows of that cell, and no others."""
+    real = exact_dedup.directory
+    monkeypatch.setattr(exact_dedup, "directory", lambda keys, capacity: (real(keys, capacity)[0].where("cell % 2 = 0"), real(keys, capacity)[1]))
+    got = collected(exact_dedup.exact_groups(docs, capacity=4).drop("bucket"))
+    want = exact_brute(rows)
+    assert 0 < len(got) < len(want) and set(got) <= set(want)
+
+
+def test_colliding_keys_are_chained(spark, monkeypatch):
+    """All texts under one key: the chain keeps them apart."""
+    monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *_: exact_dedup.F.lit(5).cast("bigint"))
+    rows = [(k, t) for k, t in enumerate(["a", "b", "A", "c", "b", None, ""])]
+    assert collected(exact_dedup.exact_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).drop("bucket")) == exact_brute(rows)
+
+
 def test_exact_groups_with_repeats(repeats):
     assert collected(exact_dedup.exact_groups(repeats).drop("bucket")) == exact_brute([tuple(r) for r in repeats.collect()])
 

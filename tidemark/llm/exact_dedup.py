@@ -2,9 +2,11 @@
 
 Keys are 64-bit hashes of the normalised text. The directory of the index starts with one cell and
 doubles while a bucket holds more keys than its capacity; a bucket is a key prefix, so buckets are key
-ranges and each range is written by one owner task. Keys that several rows share are chained: an
-aggregate on (bucket, key, text) compares the bytes themselves, and its map-side part folds the copies
-of a hot text to one row per task before anything moves.
+ranges. Every row finds its bucket through the directory. Of keys that several rows share, the bytes are
+compared by an aggregate on (bucket, key, text), whose map-side part folds the copies of a hot text to
+one row per task before anything moves. The folded rows go by (bucket, key) to the task that owns their
+range, which chains the different texts of a key and writes its range of the index. Rows look up their
+chain by (bucket, key) and their entry in it by the text's digest.
 
 Defined results: a null text counts as empty, and empty texts are equal to each other. Rows that repeat
 both id and text are one document and share one verdict. A null id never wins over another; a group of
@@ -22,6 +24,7 @@ from tidemark.llm.common import lower_az, row_ids, written
 
 BUCKET_KEYS = 200_000
 SPARE_DEPTH = 3
+BROADCAST_CELLS = 1 << 16
 
 
 def directory(keys: DataFrame, capacity: int = BUCKET_KEYS) -> tuple[DataFrame, int]:
@@ -57,20 +60,20 @@ def numbered_groups(rows: DataFrame, capacity: int = BUCKET_KEYS) -> DataFrame:
     # Written, so that the join below meets plain tables and a hot key's rows can be split.
     keys = written(digests.groupBy("key").agg(F.count("*").alias("n")), "keys")
     book, depth = directory(keys, capacity)
-    shared = digests.join(keys.where("n > 1").select("key"), "key").select("rid", "key")
-    if depth:
-        shared = shared.withColumn("cell", F.shiftrightunsigned("key", 64 - depth)).join(book, "cell").drop("cell", "depth")
-    else:
-        shared = shared.withColumn("bucket", F.lit("0:0"))
+    cell = F.shiftrightunsigned("key", 64 - depth) if depth else F.lit(0).cast("bigint")
+    book = written(book.select("cell", "bucket"), "directory")
+    placed = digests.withColumn("cell", cell).join(F.broadcast(book) if 1 << depth <= BROADCAST_CELLS else book, "cell").drop("cell")
+    shared = placed.join(keys.where("n > 1").select("key"), "key").select("rid", "key", "bucket")
     texts = rows.select("rid", "id", "text").join(shared, "rid").select("bucket", "key", "id", norm.alias("norm"))
-    chains = texts.groupBy("bucket", "key", "norm").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
-    entries = chains.select("bucket", "key", F.sha2("norm", 256).alias("sha"), "keep_id", "group_size")
-    index = written(entries.repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key"), "index")
-    found = digests.join(index, ["key", "sha"], "left")
-    alone = F.col("group_size").isNull()
-    keep = F.when(alone, F.col("id")).otherwise(F.col("keep_id"))
+    folded = texts.groupBy("bucket", "key", "norm").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
+    entries = folded.select("bucket", "key", F.struct(F.sha2("norm", 256).alias("sha"), "keep_id", "group_size").alias("entry"))
+    owned = entries.repartitionByRange("bucket", "key").groupBy("bucket", "key")  # the ranges' owners group without another exchange
+    index = written(owned.agg(F.collect_list("entry").alias("chain")).sortWithinPartitions("bucket", "key"), "index")
+    found = placed.join(index, ["bucket", "key"], "left").withColumn("entry", F.get(F.filter("chain", lambda e: e["sha"] == F.col("sha")), F.lit(0)))
+    alone = F.col("entry").isNull()
+    keep = F.when(alone, F.col("id")).otherwise(F.col("entry.keep_id"))
     return found.select(
-        "rid", "id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("bigint").alias("group_size"),
+        "rid", "id", keep.alias("keep_id"), F.coalesce("entry.group_size", F.lit(1)).cast("bigint").alias("group_size"),
         keep.eqNullSafe(F.col("id")).alias("kept"), F.col("sha").alias("text_sha256"), "bucket",
     )
 
