@@ -39,6 +39,7 @@ KEPT_UNITS = 400_000
 KEPT_WEIGHTS = 1_000_000
 DIGESTS = "doc_id bigint, n_ids bigint, ids_crc32 bigint, n_bytes bigint, exact boolean"
 INFINITE = float("inf")
+Unit = tuple[bytes, bytes, int]  # ids, what they write, how many of them are single bytes
 
 
 class Transducer:
@@ -69,8 +70,8 @@ class Transducer:
         # Arcs read backwards from a place: the number of an arc, or -1 for the end of one only.
         self.tails = {text[k:]: -1 for text in self.reads for k in range(len(text))} | {text: k for k, text in enumerate(self.reads)}
         self.weights: dict[int, float] = {}
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known: dict[str, Unit] = {}
+        self.older: dict[str, Unit] = {}
 
     def normalise(self, text: str) -> str:
         return (MARK + text).replace(" ", MARK) if text else ""
@@ -131,7 +132,7 @@ class Transducer:
             at -= step[at]
         return path[::-1]
 
-    def unit_ids(self, unit: str) -> bytes:
+    def unit_ids(self, unit: str) -> Unit:
         ids = array("I")
         for piece in self.shortest_path(unit):
             k = self.arcs.get(piece)
@@ -141,10 +142,10 @@ class Transducer:
                 ids.extend(self.bytes_[b] for b in piece.encode())
             else:
                 ids.append(self.unknown)
-        return ids.tobytes()
+        return ids.tobytes(), b"".join(map(self.surface.__getitem__, ids)), sum(map(self.single.__getitem__, ids))
 
-    def looked_up(self, unit: str) -> bytes:
-        """Ids of a unit outside the younger table; units of the older one that are met again move over."""
+    def looked_up(self, unit: str) -> Unit:
+        """Encoding of a unit outside the younger table; units of the older one that are met again move over."""
         ids = self.older.get(unit)
         if ids is None:
             ids = self.unit_ids(unit)
@@ -154,19 +155,33 @@ class Transducer:
             self.known[unit] = ids
         return ids
 
-    def encode(self, text: str) -> array:
+    def composed(self, text: str) -> list[Unit]:
         units = self.unit.findall(self.normalise(text))
         parts = list(map(self.known.get, units))
         if None in parts:
             parts = [self.looked_up(u) if p is None else p for u, p in zip(units, parts)]
+        return parts
+
+    def encode(self, text: str) -> array:
         out = array("I")
-        out.frombytes(b"".join(parts))
+        out.frombytes(b"".join(p[0] for p in self.composed(text)))
         return out
 
-    def decode(self, ids: array) -> str:
-        text = b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "replace")
+    def round_trip(self, text: str) -> tuple[bytes, str, int]:
+        """The ids as bytes, the text they decode to, and how many are single bytes, a unit at a time."""
+        parts = self.composed(text)
+        if not parts:
+            return b"", "", 0
+        ids, surfaces, singles = zip(*parts)
+        return b"".join(ids), self.read_back(b"".join(surfaces)), sum(singles)
+
+    def read_back(self, surface: bytes) -> str:
+        text = surface.decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
+    def decode(self, ids: array) -> str:
+        return self.read_back(b"".join(map(self.surface.__getitem__, ids)))
+
 
 def encoded(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, ids, text: the ids of each text and the text they decode to."""
@@ -190,8 +205,8 @@ def encoding_digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
         for batch in batches:
             rows = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = machine.encode(text or "")
-                rows.append((key, len(ids), zlib.crc32(ids.tobytes()), sum(map(machine.single.__getitem__, ids)), machine.decode(ids) == (text or "")))
+                ids, back, singles = machine.round_trip(text or "")
+                rows.append((key, len(ids) // 4, zlib.crc32(ids), singles, back == (text or "")))
             yield record(rows, DIGESTS)
 
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_col).mapInArrow(run, DIGESTS).withColumnRenamed("doc_id", id_col)
