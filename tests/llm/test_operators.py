@@ -205,6 +205,19 @@ def test_repeated_passages_with_repeats(repeats):
     assert collected(suffix.repeated_passages(repeats)) == passages_brute([tuple(r) for r in repeats.collect()])
 
 
+def repeated_words_brute(rows, length=51):
+    texts = [(r[0], (r[1] or "").encode().split()) for r in rows]
+    met = Counter(tuple(w[k : k + length]) for _, w in texts for k in range(len(w) - length + 1))
+    return sorted((doc, sum(any(met[tuple(w[k : k + length])] > 1 for k in range(max(0, i - length + 1), min(i, len(w) - length) + 1)) for i in range(len(w)))) for doc, w in texts if len(w) < 2000)
+
+
+def test_repeated_words(spark, rows):
+    some = [r for r in rows if len((r[1] or "").split()) < 2000]
+    got = suffix.repeated_passages(spark.createDataFrame(some, DOCS).repartition(3), words=suffix.WORDS)
+    assert sorted((r.doc_id, r.n_repeated_words) for r in got.collect()) == repeated_words_brute(some)
+    assert collected(got.drop("n_repeated_words")) == passages_brute(some)
+
+
 def test_crowded_anchor(docs, rows, monkeypatch):
     monkeypatch.setattr(suffix, "CLASS_ROWS", 2)
     assert collected(suffix.repeated_passages(docs)) == passages_brute(rows)

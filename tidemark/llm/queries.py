@@ -33,7 +33,7 @@ def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return suffix.repeated_passages(table(spark, folder, "documents"))
+    return suffix.repeated_passages(table(spark, folder, "documents"), words=suffix.WORDS)
 
 
 def op7_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:

@@ -302,14 +302,48 @@ def _listed(spans: DataFrame) -> DataFrame:
     return spans.groupBy("rid").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_bytes, n_removed, n_spans, kept_sha256: one row per row of docs."""
-    parsed, flags, fetched, spans = _repeats(row_ids(docs, id_col, text_col), BYTES)
+def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (rid, spans): how many elements the spans cover."""
+    for batch in batches:
+        rows = []
+        for rid, spans in zip(*(c.to_pylist() for c in batch.columns)):
+            at = n = 0
+            for low, high in sorted((s["low"], s["high"]) for s in spans):
+                n += max(0, high - max(low, at))
+                at = max(at, high)
+            rows.append((rid, n))
+        yield record(rows, "rid bigint, covered bigint")
+
+
+def repeated_words(rows: DataFrame, reading: Reading = WORDS) -> DataFrame:
+    """(rid, covered) of rows (rid, id, text): the words of each text that a repeat of the reading covers; texts without any are left out."""
+    parsed, flags, _, spans = _repeats(rows, reading)
+    whole = parsed.where(F.col("n") >= reading.length).join(flags, "rid").select("rid", F.col("n").cast("bigint").alias("covered"))
+    part = _listed(spans).mapInArrow(_covered, "rid bigint, covered bigint")
+    return whole.union(part).groupBy("rid").agg(F.max("covered").alias("covered"))
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: Reading | None = None) -> DataFrame:
+    """id_col, n_bytes, n_removed, n_spans, kept_sha256: one row per row of docs.
+
+    With a reading of words, also n_repeated_words: the words in passages of its length that also stand
+    elsewhere, which may be shorter than LENGTH bytes.
+    """
+    rows = row_ids(docs, id_col, text_col)
+    found = _by_bytes(rows)
+    if words:
+        more = written(repeated_words(rows, words), "words")
+        found = found.join(more, "rid", "left").withColumn("n_repeated_words", F.coalesce("covered", F.lit(0)).cast("bigint")).drop("covered")
+    return found.drop("rid").withColumnRenamed("id", id_col)
+
+
+def _by_bytes(rows: DataFrame) -> DataFrame:
+    parsed, flags, fetched, spans = _repeats(rows, BYTES)
     cuts = fetched.join(_listed(spans), "rid").mapInArrow(_cut, CUT)
     gone = F.coalesce(F.col("copied") & (F.col("n_bytes") >= LENGTH), F.lit(False))
     both = parsed.join(flags, "rid", "left").join(cuts.drop("kept"), "rid", "left")
     return both.select(
-        F.col("id").alias(id_col), "n_bytes", F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("bigint").alias("n_removed"),
+        "rid", "id", "n_bytes", F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("bigint").alias("n_removed"),
         F.when(gone, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("bigint").alias("n_spans"),
         F.when(gone, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
     )
