@@ -190,3 +190,18 @@ def test_verdict_needs_to_beat_random_removal(spark):
     assert all_losers["d_per_trade"] > all_losers["random_p95"] and all_losers["verdict"] == "PASSES"
     same = T.verdict(base, base, 200, 0.0, draws=20).first()
     assert same["random_p95"] is None and "abstention" in same["failed"]
+
+
+@pytest.mark.parametrize("outliers", [[], [1e300], [-1e300, 1e300, 0.0]])
+def test_no_value_bucket_is_crowded(spark, outliers):
+    """One value far off leaves the others spread over the buckets, and the counts below are exact."""
+    rng = random.Random(9)
+    values = sorted({rng.gauss(0, 1) ** 3 for _ in range(20_000)} | set(outliers))
+    df = spark.createDataFrame([("g", v, k % 5 + 1) for k, v in enumerate(values)] + [("h", 1.0, 2)], "g string, v double, n long").repartition(4)
+    sizes = C.null_safe_on(df, C.value_edges(df, ["g"], "v"), ["g"]).filter("g = 'g'").groupBy(C.edge_bucket("v").alias("b")).count().collect()
+    assert max(r["count"] for r in sizes) <= 0.01 * len(values)
+    got = {r.v: r.n_below for r in C.cumulative_counts(df, ["g"], "v", ["n"]).filter("g = 'g'").collect()}
+    below = 0
+    for k, v in enumerate(values):
+        assert got[v] == below
+        below += k % 5 + 1

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.clock import micros
 
-VALUE_BUCKETS = 4096
+EDGES = 16
 
 
 def null_safe_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -99,18 +99,17 @@ def hash_ordinal(
     )
 
 
-def _value_ranges(counts: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    return counts.groupBy(*by).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
+def value_edges(counts: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """`__edges` per group: EDGES**2 - 1 values that cut its distinct values into parts of like size, from a quantile sketch."""
+    cuts = [k / EDGES**2 for k in range(1, EDGES**2)]
+    return counts.groupBy(*by).agg(F.percentile_approx(value, cuts, 8 * EDGES**2).alias("__edges"))
 
 
-def _bucket_of(value: str) -> Column:
-    """Equal-width bucket; subtraction and division are monotone, so order is kept."""
-    width = (F.col("__hi") - F.col("__lo")) / VALUE_BUCKETS
-    return (
-        F.when(F.col("__hi") == F.col("__lo"), 0)
-        .otherwise(F.least(F.floor((F.col(value) - F.col("__lo")) / width), F.lit(VALUE_BUCKETS - 1)))
-        .cast("int")
-    )
+def edge_bucket(value: str) -> Column:
+    """How many edges lie below the value, looked up in two steps: every EDGES-th edge, then those after it."""
+    below = lambda e: e < F.col(value)
+    coarse = F.size(F.filter(F.array(*[F.element_at("__edges", EDGES * k) for k in range(1, EDGES)]), below))
+    return (coarse * EDGES + F.size(F.filter(F.slice("__edges", coarse * EDGES + 1, F.lit(EDGES - 1)), below))).cast("int")
 
 
 def cumulative_counts(
@@ -120,10 +119,9 @@ def cumulative_counts(
 
     `counts` must already be one row per (group, value). Adds `<weight>_below`.
     """
-    ranged = null_safe_on(counts, _value_ranges(counts, by, value), by) if by else counts.crossJoin(
-        F.broadcast(_value_ranges(counts, by, value))
-    )
-    rows = ranged.withColumn("__b", _bucket_of(value)).drop("__lo", "__hi")
+    edges = value_edges(counts, by, value)
+    ranged = null_safe_on(counts, edges, by) if by else counts.crossJoin(F.broadcast(edges))
+    rows = ranged.withColumn("__b", edge_bucket(value)).drop("__edges")
     totals = rows.groupBy(*by, "__b").agg(*[F.sum(w).alias(f"__t_{w}") for w in weights])
     before = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
