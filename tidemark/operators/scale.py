@@ -79,6 +79,16 @@ def running_sums(
     return joined.drop("__b", *[f"__p_{out}" for out in sums])
 
 
+def running_max(df: DataFrame, by: Sequence[str], order: Sequence[str], bucket: str, out: str, value: Column, inclusive: bool) -> DataFrame:
+    """Running maximum of value per key in `order`, with the key split by an order-preserving bucket column."""
+    rows = df.withColumn("__v", value)
+    tops = rows.groupBy(*by, bucket).agg(F.max("__v").alias("__t"))
+    before = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select(*by, bucket, F.max("__t").over(before).alias("__p"))
+    inner = Window.partitionBy(*by, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    return rows.join(tops, [*by, bucket]).withColumn(out, F.greatest(F.max("__v").over(inner), F.col("__p"))).drop("__v", "__p")
+
+
 def hash_ordinal(
     df: DataFrame, by: Sequence[str], key: Column, out: str = "ordinal", digits: int = 2
 ) -> DataFrame:

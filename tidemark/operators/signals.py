@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import windows as W
+from tidemark.operators.intervals import non_overlapping
 
 UP, FLAT, DOWN = 1, 0, -1
 
@@ -428,24 +429,6 @@ def break_retests(lines: DataFrame, n: int = 10, near: float = 0.25, fail: float
     return non_overlapping(rows, "i", "until", by, refused="ignored_pending")
 
 
-def non_overlapping(rows: DataFrame, start: str, end: str, by: Sequence[str], refused: str | None = None) -> DataFrame:
-    """Take rows in order of start while the previous taken row has ended (end is exclusive of the
-    next start); the others are dropped, or kept with `outcome` set to `refused`."""
-
-    def pick(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values([start, end]).reset_index(drop=True)
-        take, busy = np.zeros(len(g), dtype=bool), None
-        for k, (a, b) in enumerate(zip(g[start], g[end])):
-            if busy is None or a > busy:
-                take[k], busy = True, b
-        if refused is None:
-            return g[take]
-        g.loc[~take, "outcome"] = refused
-        return g
-
-    return rows.groupBy(*by).applyInPandas(pick, rows.schema)
-
-
 def forward_runs(df: DataFrame, rise: float = 0.10, dip: float = 0.05, n: int = 10, by=W.DAY, order="date") -> DataFrame:
     """Bars from which a close reaches +rise within n bars before any low falls more than `dip`,
     greedily non-overlapping. `k` is the first completing bar."""

@@ -178,7 +178,7 @@ view("picks", """WITH r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORD
 
 @query("non_overlapping_trades", "2.14.1", "SELECT @I(trade_id) AS trade_id FROM picks")
 def _(m):
-    from tidemark.operators.signals import non_overlapping
+    from tidemark.operators.intervals import non_overlapping
     t = m.ledger().select("symbol", "trade_id", F.unix_micros("entry_ts").alias("a"), F.unix_micros("exit_ts").alias("b"))
     return non_overlapping(t, "a", "b", ["symbol"]).select("trade_id")
 
