@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import grids as G, populations as O, stats as T, windows as W
+from tidemark.operators import grids as G, opening_grid as OG, populations as O, stats as T, windows as W
 from tidemark.plans.q_ledger import entries, nbars, scored
 from tidemark.plans.registry import query, view
 
@@ -344,12 +344,56 @@ view("grid_results", """WITH j AS (SELECT t.*, c.stop, c.target, CASE WHEN bl <=
 GRID = G.cells(stop=[0.1, 0.2, 0.4], target=[0.5, 1.0, 2.0])
 
 
-@query("exit_grid", "2.16.1 2.16.2 2.20.111", """
+@query("exit_grid", "2.16.2 2.20.111", """
 SELECT @R(stop) AS stop, @R(target) AS target, count(*) AS trades, @R(sum(ret)) AS total, @R(avg(ret)) AS mean, @I(count(*) < 10) AS refused, @R(avg(CAST(sum(ret) > 0 AS INT)) OVER ()) AS share_positive FROM grid_results GROUP BY stop, target""")
 def _(m):
     return G.grid_report(G.exit_grid(entries(m), nbars(m), GRID), ["stop", "target"], 10)
 
 
+view("orb_bars", "SELECT symbol, session_date, minute, open, high, low, close, row_number() OVER w AS i, lag(low) OVER w AS anchor FROM bars5 WHERE minute BETWEEN 570 AND 955 WINDOW w AS (PARTITION BY symbol, session_date ORDER BY ts)")
+view("orb_setups", """WITH g AS (SELECT symbol, session_date, m AS minutes, max(high) FILTER (minute < 570 + m) AS hi, min(low) FILTER (minute < 570 + m) AS lo FROM orb_bars, (SELECT unnest([5, 15, 30]) AS m) GROUP BY 1, 2, 3),
+r AS (SELECT *, hi - lo AS width, CASE WHEN hi IS NULL THEN 'no_range' WHEN (hi - lo) / lo * 100 < 0.5 THEN 'too_narrow' WHEN (hi - lo) / lo * 100 > 1500 THEN 'too_wide' END AS no FROM g),
+l AS (SELECT b.*, r.minutes, r.hi, r.lo, r.width FROM orb_bars b JOIN r USING (symbol, session_date) WHERE no IS NULL AND b.minute >= 570 + minutes),
+t AS (SELECT symbol, session_date, minutes, min(i) AS trig FROM l WHERE close > hi GROUP BY 1, 2, 3),
+b AS (SELECT l.*, close < lo AS dead, bool_or(low <= hi) OVER w AND close > hi AS bl, bool_or(low <= lo + 0.62::DOUBLE * width) OVER w AND close > hi AS bz FROM l JOIN t USING (symbol, session_date, minutes) WHERE i > trig AND i < trig + 6 WINDOW w AS (PARTITION BY symbol, session_date, minutes ORDER BY i)),
+q AS (SELECT symbol, session_date, minutes, min(i) FILTER (dead) AS dead, min(i) FILTER (bl) AS bl, min(i) FILTER (bz) AS bz FROM b GROUP BY 1, 2, 3),
+e AS (SELECT r.*, retest, trig, CASE retest WHEN 'none' THEN trig WHEN 'level' THEN CASE WHEN dead IS NULL OR bl < dead THEN bl END ELSE CASE WHEN dead IS NULL OR bz < dead THEN bz END END + 1 AS entry_i FROM r LEFT JOIN t USING (symbol, session_date, minutes) LEFT JOIN q USING (symbol, session_date, minutes), (SELECT unnest(['none', 'level', 'zone']) AS retest)),
+p AS (SELECT e.*, stop, o.open AS entry, o.minute AS em, CASE stop WHEN 'structure' THEN o.anchor - o.open * 0.001::DOUBLE ELSE o.open - 0.5::DOUBLE * width END AS stop_px FROM e LEFT JOIN orb_bars o ON o.symbol = e.symbol AND o.session_date = e.session_date AND o.i = e.entry_i, (SELECT unnest(['structure', 'range_share']) AS stop))
+SELECT *, entry - stop_px AS risk, coalesce(no, CASE WHEN trig IS NULL THEN 'no_trigger' WHEN entry_i IS NULL THEN 'retest_failed' WHEN entry IS NULL THEN 'no_entry_bar' WHEN em >= 950 THEN 'too_late' WHEN entry - stop_px <= 0 THEN 'risk_not_positive' WHEN (entry - stop_px) / entry * 100 > 90 THEN 'risk_too_wide' END) AS refused FROM p""")
+view("orb_results", """WITH w AS (SELECT s.symbol, s.session_date, s.minutes, s.retest, s.stop, s.entry, s.risk, s.width, s.stop_px, b.i, b.open AS o, b.high AS h, b.low AS l, b.close AS c,
+  greatest(s.entry, max(b.high) OVER k) AS peak, coalesce(bool_or(b.high >= s.entry + 0.5::DOUBLE * s.width) OVER k, FALSE) AS armed
+  FROM orb_setups s JOIN orb_bars b ON b.symbol = s.symbol AND b.session_date = s.session_date AND b.i >= s.entry_i WHERE refused IS NULL
+  WINDOW k AS (PARTITION BY s.symbol, s.session_date, s.minutes, s.retest, s.stop ORDER BY b.i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+v AS (SELECT *, CASE WHEN armed THEN greatest(stop_px, entry) ELSE stop_px END AS be, greatest(stop_px, peak * (1 - 0.05::DOUBLE)) AS tr, min(CASE WHEN h >= entry + 2 * risk THEN i END) OVER (PARTITION BY symbol, session_date, minutes, retest, stop) AS half FROM w),
+x AS (SELECT symbol, session_date, minutes, retest, stop, any_value(entry) AS entry, any_value(risk) AS risk, any_value(width) AS width, arg_max(c, i) AS last,
+  min(i) FILTER (l <= stop_px) AS si, arg_min(least(o, stop_px), i) FILTER (l <= stop_px) AS sp, min(i) FILTER (l <= be) AS bi, arg_min(least(o, be), i) FILTER (l <= be) AS bp, arg_min(least(o, tr), i) FILTER (l <= tr) AS tp,
+  min(i) FILTER (h >= entry + 1.5 * risk) AS t15, any_value(half) AS t2, min(i) FILTER (h >= entry + width) AS tw, min(i) FILTER (h >= entry + 3 * risk AND i > half) AS t3 FROM v GROUP BY 1, 2, 3, 4, 5),
+y AS (SELECT *, coalesce(sp, last) - entry AS sg, coalesce(bp, last) - entry AS bg, coalesce(tp, last) - entry AS tg FROM x),
+z AS (SELECT symbol, session_date, minutes, retest, stop, e AS exit, CASE e WHEN 'r_2' THEN CASE WHEN t2 IS NOT NULL AND (si IS NULL OR t2 < si) THEN 2 * risk ELSE sg END WHEN 'r_1_5' THEN CASE WHEN t15 IS NOT NULL AND (si IS NULL OR t15 < si) THEN 1.5 * risk ELSE sg END
+  WHEN 'r_3_trim' THEN CASE WHEN t2 IS NOT NULL AND (si IS NULL OR t2 < si) THEN 0.5 * (2 * risk) + 0.5 * CASE WHEN t3 IS NOT NULL AND (si IS NULL OR t3 < si) THEN 3 * risk ELSE sg END ELSE sg END
+  WHEN 'range_1x' THEN CASE WHEN tw IS NOT NULL AND (bi IS NULL OR tw < bi) THEN width ELSE bg END ELSE tg END / entry AS ret FROM y, (SELECT unnest(['r_2', 'r_1_5', 'r_3_trim', 'range_1x', 'trail']) AS e))
+SELECT s.symbol, s.session_date, s.minutes, s.retest, s.stop, f.e AS exit, s.refused, z.ret FROM orb_setups s CROSS JOIN (SELECT unnest(['r_2', 'r_1_5', 'r_3_trim', 'range_1x', 'trail']) AS e) f LEFT JOIN z ON z.symbol = s.symbol AND z.session_date = s.session_date AND z.minutes = s.minutes AND z.retest = s.retest AND z.stop = s.stop AND z.exit = f.e""")
+ORB = OG.OpeningGrid(range_pct=(0.5, 1500.0), risk_pct=90.0)
+ORB_COUNTS = ", ".join(f"count(*) FILTER (refused = '{c}') AS {c}" for c in OG.REASONS)
+
+
+@query("opening_range_grid", "2.16.1 2.20.111", f"""
+SELECT @I(minutes) AS minutes, stop, retest, exit, count(*) AS sessions, count(*) FILTER (refused IS NULL) AS trades, @R(coalesce(sum(ret) FILTER (refused IS NULL), 0)) AS net, count(*) FILTER (refused IS NULL AND ret > 0) AS wins, {ORB_COUNTS} FROM orb_results GROUP BY minutes, stop, retest, exit""")
+def _(m):
+    t = OG.opening_report(OG.opening_results(m.bars(), ORB), ORB)
+    return t.select(*OG.AXES, "sessions", "trades", "net", "wins", *OG.REASONS)
+
+
+@query("opening_grid_neighbours", "2.16.2", f"""
+WITH c AS (SELECT minutes, stop, retest, exit, coalesce(sum(ret) FILTER (refused IS NULL), 0) AS net, count(*) FILTER (refused IS NULL) AS trades FROM orb_results GROUP BY 1, 2, 3, 4),
+p AS (SELECT *, list_position([5, 15, 30], minutes) AS x, list_position(['structure', 'range_share'], stop) AS s, list_position(['none', 'level', 'zone'], retest) AS r, list_position(['r_2', 'r_1_5', 'r_3_trim', 'range_1x', 'trail'], exit) AS e FROM c)
+SELECT @I(a.minutes) AS minutes, a.stop, a.retest, a.exit, @R(any_value(a.net)) AS net, count(*) AS neighbours, @R(avg(CAST(b.net > 0 AS INT))) AS neighbours_positive, @I(any_value(a.trades) < 10) AS thin
+FROM p a JOIN p b ON abs(a.x - b.x) + abs(a.s - b.s) + abs(a.r - b.r) + abs(a.e - b.e) = 1 GROUP BY a.minutes, a.stop, a.retest, a.exit""")
+def _(m):
+    t = OG.opening_report(OG.opening_results(m.bars(), ORB), ORB, least=10)
+    return t.select(*OG.AXES, "net", "neighbours", "neighbours_positive", "thin")
+
+
 @query("parameter_sweep", "2.16.3", """
 WITH c AS (SELECT unnest([20, 50, 80]) AS size_cap, a AS min_px FROM (SELECT unnest([5.0, 20.0]::DOUBLE[]) AS a)) SELECT @I(size_cap) AS size_cap, @R(min_px) AS min_px, count(*) AS trades, @R(sum(gross / qty * least(qty, size_cap))) AS net FROM ledger, c WHERE entry_px >= min_px GROUP BY size_cap, min_px""")
 def _(m):
