@@ -85,6 +85,13 @@ def by_session(rows):
     return rows.groupBy("session_date").agg(F.sum("net").alias("net"))
 
 
+def test_mixed_sources_are_refused(spark):
+    rows = spark.createDataFrame([("d1", "x", 1), ("d1", "x", 2), ("d2", "y", 3)], "basis string, dataset string, v int")
+    assert R.unmixed(rows, ["basis"]).count() == 3
+    with pytest.raises(Exception, match="mixed sources: x and z"):
+        R.unmixed(rows.unionByName(spark.createDataFrame([("d1", "z", 4)], rows.schema)), ["basis"]).collect()
+
+
 def test_forward_scoring_scores_completed_sessions_once(spark, tmp_path):
     root = str(tmp_path)
     rows = [("2024-01-02", 1, 1.0), ("2024-01-02", 2, 0.5), ("2024-01-03", 3, 2.0), ("2024-01-04", 4, 4.0)]

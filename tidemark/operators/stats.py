@@ -378,6 +378,28 @@ def threshold_scan(df: DataFrame, score: str, truth: str) -> DataFrame:
     return r.select(score, tp.alias("tp"), fp.alias("fp"), F.try_divide(5 * tp, 5 * tp + 4 * (F.col("P") - tp) + fp).alias("f2"), (F.try_divide(tp, F.col("P")) - F.try_divide(fp, F.col("N"))).alias("youden"))
 
 
+def stump(df: DataFrame, features: Sequence[str], truth: str) -> DataFrame:
+    """The one rule on one feature with the largest Youden index: feature, threshold, side, youden. Ties by name, then threshold.
+
+    All features are scanned as one table of (feature, value) counts.
+    """
+    long = df.select(truth, F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("score")) for f in features])).alias("x")).select(truth, "x.*")
+    c = long.filter("score IS NOT NULL").groupBy("feature", "score").agg(F.count(F.when(F.col(truth) == 1, 1)).alias("pos"), F.count(F.when(F.col(truth) != 1, 1)).alias("neg"))
+    r = cumulative_counts(c, ["feature"], "score", ["pos", "neg"])
+    tot = c.groupBy("feature").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    j = F.try_divide(F.col("P") - F.col("pos_below"), F.col("P")) - F.try_divide(F.col("N") - F.col("neg_below"), F.col("N"))
+    rows = r.join(tot, "feature").select("feature", F.col("score").alias("threshold"), F.when(j >= 0, "at_least").otherwise("below").alias("side"), F.abs(j).alias("youden"))
+    return rows.orderBy(F.desc(F.round("youden", 9)), "feature", "threshold").limit(1)
+
+
+def consistency(labels: DataFrame, item: Sequence[str], label: str) -> DataFrame:
+    """Items labelled more than once: how many, the share with one label only, and the share of equal pairs of labels of one item."""
+    kinds = labels.groupBy(*item, label).agg(F.count(F.lit(1)).alias("__k"))
+    g = kinds.groupBy(*item).agg(F.sum("__k").alias("n"), F.max("__k").alias("most"), F.sum(F.col("__k") * (F.col("__k") - 1) / 2).alias("equal")).filter("n > 1")
+    return g.agg(F.count(F.lit(1)).alias("items"), F.sum("n").alias("labels"), F.avg((F.col("most") == F.col("n")).cast("int")).alias("unanimous"),
+                 F.try_divide(F.sum("equal"), F.sum(F.col("n") * (F.col("n") - 1) / 2)).alias("pair_agreement"))
+
+
 def risk_ratios(daily: DataFrame, net: str = "net", per_year: int = 252) -> DataFrame:
     """Mean over deviation, annualised, and the share of the total made by the best tenth of days."""
     n = daily.agg(F.count(F.lit(1)).alias("days"), F.avg(net).alias("mean"), F.stddev_samp(net).alias("sd"), F.sum(net).alias("total"))

@@ -302,14 +302,20 @@ def _(m):
     return M.round_trips(unit_positions(m)).drop("shares")
 
 
+# Fills of one to three shares: a position is entered, added to, reduced and reversed by parts.
+view("sized_positions", """WITH a AS (SELECT *, CASE WHEN side = 'BUY' THEN seq % 3 + 1 ELSE -(seq % 3 + 1) END AS signed_qty FROM fills), b AS (SELECT *, sum(signed_qty) OVER (PARTITION BY symbol ORDER BY ts, seq) AS pos_after FROM a),
+ c AS (SELECT *, pos_after - signed_qty AS pos_before FROM b)
+ SELECT *, sum(CASE WHEN pos_before = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY ts, seq) AS position, CASE WHEN abs(pos_after) > abs(pos_before) THEN 'entry' ELSE 'exit' END AS role FROM c""")
+
+
 @query("markout_identity", "2.11.4 2.20.32", """
-WITH a AS (SELECT p.*, (q.bid + q.ask) / 2 AS m0 FROM unit_positions p ASOF LEFT JOIN quotes q ON p.symbol = q.symbol AND p.ts >= q.ts),
+WITH a AS (SELECT p.*, (q.bid + q.ask) / 2 AS m0 FROM sized_positions p ASOF LEFT JOIN quotes q ON p.symbol = q.symbol AND p.ts >= q.ts),
 b AS (SELECT a.*, (q.bid + q.ask) / 2 AS mh FROM (SELECT *, ts + INTERVAL 1 HOUR AS at FROM a) a ASOF LEFT JOIN quotes q ON a.symbol = q.symbol AND a.at >= q.ts),
 g AS (SELECT symbol, position, count(*) AS fills, count(m0) AS priced, sum(signed_qty) AS open_qty, sum(-signed_qty * price) AS gross, sum(signed_qty * (m0 - price)) AS spread,
  sum(CASE WHEN role = 'entry' THEN signed_qty * (mh - m0) ELSE 0 END) AS drift_in, sum(CASE WHEN role = 'exit' THEN signed_qty * (mh - m0) ELSE 0 END) AS drift_out FROM b GROUP BY 1, 2)
 SELECT symbol, @I(position) AS position, fills, @R(gross) AS gross, @R(spread) AS spread, @R(drift_in) AS drift_in, @R(drift_out) AS drift_out, @R(gross - spread - drift_in - drift_out) AS rest FROM g WHERE fills = priced AND open_qty = 0""")
 def _(m):
-    priced = M.horizon_quotes(unit_positions(m), m.quotes(), (3600,))
+    priced = M.horizon_quotes(M.assign_positions(m.fills().withColumn("qty", F.col("seq") % 3 + 1)), m.quotes(), (3600,))
     keys = ["symbol", "position", "seq", "role", "signed_qty", "price"]
     wide = priced.groupBy(*keys).agg(F.max(F.when(F.col("horizon") == 0, F.col("mid"))).alias("mid_0"), F.max(F.when(F.col("horizon") == 3600, F.col("mid"))).alias("mid_h"))
     return M.markout_identity(wide)

@@ -307,7 +307,13 @@ def _(m):
     return O.every_kth(m.ledger(), ["entry_ts", "trade_id"], 7).select("trade_id", "position")
 
 
-@query("crc_subset", "2.7.11")
+view("crc_bits", "SELECT i, 0 AS k, i AS c FROM range(256) t(i) UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc_bits WHERE k < 8")
+
+
+@query("crc_subset", "2.7.11", """
+WITH t AS (SELECT list(c ORDER BY i) AS tab FROM crc_bits WHERE k = 8),
+c AS (SELECT trade_id, xor(list_reduce(list_transform(string_split(CAST(trade_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS crc FROM ledger, t)
+SELECT @I(trade_id) AS trade_id, @I(crc) AS crc FROM c ORDER BY crc, CAST(trade_id AS VARCHAR) LIMIT 100""")
 def _(m):
     return O.crc_subset(m.ledger(), F.col("trade_id").cast("string"), 100).select("trade_id", "crc")
 

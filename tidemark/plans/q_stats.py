@@ -294,9 +294,23 @@ def _(m):
 
 
 @query("label_consistency", "2.15.25", """
-SELECT count(*) AS n, @R(avg(CAST(quality = 1 - toxic AS INT))) AS agreement FROM labels""")
+WITH r AS (SELECT md5(lower(text)) AS item, quality FROM labels JOIN documents USING (doc_id)), g AS (SELECT item, count(*) AS n, greatest(sum(quality), count(*) - sum(quality)) AS most FROM r GROUP BY 1 HAVING count(*) > 1)
+SELECT count(*) AS items, @I(sum(n)) AS labels, @R(avg(CAST(most = n AS INT))) AS unanimous, @R(sum(most * (most - 1) / 2 + (n - most) * (n - most - 1) / 2) / sum(n * (n - 1) / 2)) AS pair_agreement FROM g""")
 def _(m):
-    return m.table("labels").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("quality") == 1 - F.col("toxic")).cast("int")).alias("agreement"))
+    """Texts that were labelled more than once."""
+    rows = m.table("labels").join(m.table("documents").select("doc_id", F.md5(F.lower("text")).alias("item")), "doc_id")
+    return T.consistency(rows, ["item"], "quality")
+
+
+@query("rule_stump", "2.15.26", """
+WITH f AS (SELECT quality, unnest(['n_chars', 'n_lines']) AS feature, unnest([n_chars, len(text) - len(replace(text, chr(10), ''))]) AS score FROM labels JOIN documents USING (doc_id)),
+g AS (SELECT feature, score, count(*) FILTER (quality = 1) AS p, count(*) FILTER (quality <> 1) AS n FROM f GROUP BY 1, 2),
+c AS (SELECT feature, score, sum(p) OVER w / sum(p) OVER a - sum(n) OVER w / sum(n) OVER a AS j FROM g WINDOW w AS (PARTITION BY feature ORDER BY score DESC), a AS (PARTITION BY feature)),
+d AS (SELECT feature, score, CASE WHEN j >= 0 THEN 'at_least' ELSE 'below' END AS side, abs(j) AS youden FROM c)
+SELECT feature, @R(score) AS threshold, side, @R(youden) AS youden FROM d ORDER BY round(youden, 9) DESC, feature, score LIMIT 1""")
+def _(m):
+    d = m.table("labels").join(m.table("documents").select("doc_id", "n_chars", (F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"), F.lit("")))).alias("n_lines")), "doc_id")
+    return T.stump(d, ["n_chars", "n_lines"], "quality")
 
 
 @query("drawdown_monte_carlo", "2.15.27", f"""

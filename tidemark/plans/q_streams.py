@@ -308,7 +308,7 @@ def _(m):
     return readers.concept_facts(m.table("orders").select(body.alias("body"))).select("cik", "tag", "unit", "end", "filed", "form", "val")
 
 
-@query("json_members", "2.1.14", """
+@query("json_members", "2.1.15", """
 SELECT 'ix' AS index, 'S' || CAST(s_suppkey AS VARCHAR) AS code, @D(DATE '2000-01-01' + CAST(s_suppkey AS INT)) AS start, @D(CASE WHEN s_suppkey % 3 = 0 THEN DATE '2010-01-01' + CAST(s_suppkey AS INT) END) AS "end", @I(s_suppkey % 3 <> 0) AS active FROM supplier""")
 def _(m):
     k = F.col("s_suppkey").cast("int")
@@ -317,6 +317,49 @@ def _(m):
     return readers.constituents(m.table("supplier").select(F.to_json(F.create_map(k.cast("string"), spell)).alias("body")), "ix")
 
 
+@query("headline_scan", "2.1.14", """
+WITH h AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Acme announces 1-for-12 reverse split' WHEN 1 THEN 'Acme enters ATM program' WHEN 2 THEN 'Acme regained compliance, reverse split' WHEN 3 THEN 'Nasdaq notice: minimum bid deficiency' ELSE 'Acme opens a store' END AS head FROM documents)
+SELECT 'S' || doc_id % 50 AS symbol, head AS headline, @T(TIMESTAMP '2024-01-02 09:00:00' + doc_id * INTERVAL 1 MINUTE) AS created_at, @I(1 + doc_id % 4) AS symbol_count,
+ CASE doc_id % 5 WHEN 0 THEN 'REVERSE_SPLIT' WHEN 1 THEN 'ATM' WHEN 3 THEN 'DELIST_NOTICE' END AS label FROM h""")
+def _(m):
+    k = F.col("doc_id")
+    heads = ["Acme announces 1-for-12 reverse split", "Acme enters ATM program", "Acme regained compliance, reverse split", "Nasdaq notice: minimum bid deficiency", "Acme opens a store"]
+    stamp = F.date_format(F.timestamp_seconds(F.lit(1704186000) + k * 60), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    line = F.concat_ws(",", F.concat(F.lit("S"), (k % 50).cast("string")), F.concat(F.lit('"'), F.element_at(F.array(*map(F.lit, heads)), (k % 5 + 1).cast("int")), F.lit('"')), stamp, (1 + k % 4).cast("string"))
+    return readers.headline_rows(m.table("documents").select(F.from_csv(line, readers.HEADLINE_CSV).alias("r")).select("r.*"))
+
+
+@query("filing_scan", "2.1.14", """
+WITH f AS (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '8-K' WHEN 1 THEN '424B3' ELSE '10-Q' END AS form, CASE o_orderkey % 4 WHEN 0 THEN '1.01,3.02' WHEN 1 THEN '5.03' WHEN 2 THEN '9.01' END AS items FROM orders)
+SELECT 'S' || o_orderkey % 50 AS symbol, form, items, array_to_string(list_filter([CASE WHEN form = '424B3' THEN 'ACTIVE_SHELF_CANDIDATE' END, CASE WHEN form = '8-K' AND o_orderkey % 4 = 0 THEN 'TRIGGER_A' END, CASE WHEN form = '8-K' AND o_orderkey % 4 = 1 THEN 'TRIGGER_B' END], lambda x: x IS NOT NULL), ',') AS labels FROM f""")
+def _(m):
+    k = F.col("o_orderkey")
+    form = F.when(k % 3 == 0, "8-K").when(k % 3 == 1, "424B3").otherwise("10-Q")
+    items = F.when(k % 4 == 0, '"1.01,3.02"').when(k % 4 == 1, "5.03").when(k % 4 == 2, "9.01").otherwise("")
+    line = F.concat_ws(",", F.concat(F.lit("S"), (k % 50).cast("string")), form, items, F.lit("2024-01-02T16:05:00.000Z"))
+    rows = readers.filing_rows(m.table("orders").select(F.from_csv(line, readers.FILING_CSV).alias("r")).select("r.*"))
+    return rows.select("symbol", "form", "items", F.array_join("labels", ",").alias("labels"))
+
+
+@query("unmixed_rows", "2.1.9", "SELECT symbol, @D(session_date) AS session_date, count(*) AS n FROM fills GROUP BY 1, session_date HAVING count(DISTINCT side) = 1")
+def _(m):
+    """Sessions whose fills come from one side, read as from one source."""
+    on = ["symbol", "session_date"]
+    fit = readers.one_source(m.fills(), on, "side").filter("accepted").select(*on)
+    return readers.unmixed(m.fills().join(fit, on, "left_semi"), on, "side").groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("schema_drift", "2.1.20", """
+SELECT d.*, n AS stored FROM (VALUES ('bar_daily', 'dataset', 'blocked'), ('bar_daily', 'open', 'addable'), ('bar_daily', 'high', 'addable'), ('bar_daily', 'low', 'addable'), ('bar_daily', 'dollar_volume', 'addable')) d("table", "column", kind), (SELECT count(*) AS n FROM daily)""")
+def _(m):
+    from tidemark.sources.store import drift_rows
+
+    store = Store(m.spark, J.shared_folder(m.spark))
+    m.daily().select("symbol", F.col("date").alias("session_date"), "close", "volume").write.parquet(store.path("bar_daily"))
+    stored = m.spark.read.parquet(store.path("bar_daily")).agg(F.count(F.lit(1)).alias("stored"))
+    return drift_rows(store, ["bar_daily"]).crossJoin(F.broadcast(stored))
+
+
 @query("table_counts", "2.1.22", " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS n FROM {t}" for t in TABLES))
 def _(m):
     parts = [m.table(t).agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("table"), "n") for t in TABLES]

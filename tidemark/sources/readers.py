@@ -109,13 +109,23 @@ def constituents(df: DataFrame, index: str, body: str = "body") -> DataFrame:
     return r.select(F.lit(index).alias("index"), X.vendor_symbol(F.col("r.Code")).alias("code"), F.to_date("r.StartDate").alias("start"), end.alias("end"), end.isNull().alias("active"))
 
 
+HEADLINE_CSV = "symbol string, headline string, created_at string, symbol_count int"
+FILING_CSV = "symbol string, form string, items string, accepted string"
+
+
 def headlines(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.schema("symbol string, headline string, created_at string, symbol_count int").option("header", True).csv(path)
+    return headline_rows(spark.read.schema(HEADLINE_CSV).option("header", True).csv(path))
+
+
+def headline_rows(raw: DataFrame) -> DataFrame:
     return raw.select("symbol", "headline", X.utc_stamp(F.col("created_at")).alias("created_at"), "symbol_count", X.headline_label(F.col("headline")).alias("label"))
 
 
 def filings(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.schema("symbol string, form string, items string, accepted string").option("header", True).csv(path)
+    return filing_rows(spark.read.schema(FILING_CSV).option("header", True).csv(path))
+
+
+def filing_rows(raw: DataFrame) -> DataFrame:
     return raw.select("symbol", "form", "items", X.edgar_stamp(F.col("accepted")).alias("accepted"), X.filing_labels(F.col("form"), F.col("items")).alias("labels"))
 
 
@@ -143,6 +153,13 @@ def one_source(df: DataFrame, by: Sequence[str], column: str = "dataset") -> Dat
     return df.groupBy(*by).agg(F.count_distinct(column).alias("sources")).withColumn("accepted", F.col("sources") <= 1)
 
 
+def unmixed(df: DataFrame, by: Sequence[str], column: str = "dataset") -> DataFrame:
+    """df, refused as a whole if any basis holds rows of two sources: the job that reads it fails, naming both."""
+    basis = df.groupBy(*by).agg(F.min(column).alias("__a"), F.max(column).alias("__b"))
+    same = F.when(F.col("__a").eqNullSafe(F.col("__b")), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("mixed sources: "), F.col("__a").cast("string"), F.lit(" and "), F.col("__b").cast("string"))).cast("boolean"))
+    return df.join(basis.filter(same).select(*by), list(by))
+
+
 def last_generation(rows: DataFrame, key: Sequence[str], order: str) -> DataFrame:
     w = Window.partitionBy(*key).orderBy(F.desc(order))
     return rows.withColumn("__k", F.row_number().over(w)).filter("__k = 1").drop("__k")

@@ -93,6 +93,12 @@ class Store:
         return {"addable": [c for c in lack if c not in TABLES[name].key], "blocked": [c for c in lack if c in TABLES[name].key]}
 
 
+def drift_rows(store: Store, names: Sequence[str]) -> DataFrame:
+    """table, column, kind: the model's columns that stored tables lack; a key column cannot be added."""
+    rows = [(n, c, kind) for n in names for kind, cols in (("addable", store.drift(n)["addable"]), ("blocked", store.drift(n)["blocked"])) for c in cols]
+    return store.spark.createDataFrame(rows, "table string, column string, kind string")
+
+
 def write_report(df: DataFrame, path: str, meta: dict[str, str]) -> None:
     """Ledger as CSV beside a one-row frame of the run it belongs to."""
     df.write.mode("overwrite").option("header", True).csv(f"{path}/rows")
