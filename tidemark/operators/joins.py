@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -134,8 +134,9 @@ def range_join(
     row_ts: str,
     bin_s: int = HOUR,
     how: str = "inner",
+    also: Column | None = None,
 ) -> DataFrame:
-    """Rows with low <= ts < high per entry, by equi-join on (key, time bin).
+    """Rows with low <= ts < high per entry, by equi-join on (key, time bin); `also` is a further condition of the join.
 
     `low` and `high` are timestamp expressions over the entries. Each entry is copied to the
     bins its interval meets; each row lies in one bin, so no pair is made twice.
@@ -153,11 +154,29 @@ def range_join(
     )
     for k in on:
         cond = cond & (F.col(f"e.{k}") == F.col(f"r.{k}"))
+    cond = cond if also is None else cond & also
     joined = e.alias("e").join(r.alias("r"), cond, how)
     extra = [c for c in rows.columns if c not in entries.columns]
     return joined.select(*[F.col(f"e.{c}") for c in entries.columns], *[F.col(f"r.{c}") for c in extra])
 
 
+def ahead_aggregates(points: DataFrame, rows: DataFrame, on: Sequence[str], aggs: dict[str, tuple[str, Callable[[Column], Column]]], window_s: int, ts: str = "ts", bucket_s: int = HOUR) -> DataFrame:
+    """Aggregates (output: column of rows and function) over rows in [t, t + window) for every point, without making pairs.
+
+    As `trailing_sums`, with a RANGE frame that looks ahead; rows near a bucket's start are copied to the one before.
+    """
+    if window_s > bucket_s:
+        raise ValueError("window wider than a bucket")
+    width, span = bucket_s * 1_000_000, window_s * 1_000_000
+    p = points.select(*on, micros(ts).alias("__t"), F.struct(*points.columns).alias("__p"), F.floor(micros(ts) / width).cast("bigint").alias("__b"))
+    r = rows.select(*on, micros(ts).alias("__t"), *[F.col(c).alias(f"__s_{o}") for o, (c, _) in aggs.items()])
+    r = r.withColumn("__b", F.explode(F.sequence(F.floor((F.col("__t") - span + 1) / width).cast("bigint"), F.floor(F.col("__t") / width).cast("bigint"))))
+    u = p.unionByName(r, allowMissingColumns=True)
+    w = Window.partitionBy(*on, "__b").orderBy("__t").rangeBetween(0, span - 1)
+    u = u.select("__p", *[fn(F.col(f"__s_{o}")).over(w).alias(o) for o, (_, fn) in aggs.items()])
+    return u.filter("__p IS NOT NULL").select("__p.*", *aggs)
+
+
 def trailing_sums(
     points: DataFrame,
     rows: DataFrame,

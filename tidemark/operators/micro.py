@@ -249,11 +249,9 @@ def first_fill_at(entries: DataFrame, quotes: DataFrame, limit: Column, window_s
     """First quote in the window whose bid meets the limit with size. Limits are a column, so a
     ladder is a few rows per entry."""
     e = entries.withColumn("limit_px", limit)
-    hits = joins.range_join(e, quotes.select("symbol", F.col("ts").alias("q_ts"), "bid", "bid_sz"), ["symbol"], F.col("ts"),
-                            F.timestamp_micros(micros("ts") + window_s * 1_000_000), "q_ts", bin_s=max(window_s, 60))
-    good = (F.col("bid") >= F.col("limit_px")) & (F.col("bid_sz") >= min_size)
-    return hits.filter(good).groupBy("seq", "limit_px").agg(
-        F.min("q_ts").alias("filled_at"), F.min_by("bid", "q_ts").alias("fill_bid"))
+    sized = quotes.filter(F.col("bid_sz") >= min_size).select("symbol", F.col("ts").alias("q_ts"), "bid")
+    hits = joins.range_join(e, sized, ["symbol"], F.col("ts"), F.timestamp_micros(micros("ts") + window_s * 1_000_000), "q_ts", bin_s=max(window_s, 60), also=F.col("bid") >= F.col("limit_px"))
+    return hits.groupBy("seq", "limit_px").agg(F.min("q_ts").alias("filled_at"), F.min_by("bid", "q_ts").alias("fill_bid"))
 
 
 def fill_in_bar(fills: DataFrame, bars: DataFrame) -> DataFrame:

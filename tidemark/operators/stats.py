@@ -237,12 +237,12 @@ def quantile_buckets(df: DataFrame, value: str, q: int, outcome: str, by: Sequen
         F.count(F.lit(1)).alias("n"), F.sum(outcome).alias("s"), F.count(F.when(F.col(outcome) > 0, 1)).alias("w"))
     r = cumulative_counts(c, by, value, ["n"])
     size = c.groupBy(*by).agg(F.sum("n").alias("__size"))
-    r = r.join(F.broadcast(size), list(by)) if by else r.join(F.broadcast(size), how="cross")
+    r = r.join(size, list(by)) if by else r.join(F.broadcast(size), how="cross")
     bucket = lambda rank: F.floor(((rank + 1) * q - 1) / F.col("__size")).cast("int")
     r = r.withColumn("bucket", bucket(F.col("n_below"))).withColumn("__last", bucket(F.col("n_below") + F.col("n") - 1))
     out = r.groupBy(*by, "bucket").agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.sum("n").alias("n"), (F.sum("s") / F.sum("n")).alias("mean"), (F.sum("w") / F.sum("n")).alias("win"))
     ok = r.groupBy(*by).agg((F.max(F.col("__last") - F.col("bucket")) == 0).alias("__clean"), (F.max("__size") >= 5 * q).alias("__enough"))
-    out = out.join(F.broadcast(ok), list(by)) if by else out.join(F.broadcast(ok), how="cross")
+    out = out.join(ok, list(by)) if by else out.join(F.broadcast(ok), how="cross")
     return out.filter("__clean and __enough").drop("__clean", "__enough")
 
 
@@ -355,7 +355,7 @@ def drawdown_paths(trades: DataFrame, draws: int, seed: str = "1") -> DataFrame:
     k = days.agg(F.count(F.lit(1)).alias("__k"))
     slots = with_draws(days.select(F.col("slot").alias("place")).join(F.broadcast(k), how="cross"), draws)
     picks = slots.select("draw", "place", (draw_value(seed, F.col("draw"), F.col("place")) % F.col("__k") + 1).alias("slot"))
-    rows = picks.join(F.broadcast(days.select("slot", "net")), "slot")
+    rows = picks.join(days.select("slot", "net"), "slot")
     w = Window.partitionBy("draw").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     path = rows.withColumn("equity", F.sum("net").over(w)).withColumn("peak", F.greatest(F.lit(0.0), F.max("equity").over(w)))
     return path.groupBy("draw").agg(F.max(F.col("peak") - F.col("equity")).alias("max_drawdown"))

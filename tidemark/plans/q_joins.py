@@ -53,9 +53,8 @@ def _(m):
 @query("range_join_pairs", "2.3.4", """
 SELECT @I(f.seq) AS seq, count(*) AS n, @R(max(q.bid)) AS best FROM fills f JOIN quotes q ON f.symbol = q.symbol AND q.ts >= f.ts AND q.ts < f.ts + INTERVAL 4 HOUR GROUP BY f.seq""")
 def _(m):
-    q = m.quotes().select("symbol", F.col("ts").alias("q_ts"), "bid")
-    hi = F.timestamp_micros(clock.micros("ts") + 4 * 3600 * 1_000_000)
-    return J.range_join(m.fills(), q, ["symbol"], F.col("ts"), hi, "q_ts").groupBy("seq").agg(F.count(F.lit(1)).alias("n"), F.max("bid").alias("best"))
+    near = J.ahead_aggregates(m.fills(), m.quotes(), ["symbol"], {"n": ("bid", F.count), "best": ("bid", F.max)}, 4 * 3600, bucket_s=86400)
+    return near.filter("n > 0").select("seq", "n", "best")
 
 
 @query("point_in_time_facts", "2.3.5 2.20.26", """
