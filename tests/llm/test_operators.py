@@ -335,6 +335,26 @@ def test_packed(spark, docs, rows):
     assert packing.packed(docs.limit(0)).count() == 0
 
 
+def test_packed_with_repeats(repeats):
+    """Each row is packed whole, repeated or without an id."""
+    docs = [tuple(r) for r in repeats.collect()]
+    pieces = packing.packed(repeats).collect()
+    encode = packing.Encoder(packing.vocabulary("byte_bpe_50k.tiktoken"), packing.vocabulary("byte_bpe_50k.json"))
+    want = Counter()
+    for r in docs:
+        want[r[0]] += len(encode(r[1] or ""))
+    got = Counter()
+    for p in pieces:
+        got[p.doc_id] += p.length
+    assert got == want
+    for group in {p.sequence_id for p in pieces}:
+        at = 0
+        for p in sorted((p for p in pieces if p.sequence_id == group), key=lambda p: p.offset):
+            assert p.offset == at
+            at += p.length
+        assert at <= packing.WINDOW
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 256), max_size=80))
 def test_windows_stay_within_capacity(sizes):
@@ -368,6 +388,55 @@ def test_quality_held_out(spark):
     assert len(held) > 50 and sum(held) / len(held) > 0.97
 
 
+def grams_brute(text):
+    """Feature numbers of the bytes, pairs and triples of a text, by plain integers."""
+    found = set(text)
+    for a, b in zip(text, text[1:]):
+        found.add((a * 257 + b + 1) * 2654435761 % 2**32 >> 16)
+    for a, b, c in zip(text, text[1:], text[2:]):
+        pair = a * 257 + b + 1
+        found.add((pair * 8191 + c * 31 + 7) * 2246822519 % 2**32 >> 16)
+    return found
+
+
+def test_indicators_and_ratios_against_dictionaries():
+    rng = random.Random(12)
+    texts = [words(rng, rng.randrange(0, 30), 40).encode() for _ in range(60)] + [b"", b"a", b"ab", "é".encode()]
+    y = [rng.randrange(2) for _ in texts]
+    seen = np.zeros(quality.FEATURES, bool)
+    sets = [quality.indicators(t, seen) for t in texts]
+    assert [set(s.tolist()) for s in sets] == [grams_brute(t) for t in texts] and not seen.any()
+    counts = [Counter(f for t, label in zip(texts, y) if label == k for f in grams_brute(t)) for k in (0, 1)]
+    totals = [quality.FEATURES + sum(c.values()) for c in counts]
+    got = quality.log_count_ratios(sets, np.array(y))
+    for f in {*counts[0], *counts[1], 5, 60000}:
+        assert got[f] == pytest.approx(np.log((counts[1][f] + 1) / totals[1]) - np.log((counts[0][f] + 1) / totals[0]))
+
+
+def test_dual_descent_against_a_plain_solver():
+    """The primal objective at the dual solution is that of subgradient descent."""
+    rng = np.random.default_rng(4)
+    rows = [np.sort(rng.choice(12, 4, replace=False)) for _ in range(40)]
+    values = [rng.normal(size=4) for _ in rows]
+    y = np.array([int(v.sum() + 0.7 * rng.normal() > 0) for v in values])
+    cost = rng.uniform(0.5, 2, len(rows))
+    x = np.zeros((len(rows), 13))
+    for k, (r, v) in enumerate(zip(rows, values)):
+        x[k, r] = v
+    x[:, 12] = 1.0
+    sign = np.where(y == 1, 1.0, -1.0)
+    objective = lambda w: 0.5 * w @ w + (cost * np.maximum(0, 1 - sign * (x @ w))).sum()
+    w, bias = quality.dual_descent(rows, values, y, cost, epochs=2000)
+    assert not w[12:].any()
+    got = objective(np.append(w[:12], bias))
+    plain, best = np.zeros(13), np.inf
+    for t in range(1, 60_000):
+        active = 1 - sign * (x @ plain) > 0
+        plain = plain - (plain - (cost * sign * active) @ x) / (t + 50)
+        best = min(best, objective(plain))
+    assert got == pytest.approx(best, rel=5e-4)  # steps below 1e-4 end the descent
+
+
 def test_quality_learns_from_unheld_rows_only(spark):
     """Labels of held-out rows may say anything."""
     texts = [(k, ("good plain words " if k % 2 else "%%% ### &&& $$$ ") * 5) for k in range(60)]
@@ -467,6 +536,14 @@ def test_url_filter(spark):
     assert url_filter.judged(pages.limit(0), model).count() == 0
 
 
+def test_url_filter_with_repeats(spark):
+    rows = [(1, "http://a.org/x", 0), (1, "http://a.org/x", 0), (None, "http://b.com/de/", 1), (None, None, 2), (1, "b", 3)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, path int")
+    got = url_filter.judged(pages, url_filter.fit(url_filter.labelled_urls(spark))).collect()
+    assert sorted(((r.page_id, r.host, r.path, r.rule, r.verdict) for r in got if r.rule), key=repr) == sorted([(1, "a.org", "/x", "org/", "allow")] * 2 + [(None, "b.com", "/de/", "com/de/", "block")], key=repr)
+    assert len(got) == 5
+
+
 def test_url_model_fits_its_table(spark):
     labelled = url_filter.labelled_urls(spark)
     found = url_filter.judged(labelled.withColumnRenamed("label", "page_id"), url_filter.fit(labelled), rules=())
@@ -527,6 +604,18 @@ def test_encoded(spark, docs, rows, machines):
         assert (r.n_ids, r.ids_crc32, r.exact) == (len(want[r.doc_id]), zlib.crc32(array("I", want[r.doc_id]).tobytes()), True)
 
 
+def test_encoding_repeats_and_unbroken_texts(spark, repeats, machines):
+    """Repeated rows, null ids, and texts of many characters without a blank, plain and of bytes no piece holds."""
+    rng = random.Random(3)
+    model = packing.vocabulary("piece_bpe_32k.model")
+    long = ["".join(rng.choice(string.ascii_lowercase) for _ in range(30_000)), "ab" * 20_000, "\U0001F9FF" * 4_000, "a" * 25_000]
+    docs = repeats.select("doc_id", "text").union(spark.createDataFrame([(9000 + k, t) for k, t in enumerate(long)], "doc_id bigint, text string"))
+    want = Counter((r.doc_id, zlib.crc32(array("I", machines[1].encode(r.text or "")).tobytes())) for r in docs.collect())
+    got = sentence_pieces.encoding_digests(docs, model).collect()
+    assert Counter((r.doc_id, r.ids_crc32) for r in got) == want
+    assert all(r.exact for r in got)
+
+
 # --- empty tables ----------------------------------------------------------------------------------
 
 
