@@ -13,7 +13,7 @@ halt_intervals momentum_entry_1m one_time_framing forward_run_labels first_touch
 quantile_buckets exit_grid held_series value_area stream_closed_bars stream_freshness_gate headline_labels trading_calendar study_session_rules concurrency_cap_replay match_preceding_alert match_nearest_pairs compounding_account entry_tape_features
 executions_by_id json_facts store_load roll_legs missing_sessions squeeze_states content_hash stream_round_trips stream_arrivals year_table table_counts""".split()
 # Queries whose rule fits no SQL text, tested by other means.
-WITHOUT_SQL = """archive_inventory break_retest_outcomes compounding_account crc_subset entry_momentum_features extreme_anchor_lines fitted_classifiers line_signal_frame pullback_break_setups trend_line_breaks vwap_reclaim_setups""".split()
+WITHOUT_SQL = """archive_inventory compounding_account entry_momentum_features extreme_anchor_lines fitted_classifiers pullback_break_setups vwap_reclaim_setups""".split()
 # Queries that may find nothing in the smallest tables.
 EMPTY: list[str] = []
 NAMES = sorted(QUERIES) if os.environ.get("TIDEMARK_ALL") else SPREAD

@@ -343,13 +343,14 @@ def trend_lines(df: DataFrame, r: int = 3, kind: str = "high", buffer: float = 0
             stop = starts[k + 1] if k + 1 < len(starts) else n
             if begin >= n or sign * (x[b] - x[a]) >= 0 or b - a > max_span:
                 continue
-            at = x[b] + (x[b] - x[a]) / (b - a) * (np.arange(n) - b)
-            beyond = sign * (c - at) > room
-            if beyond[a + 1:begin].any():
+            near = slice(a + 1, stop)  # the line is valued from its first pivot to the next pair only
+            at = x[b] + (x[b] - x[a]) / (b - a) * (np.arange(a + 1, stop) - b)
+            beyond = sign * (c[near] - at) > room[near]
+            if beyond[: begin - a - 1].any():
                 continue
-            crossing = np.flatnonzero(beyond[begin:stop])
+            crossing = np.flatnonzero(beyond[begin - a - 1 :])
             end = begin + crossing[0] + 1 if len(crossing) else stop
-            line[begin:end] = at[begin:end]
+            line[begin:end] = at[begin - a - 1 : end - a - 1]
             if len(crossing):
                 broke[end - 1] = True
         g["line"], g["line_break"] = line, broke
@@ -359,9 +360,10 @@ def trend_lines(df: DataFrame, r: int = 3, kind: str = "high", buffer: float = 0
     return out.withColumn("line", F.nanvl("line", F.lit(None).cast("double")))
 
 
-def anchor_lines(df: DataFrame, r: int = 3, kind: str = "high", window: int = 120, buffer: float = 0.10, by=W.DAY, order="date") -> DataFrame:
-    """Line from the most extreme confirmed pivot of the window to the later pivot that gives the
-    flattest line no close has crossed; with its touches and span. Needs atr14."""
+def anchor_lines(df: DataFrame, r: int = 3, kind: str = "high", window: int = 120, buffer: float = 0.10, max_span: int = 400, by=W.DAY, order="date") -> DataFrame:
+    """Line from the most extreme confirmed pivot of the window to the later pivot, at most max_span bars
+    away, that gives the flattest line no close has crossed; the next extreme pivot where it has none.
+    With its touches and span. A bar looks at its window only. Needs atr14."""
     high = kind == "high"
     sign = 1.0 if high else -1.0
 
@@ -376,13 +378,15 @@ def anchor_lines(df: DataFrame, r: int = 3, kind: str = "high", window: int = 12
             known = piv[(piv + r <= t) & (piv > t - window)]
             if len(known) < 2:
                 continue
-            a = known[np.argmax(sign * x[known])]
             best = None
-            for b in known[known > a]:
-                slope = (x[b] - x[a]) / (b - a)
-                at = x[a] + slope * (np.arange(a, t) - a)
-                if sign * slope < 0 and not (sign * (c[a:t] - at) > room[a:t])[1:].any() and (best is None or abs(slope) < abs(best)):
-                    best = slope
+            for a in known[np.lexsort((known, -sign * x[known]))]:
+                for b in known[(known > a) & (known <= a + max_span)]:
+                    slope = (x[b] - x[a]) / (b - a)
+                    at = x[a] + slope * (np.arange(a, t) - a)
+                    if sign * slope < 0 and (best is None or abs(slope) < abs(best)) and not (sign * (c[a:t] - at) > room[a:t])[1:].any():
+                        best = slope
+                if best is not None:
+                    break
             if best is None:
                 continue
             line[t] = x[a] + best * (t - a)

@@ -138,10 +138,23 @@ def _(m):
     return X.pullback_breaks(m.bars())
 
 
-@query("trend_line_breaks", "2.12.14 2.20.128")
+view("tl_pairs", """SELECT symbol, lag(i) OVER w AS a, lag(x) OVER w AS xa, i AS b, x AS xb, i + 3 AS beg, lead(i) OVER w + 3 AS stop FROM (
+  SELECT symbol, i, high AS x FROM (SELECT *, max(high) OVER k AS m, count(*) OVER k AS n FROM ind WINDOW k AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)) WHERE n = 7 AND high = m) WINDOW w AS (PARTITION BY symbol ORDER BY i)""")
+view("tl_hits", """SELECT *, coalesce(close - line > 0.1::DOUBLE * atr14, false) AS beyond FROM (SELECT p.*, t.i AS t, t.date, t.close, t.atr14, xb + (xb - xa) / (b - a) * (t.i - b) AS line
+  FROM tl_pairs p JOIN ind t ON t.symbol = p.symbol AND t.i > p.a AND (p.stop IS NULL OR t.i < p.stop) WHERE xb < xa AND b - a <= 400)""")
+view("tl_live", "SELECT symbol, b, min(t) FILTER (beyond AND t >= beg) AS crossed FROM tl_hits GROUP BY 1, 2 HAVING NOT bool_or(beyond AND t < beg)")
+view("tlines", "SELECT d.symbol, d.date, d.i, d.low, d.close, d.atr14, l.line, coalesce(l.broke, false) AS broke FROM ind d LEFT JOIN (SELECT symbol, t, line, coalesce(t = crossed, false) AS broke FROM tl_hits JOIN tl_live USING (symbol, b) WHERE t >= beg AND (crossed IS NULL OR t <= crossed)) l ON l.symbol = d.symbol AND l.t = d.i")
+view("tl_breaks", """WITH s AS (SELECT *, coalesce(line - lag(line) OVER (PARTITION BY symbol ORDER BY i), 0) AS s FROM tlines), j AS (SELECT b.symbol, b.date, b.i, b.line, min(x.i) FILTER (x.close < b.line + b.s * (x.i - b.i) - 0.5::DOUBLE * x.atr14) AS failed,
+  min(x.i) FILTER (x.low <= b.line + b.s * (x.i - b.i) + 0.25::DOUBLE * x.atr14) AS touched, count(x.i) AS n FROM s b LEFT JOIN ind x ON x.symbol = b.symbol AND x.i > b.i AND x.i <= b.i + 10 WHERE b.broke GROUP BY ALL)
+ SELECT *, CASE WHEN failed IS NOT NULL AND failed = least(failed, touched) THEN 'failed' WHEN touched IS NOT NULL THEN 'entry' WHEN n < 10 THEN 'open_at_end' ELSE 'no_retest' END AS own, coalesce(least(failed, touched), i + n) AS until FROM j""")
+view("tl_taken", """SELECT * FROM (SELECT symbol, i, until FROM tl_breaks QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY i) = 1)
+ UNION ALL SELECT n.symbol, n.i, n.until FROM tl_taken p JOIN LATERAL (SELECT symbol, i, until FROM tl_breaks o WHERE o.symbol = p.symbol AND o.i > p.until ORDER BY o.i LIMIT 1) n ON true""")
+view("tl_outcomes", "SELECT b.*, CASE WHEN t.i IS NULL THEN 'ignored_pending' ELSE own END AS outcome FROM tl_breaks b LEFT JOIN tl_taken t USING (symbol, i)")
+
+
+@query("trend_line_breaks", "2.12.14 2.20.128", "SELECT symbol, @D(date) AS date, @R(line) AS line, @I(broke) AS line_break FROM tlines")
 def _(m):
-    df = R.with_indicators(m.daily(), ["atr14"])
-    return X.trend_lines(df).select("symbol", "date", "line", "line_break")
+    return X.trend_lines(indicators(m)).select("symbol", "date", "line", "line_break")
 
 
 @query("extreme_anchor_lines", "2.12.15 2.20.129")
@@ -150,14 +163,15 @@ def _(m):
     return X.a_plus(X.anchor_lines(df, window=60)).filter("line is not null").select("symbol", "date", "line", "line_break", "touches", "span", "a_plus")
 
 
-@query("break_retest_outcomes", "2.12.16 2.20.130")
+@query("break_retest_outcomes", "2.12.16 2.20.130", "SELECT symbol, @D(date) AS date, outcome, @R(line) AS line FROM tl_outcomes")
 def _(m):
-    return X.break_retests(X.trend_lines(R.with_indicators(m.daily(), ["atr14"]))).drop("i", "until")
+    return X.break_retests(X.trend_lines(indicators(m))).drop("i", "until")
 
 
-@query("line_signal_frame", "2.12.21")
+@query("line_signal_frame", "2.12.21", """
+SELECT symbol, @D(l.date) AS date, @I(broke) AS raw_break, @I(broke AND outcome = 'entry') AS entry, CASE WHEN NOT broke OR outcome = 'entry' THEN '' ELSE outcome END AS reason FROM tlines l LEFT JOIN (SELECT symbol, i, outcome FROM tl_outcomes) o USING (symbol, i)""")
 def _(m):
-    lines = X.trend_lines(R.with_indicators(m.daily(), ["atr14"])).withColumn("broke", F.col("line_break"))
+    lines = X.trend_lines(indicators(m)).withColumn("broke", F.col("line_break"))
     outcomes = X.break_retests(lines).select("symbol", "date", "outcome")
     j = lines.join(outcomes, ["symbol", "date"], "left")
     reason = F.when(~F.col("broke"), "").when(F.col("outcome") == "entry", "").otherwise(F.col("outcome"))
