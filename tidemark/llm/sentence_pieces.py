@@ -39,7 +39,6 @@ KEPT_UNITS = 400_000
 KEPT_WEIGHTS = 1_000_000
 DIGESTS = "doc_id bigint, n_ids bigint, ids_crc32 bigint, n_bytes bigint, exact boolean"
 INFINITE = float("inf")
-Unit = tuple[bytes, bytes, int]  # ids, what they write, how many of them are single bytes
 
 
 class Transducer:
@@ -67,11 +66,17 @@ class Transducer:
         self.unit = re.compile(r"(?s).+" if crossing else rf"{MARK}*[^{MARK}]+|{MARK}+")
         # What each arc reads: the pieces, and any character of theirs that is no piece itself.
         self.reads = [*self.arcs, *sorted({c for piece in self.arcs for c in piece} - set(self.arcs))]
-        # Arcs read backwards from a place: the number of an arc, or -1 for the end of one only.
-        self.tails = {text[k:]: -1 for text in self.reads for k in range(len(text))} | {text: k for k, text in enumerate(self.reads)}
+        # Arcs read backwards from a place, as states (next states by character, number of the arc read or -1).
+        self.tails: tuple[dict, int] = ({}, -1)
+        for k, text in enumerate(self.reads):
+            state = self.tails
+            for at in range(len(text) - 1, 0, -1):
+                state = state[0].setdefault(text[at], ({}, -1))
+            state[0][text[0]] = (state[0].get(text[0], ({}, -1))[0], k)
+        self.written = [self.ids_of(text) for text in self.reads]
         self.weights: dict[int, float] = {}
-        self.known: dict[str, Unit] = {}
-        self.older: dict[str, Unit] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def normalise(self, text: str) -> str:
         return (MARK + text).replace(" ", MARK) if text else ""
@@ -98,22 +103,31 @@ class Transducer:
         found = self.weights[left * len(self.reads) + right] = 0.0 if self.merged(a + b) == [a, b] else INFINITE
         return found
 
-    def shortest_path(self, unit: str) -> list[str]:
-        """Pieces of the least-weight path through the machine composed with the unit.
+    def ids_of(self, piece: str) -> bytes:
+        """What an arc writes: the piece's id, else its bytes."""
+        k = self.arcs.get(piece)
+        ids = [k] if k is not None else [self.bytes_[b] for b in piece.encode()] if self.bytes_ else [self.unknown]
+        return array("I", ids).tobytes()
+
+    def unit_ids(self, unit: str) -> bytes:
+        """Ids along the least-weight path through the machine composed with the unit.
 
         Weights are 0 or infinite, so a state is either reached at weight 0 or not at all, and the
         first arc that reaches a place ends the search for it: a place has one canonical last piece.
         """
         n, size = len(unit), len(self.reads)
-        last, step = [0] * (n + 1), [0] * (n + 1)
-        tail, weight = self.tails.get, self.weights.get
+        last, step = [-1] * (n + 1), [0] * (n + 1)
+        tails, weight = self.tails[0], self.weights.get
         for stop in range(1, n + 1):
-            for start in range(stop - 1, -1, -1):
-                arc = tail(unit[start:stop])
-                if arc is None:  # no arc ends like this; a character no piece holds merges with nothing
+            start, states = stop, tails
+            while start:
+                start -= 1
+                state = states.get(unit[start])
+                if state is None:  # no arc ends like this; a character no piece holds merges with nothing
                     if start + 1 == stop:
-                        last[stop], step[stop] = -1, 1
+                        step[stop] = 1
                     break
+                states, arc = state
                 if arc < 0:
                     continue
                 if start and last[start] >= 0:
@@ -125,27 +139,15 @@ class Transducer:
                 last[stop], step[stop] = arc, stop - start
                 break
             if not step[stop]:  # no canonical neighbours, which a model's own merge order excludes
-                return self.merged(unit)
+                return b"".join(map(self.ids_of, self.merged(unit)))
         path, at = [], n
         while at:
-            path.append(unit[at - step[at] : at])
+            path.append(self.written[last[at]] if last[at] >= 0 else self.ids_of(unit[at - 1]))
             at -= step[at]
-        return path[::-1]
-
-    def unit_ids(self, unit: str) -> Unit:
-        ids = array("I")
-        for piece in self.shortest_path(unit):
-            k = self.arcs.get(piece)
-            if k is not None:
-                ids.append(k)
-            elif self.bytes_:
-                ids.extend(self.bytes_[b] for b in piece.encode())
-            else:
-                ids.append(self.unknown)
-        return ids.tobytes(), b"".join(map(self.surface.__getitem__, ids)), sum(map(self.single.__getitem__, ids))
-
-    def looked_up(self, unit: str) -> Unit:
-        """Encoding of a unit outside the younger table; units of the older one that are met again move over."""
+        return b"".join(path[::-1])
+
+    def looked_up(self, unit: str) -> bytes:
+        """Ids of a unit outside the younger table; units of the older one that are met again move over."""
         ids = self.older.get(unit)
         if ids is None:
             ids = self.unit_ids(unit)
@@ -155,32 +157,18 @@ class Transducer:
             self.known[unit] = ids
         return ids
 
-    def composed(self, text: str) -> list[Unit]:
+    def encode(self, text: str) -> array:
         units = self.unit.findall(self.normalise(text))
         parts = list(map(self.known.get, units))
         if None in parts:
             parts = [self.looked_up(u) if p is None else p for u, p in zip(units, parts)]
-        return parts
-
-    def encode(self, text: str) -> array:
         out = array("I")
-        out.frombytes(b"".join(p[0] for p in self.composed(text)))
+        out.frombytes(b"".join(parts))
         return out
 
-    def round_trip(self, text: str) -> tuple[bytes, str, int]:
-        """The ids as bytes, the text they decode to, and how many are single bytes, a unit at a time."""
-        parts = self.composed(text)
-        if not parts:
-            return b"", "", 0
-        ids, surfaces, singles = zip(*parts)
-        return b"".join(ids), self.read_back(b"".join(surfaces)), sum(singles)
-
-    def read_back(self, surface: bytes) -> str:
-        text = surface.decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
-
     def decode(self, ids: array) -> str:
-        return self.read_back(b"".join(map(self.surface.__getitem__, ids)))
+        text = b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "replace")
+        return text[1:] if text.startswith(" ") else text
 
 
 def encoded(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -205,8 +193,8 @@ def encoding_digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
         for batch in batches:
             rows = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids, back, singles = machine.round_trip(text or "")
-                rows.append((key, len(ids) // 4, zlib.crc32(ids), singles, back == (text or "")))
+                ids = machine.encode(text or "")
+                rows.append((key, len(ids), zlib.crc32(ids.tobytes()), sum(map(machine.single.__getitem__, ids)), machine.decode(ids) == (text or "")))
             yield record(rows, DIGESTS)
 
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_col).mapInArrow(run, DIGESTS).withColumnRenamed("doc_id", id_col)
