@@ -11,7 +11,7 @@ FOLDER = os.environ.get("TIDEMARK_SF_DIR", "/root/testdata/sf0.001")
 SPREAD = """bars_from_ticks trade_ledger screen_features bollinger_bands rsi running_screen first_seen_universe asof_quote_per_fill asof_at_horizons markout_identity time_weighted_imbalance
 halt_intervals momentum_entry_1m one_time_framing forward_run_labels first_touch_exit trailing_stop_exit session_give_back equity_and_drawdown cluster_bootstrap_symbol gate_verdict
 quantile_buckets exit_grid held_series value_area stream_closed_bars stream_freshness_gate headline_labels trading_calendar study_session_rules concurrency_cap_replay match_preceding_alert match_nearest_pairs compounding_account entry_tape_features
-executions_by_id json_facts store_load roll_legs missing_sessions squeeze_states content_hash stream_round_trips stream_arrivals year_table table_counts""".split()
+executions_by_id json_facts store_load roll_legs missing_sessions squeeze_states content_hash stream_round_trips stream_arrivals year_table table_counts stream_signal_after_exit forward_sessions crc_subset trend_line_breaks opening_range_grid""".split()
 # Queries whose rule fits no SQL text, tested by other means.
 WITHOUT_SQL = """archive_inventory compounding_account entry_momentum_features extreme_anchor_lines fitted_classifiers pullback_break_setups vwap_reclaim_setups""".split()
 # Queries that may find nothing in the smallest tables.
