@@ -164,6 +164,14 @@ def test_compounding_against_a_plain_account(spark):
     assert {"taken", "concurrency", "too_small", "capped"} <= seen
 
 
+def test_compounding_counts_a_zero_entry_price(spark):
+    rows = [("a", "s", i, T0 + timedelta(minutes=i), T0 + timedelta(minutes=i + 1), px, 10, 5.0, 1e6) for i, px in enumerate((20.0, 0.0, None, 20.0))]
+    df = spark.createDataFrame(rows, "book string, symbol string, trade_id bigint, entry_ts timestamp, exit_ts timestamp, entry_px double, qty bigint, net double, dollar_volume double")
+    for legs in (df, df.drop("dollar_volume")):
+        row = B.compounding(legs, [(0.6, 1.0)], 1000.0).first()
+        assert (row.taken, row.unpriced, row.final) == (2, 2, 1000.0 + 30 * 0.5 + 30 * 0.5)
+
+
 def test_auc_equals_pair_counting(spark):
     r = random.Random(6)
     rows = [(float(r.randrange(8)), r.random() < 0.4) for _ in range(120)]

@@ -190,19 +190,20 @@ def compounding(trades: DataFrame, cells: Sequence[tuple[float, float]], capital
     the equity at the entry. Positions are whole shares held to their exits, over sessions too; exits
     at or before an entry land first. Skips: `concurrency` (no budget left, or too small while others
     are open), `ruined` (no equity), `too_small`. With a column `dollar_volume`, a position takes at most
-    `volume_share` of it; `capped` counts those taken so.
+    `volume_share` of it; `capped` counts those taken so. An entry price of zero or none sizes nothing:
+    `unpriced` counts such rows, whatever the account holds.
 
     An account is one sequence: each share count depends on all before it. Its rows are sorted into
     one partition and folded as they stream, so a task holds the open positions and a batch of rows.
     Needs entry_ts, exit_ts, symbol, trade_id, entry_px, qty, net.
     """
     grid = F.array(*[F.struct(F.lit(float(a)).alias("per"), F.lit(float(b)).alias("total")) for a, b in cells])
-    cap = F.when(F.col("dollar_volume") > 0, F.floor(F.col("dollar_volume") * volume_share / F.col("entry_px"))) if "dollar_volume" in trades.columns else F.lit(None)
+    cap = F.when(F.col("dollar_volume") > 0, F.floor(F.try_divide(F.col("dollar_volume") * volume_share, F.col("entry_px")))) if "dollar_volume" in trades.columns else F.lit(None)
     legs = trades.withColumn("__c", F.explode(grid)).select(
-        *by, "__c.per", "__c.total", "entry_ts", "symbol", "exit_ts", "trade_id", F.col("entry_px").cast("double").alias("px"), (F.col("net") / F.col("qty")).alias("gain"), cap.cast("double").alias("cap"))
+        *by, "__c.per", "__c.total", "entry_ts", "symbol", "exit_ts", "trade_id", F.col("entry_px").cast("double").alias("px"), F.try_divide("net", "qty").alias("gain"), cap.cast("double").alias("cap"))
     keys = [*by, "per", "total"]
     legs = legs.repartition(*keys).sortWithinPartitions(*keys, "entry_ts", "symbol", "exit_ts", "trade_id")
-    counts = ["taken", "concurrency", "ruined", "too_small", "capped"]
+    counts = ["taken", "concurrency", "ruined", "too_small", "capped", "unpriced"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in legs.select(*keys).schema.fields) + ", " + ", ".join(f"{c} bigint" for c in counts) + ", final double, max_drawdown double"
 
     def fold(frames):
@@ -232,6 +233,9 @@ def compounding(trades: DataFrame, cells: Sequence[tuple[float, float]], capital
                     now, held, n = key, [], dict.fromkeys(counts, 0)
                     book = {"equity": float(capital), "used": 0.0, "peak": float(capital), "worst": 0.0}
                 land(row.entry_ts)
+                if not row.px > 0:
+                    n["unpriced"] += 1
+                    continue
                 if book["equity"] <= 0:
                     n["ruined"] += 1
                     continue
