@@ -102,3 +102,15 @@ def test_the_report_has_every_cell_and_its_neighbours(spark):
     near = [(5, "structure", "level", "r_3_trim"), (30, "structure", "level", "r_3_trim"), (15, "range_share", "level", "r_3_trim"), (15, "structure", "none", "r_3_trim"), (15, "structure", "zone", "r_3_trim"), (15, "structure", "level", "r_1_5"), (15, "structure", "level", "range_1x")]
     assert middle.neighbours == 7 and middle.neighbours_positive == pytest.approx(sum(rows[k].net > 0 for k in near) / 7)
     assert opening_report(opening_results(spark.createDataFrame([], DDL), G), G).count() == 90
+
+
+def test_prices_of_zero_are_refused_not_divided_by(spark):
+    def day(k, *prices):
+        return [("S", date(2024, 1, 1 + k), datetime(2024, 1, 1 + k) + timedelta(minutes=570 + 5 * i), 570 + 5 * i, o, h, low, c) for i, (o, h, low, c) in enumerate(prices)]
+
+    up, flat = (10.0, 11.0, 10.0, 11.0), (0.0, 0.0, 0.0, 0.0)
+    rows = day(0, (10.0, 10.0, 0.0, 10.0), up, up) + day(1, flat, up, up) + day(2, (10.0, 10.2, 10.0, 10.1), up, (0.0, 11.0, 0.0, 11.0))
+    got = opening_results(spark.createDataFrame(rows, DDL), OpeningGrid(minutes=(5,), retests=("none",), exits=("r_2",))).collect()
+    reasons = {(r.session_date.day, r.stop): r.refused for r in got}
+    assert reasons == {(1, "structure"): "too_wide", (1, "range_share"): "too_wide", (2, "structure"): "too_wide", (2, "range_share"): "too_wide",
+                       (3, "structure"): "risk_not_positive", (3, "range_share"): "risk_too_wide"}

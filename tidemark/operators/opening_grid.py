@@ -59,6 +59,11 @@ def _one_of(column: str, ways: dict[str, Column]) -> Column:
     return out
 
 
+def _percent(x: Column, base: Column) -> Column:
+    """x in percent of a price; of a price of zero it is beyond every limit."""
+    return F.when(base == 0, float("inf")).otherwise(F.try_divide(x, base) * 100)
+
+
 def _spread(df: DataFrame, column: str, values: Sequence) -> DataFrame:
     return df.withColumn(column, F.explode(F.array(*[F.lit(v) for v in values])))
 
@@ -69,7 +74,7 @@ def setups(bars: DataFrame, g: OpeningGrid) -> DataFrame:
     inside = lambda m: (F.col("minute") < g.open_minute + m)
     spans = [F.struct(F.lit(m).alias("minutes"), F.max(F.when(inside(m), F.col("high"))).alias("hi"), F.min(F.when(inside(m), F.col("low"))).alias("lo")) for m in g.minutes]
     ranges = bars.groupBy(*by).agg(F.array(*spans).alias("r")).select(*by, F.explode("r").alias("r")).select(*by, "r.*")
-    pct = (F.col("hi") - F.col("lo")) / F.col("lo") * 100
+    pct = _percent(F.col("hi") - F.col("lo"), F.col("lo"))
     ranges = ranges.withColumn("width", F.col("hi") - F.col("lo")).withColumn(
         "refused", F.when(F.col("hi").isNull(), "no_range").when(pct < g.range_pct[0], "too_narrow").when(pct > g.range_pct[1], "too_wide"))
     later = bars.join(ranges.filter("refused IS NULL"), by).filter(F.col("minute") >= g.open_minute + F.col("minutes"))
@@ -126,7 +131,7 @@ def opening_results(bars: DataFrame, g: OpeningGrid = OpeningGrid()) -> DataFram
     plans = _spread(plans, "stop", g.stops)
     stop = _one_of("stop", {"structure": F.col("anchor") - F.col("entry") * g.stop_buffer, "range_share": F.col("entry") - g.stop_share * F.col("width")})
     plans = plans.withColumn("stop_px", stop).withColumn("risk", F.col("entry") - F.col("stop_px"))
-    risky = F.when(F.col("risk") <= 0, "risk_not_positive").when(F.col("risk") / F.col("entry") * 100 > g.risk_pct, "risk_too_wide")
+    risky = F.when(F.col("risk") <= 0, "risk_not_positive").when(_percent(F.col("risk"), F.col("entry")) > g.risk_pct, "risk_too_wide")
     plans = plans.withColumn("refused", F.coalesce("refused", risky))
     keys = [*base, "stop"]
     held = plans.filter("refused IS NULL").select(*keys, "entry_i", "entry", "stop_px", "risk", "width")
