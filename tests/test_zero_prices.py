@@ -10,6 +10,7 @@ from tidemark.plans.catalog import ORACLE_SQL, QUERIES
 SOURCE = "/root/testdata/sf0.001"
 NAMES = """
 opening_range_grid opening_grid_neighbours
+asof_quote_per_fill
 """.split()
 
 
