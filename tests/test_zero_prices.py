@@ -11,6 +11,7 @@ SOURCE = "/root/testdata/sf0.001"
 NAMES = """
 opening_range_grid opening_grid_neighbours
 asof_quote_per_fill
+cost_model_lookup
 """.split()
 
 
