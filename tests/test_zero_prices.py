@@ -12,6 +12,7 @@ NAMES = """
 opening_range_grid opening_grid_neighbours
 asof_quote_per_fill
 cost_model_lookup
+decision_ranking
 """.split()
 
 

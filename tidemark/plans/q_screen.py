@@ -248,7 +248,7 @@ def _(m):
 
 @query("decision_ranking", "2.7.4", """
 SELECT @I(trade_id) AS trade_id, @D(session_date) AS session_date, row_number() OVER w AS place, CASE WHEN row_number() OVER w <= 3 THEN 'TAKE' ELSE 'PASS' END AS call
-FROM ledger WINDOW w AS (PARTITION BY session_date ORDER BY qty DESC, round(exit_px / entry_px, 9) DESC, symbol, trade_id)""")
+FROM ledger WINDOW w AS (PARTITION BY session_date ORDER BY qty DESC, round(exit_px / nullif(entry_px, 0), 9) DESC NULLS LAST, symbol, trade_id)""")
 def _(m):
     w = Window.partitionBy("session_date").orderBy(F.desc("qty"), F.desc(F.round(F.try_divide("exit_px", "entry_px"), 9)), "symbol", "trade_id")
     k = F.row_number().over(w)
