@@ -13,6 +13,7 @@ opening_range_grid opening_grid_neighbours
 asof_quote_per_fill
 cost_model_lookup
 decision_ranking
+drift_states
 """.split()
 
 
