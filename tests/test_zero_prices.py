@@ -14,6 +14,7 @@ asof_quote_per_fill
 cost_model_lookup
 decision_ranking
 drift_states
+excursions_fixed_horizon
 """.split()
 
 
