@@ -15,6 +15,7 @@ cost_model_lookup
 decision_ranking
 drift_states
 excursions_fixed_horizon
+excursions_to_session_end
 """.split()
 
 
