@@ -16,6 +16,7 @@ decision_ranking
 drift_states
 excursions_fixed_horizon
 excursions_to_session_end
+isolated_bad_ticks
 """.split()
 
 
