@@ -17,6 +17,7 @@ drift_states
 excursions_fixed_horizon
 excursions_to_session_end
 isolated_bad_ticks
+keep_set_mask
 """.split()
 
 

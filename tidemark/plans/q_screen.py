@@ -194,8 +194,8 @@ def _(m):
 
 
 @query("keep_set_mask", "2.2.20 2.3.20", """
-WITH f AS (SELECT symbol, session_date, max(high) / min(low) - 1 AS peak FROM sbars1 GROUP BY 1, 2)
-SELECT @I(trade_id) AS trade_id, symbol, @I(peak >= 1.0) AS kept FROM ledger JOIN f USING (symbol, session_date)""")
+WITH f AS (SELECT symbol, session_date, max(high) / nullif(min(low), 0) - 1 AS peak FROM sbars1 GROUP BY 1, 2)
+SELECT @I(trade_id) AS trade_id, symbol, @I(coalesce(peak >= 1.0, false)) AS kept FROM ledger JOIN f USING (symbol, session_date)""")
 def _(m):
     peak = m.ticks().groupBy("symbol", "session_date").agg((F.try_divide(F.max("px"), F.min("px")) - 1).alias("peak"))
     keep = peak.filter("peak >= 1.0")
