@@ -18,6 +18,7 @@ excursions_fixed_horizon
 excursions_to_session_end
 isolated_bad_ticks
 keep_set_mask
+order_flow_imbalance
 """.split()
 
 
