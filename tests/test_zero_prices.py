@@ -19,6 +19,7 @@ excursions_to_session_end
 isolated_bad_ticks
 keep_set_mask
 order_flow_imbalance
+post_stop_rally
 """.split()
 
 
