@@ -20,6 +20,7 @@ isolated_bad_ticks
 keep_set_mask
 order_flow_imbalance
 post_stop_rally
+time_weighted_imbalance
 """.split()
 
 
