@@ -21,6 +21,7 @@ keep_set_mask
 order_flow_imbalance
 post_stop_rally
 time_weighted_imbalance
+run_up_features
 """.split()
 
 

@@ -80,10 +80,10 @@ WITH b AS (SELECT *, lag(close) OVER ({S}) AS c1, lag(close, 3) OVER ({S}) AS c3
   max(high) OVER ({S} ROWS UNBOUNDED PRECEDING) AS hi, min(low) OVER ({S} ROWS UNBOUNDED PRECEDING) AS lo FROM bars5)
 SELECT symbol, @T(ts) AS ts, @R(CASE WHEN med > 0 THEN volume / med END) AS rvol_1,
  @R(CASE WHEN med > 0 AND n >= 5 THEN sum(volume) OVER ({S} ROWS 4 PRECEDING) / (5 * med) END) AS rvol_5,
- @R(close / c1 - 1) AS ret_1, @R(close / c3 - 1) AS ret_3, @R(close / c5 - 1) AS ret_5,
+ @R(close / nullif(c1, 0) - 1) AS ret_1, @R(close / nullif(c3, 0) - 1) AS ret_3, @R(close / nullif(c5, 0) - 1) AS ret_5,
  @I(CASE WHEN n >= 6 THEN sum(CAST(close > c1 AS INT)) OVER ({S} ROWS 4 PRECEDING) END) AS up_bars_5,
- @R(close / c1 - 1 - (close / c3 - 1) / 3) AS accel, @R(CASE WHEN hi > lo THEN (close - lo) / (hi - lo) END) AS pos_in_range,
- @R(close / hi - 1) AS dist_from_high, @I(minute - 240) AS minutes_since_open,
+ @R(close / nullif(c1, 0) - 1 - (close / nullif(c3, 0) - 1) / 3) AS accel, @R(CASE WHEN hi > lo THEN (close - lo) / (hi - lo) END) AS pos_in_range,
+ @R(close / nullif(hi, 0) - 1) AS dist_from_high, @I(minute - 240) AS minutes_since_open,
  @R(CAST('0x' || substr(md5('7|' || symbol || '|' || CAST(CAST(epoch(ts) AS BIGINT) AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0) AS rand FROM b""")
 def _(m):
     return W.run_up_features(m.bars()).select(
