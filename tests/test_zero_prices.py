@@ -5,6 +5,7 @@ import os
 import pytest
 
 from oracle import check, connect
+from tidemark.operators import rollups
 from tidemark.plans.catalog import ORACLE_SQL, QUERIES
 
 SOURCE = "/root/testdata/sf0.001"
@@ -43,3 +44,9 @@ def folder(tmp_path_factory):
 def test_zero_prices(spark, folder, name):
     _, rows, why, without_sql = check(spark, connect(folder), folder, name, QUERIES[name], ORACLE_SQL.get(name))
     assert rows and not why and not without_sql
+
+
+def test_a_total_of_zero_is_not_profitable(spark):
+    trades = spark.createDataFrame([("a", 0.1), ("a", 0.2), ("a", -0.3), ("b", 0.5)], "symbol string, net double")
+    row = rollups.share_profitable(trades.coalesce(1)).first()
+    assert (row.profitable, row.symbols) == (1, 2)

@@ -212,7 +212,7 @@ def _(m):
 
 @query("share_profitable", "2.4.14", """
 SELECT count(*) FILTER (total > 0) AS profitable, count(*) AS symbols, @R(avg(CAST(total > 0 AS INT))) AS share FROM
- (SELECT symbol, sum(net) AS total, count(*) AS n FROM ledger GROUP BY 1) WHERE n BETWEEN 5 AND 20""")
+ (SELECT symbol, sum(CAST(net AS DECIMAL(28, 6))) AS total, count(*) AS n FROM ledger GROUP BY 1) WHERE n BETWEEN 5 AND 20""")
 def _(m):
     return G.share_profitable(m.ledger(), 5, 20)
 
