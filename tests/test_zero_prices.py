@@ -23,6 +23,7 @@ order_flow_imbalance
 post_stop_rally
 time_weighted_imbalance
 run_up_features
+slippage_quantiles
 """.split()
 
 
