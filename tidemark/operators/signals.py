@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import windows as W
+from tidemark.operators.folds import fold_keys
 from tidemark.operators.intervals import non_overlapping
 
 UP, FLAT, DOWN = 1, 0, -1
@@ -316,9 +317,10 @@ def pullback_breaks(df: DataFrame, reds: int = 2, limit: int = 20, volume_n: int
 
 
 def _pivots(x: np.ndarray, r: int, high: bool) -> np.ndarray:
-    s = pd.Series(x).rolling(2 * r + 1, center=True)
-    edge = (s.max() if high else s.min()).to_numpy()
-    return np.flatnonzero(x == edge)
+    if len(x) < 2 * r + 1:
+        return np.zeros(0, dtype=int)
+    near = np.lib.stride_tricks.sliding_window_view(x, 2 * r + 1)
+    return r + np.flatnonzero(x[r : len(x) - r] == (near.max(axis=1) if high else near.min(axis=1)))
 
 
 def trend_lines(df: DataFrame, r: int = 3, kind: str = "high", buffer: float = 0.10, max_span: int = 400, by=W.DAY, order="date") -> DataFrame:
@@ -331,12 +333,8 @@ def trend_lines(df: DataFrame, r: int = 3, kind: str = "high", buffer: float = 0
     high = kind == "high"
     sign = 1.0 if high else -1.0
 
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(order).reset_index(drop=True)
-        x = g[kind].to_numpy()
-        c, room = g["close"].to_numpy(), buffer * g["atr14"].to_numpy()
-        n, line, broke = len(g), np.full(len(g), np.nan), np.zeros(len(g), dtype=bool)
-        piv = _pivots(x, r, high)
+    def walk(x, c, room, line, broke):
+        n, piv = len(x), _pivots(x, r, high)
         starts = piv[1:] + r
         for k, begin in enumerate(starts):
             a, b = piv[k], piv[k + 1]
@@ -353,10 +351,15 @@ def trend_lines(df: DataFrame, r: int = 3, kind: str = "high", buffer: float = 0
             line[begin:end] = at[begin - a - 1 : end - a - 1]
             if len(crossing):
                 broke[end - 1] = True
-        g["line"], g["line_break"] = line, broke
-        return g
 
-    out = df.groupBy(*by).applyInPandas(fold, _fields(df) + ", line double, line_break boolean")
+    def fold(g: pd.DataFrame, firsts: np.ndarray) -> pd.DataFrame:
+        x, c, room = g[kind].to_numpy(), g["close"].to_numpy(), buffer * g["atr14"].to_numpy()
+        line, broke = np.full(len(g), np.nan), np.zeros(len(g), dtype=bool)
+        for a, z in zip(firsts, [*firsts[1:], len(g)]):
+            walk(x[a:z], c[a:z], room[a:z], line[a:z], broke[a:z])
+        return g.assign(line=line, line_break=broke)
+
+    out = fold_keys(df.repartition(*by), by, order, fold, _fields(df) + ", line double, line_break boolean")
     return out.withColumn("line", F.nanvl("line", F.lit(None).cast("double")))
 
 
@@ -367,36 +370,41 @@ def anchor_lines(df: DataFrame, r: int = 3, kind: str = "high", window: int = 12
     high = kind == "high"
     sign = 1.0 if high else -1.0
 
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(order).reset_index(drop=True)
+    def walk(x, c, room, line, broke, touches, span):
+        n, piv = len(x), _pivots(x, r, high)
+        free = np.ones(n, dtype=bool)
+        for a in piv[np.lexsort((piv, -sign * x[piv]))]:  # the most extreme first; it serves the bars none before it did
+            upto = min(n, a + window)
+            best = np.full(upto - a, np.nan)
+            for b in piv[(piv > a) & (piv + r < upto) & (piv <= a + max_span)]:
+                slope = (x[b] - x[a]) / (b - a)
+                if not sign * slope < 0:
+                    continue
+                crossed = sign * (c[a:upto] - (x[a] + slope * (np.arange(a, upto) - a))) > room[a:upto]
+                first = 1 + int(np.argmax(crossed[1:])) if crossed[1:].any() else upto - a
+                at = best[b + r - a : first + 1]  # known from b + r on, until the bar after the first crossing
+                at[np.isnan(at) | (abs(slope) < np.abs(at))] = slope
+            t = a + np.flatnonzero(~np.isnan(best) & free[a:upto])
+            if not len(t):
+                continue
+            best = best[t - a]
+            free[t] = False
+            line[t] = x[a] + best * (t - a)
+            p = piv[(piv >= a) & (piv + r < upto)]
+            near = np.abs(x[p] - (x[a] + best[:, None] * (p - a))) <= room[p]
+            touches[t], span[t] = (near & (p + r <= t[:, None])).sum(axis=1), t - a
+            broke[t] = sign * (c[t] - line[t]) > room[t]
+
+    def fold(g: pd.DataFrame, firsts: np.ndarray) -> pd.DataFrame:
         x, c, room = g[kind].to_numpy(), g["close"].to_numpy(), buffer * g["atr14"].to_numpy()
         n = len(g)
         line, broke = np.full(n, np.nan), np.zeros(n, dtype=bool)
         touches, span = np.zeros(n, dtype=int), np.zeros(n, dtype=int)
-        piv = _pivots(x, r, high)
-        for t in range(n):
-            known = piv[(piv + r <= t) & (piv > t - window)]
-            if len(known) < 2:
-                continue
-            best = None
-            for a in known[np.lexsort((known, -sign * x[known]))]:
-                for b in known[(known > a) & (known <= a + max_span)]:
-                    slope = (x[b] - x[a]) / (b - a)
-                    at = x[a] + slope * (np.arange(a, t) - a)
-                    if sign * slope < 0 and (best is None or abs(slope) < abs(best)) and not (sign * (c[a:t] - at) > room[a:t])[1:].any():
-                        best = slope
-                if best is not None:
-                    break
-            if best is None:
-                continue
-            line[t] = x[a] + best * (t - a)
-            near = np.abs(x[known] - (x[a] + best * (known - a))) <= room[known]
-            touches[t], span[t] = int(near[known >= a].sum()), t - a
-            broke[t] = sign * (c[t] - line[t]) > room[t]
-        g["line"], g["line_break"], g["touches"], g["span"] = line, broke, touches, span
-        return g
+        for a, z in zip(firsts, [*firsts[1:], n]):
+            walk(x[a:z], c[a:z], room[a:z], line[a:z], broke[a:z], touches[a:z], span[a:z])
+        return g.assign(line=line, line_break=broke, touches=touches, span=span)
 
-    out = df.groupBy(*by).applyInPandas(fold, _fields(df) + ", line double, line_break boolean, touches int, span int")
+    out = fold_keys(df.repartition(*by), by, order, fold, _fields(df) + ", line double, line_break boolean, touches int, span int")
     return out.withColumn("line", F.nanvl("line", F.lit(None).cast("double")))
 
 
