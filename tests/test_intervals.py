@@ -57,3 +57,23 @@ def test_a_hot_key_is_many_islands(spark):
 
 def test_nothing_to_select(spark):
     assert intervals.non_overlapping(spark.createDataFrame([], "k string, s long, e long"), "s", "e", ["k"]).count() == 0
+
+
+def test_small_keys_need_no_edges(spark, monkeypatch):
+    from tidemark.operators import intervals
+
+    rows = [(f"k{k}", s, s + (k + s) % 4) for k in range(50) for s in range(0, 40, 1 + k % 3)]
+    want = set()
+    for k in range(50):
+        busy = None
+        for name, s, e in rows:
+            if name == f"k{k}" and (busy is None or s > busy):
+                want.add((name, s, e))
+                busy = e
+
+    def refuse(*_):
+        raise AssertionError("edges of a small key")
+
+    monkeypatch.setattr(intervals, "value_edges", refuse)
+    got = intervals.non_overlapping(spark.createDataFrame(rows, "symbol string, s int, e int"), "s", "e", ["symbol"]).collect()
+    assert {(r.symbol, r.s, r.e) for r in got} == want and len(got) == len(want)

@@ -19,6 +19,8 @@ from tidemark.operators.scale import edge_bucket, null_safe_on, running_max, val
 from tidemark.session import staged
 
 CROWDED = 10_000
+#: A key of at most so many rows is folded whole; it needs no islands and no edges.
+WHOLE = 1_000
 
 
 def with_islands(rows: DataFrame, start: str, end: str, by: Sequence[str]) -> DataFrame:
@@ -65,15 +67,17 @@ def non_overlapping(rows: DataFrame, start: str, end: str, by: Sequence[str], re
     """Take rows in order of (start, end) while the previous taken row has ended (its end is before the
     next start); the others are dropped, or kept with `outcome` set to `refused`."""
     cols = rows.columns
-    keyed = rows.select("*", F.struct(*by).alias("__key"))
-    islands = staged(with_islands(keyed, start, end, ["__key"]))
-    keys = ["__key", "__island"]
-    crowds = staged(islands.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size")).filter(F.col("__size") > crowded).select(*keys))
-    if crowds.limit(1).count():
-        few = islands.join(crowds, keys, "left_anti")
-        marked = _folded(few, keys, cols, start, end).unionByName(_pointed(islands.join(crowds, keys, "left_semi"), keys, cols, start, end))
-    else:
-        marked = _folded(islands, keys, cols, start, end)
+    # The edges and the ranges both read the rows; what leads to them runs once.
+    keyed = staged(rows.select("*", F.struct(*by).alias("__key")))
+    busy = staged(keyed.groupBy("__key").agg(F.count(F.lit(1)).alias("__size")).filter(F.col("__size") > min(WHOLE, crowded)).select("__key"))
+    marked = _folded(keyed.join(busy, "__key", "left_anti"), ["__key"], cols, start, end)
+    if busy.limit(1).count():
+        islands = staged(with_islands(keyed.join(busy, "__key", "left_semi"), start, end, ["__key"]))
+        keys = ["__key", "__island"]
+        crowds = staged(islands.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size")).filter(F.col("__size") > crowded).select(*keys))
+        marked = marked.unionByName(_folded(islands.join(crowds, keys, "left_anti"), keys, cols, start, end))
+        if crowds.limit(1).count():
+            marked = marked.unionByName(_pointed(islands.join(crowds, keys, "left_semi"), keys, cols, start, end))
     if refused is None:
         return marked.filter("__taken").drop("__taken")
     return marked.withColumn("outcome", F.when(F.col("__taken"), F.col("outcome")).otherwise(refused)).drop("__taken")
