@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import joins
 from tidemark.operators import windows as W
+from tidemark.session import staged
 
 
 def asof_daily(left: DataFrame, right: DataFrame, available: str, cols: Sequence[str], on=("symbol",), date: str = "date") -> DataFrame:
@@ -216,28 +218,39 @@ def held_contract(schedule: DataFrame, days: DataFrame) -> DataFrame:
     return out.drop("__one")
 
 
+def with_rolls(held: DataFrame) -> DataFrame:
+    """held with `rolled`: the root's previous row held another contract."""
+    prev = F.lag("contract").over(Window.partitionBy("root").orderBy("date"))
+    return held.withColumn("rolled", F.coalesce(F.col("contract") != prev, F.lit(False)))
+
+
 def held_series(held: DataFrame, prices: DataFrame) -> DataFrame:
     """Raw, change, base, return, roll gap, back-adjusted level and staleness per (root, date).
 
     held: root, date, contract. prices: root, contract, date, close. A missing price carries the
     contract's last one and is counted stale. diff(cont) equals the change earned.
+
+    Both sides are dealt out once, by root: a day's prices are a small array on its held row, and the
+    array of the row before holds the new contract's price on the roll's eve.
     """
-    p = prices.select("root", "contract", "date", F.col("close").alias("px"))
-    h = held.join(p, ["root", "contract", "date"], "left")
-    w = Window.partitionBy("root", "contract").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    h = h.withColumn("raw", F.last("px", ignorenulls=True).over(w)).withColumn("stale", F.col("px").isNull())
+    p = prices.select("root", "date", F.struct("contract", F.col("close").alias("px")).alias("__p"))
+    u = held.withColumn("__held", F.lit(True)).unionByName(p, allowMissingColumns=True).repartition("root")
+    day = F.collect_list("__p").over(Window.partitionBy("root", "date"))
+    h = u.withColumn("__day", F.when(F.col("root").isNotNull() & F.col("date").isNotNull(), day)).filter("__held").drop("__p", "__held")
+    price = lambda rows: F.try_element_at(F.filter(rows, lambda x: x["contract"] == F.col("contract")), F.lit(1))["px"]
     root = Window.partitionBy("root").orderBy("date")
-    prev = h.withColumn("prev_contract", F.lag("contract").over(root)).withColumn("prev_raw", F.lag("raw").over(root)).withColumn("prev_date", F.lag("date").over(root))
     # The new contract's price on the roll's eve gives both the base of the change and the gap.
-    eve = p.select("root", "contract", F.col("date").alias("prev_date"), F.col("px").alias("eve_px"))
-    j = prev.join(eve, ["root", "contract", "prev_date"], "left")
-    rolled = F.coalesce(F.col("contract") != F.col("prev_contract"), F.lit(False))
-    base = F.when(rolled, F.coalesce("eve_px", "raw")).otherwise(F.col("prev_raw"))
-    j = j.withColumn("rolled", rolled).withColumn("base", base).withColumn("change", F.coalesce(F.col("raw") - F.col("base"), F.lit(0.0)))
-    j = j.withColumn("gap", F.when(rolled, F.coalesce(F.col("base") - F.col("prev_raw"), F.lit(0.0))).otherwise(0.0))
-    later = Window.partitionBy("root").orderBy("date").rowsBetween(1, Window.unboundedFollowing)
+    h = with_rolls(h).withColumn("__px", price(F.col("__day"))).withColumn("__eve", F.when(F.col("rolled"), price(F.lag("__day").over(root)))).drop("__day")
+    w = Window.partitionBy("root", "contract").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    j = h.withColumn("raw", F.last("__px", ignorenulls=True).over(w)).withColumn("stale", F.col("__px").isNull())
+    j = j.withColumn("__prev", F.lag("raw").over(root))
+    base = F.when(F.col("rolled"), F.coalesce("__eve", "raw")).otherwise(F.col("__prev"))
+    j = j.withColumn("base", base).withColumn("change", F.coalesce(F.col("raw") - F.col("base"), F.lit(0.0)))
+    j = j.withColumn("gap", F.when(F.col("rolled"), F.coalesce(F.col("base") - F.col("__prev"), F.lit(0.0))).otherwise(0.0))
+    # Read backwards, the later gaps are a running sum.
+    later = Window.partitionBy("root").orderBy(F.desc("date")).rowsBetween(Window.unboundedPreceding, -1)
     j = j.withColumn("cont", F.col("raw") + F.coalesce(F.sum("gap").over(later), F.lit(0.0)))
-    return j.withColumn("ret", F.try_divide("change", F.nullif(F.col("base"), F.lit(0.0)))).drop("px", "prev_contract", "prev_raw", "prev_date", "eve_px")
+    return j.withColumn("ret", F.try_divide("change", F.nullif(F.col("base"), F.lit(0.0)))).drop("__px", "__eve", "__prev")
 
 
 def roll_check(a: DataFrame, b: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -250,10 +263,11 @@ def roll_check(a: DataFrame, b: DataFrame, sessions: DataFrame) -> DataFrame:
 
 
 def roll_volume_share(series: DataFrame, volumes: DataFrame) -> DataFrame:
-    """Held contract's share of its root's volume on roll sessions."""
-    v = volumes.groupBy("root", "date").agg(F.sum("volume").alias("root_volume"))
-    own = series.filter("rolled").join(volumes, ["root", "contract", "date"], "left")
-    return own.join(v, ["root", "date"]).select("root", "date", "contract", F.try_divide(F.coalesce("volume", F.lit(0)), F.col("root_volume")).alias("share"))
+    """Held contract's share of its root's volume on roll sessions. series: root, date, contract, rolled."""
+    rolls = series.filter("rolled").select("root", "date", F.col("contract").alias("__held"))
+    own = F.coalesce(F.sum(F.when(F.col("contract") == F.col("__held"), F.col("volume"))), F.lit(0))
+    v = volumes.join(rolls, ["root", "date"]).groupBy("root", "date", "__held").agg(F.try_divide(own, F.sum("volume")).alias("share"))
+    return v.select("root", "date", F.col("__held").alias("contract"), "share")
 
 
 def roll_legs(series: DataFrame, ahead: int) -> DataFrame:
@@ -272,14 +286,19 @@ def tranche_book(series: DataFrame, signal: str, vol: str, equity: float, target
     Each tranche resets on its own session ordinal modulo `tranches`; sizes are rounded half away
     from zero and carried between resets; the book is the mean of the tranches.
     """
-    roots = series.groupBy("date").agg(F.count(F.when(F.col(signal).isNotNull() & F.col(vol).isNotNull(), 1)).alias("live"))
-    s = series.join(F.broadcast(roots), "date").join(F.broadcast(sessions.select("date", "ordinal")), "date")
-    dollars = F.col("live") * F.col("raw") * F.col(vol) * point_value
-    raw = F.when(F.col(vol) > 0, F.try_divide(F.lit(equity * target) * F.col(signal), F.nullif(dollars, F.lit(0.0))))
-    size = F.signum(raw) * F.floor(F.abs(raw) + 0.5)
-    t = s.withColumn("tranche", F.explode(F.sequence(F.lit(0), F.lit(tranches - 1))))
-    t = t.withColumn("__set", F.when(F.col("ordinal") % tranches == F.col("tranche"), F.coalesce(size, F.lit(0.0))))
-    w = Window.partitionBy("root", "tranche").orderBy("date")
-    t = t.withColumn("size", F.coalesce(F.last("__set", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)))
-    t = t.withColumn("held_size", F.coalesce(F.lag("size").over(w), F.lit(0.0))).withColumn("sides", F.abs(F.col("size") - F.col("held_size")) + F.when(F.col("rolled"), 2 * F.abs("held_size")).otherwise(0.0))
-    return t.groupBy("root", "date").agg((F.sum(F.col("held_size") * F.col("change")) * point_value / tranches).alias("pnl"), (F.sum("sides") / tranches).alias("sides"), (F.sum("size") / tranches).alias("size"))
+    kept = staged(series.select("root", "date", "raw", "change", "rolled", F.col(signal).alias("__signal"), F.col(vol).alias("__vol")))
+    roots = kept.groupBy("date").agg(F.count(F.when(F.col("__signal").isNotNull() & F.col("__vol").isNotNull(), 1)).alias("live"))
+    s = kept.join(F.broadcast(roots), "date").join(F.broadcast(sessions.select("date", "ordinal")), "date")
+    dollars = F.col("live") * F.col("raw") * F.col("__vol") * point_value
+    raw = F.when(F.col("__vol") > 0, F.try_divide(F.lit(equity * target) * F.col("__signal"), F.nullif(dollars, F.lit(0.0))))
+    s = s.withColumn("__set", F.coalesce(F.signum(raw) * F.floor(F.abs(raw) + 0.5), F.lit(0.0)))
+    # One column a tranche: all of a root's tranches are read in one sorted pass.
+    w = Window.partitionBy("root").orderBy("date")
+    each = range(tranches)
+    last = lambda k: F.last(F.when(F.col("ordinal") % tranches == k, F.col("__set")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    t = s.withColumns({f"__now{k}": F.coalesce(last(k), F.lit(0.0)) for k in each})
+    t = t.withColumns({f"__was{k}": F.coalesce(F.lag(f"__now{k}").over(w), F.lit(0.0)) for k in each})
+    now, was = [F.col(f"__now{k}") for k in each], [F.col(f"__was{k}") for k in each]
+    total = lambda cols: reduce(Column.__add__, cols)
+    sides = [F.abs(n - o) + F.when(F.col("rolled"), 2 * F.abs(o)).otherwise(0.0) for n, o in zip(now, was)]
+    return t.select("root", "date", (total([o * F.col("change") for o in was]) * point_value / tranches).alias("pnl"), (total(sides) / tranches).alias("sides"), (total(now) / tranches).alias("size"))

@@ -7,6 +7,7 @@ from tidemark.operators import bars, calendar as K, quality as Q, rollups as G,
 from tidemark.plans.q_bars import order_days
 from tidemark.plans.q_screen import calendar, screen_list, session_closes
 from tidemark.plans.registry import query, view
+from tidemark.session import staged
 
 D = "PARTITION BY symbol ORDER BY date"
 
@@ -84,27 +85,31 @@ view("contracts", """SELECT DISTINCT symbol AS root, symbol || '-' || CAST(year(
 view("rolls", """WITH a AS (SELECT root, contract, expiry, min(ordinal) AS k FROM contracts JOIN calendar_days ON date >= expiry GROUP BY 1, 2, 3) SELECT root, contract, expiry, date AS roll FROM a JOIN calendar_days c ON c.ordinal = a.k - 5""")
 
 
-def contracts(m):
+def root_days(m):
+    """(root, date, close, volume), computed once for all that is read from it."""
+    return staged(m.daily().select(F.col("symbol").alias("root"), "date", "close", "volume"))
+
+
+def contracts(d):
     q = F.year("date") * 10 + F.quarter("date")
-    return m.daily().select(F.col("symbol").alias("root"), F.concat_ws("-", "symbol", q.cast("string")).alias("contract"), F.add_months(F.trunc("date", "quarter"), 3).alias("expiry")).distinct()
+    return d.select("root", F.concat_ws("-", "root", q.cast("string")).alias("contract"), F.add_months(F.trunc("date", "quarter"), 3).alias("expiry")).distinct()
 
 
 @query("contract_definitions", "2.1.5 2.10.7", "SELECT root, contract, @D(expiry) AS expiry, @D(roll) AS roll FROM rolls")
 def _(m):
-    return Y.roll_schedule(contracts(m), calendar(m))
+    return Y.roll_schedule(contracts(m.daily().select(F.col("symbol").alias("root"), "date")), calendar(m))
 
 
 view("held", """SELECT d.symbol AS root, d.date, r.contract FROM (SELECT DISTINCT symbol, date FROM daily) d ASOF JOIN rolls r ON d.symbol = r.root AND d.date < r.roll""")
 
 
-def held(m):
-    days = m.daily().select(F.col("symbol").alias("root"), "date")
-    return Y.held_contract(Y.roll_schedule(contracts(m), calendar(m)), days).filter("contract is not null").drop("until")
+def held(m, d):
+    return Y.held_contract(Y.roll_schedule(contracts(d), calendar(m)), d.select("root", "date")).filter("contract is not null").drop("until")
 
 
 @query("held_contract", "2.10.8", "SELECT root, @D(date) AS date, contract FROM held")
 def _(m):
-    return held(m)
+    return held(m, root_days(m).select("root", "date"))
 
 
 # The next quarter's contract trades one percent above the front one per quarter of distance.
@@ -112,13 +117,17 @@ view("contract_px", """SELECT d.symbol AS root, c.contract, d.date, d.close * (1
  FROM daily d JOIN contracts c ON c.root = d.symbol AND d.date < c.expiry AND year(c.expiry) * 4 + quarter(c.expiry) - year(d.date) * 4 - quarter(d.date) <= 2 WHERE d.volume % 17 <> 0""")
 
 
-def contract_px(m):
-    d = m.daily().filter("volume % 17 <> 0").withColumnRenamed("symbol", "root")
+def contract_px(d):
     quarter = lambda d: F.year(d) * 4 + F.quarter(d)
-    # A day has prices of the contracts that expire in its quarter and the next two.
-    d = d.withColumn("ahead", F.explode(F.array(*map(F.lit, range(3))))).withColumn("expires", quarter("date") + F.col("ahead"))
-    j = d.join(contracts(m).withColumn("expires", quarter("expiry")), ["root", "expires"]).filter(F.col("date") < F.col("expiry"))
-    return j.select("root", "contract", "date", (F.col("close") * (1 + 0.01 * F.col("ahead"))).alias("close"), F.floor(F.col("volume") / (1 + F.col("ahead"))).alias("volume"))
+    # The contract of a quarter expires as the next one begins, so a day has prices of its own quarter's
+    # contract and, if its root trades in the next quarter too, of that one's; both by one pass a root.
+    q = quarter("date")
+    next_one = F.count(F.lit(1)).over(Window.partitionBy("root").orderBy("__q").rangeBetween(1, 1)) > 0
+    d = d.withColumn("__q", q).withColumn("ahead", F.when(next_one, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    d = d.filter("volume % 17 <> 0").withColumn("ahead", F.explode("ahead"))
+    of = F.add_months("date", 3 * (F.col("ahead") - 1))
+    name = F.concat_ws("-", "root", (F.year(of) * 10 + F.quarter(of)).cast("string"))
+    return d.select("root", name.alias("contract"), "date", (F.col("close") * (1 + 0.01 * F.col("ahead"))).alias("close"), F.floor(F.col("volume") / (1 + F.col("ahead"))).alias("volume"))
 
 
 view("held_series", """WITH h AS (SELECT h.*, p.close AS px FROM held h LEFT JOIN contract_px p USING (root, contract, date)), r AS (SELECT *, last_value(px IGNORE NULLS) OVER (PARTITION BY root, contract ORDER BY date ROWS UNBOUNDED PRECEDING) AS raw FROM h),
@@ -129,7 +138,8 @@ view("held_series", """WITH h AS (SELECT h.*, p.close AS px FROM held h LEFT JOI
 
 
 def held_rows(m):
-    return Y.held_series(held(m), contract_px(m))
+    d = root_days(m)
+    return Y.held_series(held(m, d), contract_px(d))
 
 
 @query("held_series", "2.10.9 2.20.96", """
@@ -143,7 +153,7 @@ WITH b AS (SELECT root, contract, min(k.ordinal) AS kb FROM (SELECT root, contra
 SELECT root, count(*) AS rolls, count(*) FILTER (abs(ka - kb) > 1) AS off, @R(avg(CAST(abs(ka - kb) > 1 AS INT))) AS share_off FROM a JOIN b USING (root, contract) GROUP BY 1""")
 def _(m):
     cal = calendar(m)
-    c = contracts(m)
+    c = contracts(m.daily().select(F.col("symbol").alias("root"), "date"))
     other = Y.roll_schedule(c.withColumn("expiry", F.date_sub("expiry", 7)), cal, 0)
     return Y.roll_check(Y.roll_schedule(c, cal), other, cal)
 
@@ -151,14 +161,15 @@ def _(m):
 @query("roll_volume_share", "2.10.11", """
 WITH v AS (SELECT root, date, sum(volume) AS rv FROM contract_px GROUP BY 1, 2) SELECT s.root, @D(s.date) AS date, s.contract, @R(coalesce(p.volume, 0) / nullif(rv, 0)) AS share FROM held_series s JOIN v ON v.root = s.root AND v.date = s.date LEFT JOIN contract_px p ON p.root = s.root AND p.date = s.date AND p.contract = s.contract WHERE s.rolled""")
 def _(m):
-    return Y.roll_volume_share(held_rows(m), contract_px(m).drop("close"))
+    d = root_days(m)
+    return Y.roll_volume_share(Y.with_rolls(held(m, d)), contract_px(d).drop("close"))
 
 
 @query("roll_legs", "2.10.12", """
 WITH c AS (SELECT root, date, sum(CAST(rolled AS INT)) OVER (PARTITION BY root ORDER BY date) AS n FROM held_series), x AS (SELECT root, date, lead(date, 40) OVER w AS exit_date, lead(n, 40) OVER w - n AS legs FROM c WINDOW w AS (PARTITION BY root ORDER BY date))
 SELECT root, @D(date) AS entry_date, @D(exit_date) AS exit_date, @I(legs) AS roll_legs FROM x WHERE exit_date IS NOT NULL""")
 def _(m):
-    return Y.roll_legs(held_rows(m), 40)
+    return Y.roll_legs(Y.with_rolls(held(m, root_days(m).select("root", "date"))), 40)
 
 
 view("trend_inputs", """WITH s AS (SELECT *, sign(cont - lag(cont, 60) OVER (PARTITION BY root ORDER BY date)) AS sg, CASE WHEN count(ret) OVER w = 30 THEN stddev_pop(ret) OVER w * sqrt(252) END AS vol FROM held_series WINDOW w AS (PARTITION BY root ORDER BY date ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)) SELECT * FROM s""")
