@@ -6,12 +6,19 @@ time. Here Spark deals the keys out and sorts them; a task streams its rows and
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
+# Executors get these functions with the job, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Rows gathered before they are folded; a task holds these, a batch and the rows of one key.
 CHUNK = 50_000
 
@@ -50,3 +57,60 @@ def fold_keys(df: DataFrame, by: Sequence[str], order: str, fold: Callable[[pd.D
             yield fold(g, key_starts(g, by))
 
     return df.sortWithinPartitions(*by, order).mapInPandas(run, schema)
+
+
+def trailing_columns(df: DataFrame, by: Sequence[str], order: str, cols: Sequence[str], fold: Callable[[list[np.ndarray], np.ndarray], list[pa.Array]], added: str, chunk: int = CHUNK) -> DataFrame:
+    """df with the columns `added`, from the rows before each in its key.
+
+    fold(cols, at) gets whole keys, sorted by key and order: doubles with NaN for null, and each row's
+    place in its key from 0. It may compare a row with the rows before it as whole arrays. All
+    columns of df pass through untouched.
+    """
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    names = [f.split()[0] for f in added.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(t: pa.Table, new: np.ndarray) -> Iterator[pa.RecordBatch]:
+            begins = np.flatnonzero(new)
+            at = np.arange(len(t)) - np.repeat(begins, np.diff(np.append(begins, len(t))))
+            doubles = [pc.cast(t.column(c).combine_chunks(), pa.float64()).to_numpy(zero_copy_only=False) for c in cols]
+            for name, values in zip(names, fold(doubles, at)):
+                t = t.append_column(name, values)
+            yield from t.to_batches(max_chunksize=10_000)
+
+        def begins_key(t: pa.Table) -> np.ndarray:
+            new = np.zeros(len(t), dtype=bool)
+            new[:1] = True
+            for c in by:
+                x = t.column(c).combine_chunks()
+                a, b = x.slice(1), x.slice(0, len(t) - 1)
+                same = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(a.is_null(), b.is_null()))
+                new[1:] |= ~same.to_numpy(zero_copy_only=False)
+            return new
+
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size < chunk:
+                continue
+            t = pa.Table.from_batches(held).combine_chunks()
+            new = begins_key(t)
+            last = int(np.flatnonzero(new)[-1])
+            if last:
+                yield from done(t.slice(0, last), new[:last])
+            # What is left is one key, not yet known to be whole.
+            held, size = t.slice(last).to_batches(), len(t) - last
+        if size:
+            t = pa.Table.from_batches(held).combine_chunks()
+            yield from done(t, begins_key(t))
+
+    return df.repartition(*by).sortWithinPartitions(*by, order).mapInArrow(run, f"{fields}, {added}")
+
+
+def before(x: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """The value n rows before each row of its key, NaN where there is none."""
+    out = np.full(len(x), np.nan)
+    if n < len(x):
+        out[n:] = np.where(at[n:] >= n, x[: len(x) - n], np.nan)
+    return out

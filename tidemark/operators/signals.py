@@ -7,11 +7,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import windows as W
-from tidemark.operators.folds import fold_keys
+from tidemark.operators.folds import before, fold_keys, trailing_columns
 from tidemark.operators.intervals import non_overlapping
 
 UP, FLAT, DOWN = 1, 0, -1
@@ -168,15 +169,20 @@ def impulse_dips(df: DataFrame, lookback: int = 20, impulse: float = 0.10, dip:
     """A close well under the peak of the last bars while most of the impulse is kept, once per peak.
 
     The peak is the first highest high of the previous `lookback` bars; the base the lowest low from
-    the frame's start to the peak, read from a small array of the frame.
+    the frame's start to the peak. The frame is walked one place at a time for all bars of a task.
     """
-    w = W.frame(by, order, -lookback, -1)
-    df = df.withColumn("__i", F.row_number().over(Window.partitionBy(*by).orderBy(order)))
-    df = df.withColumn("__f", F.collect_list(F.struct(F.col("__i").alias("i"), F.col("high").alias("h"), F.col("low").alias("l"))).over(w))
-    peak = F.max("high").over(w)
-    df = df.withColumn("peak", peak)
-    df = df.withColumn("peak_i", F.array_min(F.transform(F.filter("__f", lambda x: x["h"] == F.col("peak")), lambda x: x["i"])))
-    df = df.withColumn("base", F.array_min(F.transform(F.filter("__f", lambda x: x["i"] <= F.col("peak_i")), lambda x: x["l"])))
+
+    def fold(cols: list[np.ndarray], at: np.ndarray) -> list[pa.Array]:
+        high, low = cols
+        peak, base, first, least = (np.full(len(at), np.nan) for _ in range(4))
+        for n in range(lookback, 0, -1):
+            h = before(high, at, n)
+            least = np.fmin(least, before(low, at, n))
+            up = (h > peak) | (np.isnan(peak) & ~np.isnan(h))
+            peak, base, first = np.where(up, h, peak), np.where(up, least, base), np.where(up, at + 1 - n, first)
+        return [pa.array(at + 1, pa.int32()), pa.array(peak, from_pandas=True), pa.array(first, pa.float64(), from_pandas=True).cast(pa.int32()), pa.array(base, from_pandas=True)]
+
+    df = trailing_columns(df, by, order, ["high", "low"], fold, "__i int, peak double, peak_i int, base double")
     c = F.col("close")
     ok = (
         (F.col("base") > 0) & (F.col("peak") > F.col("base"))
@@ -184,7 +190,7 @@ def impulse_dips(df: DataFrame, lookback: int = 20, impulse: float = 0.10, dip:
         & (F.try_divide(F.col("peak") - c, F.col("peak")) >= dip)
         & (F.try_divide(c - F.col("base"), F.col("peak") - F.col("base")) >= hold)
     )
-    hits = df.drop("__f").filter(ok)
+    hits = df.filter(ok)
     prev = F.lag("peak_i").over(Window.partitionBy(*by).orderBy(order))
     hits = hits.withColumn("__prev", prev).filter(F.col("__prev").isNull() | (F.col("__prev") != F.col("peak_i")))
     return hits.drop("__prev").withColumn(
@@ -458,27 +464,33 @@ def forward_runs(df: DataFrame, rise: float = 0.10, dip: float = 0.05, n: int =
 
 def prior_spikes(df: DataFrame, lookback: int = 60, quiet: int = 5, spike: float = 0.5, need: int = 10, high=0.5, low=0.25, by=W.DAY, order="date") -> DataFrame:
     """Largest rise over a running minimum in the `lookback` bars ending `quiet` bars before each
-    row (itself excluded), the share kept at the window's end, and its label."""
-    w = W.frame(by, order, -(lookback + quiet), -(quiet + 1))
-    df = df.withColumn("__h", F.collect_list("close").over(w))
-    start = F.struct(F.element_at("__h", 1).alias("lo"), F.lit(0.0).alias("gain"), F.lit(0.0).alias("peak"), F.lit(0.0).alias("base"))
-
-    def step(acc, x):
-        gain = F.coalesce(F.try_divide(x - acc["lo"], acc["lo"]), F.lit(0.0))
-        better = gain > acc["gain"]
-        return F.struct(F.least(acc["lo"], x).alias("lo"), F.when(better, gain).otherwise(acc["gain"]).alias("gain"),
-                        F.when(better, x).otherwise(acc["peak"]).alias("peak"), F.when(better, acc["lo"]).otherwise(acc["base"]).alias("base"))
-
-    df = df.withColumn("__s", F.when(F.size("__h") > 0, F.aggregate("__h", start, step)))
-    gain = F.when(F.col("__s.gain") >= spike, F.col("__s.gain"))
-    kept = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(
-        F.element_at("__h", -1) - F.col("__s.base"), F.col("__s.peak") - F.col("__s.base"))))
+    row (itself excluded), the share kept at the window's end, and its label. The window is walked
+    one place at a time for all bars of a task."""
+
+    def fold(cols: list[np.ndarray], at: np.ndarray) -> list[pa.Array]:
+        close = cols[0]
+        least, last = (np.full(len(at), np.nan) for _ in range(2))
+        best, peak, base = (np.zeros(len(at)) for _ in range(3))
+        seen = np.zeros(len(at), dtype=np.int32)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for n in range(lookback + quiet, quiet, -1):
+                x = before(close, at, n)
+                gain = np.where(least != 0, (x - least) / least, 0.0)
+                up = gain > best
+                best, peak, base = np.where(up, gain, best), np.where(up, x, peak), np.where(up, least, base)
+                there = ~np.isnan(x)
+                least, last, seen = np.fmin(least, x), np.where(there, x, last), seen + there
+        return [pa.array(a, from_pandas=True) for a in (best, peak, base, last)] + [pa.array(seen, pa.int32())]
+
+    df = trailing_columns(df, by, order, ["close"], fold, "__gain double, __peak double, __base double, __last double, __n int")
+    gain = F.when((F.col("__n") > 0) & (F.col("__gain") >= spike), F.col("__gain"))
+    kept = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(F.col("__last") - F.col("__base"), F.col("__peak") - F.col("__base"))))
     df = df.withColumn("run_pct", gain).withColumn("retained", F.when(gain.isNotNull(), kept))
     label = (
-        F.when(F.size("__h") < need, "too new to judge").when(F.col("run_pct").isNull(), "no prior spike")
+        F.when(F.col("__n") < need, "too new to judge").when(F.col("run_pct").isNull(), "no prior spike")
         .when(F.col("retained") >= high, "former runner").when(F.col("retained") < low, "pump and dump").otherwise("partial hold")
     )
-    return df.withColumn("history", label).drop("__h", "__s")
+    return df.withColumn("history", label).drop("__gain", "__peak", "__base", "__last", "__n")
 
 
 def veto_tags(daily: DataFrame, gap: float = 30.0, volume: float = 60, block: float = 50_000.0, band: float = 0.1, lookback: int = 20,
