@@ -10,6 +10,7 @@ from tidemark.operators import rules
 from tidemark.operators import screen as S
 from tidemark.plans.q_screen import CFG, screen_list, session_closes
 from tidemark.plans.registry import TABLES, query, view
+from tidemark.session import staged
 from tidemark.sources import readers
 from tidemark.sources.schemas import EXECUTION_REPORT
 from tidemark.sources.store import Store, report_refusals, write_report
@@ -416,7 +417,8 @@ SELECT 'A' AS dataset, count(*) AS n, count(DISTINCT date) AS days, @R(sum(CASE
 UNION ALL SELECT 'B', count(*), count(DISTINCT date), @R(sum(close)) FROM daily WHERE volume % 3 = 0""", digits=3)
 def _(m):
     store = Store(m.spark, J.shared_folder(m.spark))
-    d = m.daily().select("symbol", F.col("date").alias("session_date"), "open", "high", "low", "close", "volume")
+    # Each load reads its rows several times.
+    d = staged(m.daily().select("symbol", F.col("date").alias("session_date"), "open", "high", "low", "close", "volume"))
     store.load("bar_daily", d.withColumn("dataset", F.lit("A")), "bars", "/x/a.csv", "2024-01-02 00:00:00")
     store.load("bar_daily", d.filter("volume % 3 = 0").withColumn("dataset", F.lit("B")), "bars", "/x/b.csv", "2024-01-02 00:00:00")
     # A second load of half the keys replaces those rows and leaves the others and the other dataset.

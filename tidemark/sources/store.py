@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.sources.schemas import TABLES
@@ -48,14 +48,18 @@ class Store:
         t = TABLES[name]
         rows = self.conform(name, df)
         held = None if t.replaces == (t.partition,) else self.held(name)
+        spread = [k for k in (t.partition, *[k for k in t.key if k != t.partition][:1]) if k]
         if held is not None:
             kept = held.join(rows.select(t.partition).distinct(), t.partition, "left_semi") if t.partition else held
-            kept = kept.join(rows.select(*t.replaces).distinct(), list(t.replaces), "left_anti")
+            # One shuffle deals out stored and new rows; a key with new rows keeps only those.
+            both = kept.select(*rows.columns, F.lit(0).alias("__new")).unionByName(rows.withColumn("__new", F.lit(1)))
+            both = both.repartition(*([k for k in spread if k in t.replaces] or t.replaces))
+            both = both.withColumn("__last", F.max("__new").over(Window.partitionBy(*t.replaces))).filter("__new = __last")
             staged = f"{self.root}/_staging/{name}-{uuid.uuid4().hex}"
-            kept.select(*rows.columns).unionByName(rows).write.parquet(staged)
+            both.select(*rows.columns).write.parquet(staged)
             rows = self.spark.read.schema(t.schema).parquet(staged)
-        if t.partition:
-            rows = rows.repartition(t.partition, *[k for k in t.key if k != t.partition][:1])
+        elif t.partition:
+            rows = rows.repartition(*spread)
         w = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         (w.partitionBy(t.partition) if t.partition else w).parquet(self.path(name))
 
