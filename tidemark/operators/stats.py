@@ -233,17 +233,18 @@ def quantile_buckets(df: DataFrame, value: str, q: int, outcome: str, by: Sequen
     Works on (value, count, sum, wins): equal values are one row, so an edge inside a run shows as a
     value whose ranks meet two buckets.
     """
-    c = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(outcome).alias("s"), F.count(F.when(F.col(outcome) > 0, 1)).alias("w"))
+    c = staged(df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(outcome).alias("s"), F.count(F.when(F.col(outcome) > 0, 1)).alias("w")))
     r = cumulative_counts(c, by, value, ["n"])
     size = c.groupBy(*by).agg(F.sum("n").alias("__size"))
     r = r.join(size, list(by)) if by else r.join(F.broadcast(size), how="cross")
     bucket = lambda rank: F.floor(((rank + 1) * q - 1) / F.col("__size")).cast("int")
     r = r.withColumn("bucket", bucket(F.col("n_below"))).withColumn("__last", bucket(F.col("n_below") + F.col("n") - 1))
-    out = r.groupBy(*by, "bucket").agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.sum("n").alias("n"), (F.sum("s") / F.sum("n")).alias("mean"), (F.sum("w") / F.sum("n")).alias("win"))
-    ok = r.groupBy(*by).agg((F.max(F.col("__last") - F.col("bucket")) == 0).alias("__clean"), (F.max("__size") >= 5 * q).alias("__enough"))
-    out = out.join(ok, list(by)) if by else out.join(F.broadcast(ok), how="cross")
-    return out.filter("__clean and __enough").drop("__clean", "__enough")
+    out = r.groupBy(*by, "bucket").agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.sum("n").alias("n"), (F.sum("s") / F.sum("n")).alias("mean"), (F.sum("w") / F.sum("n")).alias("win"),
+                                       F.max(F.col("__last") - F.col("bucket")).alias("__split"), F.max("__size").alias("__size"))
+    # A group has at most q buckets, so what holds of its ranks is read from them.
+    out = out.withColumn("__split", F.max("__split").over(Window.partitionBy(*by)))
+    return out.filter((F.col("__split") == 0) & (F.col("__size") >= 5 * q)).drop("__split", "__size")
 
 
 def direction(buckets: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -436,7 +437,8 @@ def classifier_report(rows: DataFrame, features: Sequence[str], label: str, key:
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
 
     digest = F.md5(F.col(key).cast("string"))
-    marked = rows.withColumn("__d", digest).withColumn("__out", F.conv(F.substring("__d", 1, 4), 16, 10).cast("int") % 3 == 0)
+    # Written once: the fits and the scores read the features many times.
+    marked = staged(rows.select(key, label, *features)).withColumn("__d", digest).withColumn("__out", F.conv(F.substring("__d", 1, 4), 16, 10).cast("int") % 3 == 0)
     train = marked.filter("NOT __out").orderBy("__d", key).limit(limit).select(*features, label).cache()
     held = marked.filter("__out").select(*features, label)
     score = BinaryClassificationEvaluator(labelCol=label)
