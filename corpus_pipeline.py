@@ -26,7 +26,7 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies (five-word shingles, resemblance 0.8 or more): the one with the smallest id, of equals the first; a null id comes last."""
+    """One row of each group of near copies (SimHash of five-word shingles finds them, resemblance 0.8 or more decides): the one with the smallest id, of equals the first; a null id comes last."""
     rows = numbered(docs)
     classes = written(resemblance.near_classes(rows.select("rid", "text")).join(rows.select("rid", "id"), "rid"), "classes")
     lead = F.coalesce(F.min(F.when(F.col("id").isNotNull(), F.col("rid"))), F.min("rid"))
