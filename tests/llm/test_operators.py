@@ -13,7 +13,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidemark.llm import anchors, exact_dedup, fm_index, hamming_search, license_scan, packing, quality, sentence_pieces, simhash, suffix, url_filter
+from tidemark.llm import anchors, exact_dedup, fm_index, hamming_search, license_scan, packing, quality, queries, sentence_pieces, simhash, suffix, url_filter
 
 DOCS = "doc_id bigint, text string, lang string, id string, rid string, key string"
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -218,6 +218,23 @@ def test_repeated_words(spark, rows):
     assert collected(got.drop("n_repeated_words")) == passages_brute(some)
 
 
+def test_query_tells_passages_of_over_50_words(spark, tmp_path):
+    """The query counts words of passages that are too short for 400 bytes, in near copies too; the columns of bytes leave them alone."""
+    rng = random.Random(17)
+    short = lambda n: [rng.choice("abcdefghij") + str(rng.randrange(100)) for _ in range(n)]
+    passages = {n: short(n) for n in (50, 51, 58, 65)}
+    texts = [" ".join(short(20) + p + short(20)) for p in passages.values() for _ in range(2)] + [" ".join(short(80)) for _ in range(5)]
+    near = short(90)
+    texts += [" ".join([*near[:k], f"x{k}", *near[k + 1 :]]) for k in range(90)] + [None, "", texts[0]]
+    rows = list(enumerate(texts))
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op6_suffix_array_dedup(spark, str(tmp_path))
+    assert sorted((r.doc_id, r.n_repeated_words) for r in got.collect()) == repeated_words_brute(rows)
+    assert collected(got.drop("n_repeated_words")) == passages_brute(rows)
+    words_of = {r.doc_id: (r.n_repeated_words, r.n_removed) for r in got.collect()}
+    assert [words_of[k] for k in range(1, 13)] == [(0, 0)] + [(n, 0) for n in (51, 51, 58, 58, 65, 65)] + [(0, 0)] * 5
+
+
 def test_crowded_anchor(docs, rows, monkeypatch):
     monkeypatch.setattr(suffix, "CLASS_ROWS", 2)
     assert collected(suffix.repeated_passages(docs)) == passages_brute(rows)

@@ -14,7 +14,7 @@ has to meet. A segment is a run of string starts that share an anchor, with the
    recurses on their names until they differ, merges the suffixes at
    positions 0 modulo 3, and compares the prefixes of neighbours, byte by byte.
 5. An anchor with more distinct segments than CLASS_ROWS is not sorted in one shard; its strings are
-   counted by digest in an ordinary aggregate instead.
+   counted by digest in a window instead. repeated_words counts all its strings so.
 
 The elements of a text are its bytes, or its words (Reading): then LENGTH and all positions count words, and
 contents are words joined by blanks, numbered within a shard before it is sorted.
@@ -30,12 +30,13 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.anchors import list_column, packed_cuts, segments, unpacked, word_values
@@ -46,6 +47,7 @@ ships(__name__)
 LENGTH, GRAM = 400, 128
 SHARD_BYTES = 400_000
 CLASS_ROWS = 1024
+STRING_ROWS = 16384
 
 
 def byte_values() -> np.ndarray:
@@ -91,7 +93,7 @@ def _parse(reading: Reading) -> Callable:
 OCCURRENCES = "rid bigint, cut bigint, key bigint, seg binary"
 CONTENTS = "key bigint, seg binary, met bigint, cut bigint, content binary"
 RUNS = "key bigint, seg binary, low bigint, high bigint"
-STRINGS = "key bigint, seg binary, met bigint, low bigint, string binary"
+STRINGS = "string binary, met bigint, rid bigint, low bigint"
 CUT = "rid bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
 PARSED = "rid bigint, id bigint, n_bytes bigint, n bigint, sha string, cuts array<bigint>, keys array<bigint>"
 
@@ -221,12 +223,23 @@ def _shard(reading: Reading) -> Callable:
 
 
 def _strings(reading: Reading) -> Callable:
+    """Rows (rid, text, segments): the digest of each string that starts in one of the segments."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
         for batch in batches:
-            for key, seg, met, cut, content in zip(*(c.to_pylist() for c in batch.columns)):
-                elements = reading.elements(content)
-                starts = range(unpacked(cut)[1])
-                yield record([(key, seg, met, k, xxhash.xxh3_128_digest(reading.content(elements[k : k + reading.length]))) for k in starts], STRINGS)
+            for rid, text, cuts in zip(*(c.to_pylist() for c in batch.columns)):
+                elements = reading.elements(text)
+                plain, gap = reading.content(elements), int(reading.words)
+                at = [0, *accumulate(len(w) + 1 for w in elements)] if reading.words else range(len(text) + 1)
+                for c in cuts:
+                    start, count, _ = unpacked(c["cut"])
+                    rows += [(xxhash.xxh3_128_digest(plain[at[k] : at[k + reading.length] - gap]), c["met"], rid, k) for k in range(start, start + count)]
+                    if len(rows) >= STRING_ROWS:
+                        yield record(rows, STRINGS)
+                        rows = []
+        if rows:
+            yield record(rows, STRINGS)
 
     return run
 
@@ -261,14 +274,19 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield record(rows, CUT)
 
 
-def _repeats(rows: DataFrame, reading: Reading) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """parsed: a row per row; flags: (rid, copied); fetched: (rid, text, ...) of the suspects; spans: (rid, low, high) of repeats, in elements."""
+def _repeats(rows: DataFrame, reading: Reading, sort: bool = True, flags: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """parsed: a row per row; flags: (rid, leads, copied) of copies; fetched: (rid, text, ...) of the suspects; spans: (rid, low, high) of repeats, in elements.
+
+    Without sort all anchors are counted by the digests of their strings. flags can be given from another reading.
+    """
     arrow_rows(rows.sparkSession, 256)
     parsed = written(rows.select("rid", "id", F.col("text").cast("binary")).mapInArrow(_parse(reading), PARSED), "parsed")
-    texts = parsed.groupBy("sha", "n_bytes").agg(F.min("rid").alias("lead"), F.count("*").alias("copies")).where("copies > 1")
-    # Hot values are joined as written tables, whose rows adaptive execution can split.
-    texts = written(texts, "texts")
-    flags = written(parsed.select("rid", "sha", "n_bytes").join(texts, ["sha", "n_bytes"]).select("rid", (F.col("rid") == F.col("lead")).alias("leads")), "copies")
+    if flags is None:
+        texts = parsed.groupBy("sha", "n_bytes").agg(F.min("rid").alias("lead"), F.count("*").alias("copies")).where("copies > 1")
+        # Hot values are joined as written tables, whose rows adaptive execution can split.
+        texts = written(texts, "texts")
+        flags = parsed.select("rid", "sha", "n_bytes").join(texts, ["sha", "n_bytes"]).select("rid", (F.col("rid") == F.col("lead")).alias("leads"), F.lit(True).alias("copied"))
+        flags = written(flags, "copies")
     every = parsed.select("rid", "sha", F.explode(F.arrays_zip("cuts", "keys")).alias("a")).select("rid", "sha", F.col("a.cuts").alias("cut"), F.col("a.keys").alias("key"))
     # An anchor that stands in one text only, at one place, is no repeat, however many copies the text has.
     place = F.xxhash64("sha", "cut")
@@ -280,22 +298,24 @@ def _repeats(rows: DataFrame, reading: Reading) -> tuple[DataFrame, DataFrame, D
     kinds = written(places.groupBy("key", "seg").agg(F.count("*").alias("met"), F.min(F.struct("rid", "cut")).alias("at")), "segments")
     whole = kinds.where("met > 1").select("key", "seg", F.lit(0).cast("bigint").alias("low"), F.expr("shiftright(at.cut, 10) & 1023").alias("high"))
     mixed = kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.min("met").alias("least")).where("kinds > 1 AND least = 1").select("key", "kinds")
-    wanted = kinds.join(written(mixed, "mixed"), "key").groupBy(F.col("at.rid").alias("rid"), (F.col("kinds") > CLASS_ROWS).alias("crowded")).agg(F.collect_list(F.struct("at.cut", "key", "seg", "met")).alias("cuts"))
+    wanted = kinds.join(written(mixed, "mixed"), "key").groupBy(F.col("at.rid").alias("rid"), (F.col("kinds") > (CLASS_ROWS if sort else 0)).alias("crowded")).agg(F.collect_list(F.struct("at.cut", "key", "seg", "met")).alias("cuts"))
     wanted = written(wanted, "wanted")
 
-    def contents(crowded: bool) -> DataFrame:
-        some = wanted.where(F.col("crowded") == crowded).select("rid", "cuts")
-        return fetched.select("rid", "text").join(some, "rid").mapInArrow(_contents(reading), CONTENTS)
+    def listed(crowded: bool) -> DataFrame:
+        return fetched.select("rid", "text").join(wanted.where(F.col("crowded") == crowded).select("rid", "cuts"), "rid")
 
-    runs = contents(False).repartition("key").sortWithinPartitions("key").mapInArrow(_shard(reading), RUNS)
-    if wanted.where("crowded").limit(1).count():
-        strings = contents(True).repartition("key", "seg").mapInArrow(_strings(reading), STRINGS)
-        again = strings.groupBy("key", "string").agg(F.count("*").alias("n")).where("n > 1").select("key", "string")
-        runs = runs.union(strings.where("met = 1").join(again, ["key", "string"]).select("key", "seg", "low", F.expr("low + 1").alias("high")))
-    runs = written(whole.union(runs), "runs")
+    runs = whole
+    if sort:
+        contents = listed(False).mapInArrow(_contents(reading), CONTENTS)
+        runs = whole.union(contents.repartition("key").sortWithinPartitions("key").mapInArrow(_shard(reading), RUNS))
     start = F.shiftright("cut", 20)
-    spans = places.join(runs, ["key", "seg"]).select("rid", (start + F.col("low")).alias("low"), (start + F.col("high") + reading.length - 1).alias("high"))
-    return parsed.select("rid", "id", "n_bytes", "n", "sha"), flags.select("rid", F.lit(True).alias("copied")), fetched.select("rid", "text"), spans
+    spans = places.join(written(runs, "runs"), ["key", "seg"]).select("rid", (start + F.col("low")).alias("low"), (start + F.col("high") + reading.length - 1).alias("high"))
+    if wanted.where("crowded").limit(1).count():
+        strings = listed(True).mapInArrow(_strings(reading), STRINGS)
+        # A segment met once stands at one place only, so its strings need no look-up by segment.
+        again = strings.withColumn("n", F.count("*").over(Window.partitionBy("string"))).where("n > 1 AND met = 1")
+        spans = spans.union(again.select("rid", "low", (F.col("low") + reading.length).alias("high")))
+    return parsed.select("rid", "id", "n_bytes", "n", "sha"), flags, fetched.select("rid", "text"), spans
 
 
 def _listed(spans: DataFrame) -> DataFrame:
@@ -315,9 +335,9 @@ def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield record(rows, "rid bigint, covered bigint")
 
 
-def repeated_words(rows: DataFrame, reading: Reading = WORDS) -> DataFrame:
+def repeated_words(rows: DataFrame, reading: Reading = WORDS, flags: DataFrame | None = None) -> DataFrame:
     """(rid, covered) of rows (rid, id, text): the words of each text that a repeat of the reading covers; texts without any are left out."""
-    parsed, flags, _, spans = _repeats(rows, reading)
+    parsed, flags, _, spans = _repeats(rows, reading, False, flags)
     whole = parsed.where(F.col("n") >= reading.length).join(flags, "rid").select("rid", F.col("n").cast("bigint").alias("covered"))
     part = _listed(spans).mapInArrow(_covered, "rid bigint, covered bigint")
     return whole.union(part).groupBy("rid").agg(F.max("covered").alias("covered"))
@@ -330,23 +350,24 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     elsewhere, which may be shorter than LENGTH bytes.
     """
     rows = row_ids(docs, id_col, text_col)
-    found = _by_bytes(rows)
+    found, flags = _by_bytes(rows)
     if words:
-        more = written(repeated_words(rows, words), "words")
+        more = written(repeated_words(rows, words, flags), "words")
         found = found.join(more, "rid", "left").withColumn("n_repeated_words", F.coalesce("covered", F.lit(0)).cast("bigint")).drop("covered")
     return found.drop("rid").withColumnRenamed("id", id_col)
 
 
-def _by_bytes(rows: DataFrame) -> DataFrame:
+def _by_bytes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     parsed, flags, fetched, spans = _repeats(rows, BYTES)
     cuts = fetched.join(_listed(spans), "rid").mapInArrow(_cut, CUT)
     gone = F.coalesce(F.col("copied") & (F.col("n_bytes") >= LENGTH), F.lit(False))
-    both = parsed.join(flags, "rid", "left").join(cuts.drop("kept"), "rid", "left")
-    return both.select(
+    both = parsed.join(flags.drop("leads"), "rid", "left").join(cuts.drop("kept"), "rid", "left")
+    found = both.select(
         "rid", "id", "n_bytes", F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("bigint").alias("n_removed"),
         F.when(gone, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("bigint").alias("n_spans"),
         F.when(gone, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
     )
+    return found, flags
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", readings: tuple[Reading, ...] = (BYTES,)) -> DataFrame:
