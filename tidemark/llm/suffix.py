@@ -14,7 +14,7 @@ has to meet. A segment is a run of string starts that share an anchor, with the
    recurses on their names until they differ, merges the suffixes at
    positions 0 modulo 3, and compares the prefixes of neighbours, byte by byte.
 5. An anchor with more distinct segments than CLASS_ROWS is not sorted in one shard; its strings are
-   counted by digest in a window instead. repeated_words counts all its strings so.
+   counted by digest in an ordinary aggregate instead. repeated_words counts all its strings so.
 
 The elements of a text are its bytes, or its words (Reading): then LENGTH and all positions count words, and
 contents are words joined by blanks, numbered within a shard before it is sorted.
@@ -36,7 +36,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.anchors import list_column, packed_cuts, segments, unpacked, word_values
@@ -311,10 +311,10 @@ def _repeats(rows: DataFrame, reading: Reading, sort: bool = True, flags: DataFr
     start = F.shiftright("cut", 20)
     spans = places.join(written(runs, "runs"), ["key", "seg"]).select("rid", (start + F.col("low")).alias("low"), (start + F.col("high") + reading.length - 1).alias("high"))
     if wanted.where("crowded").limit(1).count():
-        strings = listed(True).mapInArrow(_strings(reading), STRINGS)
+        strings = written(listed(True).mapInArrow(_strings(reading), STRINGS), "strings")
+        again = written(strings.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string"), "again")
         # A segment met once stands at one place only, so its strings need no look-up by segment.
-        again = strings.withColumn("n", F.count("*").over(Window.partitionBy("string"))).where("n > 1 AND met = 1")
-        spans = spans.union(again.select("rid", "low", (F.col("low") + reading.length).alias("high")))
+        spans = spans.union(strings.where("met = 1").join(again, "string").select("rid", "low", (F.col("low") + reading.length).alias("high")))
     return parsed.select("rid", "id", "n_bytes", "n", "sha"), flags, fetched.select("rid", "text"), spans
 
 
