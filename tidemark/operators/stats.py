@@ -7,6 +7,7 @@ parts of the digests before it ranks one of them, so neither a draw nor a hot cl
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -411,38 +412,61 @@ def risk_ratios(daily: DataFrame, net: str = "net", per_year: int = 252) -> Data
                                                        F.try_divide("best", "total").alias("concentration"))
 
 
-def fit_classifier(df: DataFrame, features: Sequence[str], label: str, folds: int = 3, kind: str = "logit"):
-    """Logistic or boosted-tree model chosen by cross-validation with pyspark.ml."""
+def bin_edges(df: DataFrame, features: Sequence[str], bins: int = 32) -> dict[str, list[float]]:
+    """Per feature the values that cut its rows, and its distinct values, into `bins` parts of like size; exact, from all rows."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features])).alias("x")).select("x.*").filter("v IS NOT NULL AND NOT isnan(v)")
+    cuts = {f"q{k}": k / bins for k in range(1, bins + 1)}
+    found = [exact_quantiles(d, ["feature"], "v", cuts, "lower") for d in (long, long.distinct())]
+    edges: dict[str, set[float]] = {f: set() for f in features}
+    for r in found[0].unionByName(found[1]).collect():
+        edges[r.feature] |= {r[c] for c in cuts if math.isfinite(r[c])}
+    return {f: sorted(e) or [0.0] for f, e in edges.items()}
+
+
+def fit_classifier(df: DataFrame, features: Sequence[str], label: str, folds: int = 3, kind: str = "logit", fold: str = ""):
+    """Logistic or boosted-tree model chosen by cross-validation with pyspark.ml; `fold` names a column with each row's fold.
+
+    The trees' thresholds are `bin_edges`. Left to itself the library takes them from 10,000 rows or the square of
+    maxBins, if that is more, so maxBins is at least the root of the row count.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier, LogisticRegression
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
-    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.feature import Bucketizer, SQLTransformer, VectorAssembler
     from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 
-    gather = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
     if kind == "logit":
+        stages = [VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")]
         model = LogisticRegression(labelCol=label, maxIter=20)
         grid = ParamGridBuilder().addGrid(model.regParam, [0.0, 0.1]).build()
     else:
-        model = GBTClassifier(labelCol=label, maxIter=10)
+        edges, binned, ordered = bin_edges(df, features), [f"__bin_{f}" for f in features], [f"__ord_{f}" for f in features]
+        splits = [[-math.inf, *edges[f], math.inf] for f in features]
+        # The sum drops the mark by which the trees would take a bin for a category without order.
+        number = SQLTransformer(statement=f"SELECT *, {', '.join(f'`{b}` + 0D AS `{o}`' for b, o in zip(binned, ordered))} FROM __THIS__")
+        stages = [Bucketizer(inputCols=list(features), outputCols=binned, splitsArray=splits, handleInvalid="skip"), number, VectorAssembler(inputCols=ordered, outputCol="features")]
+        model = GBTClassifier(labelCol=label, maxIter=10, maxBins=max(*map(len, splits), math.isqrt(df.count()) + 1))
         grid = ParamGridBuilder().addGrid(model.maxDepth, [2, 3]).build()
-    score = BinaryClassificationEvaluator(labelCol=label)
-    cv = CrossValidator(estimator=Pipeline(stages=[gather, model]), estimatorParamMaps=grid, evaluator=score, numFolds=folds, seed=7)
+    score = BinaryClassificationEvaluator(labelCol=label, numBins=0)
+    cv = CrossValidator(estimator=Pipeline(stages=[*stages, model]), estimatorParamMaps=grid, evaluator=score, numFolds=folds, seed=7, foldCol=fold)
     return cv.fit(df)
 
 
-def classifier_report(rows: DataFrame, features: Sequence[str], label: str, key: str, limit: int = 2000, folds: int = 2) -> DataFrame:
-    """Held-out AUC of the fitted models: fitted on at most `limit` rows, those whose key digests are
-    lowest among the rows not held out, and scored on every held-out row (a third, by digest)."""
+def classifier_report(rows: DataFrame, features: Sequence[str], label: str, key: str, limit: int | None = None, folds: int = 2) -> DataFrame:
+    """Held-out AUC of the fitted models: fitted on every row not held out, and scored on every held-out row
+    (a third, by the key's digest). With `limit`, on those whose digests are lowest."""
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
 
     digest = F.md5(F.col(key).cast("string"))
+    part = lambda at: F.conv(F.substring("__d", at, 4), 16, 10).cast("int")
     # Written once: the fits and the scores read the features many times.
-    marked = staged(rows.select(key, label, *features)).withColumn("__d", digest).withColumn("__out", F.conv(F.substring("__d", 1, 4), 16, 10).cast("int") % 3 == 0)
-    train = marked.filter("NOT __out").orderBy("__d", key).limit(limit).select(*features, label).cache()
-    held = marked.filter("__out").select(*features, label)
-    score = BinaryClassificationEvaluator(labelCol=label)
-    found = [(kind, float(score.evaluate(fit_classifier(train, features, label, folds, kind).transform(held)))) for kind in ("logit", "boosted")]
+    marked = staged(rows.select(key, label, *features).withColumn("__d", digest).withColumn("__out", part(1) % 3 == 0).withColumn("__fold", part(5) % folds))
+    train = marked.filter("NOT __out")
+    if limit is not None:
+        train = train.orderBy("__d", key).limit(limit)
+    train, held = train.select(*features, label, "__fold"), marked.filter("__out").select(*features, label)
+    score = BinaryClassificationEvaluator(labelCol=label, numBins=0)
+    found = [(kind, float(score.evaluate(fit_classifier(train, features, label, folds, kind, "__fold").transform(held)))) for kind in ("logit", "boosted")]
     out = held.agg(F.count(F.lit(1)).alias("held_out")).join(F.broadcast(train.agg(F.count(F.lit(1)).alias("fitted"))), how="cross")
     return out.withColumn("m", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(a).alias("auc")) for k, a in found]))).select("m.kind", "fitted", "held_out", F.round("m.auc", 2).alias("auc"))
 
